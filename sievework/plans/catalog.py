@@ -1,0 +1,6 @@
+"""Registry of the queries and their SQL."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
