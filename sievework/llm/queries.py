@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sievework.llm import quality
+from sievework.llm import mixing, quality, sharding, warc
 
-QUERIES = {"op6_quality_rules": quality.query}
-ORACLES = {"op6_quality_rules": quality.oracle()}
+QUERIES = {
+    "op1_warc_zstd": warc.query,
+    "op6_quality_rules": quality.query,
+    "op7_hash_tree_sharding": sharding.query,
+    "op9_source_mixing": mixing.query,
+}
+ORACLES = {"op1_warc_zstd": warc.ORACLE, "op6_quality_rules": quality.oracle()}
