@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sievework.llm import mixing, quality, sharding, warc
+from sievework.llm import bagminhash, huffman, mixing, quality, sharding, warc
 
 QUERIES = {
     "op1_warc_zstd": warc.query,
+    "op3_bagminhash_near_dups": bagminhash.query,
     "op6_quality_rules": quality.query,
     "op7_hash_tree_sharding": sharding.query,
     "op9_source_mixing": mixing.query,
+    "op10_huffman_token_ids": huffman.query,
 }
 ORACLES = {"op1_warc_zstd": warc.ORACLE, "op6_quality_rules": quality.oracle()}
