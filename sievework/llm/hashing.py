@@ -9,7 +9,7 @@ U = np.uint64
 BASE = U(0x9E3779B97F4A7C15 | 1)
 INVERSE = U(pow(int(BASE), -1, 1 << 64))
 #: Bytes of text hashed in one go; a longer text is a chunk of its own.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 

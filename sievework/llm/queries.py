@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
-from sievework.llm import bagminhash, huffman, mixing, quality, sharding, warc
+from sievework.llm import bagminhash, huffman, licenses, mixing, preference, quality, sharding, substrings, templates, warc
 
 QUERIES = {
     "op1_warc_zstd": warc.query,
+    "op2_preference_pairs": preference.query,
     "op3_bagminhash_near_dups": bagminhash.query,
+    "op4_repeated_substrings": substrings.query,
+    "op5_template_decontamination": templates.query,
     "op6_quality_rules": quality.query,
     "op7_hash_tree_sharding": sharding.query,
+    "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_huffman_token_ids": huffman.query,
 }
-ORACLES = {"op1_warc_zstd": warc.ORACLE, "op6_quality_rules": quality.oracle()}
+ORACLES = {
+    "op1_warc_zstd": warc.ORACLE,
+    "op2_preference_pairs": preference.ORACLE,
+    "op5_template_decontamination": templates.oracle(),
+    "op6_quality_rules": quality.oracle(),
+}
