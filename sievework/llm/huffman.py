@@ -281,6 +281,19 @@ def tokenizer_stage(folder: str, path: str, end: int):
     return run
 
 
+def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over files' counts: their sums, a row for each id that the task's files hold."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        flat = batch.column("counts").flatten()
+        if len(flat):
+            ids, n = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("id", "n"))
+            total = np.pad(total, (0, max(0, int(ids.max()) + 1 - len(total))))
+            np.add.at(total, ids, n)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": pa.array(used, pa.int32()), "n": pa.array(total[used])})
+
+
 def read_plain(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     while head := source.read(25):
         docs, n, size, width = struct.unpack("<QQQB", head)
@@ -345,7 +358,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end: int = END) -> DataF
     dealt = docs.select("doc_id", "text", h.alias("h")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
     kind = "part int, name string, docs long, ids long"
     plain, listed = materialise(dealt.mapInArrow(tokenizer_stage(folder, tokenizer, end), f"{kind}, counts array<struct<id: int, n: long>>"), "id-files")
-    per = plain.select(F.explode("counts").alias("c")).groupBy("c.id").agg(F.sum("c.n").alias("n")).collect()  # a row for each id of the vocabulary at most
+    per = each_file(plain.select("name", "counts")).mapInArrow(add_counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # a row for each id of the vocabulary at most
     counts = np.zeros(max((r["id"] for r in per), default=-1) + 1, np.int64)
     for r in per:
         counts[r["id"]] = r["n"]
