@@ -33,6 +33,8 @@ MAGIC = b"SWHUFF01"
 TOKENIZER, END = "byte_bpe_50k.json", 2
 #: Longest code, ids between checkpoints, ids in a block (or one longer document), pieces remembered by a worker.
 MAX_BITS, EVERY, BLOCK_IDS, PIECES = 18, 256, 1 << 20, 1 << 20
+#: Text encoded at a time.
+TEXT_BYTES = 4 << 20
 NULL = np.iinfo(np.int64).min
 
 
@@ -202,15 +204,14 @@ class Encoder:
         self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def learn(self, keys: np.ndarray, place: np.ndarray, pieces: list[str]) -> None:
         found = [x.ids for x in getattr(self.of, "encode_batch_fast", self.of.encode_batch)(pieces, add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
         self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())))
-        joined = np.append(self.keys, keys)
-        order = np.argsort(joined, kind="stable")
-        self.keys, self.rank = joined[order], np.append(self.rank, np.arange(len(self.rank), len(self.rank) + len(keys)))[order]
+        self.rank = np.insert(self.rank, place, np.arange(len(self.rank), len(self.rank) + len(keys)))
+        self.keys = np.insert(self.keys, place, keys)
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in each text, all ids), end ids not included."""
@@ -228,7 +229,7 @@ class Encoder:
         new |= place == len(self.keys)
         if new.any():
             raw = data.tobytes()
-            self.learn(distinct[new], [raw[starts[i] : ends[i]].decode() for i in at[new]])
+            self.learn(distinct[new], place[new], [raw[starts[i] : ends[i]].decode() for i in at[new]])
             place = np.searchsorted(self.keys, distinct)
         known = self.rank[place][back]
         size = self.size[known]
@@ -240,6 +241,16 @@ class Encoder:
         return np.bincount(owner, size, texts).astype(np.int64), ids
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker's encoder of a file; what one task has learnt serves the next."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def with_ends(sizes: np.ndarray, ids: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The same with the end id after each text."""
     return sizes + 1, np.insert(ids, np.cumsum(sizes), end)
@@ -257,9 +268,9 @@ def tokenizer_stage(folder: str, path: str, end: int):
         counts, docs = np.zeros(0, np.int64), 0
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for a, offsets, data in hashing.text_chunks(batch.column("text")):
+            for a, offsets, data in hashing.text_chunks(batch.column("text"), TEXT_BYTES):
                 if out is None:
-                    encoder = Encoder(path)
+                    encoder = encoder_of(path)
                     store.create_dir(base, recursive=True)
                     out = store.open_output_stream(f"{base}/{name}", compression=None)
                 sizes, ids = with_ends(*encoder.encode(offsets, data), end)
