@@ -1,0 +1,206 @@
+"""Scanning, findings and inventory on small tables of our own."""
+
+import base64
+import json
+import struct
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievework.functions import classify, schedule, text, versions
+from sievework.operators import findings, heuristics, inventory, matching, rows, runs, vulnerability
+from sievework.plans import scan, snapshots
+from sievework.sources import files, pack
+from sievework.streaming import watch
+
+PACK = pack.Pack(
+    version=3,
+    signatures=[(0, "h", "Hash", "known", "infected"), (1, "l", "Literal", "shell", "infected"), (2, "r", "Regex", "odd", "suspicious"), (3, "f", "First", "head", "info")],
+    literals=[(0, 0, 1, "file_php", "evil_call(")],
+    regexes=[(0, 2, "/odd[0-9]+/", False, [], ["file_any"]), (1, 3, "/first\\s+line/i", True, [], ["file_any"])],
+    hashes=[("md5", "5d41402abc4b2a76b9719d911017c592", 0)],
+)
+
+
+def one(df):
+    (row,) = df.collect()
+    return row
+
+
+def test_versions(spark):
+    pairs = [("1.0", "1.0.0"), ("1.0.beta", "1.0"), ("1.9", "1.10"), ("5.9.3.beta", "5.9.3rc2"), ("1.0rc1", "1.0"), ("1.0", "1.0p1"), ("1.0-dev", "1.0-alpha"), ("1.0alpha", "1.0b1")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    k = lambda c: versions.version_key(versions.normal_version(F.col(c)))
+    assert all(r.ok for r in df.select((k("a") < k("b")).alias("ok")).collect())
+
+
+@pytest.mark.parametrize("version,low,high,low_in,high_in,want", [
+    ("1.2", "1.0", "1.2", True, True, True), ("1.2", "1.0", "1.2", True, False, False), ("1.0", "1.0", "2", False, True, False), ("0.1", "*", "1", True, True, True), ("9", "1", "*", None, None, True), ("1.2-3", "1.2.2", "1.2.4", True, True, True),
+])
+def test_ranges(spark, version, low, high, low_in, high_in, want):
+    df = spark.createDataFrame([(version, low, high, low_in, high_in)], "v string, lo string, hi string, li boolean, hi_in boolean")
+    assert one(df.select(versions.in_range(*[F.col(c) for c in df.columns]).alias("x"))).x is want
+
+
+def test_vulnerability_findings(spark):
+    records = [{"id": "A", "title": "First", "software": [{"type": "plugin", "slug": "x", "name": "X", "patched": True, "patched_versions": ["2.0"], "affected_versions": {"*": {"from_version": "*", "to_version": "1.9", "to_inclusive": True}}}]},
+               {"id": "B", "title": "Note", "informational": True, "software": [{"type": "plugin", "slug": "x", "affected_versions": {"*": {"from_version": "*", "to_version": "*"}}}]}]
+    df = spark.createDataFrame([(json.dumps(r),) for r in records], "j string").select(F.from_json("j", vulnerability.RECORD).alias("r")).select("r.*")
+    software = spark.createDataFrame([("plugin", "x", "1.5"), ("plugin", "x2", "1.5"), ("plugin", "x", "2.0")], "kind string, slug string, version string")
+    f = one(vulnerability.findings(vulnerability.matches(software, df)))
+    assert (f.locator, f.tier, f.severity, f.fixed_in, f.reason) == ("plugin:x", "infected", "alert", "2.0", "First")
+
+
+def test_kinds(spark):
+    cases = [(b"PK\x03\x04zip", "zip", "archive"), (b"PK\x03\x04zip", "php", "php"), (b"x <?PHP echo", "txt", "php"), (b"\x7fELF..", "", "binary"), (b"<!DOCTYPE html>", "", "html"), (b"var a;", "js", "js"), (b"", "php", "php"),
+             (b"\x00\x01\x02abc", "dat", "binary"), (b"plain", "txt", "other"), (base64.b64encode(b"<?php eval($_POST['x']); // padding padding padding padding"), "txt", "php"), (b"a" * 257 + b"ustar", "", "archive"), (b"\xff\xfe\xe9", "", "other")]
+    df = spark.createDataFrame([(i, bytearray(c), e) for i, (c, e, _) in enumerate(cases)], "i int, c binary, e string")
+    got = {r.i: r.k for r in df.select("i", classify.content_kind(classify.head_of(F.col("c")), F.col("e")).alias("k")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, _, w in cases]
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("ab\ncd\x01évil", "a/b.PhP", "aaaa", "TpAEMU")], "t string, p string, e string, r string")
+    r = one(df.select(text.line_of(F.col("t"), F.lit(4)).alias("line"), text.excerpt(F.col("t"), F.lit(1)).alias("x"), text.extension(F.col("p")).alias("ext"), text.entropy(F.col("e")).alias("h"), text.case_transitions(F.col("r")).alias("c")))
+    assert (r.line, r.x, r.ext, r.h, r.c) == (2, "ab\ncd??vil", "php", 0.0, 2)
+
+
+@pytest.mark.parametrize("glob,path,hit", [("cache/*", "cache/a/b.txt", True), ("*.LOG", "x/y.log", True), ("build", "build/x", True), ("build", "builds/x", False), ("a?c", "abc", True), ("[!a]x", "bx", True)])
+def test_globs(spark, glob, path, hit):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert one(df.select(files.included(F.col("path"), [glob]).alias("k"))).k is not hit
+
+
+@pytest.mark.parametrize("n", [0, 9, 10, 11, 16, 17, 40])
+def test_chunks_cover(spark, n):
+    body = bytes(range(65, 65 + n))
+    df = spark.createDataFrame([("p", bytearray(body))], "path string, content binary")
+    got = files.chunks(df, 10, 3).orderBy("chunk").collect()
+    assert b"".join(r.text.encode("latin-1")[: 7 if not r.last else None] for r in got) == body
+    assert got[0].first and got[-1].last and sum(r.last for r in got) == 1
+
+
+def test_native_and_byte_matchers_agree(spark, tmp_path):
+    bodies = {"a.php": b"<?php\nevil_call(1); odd12 First  line", "b.txt": b"odd7\nfirst line", "c.php": b"<?php odd", "d.html": b"<html>\n\nodd5", "e.bin": b"\x00\x01\x02\x03"}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    data = scan.classified(files.contents(spark, f"file://{tmp_path}"), [], None)
+    native = scan.match(data, PACK)
+    rows_ = data.filter("kind <> 'binary'").withColumn("targets", matching.targets_of(F.col("path"), F.col("kind"))).withColumn("hash_infected", F.lit(0))
+    exact = matching.byte_matcher(rows_, PACK)
+    key = ("path", "layer", "position", "sig", "line")
+    assert sorted(native.filter("layer > 0").select(*key).collect()) == sorted(exact.select(*key).collect())
+    assert {r.path for r in native.collect()} == {"a.php", "b.txt", "d.html"}
+    assert not native.filter("path = 'a.php' AND sig = 2").count()  # suspicious after infected
+
+
+def test_chunked_scan_equals_whole():
+    body = b"".join(b"x" * 37 + (b"odd%d" % i if i % 3 == 0 else b"evil_call(") + b"\n" for i in range(60))
+    whole = matching.ByteMatcher(PACK, 1 << 20, 1 << 10, quota=10**6).scan(body, {"file_any"})[0]
+    small = matching.ByteMatcher(PACK, 300, 60, quota=10**6).scan(body, {"file_any"})[0]
+    assert whole[0][3:] == small[0][3:] and len({m[4] for m in small}) == len(small)
+    for m in small:
+        assert m[5] == body.count(b"\n", 0, m[4]) + 1
+
+
+def test_scan_is_incremental_and_idempotent(spark, tmp_path):
+    root, state = tmp_path / "site", f"file://{tmp_path}/state"
+    root.mkdir()
+    (root / "a.php").write_bytes(b"<?php evil_call(1);")
+    (root / "b.txt").write_bytes(b"hello")
+    first = scan.scan(spark, f"file://{root}", PACK, state)
+    got = {r.locator: r for r in first.findings.collect()}
+    assert set(got) == {"a.php", "b.txt"} and got["a.php"].severity == "alert" and got["b.txt"].signature_ids == ["h"]
+    second = scan.scan(spark, f"file://{root}", PACK, state)
+    again = {r.locator: r for r in second.findings.collect()}
+    assert {k: (v.tier, v.state, v.first_seen) for k, v in again.items()} == {k: (v.tier, v.state, v.first_seen) for k, v in got.items()}
+    (root / "a.php").write_bytes(b"<?php fine();")
+    (root / "b.txt").unlink()
+    third = scan.scan(spark, f"file://{root}", PACK, state, scope="changed")
+    assert third.findings.count() == 0 and third.files.count() == 1 and snapshots.current(spark, state)["version"] == 3
+
+
+def test_watch_mode(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.php").write_bytes(b"<?php evil_call(1);")
+    q = watch.watch(spark, f"file://{root}", PACK, f"file://{tmp_path}/out", f"file://{tmp_path}/cp")
+    q.awaitTermination(120)
+    assert spark.read.parquet(f"file://{tmp_path}/out").select("path").collect()[0].path == "a.php"
+
+
+def test_findings_merge_cases(spark):
+    schema = "locator_hash string, type string, locator string, signature_ids array<string>, tier string, severity string, category string, line int, excerpt string, reason string, first_seen long, last_seen long, state string, state_changed_at long"
+    row = lambda k, ids, tier, sev, state: (k, "file", k, ids, tier, sev, "c", 1, "", "r", 1, 1, state, 0)
+    old = spark.createDataFrame([row("up", ["a"], "suspicious", "review", "new"), row("down", ["a"], "infected", "alert", "new"), row("ign", ["a"], "info", "review", "ignored"), row("ack", ["a"], "info", "review", "acknowledged"), row("same", ["a"], "info", "review", "ignored")], schema)
+    new = spark.createDataFrame([row("up", ["a"], "infected", "alert", "new"), row("down", ["b"], "suspicious", "review", "new"), row("ign", ["a", "b"], "info", "review", "new"), row("ack", ["z"], "info", "review", "new"), row("same", ["a"], "info", "review", "new")], schema)
+    got = {r.locator_hash: r for r in findings.merge(old, new, F.lit(9).cast("long")).collect()}
+    assert (got["up"].tier, got["up"].severity, got["up"].change) == ("infected", "alert", "changed")
+    assert (got["down"].tier, got["down"].severity, got["down"].signature_ids) == ("infected", "alert", ["a", "b"])
+    assert (got["ign"].state, got["ign"].state_changed_at, got["ack"].state, got["same"].state, got["same"].change) == ("new", 9, "acknowledged", "ignored", "seen")
+    assert all(r.first_seen == 1 and r.last_seen == 9 for r in got.values())
+
+
+def test_deletions(spark):
+    f = spark.createDataFrame([("1", "file"), ("2", "vulnerability"), ("3", "vulnerability")], "locator_hash string, type string")
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "locator_hash string")
+    left = lambda df: sorted(r.locator_hash for r in df.collect())
+    assert left(findings.only_listed(f, keys("3"), "vulnerability")) == ["1", "3"] and left(findings.only_listed(f, keys(), "vulnerability")) == ["1"]
+    assert left(findings.without(f, keys("1", "2"), kind="file")) == ["2", "3"]
+
+
+def test_like_prefilter(spark):
+    df = spark.createDataFrame([("100%",), ("100x",), (None,)], "c string")
+    n = lambda rules: df.filter(rows.like_prefilter(rules, ["c"])).count()
+    like = f"%{rows.like_literal('0%')}%"
+    assert n([("t", 0, "/x/", like)]) == 1 and n([("t", 0, "/x/", None)]) == 3 and n([]) == 0
+
+
+def test_java_patterns():
+    assert pack.java_pattern("/ab+c/i") == "(?di)ab+c"
+    assert all(pack.java_pattern(p) is None for p in ("/(a|b)*c/", "/[[:alpha:]]/", "/a\\Kb/", "/(?R)/", "/x/u"))
+    assert pack.byte_pattern("/a$/").search(b"a\n") and not pack.byte_pattern("/a$/D").search(b"a\n") and pack.byte_pattern("~\\xe9~").search(b"\xe9")
+
+
+def encoded_pack(tmp_path):
+    u32 = lambda *v: base64.b64encode(struct.pack(f"<{len(v)}I", *v)).decode()
+    data = {
+        "format": 1, "version": 7, "count": 2, "sig_tier": base64.b64encode(bytes([1, 2])).decode(), "regex_patterns": "/a+//b/i", "regex_offsets": u32(0, 4, 8), "regex_sigs": u32(0, 1), "regex_flags": base64.b64encode(bytes([0, 1])).decode(),
+        "regex_lits": u32(0), "regex_lit_offsets": u32(0, 1, 1), "literal_strings": "foo bar", "literal_offsets": u32(0, 7), "wordless_literals": u32(), "targets": {"file_any": u32(0, 1)}, "plain_literals": [[0, 1, "file_any"]],
+        "hash": {"md5": {"aa": 0}, "sha256": {}}, "db": {"db_post": [[1, "/x/", None]]}, "allowlist": {"bb": 1}, "words": {}, "literal_word_counts": "", "literal_pure": "",
+    }
+    at = tmp_path / "pack.json"
+    at.write_text(json.dumps(data))
+    return at
+
+
+def test_load_pack(spark, tmp_path):
+    p = pack.load_pack(str(encoded_pack(tmp_path)), version=7)
+    assert p.regexes == [(0, 0, "/a+/", False, [0], ["file_any"]), (1, 1, "/b/i", True, [], ["file_any"])] and p.literals[0][4] == "foo bar" and p.row_rules == [("db_post", 1, "/x/", None)]
+    assert p.frames(spark)["signature"].count() == 2
+    with pytest.raises(pack.PackError):
+        pack.load_pack(str(encoded_pack(tmp_path)), sha256="0" * 64)
+    with pytest.raises(pack.PackError):
+        pack.load_pack(str(encoded_pack(tmp_path)), version=8)
+
+
+def test_schedule_and_verdicts(spark):
+    df = spark.createDataFrame([(1,)], "x int").select(F.timestamp_seconds(F.lit(1704159000)).alias("now"))  # 2024-01-02 01:30
+    due = one(df.select(*[F.date_format(schedule.next_due(F.col("now"), F.lit(s), F.lit(3)), "dd HH:mm").alias(s) for s in ("hourly", "daily", "weekly", "off")]))
+    assert (due.hourly, due.daily, due.weekly, due.off) == ("02 02:00", "02 03:00", "02 03:00", None)
+    log = spark.createDataFrame([(i, s) for i, s in enumerate(["done", "failed", "done", "failed", "failed"])], "id int, status string")
+    assert one(runs.failure_streak(log)).streak == 2
+    assert one(runs.worst(spark.createDataFrame([("a", "ok"), ("b", "critical")], "name string, status string"))).verdict == "critical"
+
+
+def test_inventory_queue_prefix_has_no_slash(spark):
+    df = spark.createDataFrame([("a/b/x", False, 1, "m", "php"), ("a/bc", False, 1, "m", "php"), ("z", False, 1, "m", "php")], "path string, known_good boolean, scanned_bundle int, md5 string, kind string")
+    assert sorted(r.path for r in inventory.queue(df, 2, "a/b").collect()) == ["a/b/x", "a/bc"]
+
+
+def test_taint_chain(spark):
+    code = "<?php $a = $_GET['q']; // $z = 1\n$b = $a . 'x;y'; $c = $b; /* exec($c); */ exec($c); call_user_func('f', $a); $o->exec($a); preg_replace('/x/e', $a, 1); preg_replace('/x/', $a, 1);"
+    st = heuristics.statements(spark.createDataFrame([("p", code)], "path string, text string"))
+    t = heuristics.taint(st)
+    assert sorted(r.variable for r in t.collect()) == ["$a", "$b", "$c"]
+    assert sorted(r.sink for r in heuristics.source_to_sink(st, t).collect()) == ["exec", "preg_replace"]
