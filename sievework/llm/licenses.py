@@ -1,13 +1,13 @@
 """License scans by conditional compression.
 
-Blocks of a text that name a licence at all are compressed alone and with each template as a raw zstandard dictionary. A
+The surroundings of every place that names a licence are the candidate blocks. They are compressed alone and with each template as a raw zstandard dictionary. A
 template that the block repeats makes it much smaller: templates are ranked by that reduction, measured against
 what the template would save on itself. The best are confirmed by wording: a word alignment of the template
 against the block counts inserted, missing and changed words, template fields such as a year or a holder match any
 words, and the words that tell a licence from its relatives must be there exactly.
 
-Blocks overlap by half, so a notice of up to ``BLOCK // 2`` characters lies whole in one of them; each place is
-reported once. Cases: a null or blank text has no blocks; repeated rows repeat their findings; texts of any length are
+A text is cut into pieces that overlap by half, so surroundings of up to ``BLOCK // 2`` characters lie whole in one of
+them; each place is reported once. Cases: a null or blank text has no blocks; repeated rows repeat their findings; texts of any length are
 scanned whole; an empty table gives no rows.
 """
 
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from sievework.llm.common import table
 
 BLOCK = 4000
+#: Characters before and after a naming place that its candidate block holds.
+BEFORE, AFTER = 200, 400
 #: Templates confirmed by wording in a block; share of a template's own saving that a block must show; share of its words that may differ.
 RANKED, REDUCTION, DIFFERENCES = 8, 0.25, 0.1
-KEY = r"(?i)licen[cs]|copyright|copyleft|spdx|permission is hereby|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]by|\bcc0\b"
+KEY = r"(?i)licen[cs]|copyright|copyleft|spdx|permission is hereby|permission to use, copy|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]by|\bcc0\b"
 
 #: Public notices; {} stands for up to eight words of any kind.
 TEMPLATES: tuple[tuple[str, str], ...] = (
@@ -150,11 +152,27 @@ def findings(text: str, ready: tuple[list[Template], zstandard.ZstdCompressor])
     return out
 
 
+def candidates(text: str) -> Iterator[tuple[int, str]]:
+    """(first character, block) around each naming place; overlapping surroundings are one block."""
+    low, high = 0, -1
+    for m in re.finditer(KEY, text):
+        if high < 0 or m.start() - BEFORE > high:
+            if high >= 0:
+                yield low, text[low:high]
+            low = max(0, m.start() - BEFORE)
+        high = m.end() + AFTER
+    if high >= 0:
+        yield low, text[low:high]
+
+
 def scan_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For mapInPandas over (doc_id, rid, start, block)."""
     ready = prepare()
     for batch in batches:
-        rows = [(d, r, x[0], s + x[1], x[2], x[3], x[4]) for d, r, s, b in zip(batch["doc_id"], batch["rid"], batch["start"], batch["block"], strict=True) for x in findings(b, ready)]
+        rows = [
+            (d, r, x[0], s + low + x[1], x[2], x[3], x[4])
+            for d, r, s, b in zip(batch["doc_id"], batch["rid"], batch["start"], batch["block"], strict=True) for low, part in candidates(b) for x in findings(part, ready)
+        ]
         yield pd.DataFrame(rows, columns=["doc_id", "rid", "license", "at", "chars", "differences", "reduction"]).astype({"doc_id": "Int64"})
 
 
