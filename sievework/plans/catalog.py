@@ -589,9 +589,10 @@ def code_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.alias("text"), F.when(n % 2 == 0, "uploads").otherwise("mu").alias("origin"))
 
 
-@register(f"""WITH {CODE_SQL} SELECT page_id, list_filter([CASE WHEN page_id % 4 = 0 AND origin = 'uploads' THEN {{'reason': 'plugin header in an uploads file', 'line': 2}} END, CASE WHEN page_id % 3 = 0 THEN {{'reason': 'errors silenced before request input is used', 'line': CASE WHEN page_id % 4 = 0 THEN 3 ELSE 2 END}} END], lambda x: x IS NOT NULL) AS found FROM c""")
+@register(f"""WITH {CODE_SQL} SELECT page_id, list_transform(x, lambda y: y.reason) AS reasons, list_transform(x, lambda y: y.line) AS lines FROM (SELECT page_id, list_filter([CASE WHEN page_id % 4 = 0 AND origin = 'uploads' THEN {{'reason': 'plugin header in an uploads file', 'line': 2}} END, CASE WHEN page_id % 3 = 0 THEN {{'reason': 'errors silenced before request input is used', 'line': CASE WHEN page_id % 4 = 0 THEN 3 ELSE 2 END}} END], lambda x: x IS NOT NULL) AS x FROM c)""")
 def disguise_signals(spark, sf_dir):
-    return code_pages(spark, sf_dir).select("page_id", heuristics.disguise(F.col("text"), F.col("origin"), F.lit(False)).alias("found"))
+    found = code_pages(spark, sf_dir).select("page_id", heuristics.disguise(F.col("text"), F.col("origin"), F.lit(False)).alias("x"))
+    return found.select("page_id", F.transform("x", lambda y: y["reason"]).alias("reasons"), F.transform("x", lambda y: y["line"]).alias("lines"))
 
 
 @register("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'eval' ELSE 'system' END AS sink FROM pages WHERE page_id % 5 IN (0, 2)")
@@ -608,13 +609,13 @@ def decoded_payload(spark, sf_dir):
     return page.select("page_id", F.explode(heuristics.decoded(F.col("text"))).alias("d")).select("page_id", "d.decoder", "d.payload")
 
 
-@register("""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z_]+')), lambda x: length(x) >= 9)[1:20] AS ws FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS text FROM documents)),
+@register("""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z_]+')), lambda x: length(x) >= 9) AS ws0, list_sort(ws0)[1:20] AS ws FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS text FROM documents)),
 u AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'i': i, 'w': ws[i]}), recursive := true) FROM w), c AS (SELECT doc_id, i, w, unnest(string_split(w, '')) AS ch FROM u), k AS (SELECT doc_id, i, w, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
 e AS (SELECT doc_id, i, w, -sum(n * 1.0 / length(w) * log2(n * 1.0 / length(w))) AS h FROM k GROUP BY ALL)
 SELECT doc_id, count(*)::INT AS n, round(avg(h), 6) AS entropy, round(avg(CASE WHEN regexp_matches(w, '^[O0Il_]{4,}$') OR (length(w) >= 10 AND NOT regexp_matches(w, '(?i)[aeiou]')) THEN 1.0 ELSE 0.0 END), 6) AS generated FROM e GROUP BY doc_id""")
 def identifier_entropy(spark, sf_dir):
     clean = F.regexp_replace("text", r"[^A-Za-z\s]", "")
-    names = F.slice(F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit("[A-Za-z_]+"), F.lit(0))), lambda x: F.length(x) >= 9), 1, 20)
+    names = F.slice(F.array_sort(F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit("[A-Za-z_]+"), F.lit(0))), lambda x: F.length(x) >= 9)), 1, 20)
     d = table(spark, sf_dir, "documents").select("doc_id", heuristics.identifier_entropy(names).alias("e"))
     return d.filter("e.n > 0").select("doc_id", "e.n", "e.entropy", "e.generated")
 
