@@ -7,7 +7,7 @@ equal groups are exactly the repeated windows; the first of a group stays and th
 The most significant digit is taken by content: a window's digit is the smallest hash among its ``GRAM``-byte grams, so
 equal windows have equal digits and neighbouring windows mostly share theirs. A run of windows with one digit
 travels as one row (digit, hash of the run's bytes, document, start, windows). Runs whose digit is unique hold no
-repeat. A run equal to an earlier one is a repeat as a whole. What is left, different runs of one digit, is ordered
+repeat, unless the gram that gives the digit occurs in them again, as in periodic text; such runs are always compared. A run equal to an earlier one is a repeat as a whole. What is left, different runs of one digit, is ordered
 by further passes of eight bytes each, most significant first, dropping windows as soon as they are alone.
 
 Skew: each task first combines equal runs, so a passage that every document holds sends one row a task. A digit that
@@ -38,6 +38,8 @@ LENGTH, GRAM = 100, 24
 #: Windows in a run at most; rows combined in a task at a time; different runs of one digit in a task; bytes sorted at a time.
 RUN, COMBINE, HOT, SORT_BYTES = 128, 1 << 20, 64, 2 << 20
 U = np.uint64
+#: Added to a run's windows if its digit's gram occurs in it again, so that the run may repeat itself.
+SELF = 1 << 20
 #: Kinds of rows: a digit is hot, a run to compare, bytes to remove, a run of a hot digit.
 MARK, COMPARE, REMOVE, SPREAD = range(4)
 FOUND = "kind int, g long, h long, node long, s long, n long"
@@ -50,6 +52,14 @@ def batch_of(kind, g, h, node, s, n) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["kind", "g", "h", "node", "s", "n"])
 
 
+def sliding(pick, x: np.ndarray, wide: int) -> np.ndarray:
+    """``pick`` (minimum or maximum) over every ``wide`` neighbours, by doubling."""
+    n, span = len(x) - wide + 1, 1
+    while span * 2 <= wide:
+        x, span = pick(x[:-span], x[span:]), span * 2
+    return pick(x[:n], x[wide - span : wide - span + n])
+
+
 def windows_by_digit(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH, gram: int = GRAM):
     """Runs of windows that share a digit: (digit, hash of the run's bytes, text, start in it, windows)."""
     n = len(data)
@@ -59,11 +69,9 @@ def windows_by_digit(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH
     prefix = np.zeros(n + 1, U)
     np.cumsum(hashing.byte_values(3)[data] * hashing.powers(n), out=prefix[1:])
     back = hashing.powers(n, hashing.INVERSE)
-    least = hashing.mix((prefix[gram:] - prefix[:-gram]) * back[: n - gram + 1])
-    wide, span = length - gram + 1, 1
-    while span * 2 <= wide:
-        least, span = np.minimum(least[:-span], least[span:]), span * 2
-    least = np.minimum(least[: n - length + 1], least[wide - span : wide - span + n - length + 1])
+    grams = hashing.mix((prefix[gram:] - prefix[:-gram]) * back[: n - gram + 1])
+    wide = length - gram + 1
+    least = sliding(np.minimum, grams, wide)
     valid = np.zeros(n - length + 2, np.int32)
     size = np.diff(offsets)
     long = size >= length
@@ -81,9 +89,17 @@ def windows_by_digit(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH
     start, turn = np.repeat(start, parts), np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     count = np.minimum(np.repeat(count, parts) - turn * RUN, RUN)
     start = start + turn * RUN
+    # a gram is an anchor if it is the least of some window; a gram that occurs twice in a run is two anchors in a row
+    edge = np.zeros(wide - 1, U)
+    anchor = np.flatnonzero(sliding(np.maximum, np.concatenate([edge, least, edge]), wide) == grams)
+    again = np.flatnonzero((grams[anchor[1:]] == grams[anchor[:-1]]) & (anchor[1:] - anchor[:-1] < RUN + length))
+    marks = np.zeros(len(start) + 1, np.int64)
+    np.add.at(marks, np.searchsorted(start + count, anchor[again] - wide + 1, "right"), 1)
+    np.add.at(marks, np.searchsorted(start, anchor[again + 1], "right"), -1)
+    own = np.where(np.cumsum(marks)[:-1] > 0, SELF, 0)
     text = np.searchsorted(offsets, start, "right") - 1
     whole = hashing.mix((prefix[start + count + length - 1] - prefix[start]) * back[start] + count.astype(U))
-    return least[start], whole, text, start - offsets[text], count
+    return least[start], whole, text, start - offsets[text], count + own
 
 
 def combine(g, h, node, s, n) -> Iterator[pa.RecordBatch]:
@@ -95,12 +111,12 @@ def combine(g, h, node, s, n) -> Iterator[pa.RecordBatch]:
     new = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))
     first = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (node != node[first]) | (s != s[first])
-    yield batch_of(REMOVE, hashing.mix(h[later] ^ node[later].astype(U)), 0, node[later], s[later], n[later] + LENGTH - 1)
+    yield batch_of(REMOVE, hashing.mix(h[later] ^ node[later].astype(U)), 0, node[later], s[later], n[later] % SELF + LENGTH - 1)
     g, h, node, s, n = (x[new] for x in (g, h, node, s, n))
     start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     many = np.diff(np.append(start, len(g))) > HOT
     hot = np.repeat(many, np.diff(np.append(start, len(g))))
-    yield batch_of(SPREAD, hashing.mix(h[hot] ^ node[hot].astype(U)), g[hot], node[hot], s[hot], n[hot])
+    yield batch_of(SPREAD, hashing.mix(h[hot] ^ node[hot].astype(U)), g[hot], node[hot], s[hot], n[hot] % SELF)
     yield batch_of(MARK, g[start[many]], 0, np.zeros(int(many.sum()), np.int64), 0, 0)
     yield batch_of(COMPARE, g[~hot], h[~hot], node[~hot], s[~hot], n[~hot])
 
@@ -131,9 +147,9 @@ def settle(kind, g, h, node, s, n) -> Iterator[pa.RecordBatch]:
     live = kind == COMPARE
     first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
     later = live & ~new & ((node != node[first]) | (s != s[first]))
-    yield batch_of(REMOVE, 0, 0, node[later], s[later], n[later] + LENGTH - 1)
-    for chosen, what in ((new & hot, SPREAD), (new & ~hot & (runs > 1), COMPARE)):
-        yield batch_of(what, g[chosen], g[chosen], node[chosen], s[chosen], n[chosen])
+    yield batch_of(REMOVE, 0, 0, node[later], s[later], n[later] % SELF + LENGTH - 1)
+    for chosen, what in ((new & hot, SPREAD), (new & ~hot & ((runs > 1) | (n >= SELF)), COMPARE)):
+        yield batch_of(what, g[chosen], g[chosen], node[chosen], s[chosen], n[chosen] % SELF)
 
 
 def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
