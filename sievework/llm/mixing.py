@@ -21,7 +21,7 @@ from sievework.llm.common import free_name, materialise, table, words_of
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Words in a block; rows in one running sum; slots ranked by one task; sources whose table may be broadcast.
-BLOCK, RUN_ROWS, RUN_SLOTS, SOURCES = 1024, 20_000, 200_000, 100_000
+BLOCK, RUN_ROWS, RUN_SLOTS, SOURCES = 1024, 2_000, 20_000, 100_000
 #: Cells of [0, 1) by which a point finds its source: an equality join, however many sources there are.
 CELLS = 4096
 GOLDEN = (math.sqrt(5) - 1) / 2

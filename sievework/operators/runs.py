@@ -57,3 +57,17 @@ def finding_numbers(findings: DataFrame, since: Column) -> DataFrame:
     """One row: findings that are new since a time, by severity."""
     fresh = (F.col("state") == "new") & ((F.col("first_seen") >= since) | (F.col("state_changed_at") >= since))
     return findings.agg(F.count_if(fresh).alias("new"), F.count_if(fresh & (F.col("severity") == "alert")).alias("alerts"), F.count_if(fresh & (F.col("severity") == "review")).alias("review"))
+
+
+def appended(runs: DataFrame, row: dict, keep: int = KEPT_RUNS) -> DataFrame:
+    """The log with one run more, cut to the newest."""
+    new = runs.sparkSession.createDataFrame([row], runs.schema)
+    return pruned(runs.filter(F.col("id") != row["id"]).unionByName(new), keep)
+
+
+def overview(files: DataFrame, findings: DataFrame, bundle: int, seconds_per_file: float = 0.03) -> DataFrame:
+    """One row: the tiles of a summary and the expected time of what is queued."""
+    from sievework.operators import findings as f
+    from sievework.operators import inventory
+
+    return inventory.statistics(files, bundle).join(f.chips(findings)).withColumn("expected_seconds", F.ceil(F.col("queued") * F.lit(seconds_per_file)))

@@ -204,3 +204,36 @@ def test_taint_chain(spark):
     t = heuristics.taint(st)
     assert sorted(r.variable for r in t.collect()) == ["$a", "$b", "$c"]
     assert sorted(r.sink for r in heuristics.source_to_sink(st, t).collect()) == ["exec", "preg_replace"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sievework.__main__ import main
+
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site" / "x.php").write_bytes(b"<?php foo bar aaa")
+    at, state = encoded_pack(tmp_path), f"file://{tmp_path}/state"
+    assert main(["--state", state, "status"]) == 2
+    assert main(["--state", state, "run", f"file://{tmp_path}/site", "--pack", str(at), "--scope", "full"]) == 1
+    capsys.readouterr()
+    assert main(["--state", state, "--format", "json", "findings", "--severity", "alert"]) == 0
+    found = json.loads(capsys.readouterr().out)
+    assert (found["title"], found["detected_by"], found["state"]) == ("x.php", "signature", "new")
+    assert main(["--state", state, "ignore", found["locator_hash"]]) == 0
+    assert snapshots.load(spark, state, "findings").select("state").first().state == "ignored"
+
+
+def test_records(spark, tmp_path):
+    from sievework.functions import present
+    from sievework.sources import records
+
+    (tmp_path / "sums.json").write_text('{"package": "core", "path": "a", "md5": "x"}\n{"package": "core", "path": "b", "md5": ["y", ""]}\n{"package": "core", "path": "c", "md5": []}\n')
+    got = {r.path: r.md5s for r in records.checksums(spark, f"file://{tmp_path}/sums.json").collect()}
+    assert got == {"a": ["x"], "b": ["y"]}
+    rows_ = spark.createDataFrame([(100, "a"), (10, "b")], "fetched_at long, v string")
+    assert [r.v for r in records.fresh(rows_, F.lit(150), 60).collect()] == ["a"]
+    plugins = spark.createDataFrame([("x/y.php", "1", "X", True), ("solo.php", "2", "S", False)], "file string, version string, name string, active boolean")
+    themes = spark.createDataFrame([("t", "3", "T", True)], "slug string, version string, name string, active boolean")
+    assert sorted(r.slug for r in records.software("6.1", plugins, themes).collect()) == ["core", "solo", "t", "x"]
+    log = spark.createDataFrame([(1, "done")], "id int, status string")
+    assert runs.appended(log, {"id": 2, "status": "failed"}, 1).collect()[0].id == 2
+    assert one(spark.createDataFrame([(["http://a", "https://b"],)], "u array<string>").select(present.record_link(F.col("u")).alias("x"))).x == "https://b"
