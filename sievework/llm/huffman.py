@@ -31,8 +31,8 @@ from sievework.llm.common import drop_path, materialise, new_path, table
 
 MAGIC = b"SWHUFF01"
 TOKENIZER, END = "byte_bpe_50k.json", 2
-#: Longest code, ids between checkpoints, ids in a block (or one longer document), pieces remembered by a worker.
-MAX_BITS, EVERY, BLOCK_IDS, PIECES = 18, 256, 1 << 20, 1 << 20
+#: Longest code, ids between checkpoints, ids in a block (or one longer document), pieces remembered by a worker, pieces encoded as one text.
+MAX_BITS, EVERY, BLOCK_IDS, PIECES, TOGETHER = 18, 256, 1 << 20, 1 << 21, 128
 #: Text encoded at a time.
 TEXT_BYTES = 4 << 20
 NULL = np.iinfo(np.int64).min
@@ -173,52 +173,81 @@ def read_blocks(source) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 # --- tokenizing -------------------------------------------------------------------------------------------------
 
 
-def piece_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+def shapes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes that begin a visible character, ASCII or a Latin-1 letter, and bytes that end one."""
+    shown, lead = (data > 32) & (data < 127), data == 0xC3
+    tail = np.zeros(len(data), bool)
+    tail[1:] = lead[:-1] & (data[1:] >= 0x80)
+    return shown | lead, shown | tail
+
+
+def piece_starts(offsets: np.ndarray, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places where a text may be cut without changing its ids: text starts, and single spaces between two visible
     characters that are ASCII or Latin-1 letters. The tokenizer's own pattern always starts a new word there."""
     n = len(data)
     first = offsets[:-1][np.diff(offsets) > 0]
     if n < 3:
         return first
-    shown = (data > 32) & (data < 127)
-    lead = data == 0xC3
-    tail = np.zeros(n, bool)
-    tail[1:] = lead[:-1] & (data[1:] >= 0x80)
     cut = np.zeros(n, bool)
-    cut[1:-1] = (data[1:-1] == 32) & (shown | tail)[:-2] & (shown | lead)[2:]
+    cut[1:-1] = (data[1:-1] == 32) & ends[:-2] & begins[2:]
     cut[first[first < n]] = True
     return np.flatnonzero(cut)
 
 
 class Encoder:
-    """Ids of many texts; each distinct piece is encoded once and remembered under its 64-bit hash and length."""
+    """Ids of many texts; each distinct piece is encoded once and remembered under its 64-bit hash and length. New pieces
+    that may stand side by side are encoded as running text, and the ids' byte lengths tell them apart again."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_file(path)
+        self.bytes = np.zeros(self.of.get_vocab_size(), np.int64)
+        for token, i in self.of.get_vocab().items():  # a token has a character for each of its bytes
+            self.bytes[i] = len(token)
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
-    def learn(self, keys: np.ndarray, place: np.ndarray, pieces: list[str]) -> None:
-        found = [x.ids for x in getattr(self.of, "encode_batch_fast", self.of.encode_batch)(pieces, add_special_tokens=False)]
+    def each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in each piece, all ids)."""
+        found = [x.ids for x in self.of.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
-        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum())))
-        self.rank = np.insert(self.rank, place, np.arange(len(self.rank), len(self.rank) + len(keys)))
-        self.keys = np.insert(self.keys, place, keys)
+        return size, np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
+
+    def running(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that each start a word after the one before."""
+        runs = [b"".join(pieces[a : a + TOGETHER]) for a in range(0, len(pieces), TOGETHER)]
+        found = self.of.encode_batch_fast([x.decode() for x in runs], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found]) if found else np.zeros(0, np.uint32)
+        ends, wanted = np.cumsum(self.bytes[ids]), np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        last = np.searchsorted(ends, wanted)
+        if len(pieces) and (last[-1] != len(ids) - 1 or (ends[last] != wanted).any()):
+            return self.each(pieces)
+        return np.diff(last, prepend=-1), ids
+
+    def learn(self, keys: np.ndarray, place: np.ndarray, pieces: list[bytes], joins: np.ndarray) -> None:
+        order = np.argsort(~joins, kind="stable")
+        n = int(joins.sum())
+        together, apart = self.running([pieces[i] for i in order[:n]]), self.each([pieces[i] for i in order[n:]])
+        size = np.concatenate([together[0], apart[0]])
+        begin = len(self.ids) + np.cumsum(size) - size
+        rank = np.empty(len(keys), np.int32)
+        rank[order] = np.arange(len(self.start), len(self.start) + len(keys))
+        self.start, self.size = np.append(self.start, begin), np.append(self.size, size.astype(np.int32))
+        self.ids = np.concatenate([self.ids, together[1], apart[1]])
+        self.rank, self.keys = np.insert(self.rank, place, rank), np.insert(self.keys, place, keys)
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids in each text, all ids), end ids not included."""
         texts, n = len(offsets) - 1, len(data)
         if not n:
             return np.zeros(texts, np.int64), np.zeros(0, np.uint32)
-        starts = piece_starts(offsets, data)
+        opens, closes = shapes(data)
+        starts = piece_starts(offsets, data, opens, closes)
         ends = np.append(starts[1:], n)
         prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(hashing.byte_values(7)[data] * hashing.powers(n), out=prefix[1:])
@@ -228,15 +257,16 @@ class Encoder:
         new = np.append(self.keys, np.uint64(0))[place] != distinct if len(self.keys) else np.ones(len(distinct), bool)
         new |= place == len(self.keys)
         if new.any():
-            raw = data.tobytes()
-            self.learn(distinct[new], place[new], [raw[starts[i] : ends[i]].decode() for i in at[new]])
+            raw, a, b = data.tobytes(), starts[at[new]], ends[at[new]]
+            joins = (data[a] == 32) & (b - a > 1) & opens[np.minimum(a + 1, n - 1)] & closes[b - 1]
+            self.learn(distinct[new], place[new], [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], joins)
             place = np.searchsorted(self.keys, distinct)
         known = self.rank[place][back]
         size = self.size[known]
-        total = np.cumsum(size)
+        total = np.cumsum(size, dtype=np.int64)
         ids = self.ids[np.repeat(self.start[known] - (total - size), size) + np.arange(int(total[-1]))]
         owner = np.searchsorted(offsets, starts, "right") - 1
-        if len(self.keys) > PIECES:
+        if len(self.keys) > PIECES or len(self.ids) > 8 * PIECES:
             self.forget()
         return np.bincount(owner, size, texts).astype(np.int64), ids
 
