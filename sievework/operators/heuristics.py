@@ -7,10 +7,10 @@ Source is cut into statements in the row (comments and quoted semicolons masked)
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import entropy, let
+from sievework.functions.text import entropy, let, line_of
 
 # Fixed values that findings must agree on.
 SOURCES = ("$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_SERVER", "$_FILES")
@@ -25,7 +25,11 @@ HEADER_LINES, SILENCE_LINES = 20, 5
 LEAST_IDENTIFIERS, HIGH_ENTROPY, SOME_GENERATED, MOST_GENERATED = 8, 3.6, 0.4, 0.7
 #: Files up to this size are analysed; findings kept of each; rounds of taint.
 MOST_BYTES, MOST_FINDINGS, ROUNDS = 524_288, 10, 8
-PAYLOAD_BYTES, DECODED_CAP = 200, 262_144
+PAYLOAD_BYTES, DECODED_CAP, PAYLOAD_CODE = 200, 262_144, r"<\?php|eval\s*\("
+#: A dangerous call; analyzers in the order of their evidence; characters of a line kept; identifiers that a reason quotes.
+CALL = rf"(?i)(?<![\w>:$])({'|'.join(sorted(SINKS, key=len, reverse=True))})\b"
+ANALYZERS = ("source_sink", "entropy", "decoder", "disguise")
+EXCERPT, LISTED = 160, 5
 
 
 def gate(files: DataFrame) -> DataFrame:
@@ -79,12 +83,19 @@ def identifier_entropy(names: Column) -> Column:
     ))
 
 
-def statements(files: DataFrame, text: str = "text") -> DataFrame:
-    """(path, n, line, code): the statements of each file; comments are dropped and semicolons inside quotes don't end one."""
-    code = F.regexp_replace(F.col(text), r"(?s)/\*.*?\*/", " ")
+def pieces(text: Column) -> Column:
+    """The text cut at the ends of statements, with its line ends but without comments; semicolons inside quotes are masked."""
+    comment = F.lit(r"(?s)/\*.*?\*/")
+    breaks = F.transform(F.regexp_extract_all(text, comment, F.lit(0)), lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\n]+", "")))
+    code = F.array_join(F.zip_with(F.split(text, r"(?s)/\*.*?\*/"), breaks, lambda t, b: F.concat(t, F.coalesce(b, F.lit("")))), "")
     code = F.regexp_replace(code, r"(?m)(^|[\s;{}])(//|#)[^\n]*", "$1")
     masked = F.regexp_replace(F.regexp_replace(code, r"(['\"])([^'\"\n;]*);([^'\"\n]*)\1", "$1$2\u0001$3$1"), r"[{}]", ";")
-    rows = files.select("path", F.posexplode(F.split(masked, ";")).alias("n", "code"))
+    return F.split(masked, ";")
+
+
+def statements(files: DataFrame, text: str = "text") -> DataFrame:
+    """(path, n, code): the statements of each file; comments are dropped and semicolons inside quotes don't end one."""
+    rows = files.select("path", F.posexplode(pieces(F.col(text))).alias("n", "code"))
     return rows.withColumn("code", F.trim(F.replace(F.col("code"), F.lit("\u0001"), F.lit(";")))).filter("code <> ''")
 
 
@@ -109,9 +120,8 @@ def taint(code: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 def source_to_sink(code: DataFrame, tainted: DataFrame) -> DataFrame:
     """(path, n, sink): statements that hand request input, directly or through a variable, to a dangerous call."""
-    call = rf"(?i)(?<![\w>:$])({'|'.join(sorted(SINKS, key=len, reverse=True))})\b"
-    calls = code.withColumn("sink", F.lower(F.regexp_extract("code", call, 1))).filter("sink <> ''")
-    after = F.regexp_replace("code", rf"(?is)^.*?{call[4:]}\s*\(?", "")
+    calls = code.withColumn("sink", F.lower(F.regexp_extract("code", CALL, 1))).filter("sink <> ''")
+    after = F.regexp_replace("code", rf"(?is)^.*?{CALL[4:]}\s*\(?", "")
     argument = F.when(F.col("sink").isin(*FIRST_ARGUMENT_ONLY), F.substring_index(after, ",", 1)).otherwise(after)
     calls = calls.withColumn("argument", argument).filter((F.col("sink") != "preg_replace") | F.col("argument").rlike(r"^\s*['\"](.)[^'\"]*\1[a-zA-Z]*e[a-zA-Z]*['\"]"))
     direct = calls.filter(F.col("argument").rlike(r"\$_(GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|\bgetenv\s*\(|php://input")).select("path", "n", "sink")
@@ -144,4 +154,41 @@ def decoded(text: Column) -> Column:
 
 def payloads(text: Column) -> Column:
     """Decoded constants that are code: long enough and with an opening tag or an eval."""
-    return F.filter(decoded(text), lambda x: (F.length(x["payload"]) >= PAYLOAD_BYTES) & F.lower(x["payload"]).rlike(r"<\?php|eval\s*\("))
+    return F.filter(decoded(text), lambda x: (F.length(x["payload"]) >= PAYLOAD_BYTES) & F.lower(x["payload"]).rlike(PAYLOAD_CODE))
+
+
+def evidence(files: DataFrame, rescan=None) -> DataFrame:
+    """(path, position, sig_id, category, line, excerpt, reason) of gated files (path, text, origin, known_good): all analyzers in
+    their order, at most ``MOST_FINDINGS`` a file. ``rescan`` gives the named matches (path, chunk, sig_id, category) of decoded
+    constants (path, chunk, text)."""
+    from sievework.plans.snapshots import cut
+
+    def shaped(rows: DataFrame, analyzer: str, category: str, line: Column, reason: Column, sig: Column | None = None) -> DataFrame:
+        named = F.lit(f"heur:{analyzer}") if sig is None else sig
+        kind = F.col("category") if sig is not None else F.lit(category)
+        return rows.select("path", F.lit(ANALYZERS.index(analyzer)).alias("analyzer"), line.cast("int").alias("line"), "n", kind.alias("category"), named.alias("sig_id"), reason.alias("reason"))
+
+    files, text = cut(files.select("path", "text", "origin", "known_good")), F.col("text")
+    code = cut(statements(files))
+    hits = source_to_sink(code, taint(code)).join(files.select("path", "text"), "path").withColumn("p", pieces(text))
+    before = F.array_join(F.slice("p", F.lit(1), F.col("n")), ";")
+    line = line_of(before, F.length(before) + 1) + line_of(F.get("p", F.col("n")), F.regexp_instr(F.get("p", F.col("n")), F.lit(CALL))) - 1
+    found = shaped(hits, "source_sink", "backdoor", line, F.concat(F.lit("request input → "), "sink", F.lit(" (line "), line.cast("string"), F.lit(")")))
+    names = files.select("path", "text", identifiers(text).alias("names")).filter(identifier_entropy(F.col("names"))["suspicious"])
+    names = names.select("path", "text", F.lit(0).alias("n"), F.filter("names", generated).alias("made"))
+    listed = F.concat(F.lit("obfuscated identifiers: $"), F.array_join(F.slice("made", 1, LISTED), ", $"), F.when(F.size("made") > LISTED, " …").otherwise(""))
+    found = found.unionByName(shaped(names, "entropy", "obfuscation", line_of(text, F.instr(text, F.get("made", F.lit(0)))), listed))
+    plain = cut(files.select("path", "text", F.posexplode(decoded(text)).alias("n", "d")))
+    at = line_of(text, F.greatest(F.regexp_instr(text, F.concat(F.lit(r"(?i)\b"), F.col("d.decoder"), F.lit(r"\b"))), F.lit(1)))
+    if rescan is not None:
+        again = rescan(plain.select("path", F.col("n").alias("chunk"), F.col("d.payload").alias("text"))).select("path", F.col("chunk").alias("n"), "sig_id", "category").distinct()
+        again = again.join(plain, ["path", "n"])
+        found = found.unionByName(shaped(again, "decoder", "", at, F.concat("sig_id", F.lit(" matched after "), "d.decoder", F.lit(" decoding")), F.col("sig_id")))
+    code_in = plain.filter((F.length("d.payload") >= PAYLOAD_BYTES) & F.lower("d.payload").rlike(PAYLOAD_CODE))
+    found = found.unionByName(shaped(code_in, "decoder", "obfuscation", at, F.concat(F.lit("decoded PHP payload via "), "d.decoder")))
+    signs = files.select("path", F.posexplode(disguise(text, F.col("origin"), F.col("known_good"))).alias("n", "d"))
+    found = found.unionByName(shaped(signs, "disguise", "dropper", F.col("d.line"), F.col("d.reason")))
+    order = Window.partitionBy("path").orderBy("analyzer", "line", "n", "sig_id", "reason")
+    found = found.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= MOST_FINDINGS).join(files.select("path", "text"), "path")
+    shown = F.substring(F.trim(F.coalesce(F.get(F.split("text", "\n"), F.col("line") - 1), F.lit(""))), 1, EXCERPT)
+    return found.select("path", "position", "sig_id", "category", "line", shown.alias("excerpt"), "reason")

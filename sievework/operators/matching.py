@@ -187,13 +187,13 @@ class ByteMatcher:
         return out, errors
 
 
-def byte_matcher(files: DataFrame, pack: Pack, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def byte_matcher(files: DataFrame, pack: Pack, chunk: int = CHUNK, overlap: int = OVERLAP, only: set[int] | None = None) -> DataFrame:
     """(path, layer, chunk, position, sig, pos, line, errors) for files (path, content, targets, hash_infected). The pack
-    travels once to each Python worker; rows are small Arrow batches."""
+    travels once to each Python worker; rows are small Arrow batches. ``only`` names the regular expressions to try."""
     held = files.sparkSession.sparkContext.broadcast(pack)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = ByteMatcher(held.value, chunk, overlap)
+        of = ByteMatcher(held.value, chunk, overlap, only=only)
         for batch in batches:
             rows = []
             for path, content, targets, seen in zip(batch["path"], batch["content"], batch["targets"], batch["hash_infected"], strict=True):

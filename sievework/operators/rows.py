@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.sources.pack import java_pattern
+from sievework.functions.text import excerpt, latin1
+from sievework.operators.matching import tier_rank
+from sievework.sources.pack import byte_pattern, java_pattern
 
 #: Characters of a cell that are matched.
 CELL = 1 << 20
@@ -52,6 +55,50 @@ def match_rows(rows: DataFrame, rules: Iterable[tuple], columns: Iterable[str])
     return admitted.withColumn("matches", hits).filter(F.size("matches") > 0)
 
 
+def cell_matches(rows: DataFrame, rules: Iterable[tuple], table: str, key: str, columns: Iterable[str], label: Column) -> DataFrame:
+    """(locator, label, position, sig, pos, excerpt): every rule that matches a cell, over bytes, each column by itself.
+    Patterns that Java would read otherwise run in Arrow batches over the admitted cells."""
+    rules, columns = list(rules), list(columns)
+    admitted = rows.filter(like_prefilter(rules, columns))
+    cells = None
+    for c in columns:
+        cell = F.substring(latin1(F.encode(F.col(c), "UTF-8")), 1, CELL)
+        one = admitted.select(row_locator(table, c, F.col(key)).alias("locator"), label.alias("label"), cell.alias("cell")).filter("cell <> ''")
+        cells = one if cells is None else cells.unionByName(one)
+    native = [(i, r[1], p) for i, r in enumerate(rules) if (p := java_pattern(r[2]))]
+    other = [(i, r[1], r[2]) for i, r in enumerate(rules) if not java_pattern(r[2])]
+    hits = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(sig).alias("sig"), F.regexp_instr("cell", F.lit(p)).alias("pos")) for i, sig, p in native])
+    schema = "locator string, label string, cell string, position int, sig int, pos int"
+    found = cells.sparkSession.createDataFrame([], schema)
+    if native:
+        found = cells.withColumn("h", F.explode(hits)).filter("h.pos > 0").select("locator", "label", "cell", "h.*")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        patterns = [(i, sig, byte_pattern(p)) for i, sig, p in other]
+        for batch in batches:
+            out = [
+                (*row, i, sig, m.start() + 1)
+                for row in zip(batch["locator"], batch["label"], batch["cell"], strict=True) for i, sig, p in patterns if (m := p.search(row[2].encode("latin-1")))
+            ]
+            yield pd.DataFrame(out, columns=["locator", "label", "cell", "position", "sig", "pos"])
+
+    if other:
+        found = found.unionByName(cells.mapInPandas(run, schema))
+    return found.select("locator", "label", "position", "sig", "pos", excerpt(F.col("cell"), F.col("pos")).alias("excerpt"))
+
+
+def cell_findings(matches: DataFrame, signatures: DataFrame) -> DataFrame:
+    """One finding a cell: ids in order of rules, the highest tier, category and excerpt of the first match, the label and
+    that match's name as the reason."""
+    rows = matches.join(F.broadcast(signatures), "sig").groupBy("locator", "label").agg(F.array_sort(F.collect_list(F.struct("position", "sig_id", "name", "category", "tier", "excerpt"))).alias("m"))
+    tier = F.array_max(F.transform("m", lambda x: F.struct(tier_rank(x["tier"]).alias("rank"), x["tier"].alias("tier"))))["tier"]
+    first = F.col("m")[0]
+    return rows.select(
+        "locator", F.array_distinct(F.transform("m", lambda x: x["sig_id"])).alias("signature_ids"), tier.alias("tier"), first["category"].alias("category"), first["excerpt"].alias("excerpt"),
+        F.concat("label", F.lit(": "), first["name"]).alias("reason"),
+    )
+
+
 def options_rows(options: DataFrame, names: Iterable[str], skipped_prefixes: Iterable[str], autoload: Iterable[str] = AUTOLOADED) -> DataFrame:
     """Options worth matching: loaded on every page, of a listed name or a widget, and not under a skipped prefix."""
     wanted = F.col("autoload").isin(*autoload) | F.col("option_name").isin(*names) | F.col("option_name").contains("widget")

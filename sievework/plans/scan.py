@@ -4,17 +4,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import classify
-from sievework.functions.text import extension
-from sievework.operators import findings, integrity, inventory, matching
+from sievework.functions.text import extension, latin1
+from sievework.operators import findings, heuristics, integrity, inventory, matching, vulnerability
+from sievework.operators import rows as table_rows
 from sievework.plans import snapshots
 from sievework.sources import files as source
 from sievework.sources.pack import Pack, java_pattern
 
 SCOPES = ("full", "changed", "path")
+#: The chunk number of what follows a file's matches.
+AFTER_CHUNKS = (1 << 31) - 1
+
+
+@dataclass
+class RowTable:
+    """Table rows to match: the pack's rules for ``target``, over ``columns`` of ``rows`` by their ``key``."""
+
+    target: str
+    name: str
+    rows: DataFrame
+    key: str
+    columns: tuple[str, ...]
+    label: Column
 
 
 @dataclass
@@ -62,9 +77,42 @@ def match(rows: DataFrame, pack: Pack) -> DataFrame:
     return native.unionByName(exact, allowMissingColumns=True)
 
 
-def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=()) -> Result:
+def rescan(decoded: DataFrame, pack: Pack) -> DataFrame:
+    """Named matches (path, chunk, sig_id, category) of decoded constants (path, chunk, text), each as a first chunk of php."""
+    t = pack.frames(decoded.sparkSession)
+    chunk = decoded.withColumns({"targets": F.array(F.lit("file_php"), F.lit("file_any")), "first": F.lit(True), "line_base": F.lit(0)})
+    have = matching.candidates(chunk, t["literal"])
+    found = matching.literal_matches(chunk, t["literal"], have).unionByName(matching.regex_matches(chunk, pack.regexes, have)).select("path", "chunk", "sig")
+    if other := {r[0] for r in pack.regexes if not java_pattern(r[2])}:
+        keyed = chunk.select(F.to_json(F.struct("path", "chunk")).alias("path"), F.encode("text", "ISO-8859-1").alias("content"), "targets", F.lit(0).alias("hash_infected"))
+        exact = matching.byte_matcher(keyed, pack, only=other).select(F.from_json("path", "path string, chunk int").alias("k"), "sig")
+        found = found.unionByName(exact.select("k.path", "k.chunk", "sig"))
+    return matching.named(found.distinct(), t["signature"]).select("path", "chunk", "sig_id", "category")
+
+
+def incoming_rows(table: RowTable, pack: Pack, signatures: DataFrame) -> DataFrame:
+    """Findings of a table's cells."""
+    rules = [r for r in pack.row_rules if r[0] == table.target]
+    found = table_rows.cell_findings(table_rows.cell_matches(table.rows, rules, table.name, table.key, table.columns, table.label), signatures)
+    return found.select(
+        findings.fingerprint(F.lit("db"), F.col("locator")).alias("locator_hash"), F.lit("db").alias("type"), "locator", "signature_ids", "tier",
+        findings.severity(F.col("tier"), F.lit(0)).alias("severity"), "category", F.lit(0).alias("line"), "excerpt", "reason",
+    )
+
+
+def incoming_software(software: DataFrame, records: DataFrame) -> DataFrame:
+    """Findings of installed software that vulnerability records name."""
+    found = vulnerability.findings(vulnerability.matches(software.select("kind", "slug", "version").distinct(), records))
+    return found.select(
+        findings.fingerprint(F.lit("vulnerability"), F.col("locator")).alias("locator_hash"), F.lit("vulnerability").alias("type"), "locator", "signature_ids", "tier", "severity",
+        F.lit("vulnerability").alias("category"), F.lit(0).alias("line"), F.lit("").alias("excerpt"), "reason",
+    )
+
+
+def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = ()) -> Result:
     """Scan the tree below ``root`` into the snapshots below ``state``. The pack is pinned by its version: both tables of a
-    run carry it, and are committed together."""
+    run carry it, and are committed together. ``software`` (kind, slug, version) with its vulnerability ``records``, and
+    ``tables`` of rows, are matched where they are given; without them earlier findings of that type stay."""
     if scope not in SCOPES:
         raise ValueError(f"no scope {scope!r}")
     old = snapshots.load(spark, state, "files")
@@ -80,12 +128,20 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
         walked = walked.withColumns({"_bundle": F.lit(0), "_md5": F.lit("")})
     due = ~F.col("known_good") if scope == "full" else ~F.col("known_good") & ~((F.coalesce("_bundle", F.lit(0)) == pack.version) & (F.coalesce("_md5", F.lit("")) == F.col("md5")))
     due_rows = walked.filter(due)
-    found = findings.assemble(match(due_rows.select("path", "content", "md5", "sha256", "size", "kind"), pack))
+    order = ("path", "chunk", "layer", "position", "sig_id", "category", "tier", "line", "excerpt")
+    matched = snapshots.cut(match(due_rows.select("path", "content", "md5", "sha256", "size", "kind"), pack).select(*order))
+    infected = matched.filter("tier = 'infected'").select("path", F.lit(True).alias("infected")).distinct()
+    gated = heuristics.gate(due_rows.join(infected, "path", "left").withColumn("infected", F.coalesce("infected", F.lit(False))))
+    signs = snapshots.cut(heuristics.evidence(gated.select("path", latin1(F.col("content")).alias("text"), "origin", "known_good"), lambda d: rescan(d, pack)))
+    as_matches = signs.withColumns({"chunk": F.lit(AFTER_CHUNKS), "layer": F.lit(3), "tier": F.lit("suspicious")}).select(*order)
+    found = findings.assemble(matched.unionByName(as_matches))
+    said = signs.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "reason"))), lambda x: x["reason"]).alias("said"))
+    found = found.join(said, "path", "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
     now = F.unix_timestamp(F.current_timestamp())
     fresh = found.join(walked.select("path", F.col("signal.score").alias("score"), F.col("signal.reasons").alias("reasons")), "path")
     fresh = fresh.select(
         findings.fingerprint(F.lit("file"), F.col("path")).alias("locator_hash"), F.lit("file").alias("type"), F.col("path").alias("locator"), "signature_ids", "tier",
-        findings.severity(F.col("tier"), F.col("score")).alias("severity"), "category", "line", "excerpt", findings.reason(F.array().cast("array<string>"), F.col("reasons")).alias("reason"),
+        findings.severity(F.col("tier"), F.col("score")).alias("severity"), "category", "line", "excerpt", findings.reason(F.col("said"), F.col("reasons")).alias("reason"),
     )
     changed = walked.filter("integrity = 'mismatch'").select(
         findings.fingerprint(F.lit("integrity"), F.col("path")).alias("locator_hash"), F.lit("integrity").alias("type"), F.col("path").alias("locator"), F.array(F.lit("integrity")).alias("signature_ids"),
@@ -102,6 +158,14 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
         alive = walked.select("path").distinct()
         gone = kept.filter(F.col("type").isin("file", "integrity")).join(alive.select(F.col("path").alias("locator")), "locator", "left_anti")
         kept = findings.without(kept, gone)
+    if software is not None and records is not None:
+        weak = snapshots.cut(incoming_software(software, records))
+        incoming, checked = incoming.unionByName(weak), software.select(F.concat_ws(":", "kind", "slug").alias("locator")).distinct()
+        open_ = vulnerability.settle(kept.filter("type = 'vulnerability'"), checked, weak, True)
+        kept = kept.filter("type <> 'vulnerability'").unionByName(open_)
+    signatures = pack.frames(spark)["signature"]
+    for table in tables:
+        incoming = incoming.unionByName(incoming_rows(table, pack, signatures))
     merged = findings.merge(kept, incoming, now).drop("change")
     files = walked.select("path_hash", "path", "size", "mtime", "md5", "sha256", "kind", "origin", "known_good", F.col("signal.score").alias("path_signal"), F.lit(pack.version).alias("scanned_bundle"), F.lit(run).alias("seen_run"))
     if scope == "path" and old is not None:

@@ -237,3 +237,27 @@ def test_records(spark, tmp_path):
     log = spark.createDataFrame([(1, "done")], "id int, status string")
     assert runs.appended(log, {"id": 2, "status": "failed"}, 1).collect()[0].id == 2
     assert one(spark.createDataFrame([(["http://a", "https://b"],)], "u array<string>").select(present.record_link(F.col("u")).alias("x"))).x == "https://b"
+
+
+def test_scan_reports_analysis_software_and_rows(spark, tmp_path):
+    root, state = tmp_path / "site", f"file://{tmp_path}/state"
+    (root / "wp-content/uploads").mkdir(parents=True)
+    (root / "taint.php").write_bytes(b"<?php\n/* two\nlines */ $a = $_GET['q'];\nsystem($a);\n")
+    (root / "wp-content/uploads/hid.php").write_bytes(b"<?php\n/* Plugin Name: x */\n")
+    (root / "packed.php").write_bytes(b"<?php\n\necho base64_decode('" + base64.b64encode(b"evil_call(1)") + b"');")
+    (root / "fine.php").write_bytes(b"<?php echo 1;")
+    mine = pack.Pack(version=3, signatures=PACK.signatures, literals=PACK.literals, regexes=[*PACK.regexes, (2, 2, "/(ba|d)*blob/", False, [], ["file_any"])], row_rules=[("db_post", 1, "/bad[0-9]/", "%bad%"), ("db_post", 2, "/(x|y)*worse/", "%worse%")])
+    (root / "packed2.php").write_bytes(b"<?php echo base64_decode('" + base64.b64encode(b"badblob") + b"');")
+    software = spark.createDataFrame([("plugin", "p", "1.0"), ("plugin", "q", "9")], "kind string, slug string, version string")
+    hit = lambda v: {"type": "plugin", "slug": v, "name": v, "patched": True, "patched_versions": ["2"], "affected_versions": {"a": {"from_version": "*", "to_version": "1.5", "from_inclusive": True, "to_inclusive": True}}}
+    records = spark.createDataFrame([("v1", "Hole", False, [hit("p"), hit("q")], [])], vulnerability.RECORD)
+    posts = spark.createDataFrame([(1, "bad1", "xworse"), (2, "fine", ""), (3, "bad", None)], "ID int, post_content string, post_excerpt string")
+    table = scan.RowTable("db_post", "posts", posts, "ID", ("post_content", "post_excerpt"), F.concat(F.lit("post #"), F.col("ID").cast("string")))
+    run = lambda s: {r.locator: r for r in scan.scan(spark, f"file://{root}", mine, state, software=s, records=records, tables=[table]).findings.collect()}
+    got = run(software)
+    assert set(got) == {"taint.php", "wp-content/uploads/hid.php", "packed.php", "packed2.php", "plugin:p", "posts:post_content:1", "posts:post_excerpt:1"}
+    t = got["taint.php"]
+    assert (t.signature_ids, t.tier, t.category, t.line, t.excerpt) == (["heur:source_sink"], "suspicious", "backdoor", 4, "system($a);") and "system" in t.reason
+    assert got["wp-content/uploads/hid.php"].signature_ids == ["heur:disguise"] and got["packed.php"].signature_ids == ["l"] and got["packed2.php"].signature_ids == ["r"] and got["packed.php"].line == 3
+    assert (got["plugin:p"].severity, got["plugin:p"].signature_ids) == ("alert", ["v1"]) and got["posts:post_content:1"].tier == "infected" and got["posts:post_excerpt:1"].signature_ids == ["r"]
+    assert "plugin:p" not in run(spark.createDataFrame([("plugin", "p", "2.0")], software.schema))
