@@ -7,6 +7,8 @@ Source is cut into statements in the row (comments and quoted semicolons masked)
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,8 @@ FIRST_ARGUMENT_ONLY = ("call_user_func", "call_user_func_array")
 PACKAGE_ORIGINS = ("uploads", "mu", "other")
 HEADER_LINES, SILENCE_LINES = 20, 5
 LEAST_IDENTIFIERS, HIGH_ENTROPY, SOME_GENERATED, MOST_GENERATED = 8, 3.6, 0.4, 0.7
-#: Files up to this size are analysed; findings kept of each; rounds of taint.
-MOST_BYTES, MOST_FINDINGS, ROUNDS = 524_288, 10, 8
+#: Files up to this size are analysed; findings kept of each; rounds of taint after which the known variables are one table again.
+MOST_BYTES, MOST_FINDINGS, CUT_EVERY = 524_288, 10, 8
 PAYLOAD_BYTES, DECODED_CAP, PAYLOAD_CODE = 200, 262_144, r"<\?php|eval\s*\("
 #: A dangerous call; analyzers in the order of their evidence; characters of a line kept; identifiers that a reason quotes.
 CALL = rf"(?i)(?<![\w>:$])({'|'.join(sorted(SINKS, key=len, reverse=True))})\b"
@@ -99,8 +101,9 @@ def statements(files: DataFrame, text: str = "text") -> DataFrame:
     return rows.withColumn("code", F.trim(F.replace(F.col("code"), F.lit("\u0001"), F.lit(";")))).filter("code <> ''")
 
 
-def taint(code: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(path, variable): variables that request input reaches by assignments, over statements (path, n, code)."""
+def taint(code: DataFrame) -> DataFrame:
+    """(path, variable): variables that request input reaches by assignments, over statements (path, n, code). There are as
+    many rounds as the longest chain has steps."""
     from sievework.plans.snapshots import cut
 
     assign = code.withColumn("m", F.regexp_extract("code", r"(\$[A-Za-z_][A-Za-z0-9_]*)\s*(?:\[[^\]]*\]\s*)?\.?=(?![=>])", 1)).filter("m <> ''")
@@ -108,14 +111,13 @@ def taint(code: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     direct = F.col("right").rlike(r"\$_(GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|\bgetenv\s*\(|php://input")
     seeds = assign.filter(direct).select("path", F.col("m").alias("variable")).distinct()
     uses = assign.select("path", F.col("m").alias("to"), F.explode(F.array_distinct(F.regexp_extract_all("right", F.lit(r"(\$[A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("variable")).distinct()
-    known, frontier = cut(seeds), seeds
-    for _ in range(rounds):
+    known = frontier = cut(seeds)
+    for n in count(1):  # every round adds variables, so it ends
         reached = uses.join(frontier, ["path", "variable"]).select("path", F.col("to").alias("variable")).distinct()
         frontier = cut(reached.join(known, ["path", "variable"], "left_anti"))
         if not frontier.limit(1).count():
-            break
-        known = cut(known.unionByName(frontier))
-    return known
+            return known
+        known = known.unionByName(frontier) if n % CUT_EVERY else cut(known.unionByName(frontier))
 
 
 def source_to_sink(code: DataFrame, tainted: DataFrame) -> DataFrame:

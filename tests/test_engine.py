@@ -261,3 +261,10 @@ def test_scan_reports_analysis_software_and_rows(spark, tmp_path):
     assert got["wp-content/uploads/hid.php"].signature_ids == ["heur:disguise"] and got["packed.php"].signature_ids == ["l"] and got["packed2.php"].signature_ids == ["r"] and got["packed.php"].line == 3
     assert (got["plugin:p"].severity, got["plugin:p"].signature_ids) == ("alert", ["v1"]) and got["posts:post_content:1"].tier == "infected" and got["posts:post_excerpt:1"].signature_ids == ["r"]
     assert "plugin:p" not in run(spark.createDataFrame([("plugin", "p", "2.0")], software.schema))
+
+
+def test_taint_follows_long_chains(spark):
+    code = "<?php $v0 = $_POST['x'];" + "".join(f"$v{i + 1} = $v{i};" for i in range(20)) + "eval($v20);"
+    st = heuristics.statements(spark.createDataFrame([("p", code)], "path string, text string"))
+    t = heuristics.taint(st)
+    assert t.count() == 21 and [r.sink for r in heuristics.source_to_sink(st, t).collect()] == ["eval"]
