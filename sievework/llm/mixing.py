@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import free_name, materialise, table, words_of
@@ -22,9 +22,12 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Words in a block; rows in one running sum; slots ranked by one task; sources whose table may be broadcast.
 BLOCK, RUN_ROWS, RUN_SLOTS, SOURCES = 1024, 2_000, 20_000, 100_000
-#: Cells of [0, 1) by which a point finds its source: an equality join, however many sources there are.
-CELLS = 4096
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: Points of [0, 1) as whole numbers, bits of a half of one, the golden ratio among them (odd, so that points don't repeat).
+HALF = 30
+POINTS = 1 << 2 * HALF
+GOLDEN = (math.isqrt(5 * POINTS * POINTS) - POINTS) // 2 | 1
+#: Leading bits (cells) by which a point finds its source: an equality join, however many sources there are.
+CELL_BITS = 12
 
 
 def targets(sizes: list[float], weights: list[float], share: float = SHARE, most: float = MOST) -> list[float]:
@@ -67,29 +70,37 @@ def plan(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     )
 
 
+def golden_point(n: Column) -> Column:
+    """``n`` times the golden ratio modulo one, in units of 2^-60: exact, in products of halves that fit 64 bits."""
+    half = 1 << HALF
+    a, b, high, low = F.shiftright(n, HALF), n.bitwiseAND(F.lit(half - 1)), GOLDEN >> HALF, GOLDEN & (half - 1)
+    upper = ((a * F.lit(low)) % half + (b * F.lit(high)) % half) % half
+    return (upper * half + b * F.lit(low)) % POINTS
+
+
 def schedule(sources: DataFrame) -> DataFrame:
-    """(sid, k, point): the k-th slot of each source in the global order of golden-ratio points."""
+    """(sid, k, turn): the k-th slot of each source in the global order of golden-ratio points. As many points are drawn as
+    slots are wanted; those that a source lacks then follow the last point, the sources taking turns, so that each
+    slot of each source is there once."""
     spark = sources.sparkSession
     known = sources.select("sid", "slots", "low", "high").collect()
-    wanted, spare = sum(r["slots"] for r in known), 0.0
-    for r in known:  # a source of share p has p n points among n, but for the sequence's discrepancy and its rounding
-        p = r["high"] - r["low"]
-        if p > 0:
-            spare = max(spare, r["slots"] / p)
-    n = int(max(wanted, spare) + 16 * len(known) + 64) if wanted else 0
-    n += int(4 * math.log(n + 1) / max(min((r["high"] - r["low"] for r in known if r["high"] > r["low"]), default=1.0), 1e-6)) if n else 0
-    point = F.pmod((F.col("id") + 1) * F.lit(GOLDEN), F.lit(1.0))
-    cell = lambda c: F.floor(F.col(c) * CELLS)
-    spans = sources.filter("high > low").select("sid", "low", "high", "slots", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
-    marked = spark.range(n).select("id", point.alias("point")).withColumn("cell", cell("point")).join(F.broadcast(spans), "cell")
+    n = sum(r["slots"] for r in known)
+    edge = lambda x: min(int(x * POINTS), POINTS)
+    spans = spark.createDataFrame([(r["sid"], r["slots"], edge(r["low"]), edge(r["high"])) for r in known if r["slots"]], "sid int, slots long, low long, high long")
+    cell = lambda c: F.shiftright(c, 2 * HALF - CELL_BITS)
+    cells = spans.filter("high > low").withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high") - 1))))
+    marked = spark.range(n).select("id", golden_point(F.col("id") + 1).alias("point")).withColumn("cell", cell(F.col("point"))).join(F.broadcast(cells), "cell")
     marked = marked.filter((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))).drop("cell")
     marked = marked.withColumn("run", F.floor(F.col("id") / RUN_SLOTS))
-    counts = marked.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n"))
+    counts, _ = materialise(marked.groupBy("sid", "run").agg(F.count(F.lit(1)).alias("n")), "slot-runs")
     before = Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    first, _ = materialise(counts.select("sid", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")), "slot-runs")
+    first = counts.select("sid", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = marked.withColumn("rank", F.row_number().over(Window.partitionBy("sid", "run").orderBy("id")))
-    out = ranked.join(first, ["sid", "run"]).withColumn("k", F.col("first") + F.col("rank") - 1)
-    return out.filter(F.col("k") < F.col("slots")).select("sid", "k", F.col("id").alias("turn"))
+    out = ranked.join(first, ["sid", "run"]).withColumn("k", F.col("first") + F.col("rank") - 1).filter(F.col("k") < F.col("slots"))
+    got = spans.join(counts.groupBy("sid").agg(F.sum("n").alias("got")), "sid", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    late = got.filter("got < slots").withColumn("k", F.explode(F.sequence(F.col("got"), F.col("slots") - 1)))
+    late = late.select("sid", "k", (n + (F.col("k") - F.col("got")) * len(known) + F.col("sid")).alias("turn"))
+    return out.select("sid", "k", F.col("id").alias("turn")).unionByName(late)
 
 
 def streams(sized: DataFrame, sources: DataFrame, seed: str = "mix") -> DataFrame:

@@ -375,3 +375,21 @@ def test_encoder_pieces_change_nothing():
     for _, offsets, data in hashing.text_chunks(pa.array(texts, pa.string())):
         sizes, ids = e.encode(offsets, data)
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.of.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_schedule_gives_every_slot(spark):
+    sources = spark.createDataFrame([(0, 3000, 0.0, 1.0), (1, 2, 1.0, 1.0), (2, 0, 1.0, 1.0)], "sid int, slots long, low double, high double")
+    got = mixing.schedule(sources).collect()  # the second source's share is below the spacing of doubles
+    assert sorted((r.sid, r.k) for r in got) == [(0, k) for k in range(3000)] + [(1, 0), (1, 1)]
+    assert len({r.turn for r in got}) == 3002
+    ids = [1, 2, 3, 10**6 + 7, 2**40 + 12345, 2**55 + 1]
+    points = spark.createDataFrame([(i,) for i in ids], "i long").select(mixing.golden_point(F.col("i")).alias("p")).collect()
+    assert [r.p for r in points] == [i * mixing.GOLDEN % mixing.POINTS for i in ids]
+
+
+def test_mix_takes_the_target_of_a_tiny_source(spark):
+    rows = [(i, f"s{i % 2}", "w " * 2000) for i in range(40)] + [(99, "tiny", "one two three")]
+    keyed = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("rid", F.monotonically_increasing_id())
+    _, sources, pieces = mixing.mix(keyed, block=16)
+    want = {r.sid: r.take for r in sources.collect()}
+    assert {r.sid: r.n for r in pieces.groupBy("sid").agg(F.sum("words").alias("n")).collect()} == want and min(want.values()) == 6
