@@ -626,7 +626,7 @@ def identifier_entropy(spark, sf_dir):
 @register("""SELECT doc_id, CASE WHEN length(text) > 60 THEN rtrim(substring(text, 1, 59)) || '…' ELSE text END AS short, substring(trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]+', ' ', 'g')), 1, 120) AS line,
  CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', round(n_chars / 1024.0, 1)) END AS size FROM documents WHERE n_chars < 100000""")
 def formatted_cells(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("n_chars < 100000")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.truncated(F.col("text"), 60).alias("short"), text.clean_line(F.col("text")).alias("line"), text.human_bytes(F.col("n_chars")).alias("size"))
 
 

@@ -55,3 +55,10 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_formatted_cells_keeps_long_documents(spark, tmp_path):
+    rows = [(1, "a", 1), (2, "b" * 200_000, 200_000), (3, "c" * 3_000_000, 3_000_000)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.size, len(r.short)) for r in catalog.QUERIES["formatted_cells"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("1 B", 1), 2: ("195.3 KB", 60), 3: ("2.9 MB", 60)}
