@@ -2,50 +2,83 @@
 words are joined by hash against the benchmark's, and slots must map consistently, so a question with other
 numbers or names is still found. Built-in expressions and joins only.
 
-Words: white-space tokens without punctuation; ``¶`` marks the end of a sentence. ``<n>`` is a token of digits, ``<u>`` a unit
-after a number, ``<p>`` a capitalised word inside a sentence; other words count in lower case. A window has ``WINDOW``
-words (an item with fewer is one window) and at least half of them must not be placeholders. All windows of one
-document and item on one diagonal must agree on a one-to-one mapping of slot values within each type.
+Words: white-space tokens without punctuation; a number with a unit glued to it is two words. ``<n>`` is a token of digits or
+a number word, ``<u>`` a unit after a number, ``<p>`` a capitalised word that isn't a common one, wherever it stands; other
+words count in lower case. A window has ``WINDOW`` words; an item with fewer is one window, with fewer than ``LEAST`` none.
+
+A window whose words are the item's in lower case is a copy and counts. Windows that have the item's canonical words only must, on
+one diagonal of document and item, agree on a one-to-one mapping of slot values within each type, and at least half of a window's words
+must not be placeholders. So windows are hashed twice, by their canonical words and by their own.
+
+Documents are read once for all window sizes. The hashes of the benchmark's windows are broadcast, in blocks of a stated size, one
+pass over the documents each; a hit carries its own words, so no text is shuffled.
 
 Cases: a null or blank text or item has no windows; repeated rows of either table change nothing; an empty table
-gives no rows; other columns are ignored.
+gives no rows; texts of any length are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.llm.common import SPACE, free_name, let, materialise, table
 
-WINDOW = 8
-#: Benchmark windows up to this many are broadcast (about 100 bytes each); more are joined by shuffling both sides.
-BROADCAST_ROWS = 500_000
+WINDOW, LEAST = 8, 3
+#: Window hashes broadcast in one pass (about 50 bytes each); rows of a hit list that are broadcast (about 16 bytes each).
+BROADCAST_ROWS, BROADCAST_KEYS = 500_000, 1_000_000
 UNITS = (
     "km", "m", "cm", "mm", "mi", "miles", "mile", "feet", "ft", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "tons", "l", "ml", "litres", "liters", "hours",
     "hour", "minutes", "minute", "seconds", "second", "days", "day", "weeks", "months", "years", "year", "dollars", "euros", "cents", "percent", "degrees", "mph",
 )
+NUMBERS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen",
+    "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "billion",
+)
+#: Words that begin sentences and are no names.
+COMMON = (
+    "a", "about", "after", "all", "also", "an", "and", "any", "are", "as", "at", "because", "before", "both", "but", "by", "can", "choose", "compute", "consider", "could", "did", "do", "does",
+    "each", "every", "find", "for", "from", "given", "had", "has", "have", "he", "her", "here", "his", "how", "i", "if", "in", "into", "is", "it", "its", "let", "many", "may", "more", "most", "my",
+    "no", "not", "now", "of", "on", "one", "or", "our", "over", "please", "she", "should", "show", "since", "so", "some", "than", "that", "the", "their", "then", "there", "these", "they", "this",
+    "those", "to", "under", "until", "was", "we", "were", "what", "when", "where", "which", "while", "who", "whose", "why", "will", "with", "would", "you", "your",
+)
 SLOTS = ("<n>", "<p>", "<u>")
+#: The edges of a word among words one space apart.
+START, STOP = r"(?<![^ ])", r"(?![^ ])"
+
+
+def number_forms() -> list[str]:
+    return [f for w in NUMBERS for f in (w, w.capitalize(), w.upper())]
+
+
+def either(words) -> str:
+    """An alternation of ``words`` by their first letters, so that most words of a text are passed over after one look."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[0], []).append(w[1:])
+    return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
 
 
 def marked(text: Column) -> Column:
-    """The text as its words, one space apart, sentence ends marked."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[.!?:;]+(?={SPACE}|\z)", "¶")
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}\x20\x09-\x0D¶]+", "")
-    return F.btrim(F.regexp_replace(s, SPACE + "+", " "))
+    """The text as its words, one space apart."""
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")
+    s = F.btrim(F.regexp_replace(s, SPACE + "+", " "))
+    return F.regexp_replace(s, rf"{START}([0-9]+)({either(UNITS)}){STOP}", "$1 $2")
 
 
 def canonical(words: Column) -> Column:
-    """``marked`` text with placeholders, in lower case and without marks; word for word like its input."""
-    end = r"(?=¶?(?: |\z))"
-    s = F.regexp_replace(words, rf"(?<=[^¶ ] )\p{{Lu}}\p{{L}}*{end}", "<P>")
-    s = F.regexp_replace(s, rf"(?<![^ ])[0-9]+{end}", "<N>")
-    s = F.regexp_replace(s, rf"(?<=<N> )(?:{'|'.join(sorted(UNITS, key=len, reverse=True))}){end}", "<U>")
-    return F.lower(F.replace(s, F.lit("¶"), F.lit("")))
+    """``marked`` text with placeholders, in lower case; word for word like its input."""
+    s = F.regexp_replace(words, rf"{START}(?:[0-9]+|{either(number_forms())}){STOP}", "<N>")
+    s = F.regexp_replace(s, rf"(?<=<N> )(?:{either(UNITS)}){STOP}", "<U>")
+    s = F.regexp_replace(s, rf"{START}(?!(?:{either(w.capitalize() for w in COMMON)}){STOP})\p{{Lu}}\p{{L}}*{STOP}", "<P>")
+    return F.lower(s)
 
 
 def split_words(marked_text: Column) -> Column:
-    return F.when(F.length(marked_text) > 0, F.split(marked_text, " ")).otherwise(F.array().cast("array<string>"))
+    """The words; a text without any has one empty word, which no window reaches."""
+    return F.split(marked_text, " ")
 
 
 def window_hashes(canon: Column, size: int) -> Column:
@@ -67,65 +100,74 @@ def window_hashes(canon: Column, size: int) -> Column:
     return F.when(F.size(canon) >= size, hashed).otherwise(F.array().cast("array<bigint>"))
 
 
-def plain(word: Column) -> Column:
-    return F.lower(F.replace(word, F.lit("¶"), F.lit("")))
-
-
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, size, ipos, hash, words, canon) of the items' windows."""
+    """(item_id, size, ipos, words, canon, loose, hash) of the items' windows, words in lower case; ``loose`` windows may be met
+    with other slots. A window has a row for the hash of its canonical words and one for that of its words, if they differ."""
     items = benchmark.select("item_id", marked(F.col("text")).alias("m")).filter("length(m) > 0").distinct()
-    items = items.select("item_id", split_words(F.col("m")).alias("raw"), split_words(canonical(F.col("m"))).alias("all"))
-    items = items.withColumn("size", F.least(F.size("raw"), F.lit(window)))
+    items = items.select("item_id", split_words(F.lower("m")).alias("raw"), split_words(canonical(F.col("m"))).alias("all"))
+    items = items.filter(F.size("raw") >= LEAST).withColumn("size", F.least(F.size("raw"), F.lit(window)))
     out = items.select("item_id", "size", "raw", "all", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("size"))).alias("ipos"))
     out = out.select("item_id", "size", "ipos", F.slice("raw", F.col("ipos") + 1, F.col("size")).alias("words"), F.slice("all", F.col("ipos") + 1, F.col("size")).alias("canon"))
-    return out.filter(2 * F.size(F.filter("canon", lambda w: w.isin(*SLOTS))) <= F.col("size"))
+    out = out.withColumn("loose", 2 * F.size(F.filter("canon", lambda w: w.isin(*SLOTS))) <= F.col("size"))
+    of = lambda c: reduce(lambda rest, n: F.when(F.col("size") == n, window_hashes(F.col(c), n)[0]).otherwise(rest), range(LEAST, window + 1), F.lit(None).cast("long"))
+    return out.withColumn("hash", F.explode(F.array_distinct(F.array(of("canon"), of("words")))))
+
+
+def hits(docs: DataFrame, hashes: DataFrame, sizes: list[int]) -> DataFrame:
+    """(doc_id, key, pos, size, hash, got, form): the windows of ``docs`` whose hash is among ``hashes`` (hash, size), with their words
+    and canonical words; ``key`` is the hash of the document's id and text. The windows of all sizes are one list, size after size and
+    first the canonical ones, and the words of a window are cut out where its hash is found, in the same stage."""
+    words = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), marked(F.col("text")).alias("m"))
+    split = words.select("doc_id", "key", split_words(F.lower("m")).alias("w"), split_words(canonical(F.col("m"))).alias("c"))
+    hashed = split.select("doc_id", "key", "w", "c", F.concat(*[window_hashes(F.col(x), size) for x in "cw" for size in sizes]).alias("h"))
+    # the outer form, as the plain one makes the optimiser filter on the list's length, for which it would hash every text twice
+    found = hashed.select("doc_id", "key", "w", "c", F.posexplode_outer("h").alias("at", "hash")).join(F.broadcast(hashes), "hash")
+    count = lambda size: F.greatest(F.size("c") - size + 1, F.lit(0))
+    before = {size: sum((count(x) for x in sizes[:i]), F.lit(0)) for i, size in enumerate(sizes)}
+    first = reduce(lambda rest, size: F.when(F.col("size") == size, before[size]).otherwise(rest), sizes, F.lit(None).cast("int"))
+    total = sum((count(x) for x in sizes), F.lit(0))
+    found = found.withColumn("pos", F.col("at") - F.when(F.col("at") >= total, total).otherwise(0) - first)
+    found = found.filter((F.col("pos") >= 0) & (F.col("pos") + F.col("size") <= F.size("c")))
+    return found.select("doc_id", "key", "pos", "size", "hash", F.slice("w", F.col("pos") + 1, F.col("size")).alias("got"), F.slice("c", F.col("pos") + 1, F.col("size")).alias("form"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, item_id, windows, item_windows): how many windows of the item the document holds; ``key`` is the
     hash of the document's id and text."""
     bench, _ = materialise(benchmark_windows(benchmark, window), "benchmark")
-    sizes = sorted(r["size"] for r in bench.select("size").distinct().collect())  # at most ``window`` values
-    total = bench.count()
-    small = (lambda df: F.broadcast(df)) if total <= BROADCAST_ROWS else (lambda df: df)
-    key = F.xxhash64("doc_id", "text")
-    words = docs.select("doc_id", key.alias("key"), marked(F.col("text")).alias("m"))
-    canon = words.select("doc_id", "key", split_words(canonical(F.col("m"))).alias("c"))
-    hits = None
-    for size in sizes or [window]:
-        places = canon.select("doc_id", "key", F.posexplode(window_hashes(F.col("c"), size)).alias("pos", "hash"))
-        of = bench.filter(F.col("size") == size).select("item_id", "ipos", window_hashes(F.col("canon"), size)[0].alias("hash"))
-        found = places.join(small(of), "hash").select("doc_id", "key", "pos", "item_id", "ipos", F.lit(size).alias("size"))
-        hits = found if hits is None else hits.unionByName(found)
-    hits, _ = materialise(hits, "hits")
-    per = hits.groupBy("key").agg(F.collect_set(F.struct("pos", "item_id", "ipos", "size")).alias("at"))
-    cut = lambda c: (lambda x: F.slice(F.col(c), x["pos"] + 1, x["size"]))
-    raw = words.join(per, "key").select("doc_id", "key", "at", split_words(F.col("m")).alias("w"), split_words(canonical(F.col("m"))).alias("c"))
-    got = raw.select(
-        "doc_id", "key",
-        F.explode(F.transform("at", lambda x: F.struct(x["item_id"].alias("item_id"), x["ipos"].alias("ipos"), x["pos"].alias("pos"), cut("w")(x).alias("got"), cut("c")(x).alias("form")))).alias("x"),
-    ).select("doc_id", "key", "x.*")
-    same = got.join(small(bench), ["item_id", "ipos"]).filter("form = canon")
+    hashes = bench.select("hash", "size").distinct()
+    total = hashes.count()
+    sizes = sorted((r["size"] for r in hashes.select("size").distinct().collect()), reverse=True) or [window]  # at most ``window`` values
+    blocks = max(1, -(-total // BROADCAST_ROWS))
+    parts = [hits(docs, hashes.filter(F.pmod("hash", F.lit(blocks)) == i) if blocks > 1 else hashes, sizes) for i in range(blocks)]
+    found, _ = materialise(reduce(DataFrame.unionByName, parts), "hits")
+    small = F.broadcast if blocks == 1 else lambda df: df
+    same = found.join(small(bench), ["hash", "size"]).withColumn("copy", F.col("got") == F.col("words")).filter("copy OR (loose AND form = canon)")
     slots = F.filter(
-        F.zip_with(F.arrays_zip("canon", "words"), "got", lambda a, g: F.struct(a["canon"].alias("type"), plain(a["words"]).alias("of"), plain(g).alias("to"))),
+        F.zip_with(F.arrays_zip("canon", "words"), "got", lambda a, g: F.struct(a["canon"].alias("type"), a["words"].alias("of"), g.alias("to"))),
         lambda x: x["type"].isin(*SLOTS),
     )
-    lined = same.select("doc_id", "key", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", slots.alias("slots"))
-    one = lambda *keys: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(*[x[k].alias(k) for k in keys]))))
-    lined = (
-        lined.groupBy("doc_id", "key", "item_id", "diagonal")
-        .agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs"))
-        .filter((one("type", "of") == F.size("pairs")) & (one("type", "to") == F.size("pairs")))
+    lined = same.select(
+        "doc_id", "key", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.when(F.col("copy"), F.col("ipos")).alias("exact"),
+        F.when(~F.col("copy"), F.col("ipos")).alias("changed"), F.when(~F.col("copy"), slots).alias("slots"),
     )
+    one = lambda *keys: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(*[x[k].alias(k) for k in keys]))))
+    lined = lined.groupBy("doc_id", "key", "item_id", "diagonal").agg(
+        F.collect_set("exact").alias("exact"), F.collect_set("changed").alias("changed"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs")
+    )
+    agreed = (one("type", "of") == F.size("pairs")) & (one("type", "to") == F.size("pairs"))
+    lined = lined.select("doc_id", "key", "item_id", F.explode(F.when(agreed, F.concat("exact", "changed")).otherwise(F.col("exact"))).alias("ipos"))
     whole = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
-    found = lined.groupBy("doc_id", "key", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("at")))).cast("long").alias("windows"))
-    return found.join(whole, "item_id").select("doc_id", "key", "item_id", "windows", "item_windows")
+    per = lined.groupBy("doc_id", "key", "item_id").agg(F.countDistinct("ipos").alias("windows"))
+    return per.join(whole, "item_id").select("doc_id", "key", "item_id", "windows", "item_windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a window of a benchmark item."""
     k = free_name(docs, "leak_key")
     found, _ = materialise(leaks(docs.select("doc_id", "text"), benchmark).select(F.col("key").alias(k)).distinct(), "leaks")
+    if found.count() <= BROADCAST_KEYS:
+        found = F.broadcast(found)
     own = [F.col(f"`{c}`") for c in docs.columns]
     return docs.withColumn(k, F.xxhash64("doc_id", "text")).join(found, k, "left_anti").select(*own)
 
@@ -136,38 +178,40 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def oracle(window: int = WINDOW) -> str:
-    units = ", ".join(f"'{u}'" for u in UNITS)
-    slot = "('<n>', '<p>', '<u>')"
+    quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+    slot = quoted(SLOTS)
     return rf"""
     WITH both_ AS (
       SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
     ), t AS (
-      SELECT side, id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
-        lambda w: regexp_replace(regexp_replace(w, '[.!?:;]+$', '¶'), '[^\p{{L}}\p{{N}}¶]+', '', 'g')), lambda w: w <> '') AS w FROM both_
+      SELECT side, id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+', '', 'g')), lambda w: w <> '') AS w FROM both_
+    ), u AS (
+      SELECT side, id, flatten(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+(?:{either(UNITS)})')
+          THEN [regexp_extract(x, '^[0-9]+'), regexp_extract(x, '[a-z]+$')] ELSE [x] END)) AS w FROM t
     ), c AS (
-      SELECT side, id, w, list_transform(w, lambda x, i: CASE
-          WHEN i > 1 AND regexp_full_match(x, '\p{{Lu}}\p{{L}}*¶?') AND NOT ends_with(w[i - 1], '¶') THEN '<p>'
-          WHEN regexp_full_match(x, '[0-9]+¶?') THEN '<n>'
-          WHEN i > 1 AND regexp_full_match(w[i - 1], '[0-9]+') AND replace(x, '¶', '') IN ({units}) THEN '<u>'
-          ELSE lower(replace(x, '¶', '')) END) AS c
-      FROM t WHERE len(w) > 0
+      SELECT side, id, list_transform(w, lambda x: lower(x)) AS w, list_transform(w, lambda x, i: CASE
+          WHEN regexp_full_match(x, '[0-9]+') OR x IN ({quoted(number_forms())}) THEN '<n>'
+          WHEN i > 1 AND x IN ({quoted(UNITS)}) AND (regexp_full_match(w[i - 1], '[0-9]+') OR w[i - 1] IN ({quoted(number_forms())})) THEN '<u>'
+          WHEN regexp_full_match(x, '\p{{Lu}}\p{{L}}*') AND x NOT IN ({quoted(w.capitalize() for w in COMMON)}) THEN '<p>'
+          ELSE lower(x) END) AS c
+      FROM u WHERE len(w) > 0
     ), b AS (
-      SELECT id, least(len(w), {window}) AS size, w, c, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS p FROM c WHERE side = 'b'
+      SELECT id, least(len(w), {window}) AS size, w, c, unnest(range(1, len(w) - least(len(w), {window}) + 2)) AS p FROM c WHERE side = 'b' AND len(w) >= {LEAST}
     ), bw AS (
       SELECT DISTINCT id AS item_id, size, p AS ipos, w[p:p + size - 1] AS words, c[p:p + size - 1] AS canon FROM b
-    ), bf AS (
-      SELECT * FROM bw WHERE 2 * len(list_filter(canon, lambda x: x IN {slot})) <= size
-    ), s AS (SELECT DISTINCT size FROM bf), dp AS (
+    ), s AS (SELECT DISTINCT size FROM bw), dp AS (
       SELECT id AS doc_id, s.size, unnest(list_transform(range(1, len(w) - s.size + 2), lambda p: {{'pos': p, 'got': w[p:p + s.size - 1], 'canon': c[p:p + s.size - 1]}}), recursive := true)
       FROM c, s WHERE side = 'd' AND len(w) >= s.size
     ), m AS (
-      SELECT DISTINCT doc_id, item_id, pos - ipos AS diagonal, ipos, got, words, canon FROM dp JOIN bf USING (size, canon)
+      SELECT DISTINCT doc_id, item_id, pos - ipos AS diagonal, ipos, got, words, canon FROM dp JOIN bw USING (size, canon)
+      WHERE 2 * len(list_filter(canon, lambda x: x IN ({slot}))) <= size AND got <> words
+      UNION ALL SELECT DISTINCT doc_id, item_id, pos - ipos, ipos, got, words, bw.canon FROM dp JOIN bw ON dp.size = bw.size AND got = words
     ), pairs AS (
-      SELECT doc_id, item_id, diagonal, unnest(list_transform(range(1, len(canon) + 1), lambda k: {{'ty': canon[k], 'f': lower(replace(words[k], '¶', '')), 'o': lower(replace(got[k], '¶', ''))}}), recursive := true) FROM m
+      SELECT doc_id, item_id, diagonal, unnest(list_transform(range(1, len(canon) + 1), lambda k: {{'ty': canon[k], 'f': words[k], 'o': got[k]}}), recursive := true) FROM m WHERE got <> words
     ), bad AS (
-      SELECT DISTINCT doc_id, item_id, diagonal FROM pairs WHERE ty IN {slot} GROUP BY doc_id, item_id, diagonal
+      SELECT DISTINCT doc_id, item_id, diagonal FROM pairs WHERE ty IN ({slot}) GROUP BY doc_id, item_id, diagonal
       HAVING count(DISTINCT (ty, f)) < count(DISTINCT (ty, f, o)) OR count(DISTINCT (ty, o)) < count(DISTINCT (ty, f, o))
     )
-    SELECT doc_id, item_id, count(DISTINCT ipos)::BIGINT AS windows, (SELECT count(DISTINCT ipos) FROM bf WHERE bf.item_id = m.item_id)::BIGINT AS item_windows
-    FROM m ANTI JOIN bad USING (doc_id, item_id, diagonal) GROUP BY doc_id, item_id
+    SELECT doc_id, item_id, count(DISTINCT ipos)::BIGINT AS windows, (SELECT count(DISTINCT ipos) FROM bw WHERE bw.item_id = m.item_id)::BIGINT AS item_windows
+    FROM m LEFT JOIN bad USING (doc_id, item_id, diagonal) WHERE got = words OR bad.doc_id IS NULL GROUP BY doc_id, item_id
     """

@@ -235,6 +235,70 @@ def test_slots_must_be_consistent(spark):
     assert [r.doc_id for r in templates.leaks(docs, bench).collect()] == [0]
 
 
+def template_words(text):
+    import regex
+
+    out = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text or ""):
+        w = regex.sub(r"[^\p{L}\p{N}]+", "", w)
+        glued = re.fullmatch(rf"([0-9]+)({'|'.join(templates.UNITS)})", w)
+        out += list(glued.groups()) if glued else [w] if w else []
+    kinds = []
+    for w in out:
+        number = re.fullmatch("[0-9]+", w) or w in templates.number_forms()
+        unit = w in templates.UNITS and kinds and kinds[-1] == "<n>"
+        name = regex.fullmatch(r"\p{Lu}\p{L}*", w) and w not in {x.capitalize() for x in templates.COMMON}
+        kinds.append("<n>" if number else "<u>" if unit else "<p>" if name else w.lower())
+    return [w.lower() for w in out], kinds
+
+
+def template_brute(text, item, window=8):
+    """(windows of the item that the text holds, windows of the item)."""
+    (dw, dc), (bw, bc) = template_words(text), template_words(item)
+    size = min(len(bw), window)
+    if size < templates.LEAST:
+        return 0, 0
+    copies, changed = set(), {}
+    for i in range(len(bw) - size + 1):
+        for p in range(len(dw) - size + 1):
+            if dw[p : p + size] == bw[i : i + size]:
+                copies.add(i)
+            elif dc[p : p + size] == bc[i : i + size]:
+                if 2 * sum(c in templates.SLOTS for c in bc[i : i + size]) <= size:
+                    pairs = {(c, x, y) for c, x, y in zip(bc[i : i + size], bw[i : i + size], dw[p : p + size], strict=True) if c in templates.SLOTS}
+                    at, seen = changed.setdefault(p - i, (set(), set()))
+                    at.add(i)
+                    seen |= pairs
+    for at, pairs in changed.values():
+        if len({(c, x) for c, x, _ in pairs}) == len(pairs) == len({(c, y) for c, _, y in pairs}):
+            copies |= at
+    return len(copies), len(bw) - size + 1
+
+
+ITEMS = [
+    "Sarah has 3 red apples now.", "The train runs 5km in the dark and then three more in the rain.", "Yes", "we gave 12 apples to him before he gave 12 apples back to all of us at home",
+    "12 7 9 Bob 44 Ann 15 16 17 18", "Paris London Rome", "If Tom walks 4 miles in 2 hours, how far does Tom walk in 10 hours?", "two words", None, "  ",
+]
+TEXTS = [
+    "Before. Tom has 9 red apples now.", "The train runs 7 km in the dark and then four more in the rain", "yes yes Yes", "we gave 12 apples to him before he gave 15 apples back to all of us at home",
+    "x 12 7 9 Bob 44 Ann 15 16 17 18 y", "1 2 3 Ann 44 Bob 15 16 17 18", "in Paris London Rome there", "in Oslo London Rome there", "If Ann walks 6 km in 3 days, how far does Ann walk in 8 days?",
+    "If Ann walks 6 km in 3 days, how far does Bob walk in 8 days?", "two words", None, "", "w " * 20000 + "Sarah has 3 red apples now", "THE TRAIN RUNS 5KM IN THE DARK AND THEN THREE MORE",
+]
+
+
+def test_templates_equal_brute_force(spark):
+    bench = spark.createDataFrame([(i, t, 1) for i, t in enumerate(ITEMS)] + [(0, ITEMS[0], 1)], "item_id long, text string, doc_id long")
+    docs = spark.createDataFrame([(i, t, "e") for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], "e"), (1, TEXTS[1], "e")], "doc_id long, text string, size string")
+    want = {(d, i): template_brute(t, x) for d, t in [*enumerate(TEXTS), (None, TEXTS[0])] for i, x in enumerate(ITEMS)}
+    want = {k: v for k, v in want.items() if v[0]}
+    for rows in (templates.BROADCAST_ROWS, 30):
+        templates.BROADCAST_ROWS, kept = rows, templates.BROADCAST_ROWS
+        got = {(r.doc_id, r.item_id): (r.windows, r.item_windows) for r in templates.leaks(docs, bench).collect()}
+        templates.BROADCAST_ROWS = kept
+        assert got == want
+    assert {(0, 0), (1, 1), (3, 3), (4, 4), (6, 5), (8, 6), (13, 0)} <= set(want) and not {(2, 2), (5, 4), (7, 5)} & set(want)
+
+
 # --- 6 ------------------------------------------------------------------------------------------------------------
 
 
