@@ -1,14 +1,16 @@
 """License scans by conditional compression.
 
-The surroundings of every place that names a licence are the candidate blocks. They are compressed alone and with each template as a raw zstandard dictionary. A
-template that the block repeats makes it much smaller: templates are ranked by that reduction, measured against
-what the template would save on itself. The best are confirmed by wording: a word alignment of the template
-against the block counts inserted, missing and changed words, template fields such as a year or a holder match any
-words, and the words that tell a licence from its relatives must be there exactly.
-
-A text is cut into pieces that overlap by half, so surroundings of up to ``BLOCK // 2`` characters lie whole in one of
-them; each place is reported once. Cases: a null or blank text has no blocks; repeated rows repeat their findings; texts of any length are
-scanned whole; an empty table gives no rows.
+The surroundings of every place that names a licence are the candidate blocks. Each is compressed alone and with each template
+as a raw zstandard dictionary. A template that the block repeats makes it much smaller: templates are ranked by that
+reduction, measured against what the template would save on itself. Every one above ``REDUCTION`` is confirmed by wording in the
+wider surroundings: a word alignment of the template counts inserted, missing and changed words, template
+fields such as a year or a holder match any words, and the words that tell a licence from its relatives must be there exactly.
+Confirmed notices are blanked and the places left are ranked again, until nothing more is confirmed.
+
+A text is cut into pieces that overlap by half, and a notice belongs to the piece whose middle it starts in, so each is
+reported once. Cases: a null or blank text has no blocks; repeated rows repeat their findings; of notices that overlap, the one stays that has the
+most words, each difference taken off three times, then the earlier one; texts of any length are scanned whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,36 +27,54 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import table
 
-BLOCK = 4000
+BLOCK = 16000
 #: Characters before and after a naming place that its candidate block holds.
-BEFORE, AFTER = 200, 400
-#: Templates confirmed by wording in a block; share of a template's own saving that a block must show; share of its words that may differ.
-RANKED, REDUCTION, DIFFERENCES = 8, 0.25, 0.1
-KEY = r"(?i)licen[cs]|copyright|copyleft|spdx|permission is hereby|permission to use, copy|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]by|\bcc0\b"
-
-#: Public notices; {} stands for up to eight words of any kind.
+BEFORE, AFTER = 300, 600
+#: Characters on either side of a naming place in which a notice may lie, above the longest template's; less than a quarter of a piece.
+REACH = 2000
+#: Share of a template's own saving that a block must show; share of its words that may differ.
+REDUCTION, DIFFERENCES = 0.25, 0.1
+KEY = r"(?i)licen[cs]|copyright|copyleft|spdx|permission is (?:hereby|granted)|permission to use, copy|redistribution and use|all rights reserved|public domain|creative commons|\bcc[ -]by|\bcc0\b|subject to the terms|unencumbered"
+
+#: Public licence texts and notices; {} stands for up to eight words of any kind.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at {} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
     ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at {}"),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("0BSD", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "Licensed under CC0 1.0."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("Proprietary", "Copyright {} All rights reserved."),
     ("Proprietary", "All rights reserved."),
 )
@@ -123,67 +143,78 @@ def align(template: list[str], block: list[str]) -> tuple[int, int, int]:
     return int(cost[end]), int(start[end]), end - int(start[end])
 
 
+def notices(template: Template, words: list[str], low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, words, differences) of each place between ``low`` and ``high`` where the template stands: the best
+    one, then those before and after it."""
+    if high <= low:
+        return
+    d, s, n = align(template.words, words[low:high])
+    if d > DIFFERENCES * len(template.words) or not n:
+        return
+    if template.telling <= set(words[low + s : low + s + n]):
+        yield low + s, n, d
+    yield from notices(template, words, low, low + s)
+    yield from notices(template, words, low + s + n, high)
+
+
 def findings(text: str, ready: tuple[list[Template], zstandard.ZstdCompressor]) -> list[tuple[str, int, int, int, float]]:
-    """(licence, first character, characters, differing words, reduction) of each notice in a block; of overlapping
-    ones the one with fewer differences, then more words."""
+    """(licence, first character, characters, differing words, reduction) of each notice in a text."""
     templates, bare = ready
-    raw = text.encode()
-    alone = len(bare.compress(raw))
-    ranked = sorted(((alone - len(t.dictionary.compress(raw))) / t.saving, i) for i, t in enumerate(templates))[::-1][:RANKED]
-    words, at = words_at(text)
-    found = []
-    for reduction, i in ranked:
-        t, left = templates[i], 0
-        if reduction < REDUCTION:
+    places, out = [m.span() for m in re.finditer(KEY, text)], []
+    while places:
+        regions: list = []  # first and last character of surroundings that touch, best reduction by template
+        for a, b in places:
+            low, high = max(0, a - REACH), b + REACH
+            raw = text[max(0, a - BEFORE) : b + AFTER].encode()
+            alone = len(bare.compress(raw))
+            gain = {i: (alone - len(t.dictionary.compress(raw))) / t.saving for i, t in enumerate(templates)}
+            if not regions or low > regions[-1][1]:
+                regions.append([low, high, {}])
+            regions[-1][1] = high
+            for i, g in gain.items():
+                if g >= REDUCTION:
+                    regions[-1][2][i] = max(g, regions[-1][2].get(i, g))
+        new: list = []
+        for low, high, ranked in regions:
+            words, at = words_at(text[low:high])
+            found = []
+            for i in sorted(ranked, key=lambda i: (-ranked[i], i)):
+                t = templates[i]
+                for s, n, d in notices(t, words, 0, len(words)):
+                    end = at[s + n - 1] + len(words[s + n - 1])
+                    found.append((3 * d - len(t.words), d, low + at[s], t.name, end - at[s], round(ranked[i], 4)))
+            for _, d, first, name, chars, gain in sorted(found):
+                if all(first >= f + c or first + chars <= f for _, f, c, _, _ in new):
+                    new.append((name, first, chars, d, gain))
+        if not new:
             break
-        while left < len(words):  # every place where it stands
-            d, s, n = align(t.words, words[left:])
-            if d > DIFFERENCES * len(t.words) or not n:
-                break
-            here = words[left + s : left + s + n]
-            if t.telling <= set(here):
-                end = at[left + s + n - 1] + len(words[left + s + n - 1])
-                found.append((d / len(t.words), -len(t.words), t.name, at[left + s], end - at[left + s], d, round(reduction, 4)))
-            left += s + n
-    out: list = []
-    for f in sorted(found):
-        if all(f[3] >= o[1] + o[2] or f[3] + f[4] <= o[1] for o in out):
-            out.append(f[2:])
+        out += new
+        for _, first, chars, _, _ in new:
+            text = text[:first] + " " * chars + text[first + chars :]
+        places = [m.span() for m in re.finditer(KEY, text)]
     return out
 
 
-def candidates(text: str) -> Iterator[tuple[int, str]]:
-    """(first character, block) around each naming place; overlapping surroundings are one block."""
-    low, high = 0, -1
-    for m in re.finditer(KEY, text):
-        if high < 0 or m.start() - BEFORE > high:
-            if high >= 0:
-                yield low, text[low:high]
-            low = max(0, m.start() - BEFORE)
-        high = m.end() + AFTER
-    if high >= 0:
-        yield low, text[low:high]
-
-
 def scan_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (doc_id, rid, start, block)."""
+    """For mapInPandas over (doc_id, start, own, end, block): the notices that start from ``own`` on and before ``end``."""
     ready = prepare()
     for batch in batches:
         rows = [
-            (d, r, x[0], s + low + x[1], x[2], x[3], x[4])
-            for d, r, s, b in zip(batch["doc_id"], batch["rid"], batch["start"], batch["block"], strict=True) for low, part in candidates(b) for x in findings(part, ready)
+            (d, s + x[1], *x[:1], *x[2:])
+            for d, s, own, end, b in zip(*(batch[k] for k in ("doc_id", "start", "own", "end", "block")), strict=True) for x in findings(b, ready) if own <= s + x[1] < end
         ]
-        yield pd.DataFrame(rows, columns=["doc_id", "rid", "license", "at", "chars", "differences", "reduction"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(rows, columns=["doc_id", "at", "license", "chars", "differences", "reduction"]).astype({"doc_id": "Int64"})
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, at, chars, differences, reduction): every notice, ``at`` its first character from 0."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - BLOCK // 2 - 1, F.lit(0)), F.lit(BLOCK // 2))
-    named = docs.filter(F.col("text").rlike(KEY)).select("doc_id", F.xxhash64("text").alias("rid"), "text", F.explode(starts).alias("start"))
-    blocks = named.select("doc_id", "rid", "start", F.substring("text", F.col("start") + 1, F.lit(BLOCK)).alias("block")).filter(F.col("block").rlike(KEY))
-    found = blocks.mapInPandas(scan_blocks, "doc_id long, rid long, license string, at long, chars long, differences long, reduction double")
-    once = found.groupBy("doc_id", "rid", "license", "at").agg(F.min("chars").alias("chars"), F.min("differences").alias("differences"), F.max("reduction").alias("reduction"))
-    return once.drop("rid")
+    half = BLOCK // 2
+    last = F.greatest(F.ceil((F.length("text") - BLOCK) / half), F.lit(0)) * half
+    named = docs.filter(F.col("text").rlike(KEY)).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(half).cast("long"))).alias("start"), last.alias("last"))
+    own, end = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + half // 2), F.when(F.col("start") == F.col("last"), F.col("start") + BLOCK).otherwise(F.col("start") + half + half // 2)
+    blocks = named.select("doc_id", "start", own.cast("long").alias("own"), end.cast("long").alias("end"), F.substring("text", F.col("start").cast("int") + 1, F.lit(BLOCK)).alias("block"))
+    found = blocks.filter(F.col("block").rlike(KEY)).mapInPandas(scan_blocks, "doc_id long, at long, license string, chars long, differences long, reduction double")
+    return found.select("doc_id", "license", "at", "chars", "differences", "reduction")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

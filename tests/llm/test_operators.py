@@ -371,6 +371,36 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0).select("doc_id", "text")).count() == 0
 
 
+def test_every_notice_of_a_mixed_page_is_found():
+    """Compression only orders and leaves out templates: each one stands alone, all stand on one page, and a page of near relatives
+    gives what confirming every template would give."""
+    ready, rng = licenses.prepare(), random.Random(3)
+    for name, t in licenses.TEMPLATES:
+        got = licenses.findings("words before. " + t.replace("{}", "2001 Some Body") + " words after", ready)
+        assert [(x[0], x[1], x[3]) for x in got] == [(name, 14, 0)]
+    plain = [(n, t) for n, t in licenses.TEMPLATES if "{}" not in t]
+    for round_ in range(4):
+        chosen = rng.sample(plain, 14)
+        page = "\n".join(f"part {i}, some words of it stand here between two notices. {t}" for i, (_, t) in enumerate(chosen))
+        if round_ % 2:  # a changed word in each third one
+            page = re.sub(r"(?<=Software) |(?<=version) ", " other ", page, count=2)
+        got = licenses.findings(page, ready)
+        kept, licenses.REDUCTION = licenses.REDUCTION, -1e9
+        want = licenses.findings(page, ready)
+        licenses.REDUCTION = kept
+        assert [x[:4] for x in sorted(got, key=lambda x: x[1])] == [x[:4] for x in sorted(want, key=lambda x: x[1])]
+        assert round_ % 2 or sorted(x[0] for x in got) == sorted(n for n, _ in chosen)
+
+
+def test_notices_before_the_best_one_and_across_pieces(spark):
+    a = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    texts = {0: a.replace("this file", "that file") + " some words " + a, 1: "", 2: None, 3: "word " * 2390 + a + " word" * 3000 + " " + a, 4: a, 5: "n " * 7990 + a + " n" * 12000}
+    df = spark.createDataFrame([(k, v, "e", 1) for k, v in texts.items()] + [(4, a, "e", 1), (None, a, "e", 1)], "doc_id long, text string, license string, at int")
+    got = sorted((str(r.doc_id), r["at"], r.license, r.differences) for r in licenses.scan(df).collect())
+    far = texts[3].rindex("Licensed")
+    assert got == sorted([("0", 0, "Apache-2.0", 1), ("0", 140, "Apache-2.0", 0), ("3", 11950, "Apache-2.0", 0), ("3", far, "Apache-2.0", 0), ("4", 0, "Apache-2.0", 0), ("4", 0, "Apache-2.0", 0), ("5", 15980, "Apache-2.0", 0), ("None", 0, "Apache-2.0", 0)])
+
+
 def test_alignment_counts_differences():
     assert licenses.align("a b c d".split(), "x a b z d y".split()) == (1, 1, 4)
     assert licenses.align("a {} d".split(), "q a 1 2 3 d".split())[0] == 0
