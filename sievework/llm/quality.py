@@ -39,9 +39,9 @@ def stop_forms(stop_words) -> list[str]:
 def repeated_words(words: Column) -> Column:
     """Words inside a five-word window that the text holds twice or more, all occurrences counted.
 
-    A window is compared by a 64-bit hash built from its words' hashes in three pairwise passes. Only where two
-    are equal are they sorted, as 44 bits of hash over 20 of position in one primitive array (texts of over
-    2^20 words sort the windows' strings instead); equal neighbours are then the repeated windows."""
+    A window is hashed to 64 bits, built from its words' hashes in three pairwise passes. Only where two hashes are equal are
+    they sorted, as half a hash over the position in one primitive array; windows whose neighbour there has the same half are
+    candidates. Every repeated window is among them, and they are compared by their words, so the count is exact."""
     n = F.size(words)
     zero = F.lit(0).cast("long")
 
@@ -60,21 +60,20 @@ def repeated_words(words: Column) -> Column:
         ))
 
     def twice(ordered: Column, key, at) -> Column:
+        """Positions of the elements whose neighbour has the same key."""
         same = lambda x, y: F.coalesce(key(x) == key(y), F.lit(False))
-        return covered(F.transform(F.filter(ordered, lambda x, j: same(F.get(ordered, j - 1), x) | same(F.get(ordered, j + 1), x)), at))
+        return F.transform(F.filter(ordered, lambda x, j: same(F.get(ordered, j - 1), x) | same(F.get(ordered, j + 1), x)), at)
 
     def by_hash(h: Column) -> Column:
-        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 20).bitwiseOR(i.cast("long"))))
-        return let(packed, lambda o: twice(o, lambda x: F.shiftright(x, 20), lambda x: x.bitwiseAND(F.lit((1 << 20) - 1))))
+        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, 32).bitwiseOR(i.cast("long"))))
+        return let(packed, lambda o: twice(o, lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
 
-    def by_string() -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), n - WINDOW), lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.cast("long").alias("i"))
-        )
-        return let(F.array_sort(windows), lambda o: twice(o, lambda x: x["w"], lambda x: x["i"]))
+    def by_words(at: Column) -> Column:
+        windows = F.transform(at, lambda i: F.struct(F.array_join(F.slice(words, (i + 1).cast("int"), F.lit(WINDOW)), " ").alias("w"), i.alias("i")))
+        return let(F.sort_array(windows), lambda o: twice(o, lambda x: x["w"], lambda x: x["i"]))
 
     count = let(F.transform(words, lambda w: F.xxhash64(w)), lambda one: let(five(one), lambda h: (
-        F.when(F.size(F.array_distinct(h)) == F.size(h), zero).when(n < 1 << 20, by_hash(h)).otherwise(by_string()))))
+        F.when(F.size(F.array_distinct(h)) == F.size(h), zero).otherwise(covered(by_words(by_hash(h)))))))
     return F.when(n <= WINDOW, zero).otherwise(count)
 
 

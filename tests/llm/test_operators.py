@@ -334,6 +334,17 @@ def test_repeats_by_string_agree(spark, monkeypatch):
     assert df.select(quality.repeated_words(F.col("w")).alias("n")).first().n == 10
 
 
+def test_repeats_are_exact_when_hashes_collide(spark, monkeypatch):
+    """With hashes of one bit nearly every window is a candidate, and only its words decide."""
+    from sievework.llm.common import words_of
+
+    real, rng = F.xxhash64, random.Random(7)
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: real(*c).bitwiseAND(F.lit(1)))
+    texts = [" ".join(rng.choice("abc") for _ in range(n)) for n in (6, 7, 9, 12, 20, 40, 80)] + ["a b c d e x a b c d e y z", " ".join(map(str, range(50)))]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", quality.repeated_words(words_of(F.col("text"))).alias("n"))
+    assert [r.n for r in df.collect()] == [quality_brute(t)[4] for t in texts]
+
+
 # --- 7 ------------------------------------------------------------------------------------------------------------
 
 
