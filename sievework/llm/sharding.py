@@ -1,9 +1,13 @@
 """Hierarchical weighted hash tree: a row descends region, rack and shard by weighted hash draws.
 
-A shard's draw is an exponential arrival -ln(u) / weight, with u hashed from the row's key and the shard. A rack's
-draw is the earliest arrival below it, a region's the earliest of its racks, so a node wins with its share of
-the weight at each level. Adding a shard, or raising a weight, can only make draws below that node earlier:
-rows move into the changed subtree and nowhere else. Removing or lowering one moves only the rows it held.
+At each level the children of the node reached so far draw an exponential arrival -ln(u) / weight, with u hashed from the row's
+key and the child, and the earliest wins, so a child gets its share of the weight below its parent. A node weighs what its
+shards weigh. Draws depend on nothing else: a node whose weight rises wins rows from its siblings and loses none, a row whose
+path keeps its winners stays, and inside a subtree where no weight changes no row moves. Rows move into the subtrees that gain
+weight or out of those that lose it, at the level where the weights differ, and nowhere else.
+
+Growth: a shard that opens a region of its own, as the 41st does, takes rows only into itself. One more shard in a standing
+region makes that region heavier, so rows may also enter its other shards.
 
 Cases: a null key draws as its own key; repeated rows share a shard and get slots of their own; equal texts
 under different ids are placed independently (the law is ``key``); an empty table gives no rows.
@@ -34,46 +38,45 @@ class Tree:
     def weight(self, shard: int) -> float:
         return self.weights[shard] if self.weights else 1.0
 
-    def levels(self) -> list[list[list[int]]]:
-        """Regions, each a list of racks, each a list of shards."""
-        racks = [list(range(a, min(a + self.per_rack, self.shards))) for a in range(0, self.shards, self.per_rack)]
-        return [racks[a : a + self.per_region] for a in range(0, len(racks), self.per_region)]
+    def levels(self) -> tuple[list[float], list[list[tuple[int, float]]], list[list[tuple[int, float]]]]:
+        """Weights of the regions, (number, weight) of the racks of each region and of the shards of each rack."""
+        shards = [[(s, self.weight(s)) for s in range(a, min(a + self.per_rack, self.shards))] for a in range(0, self.shards, self.per_rack)]
+        racks = [[(r, sum(w for _, w in shards[r])) for r in range(a, min(a + self.per_region, len(shards)))] for a in range(0, len(shards), self.per_region)]
+        return [sum(w for _, w in r) for r in racks], racks, shards
 
 
-def place(df: DataFrame, key: Column, tree: Tree, into: str = "shard", salt: str = "tree") -> DataFrame:
-    """``df`` with the shard of each row: the leaves' arrivals are drawn once, then each level keeps the branch of
-    the earliest arrival."""
-    leaves = [
-        F.struct(F.lit(r).alias("region"), F.lit(k).alias("rack"), F.lit(s).alias("shard"), F.lit(tree.weight(s)).alias("weight"))
-        for r, racks in enumerate(tree.levels()) for k, shards in enumerate(racks) for s in shards
-    ]
+#: Added to a node's number for its draw, by level.
+REGION, RACK, SHARD = (level << 32 for level in range(3))
 
-    def arrival(base: Column, leaf: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(base, leaf["shard"]), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-        return F.struct((-F.log(u) / leaf["weight"]).alias("t"), leaf["region"].alias("region"), leaf["rack"].alias("rack"), leaf["shard"].alias("shard"))
 
-    def winner(draws: Column, level: str) -> Column:
-        return F.array_min(F.transform(draws, lambda x: F.struct(x["t"], x[level].alias("id"))))["id"]
+def place(df: DataFrame, key: Column, tree: Tree, into: str = "shard", salt: str = "tree") -> DataFrame:
+    """``df`` with the shard of each row: one draw among the regions, one among the racks of the region that won, one
+    among the shards of the rack that won."""
+    regions, racks, shards = tree.levels()
 
-    def below(draws: Column, level: str, then) -> Column:
-        return let(winner(draws, level), lambda won: let(F.filter(draws, lambda x: x[level] == won), then))
+    def nodes(level: int, children) -> Column:
+        return F.array(*[F.struct(F.lit(level + n).alias("node"), F.lit(n).alias("id"), F.lit(float(w)).alias("weight")) for n, w in children])
 
-    def descend(draws: Column) -> Column:
-        return below(draws, "region", lambda racks: below(racks, "rack", lambda shards: winner(shards, "shard")))
+    def winner(base: Column, children: Column) -> Column:
+        u = lambda x: (F.shiftrightunsigned(F.xxhash64(base, x["node"].cast("long")), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        return F.array_min(F.transform(children, lambda x: F.struct((-F.log(u(x)) / x["weight"]).alias("t"), x["id"].alias("id"))))["id"]
 
-    shard = let(F.xxhash64(F.lit(salt), key), lambda base: let(F.transform(F.array(*leaves), lambda x: arrival(base, x)), descend))
+    racks_of = F.array(*[nodes(RACK, r) for r in racks])
+    shards_of = F.array(*[nodes(SHARD, s) for s in shards])
+    shard = let(F.xxhash64(F.lit(salt), key), lambda base: let(winner(base, nodes(REGION, enumerate(regions))), lambda region: let(
+        winner(base, F.get(racks_of, region)), lambda rack: winner(base, F.get(shards_of, rack)))))
     return df.withColumn(into, shard)
 
 
 def number(df: DataFrame, group: str, order: list[str], into: str = "slot") -> DataFrame:
     """``df`` with gapless numbers from 0 in each ``group``, in hash order of the ``order`` columns.
 
-    The order is cut into hash ranges sized from the row count, so no task numbers a whole group: ranges are
-    counted, the counts' running sums give each range its first number, and rows are ranked within theirs."""
+    The order is cut into ranges sized from the row count, equal rows dealt over all of them, so no task numbers a whole group: ranges
+    are counted, the counts' running sums give each range its first number, and rows are ranked within theirs."""
     h, b = free_name(df, "h"), free_name(df, "range")
-    n = max(1, df.count())
-    ranges = max(1, -(-n // SLOT_ROWS))
-    keyed = df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in order])).withColumn(b, F.pmod(F.col(h), F.lit(ranges)).cast("int"))
+    kept, _ = materialise(df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in order])).withColumn(b, F.monotonically_increasing_id()), "numbered")
+    ranges = max(1, -(-kept.count() // SLOT_ROWS))
+    keyed = kept.withColumn(b, F.pmod(F.xxhash64(h, b), F.lit(ranges)).cast("int"))
     counts = keyed.groupBy(group, b).agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(group, b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -93,7 +96,6 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law")
     )
     rows = place(place(rows, F.col("doc_id"), Tree(shards)), F.col("doc_id"), Tree(shards + 1), into="grown_shard")
-    rows, _ = materialise(rows, "placed")
     return number(rows, "shard", ["doc_id", "text_crc32", "size"])
 
 

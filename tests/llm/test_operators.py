@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import math
 import random
 import re
 import zlib
@@ -362,15 +363,62 @@ def test_shards(spark, docs):
     assert sharding.assign(empty(spark)).count() == 0
 
 
+def placed_brute(key, tree, salt="tree"):
+    """The descent in plain Python: a draw at each level among the children of the winner."""
+    import xxhash
+
+    long = lambda n, seed: xxhash.xxh64_intdigest((n % (1 << 64)).to_bytes(8, "little"), seed)
+    base = xxhash.xxh64_intdigest(salt.encode(), 42)
+    base = base if key is None else long(key, base)
+
+    def winner(level, weights):
+        t = {n: -math.log(((long((level << 32) + n, long(base, 42)) >> 11) + 0.5) / 2**53) / w for n, w in weights.items()}
+        return min(t, key=lambda n: (t[n], n))
+
+    weight = lambda shards: sum(tree.weight(s) for s in shards)
+    region_size = tree.per_rack * tree.per_region
+    below = lambda size, start, end: {i: range(i * size, min((i + 1) * size, tree.shards)) for i in range(start, end)}
+    racks, regions = -(-tree.shards // tree.per_rack), -(-tree.shards // region_size)
+    region = winner(0, {i: weight(s) for i, s in below(region_size, 0, regions).items()})
+    rack = winner(1, {i: weight(s) for i, s in below(tree.per_rack, region * tree.per_region, min((region + 1) * tree.per_region, racks)).items()})
+    return winner(2, {s: tree.weight(s) for s in below(tree.per_rack, rack, rack + 1)[rack]})
+
+
+def test_descent_equals_plain_python(spark):
+    ids = [*range(300), None, -5, 2**62]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    for tree in (sharding.Tree(40), sharding.Tree(41), sharding.Tree(7, 2, 2, (1.0, 2.0, 0.5, 3.0, 1.0, 1.0, 4.0)), sharding.Tree(1)):
+        got = {r.doc_id: r.shard for r in sharding.place(df, F.col("doc_id"), tree).collect()}
+        assert got == {i: placed_brute(i, tree) for i in ids}
+
+
 def test_movement_stays_in_changed_subtrees(spark):
     ids = spark.range(20000)
     one = lambda t: {r.id: r.s for r in sharding.place(ids, F.col("id"), t, "s").collect()}
     base, heavier, more = one(sharding.Tree(12, 2, 2)), one(sharding.Tree(12, 2, 2, (1.0,) * 5 + (3.0,) + (1.0,) * 6)), one(sharding.Tree(13, 2, 2))
-    assert all(base[i] == heavier[i] or heavier[i] == 5 for i in base) and all(base[i] == more[i] or more[i] == 12 for i in base)
+    assert all(base[i] == more[i] or more[i] == 12 for i in base)  # the new shard is a region of its own
+    rack, region = lambda s: s // 2, lambda s: s // 4
+    for i in base:  # shard 5 gained weight, with rack 2 and region 1
+        if region(base[i]) != region(heavier[i]):
+            assert region(heavier[i]) == 1
+        elif rack(base[i]) != rack(heavier[i]):
+            assert rack(heavier[i]) == 2
+        else:
+            assert base[i] == heavier[i] or heavier[i] == 5
     share = Counter(heavier.values())
     assert abs(share[5] / 20000 - 3 / 14) < 0.02 and abs(share[0] / 20000 - 1 / 14) < 0.02
 
 
+def test_slots_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    rows = [(i, f"text {i}", 1) for i in range(300)] + [(7, "text 7", 1)] * 400
+    got = sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, h int")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 700 and all(sorted(x) == list(range(len(x))) for x in by.values())
+
+
 # --- 8 ------------------------------------------------------------------------------------------------------------
 
 
