@@ -105,6 +105,56 @@ def test_preference_prefix_and_masks(spark):
     assert preference.format_pairs(df.limit(0)).count() == 0
 
 
+def paired_brute(turns, segment=1000):
+    """{(pair, segment): (prompt, chosen, spans, rejected, spans)} from rows (pair_id, side, turn, role, text)."""
+    out, esc = {}, lambda x: (x or "").replace("<|", "<\\|")
+    of = {}
+    for p, side, turn, role, text in turns:
+        if p is not None and turn is not None:
+            of.setdefault(p, ({}, {}))[side].setdefault(turn, set()).add((role, text))
+    order = lambda x: tuple((v is not None, v or "") for v in x)
+    for p, (c, r) in of.items():
+        if not c or not r:
+            continue
+        split = next((t for t in sorted({*c, *r}) if c.get(t) != r.get(t)), None)
+        for t in sorted({*c, *r}):
+            row = out.setdefault((p, t // segment), ["", "", [], "", []])
+            for side, (said, at) in enumerate(((c, 1), (r, 3))):
+                shared = split is None or t < split
+                if shared and side:
+                    continue
+                for role, text in sorted(said.get(t, ()), key=order):
+                    shown = f"<|{esc(role)}|>\n{esc(text)}<|end|>\n"
+                    if not shared and role == "assistant":
+                        row[at + 1].append((len(row[at]) + 14, len(row[at]) + len(shown)))
+                    row[0 if shared else at] += shown
+    return {k: tuple(map(lambda x: tuple(x) if isinstance(x, list) else x, v)) for k, v in out.items()}
+
+
+def test_pairs_equal_brute_force(spark):
+    rng, turns = random.Random(4), []
+    for p in range(40):
+        shared = rng.randrange(5)
+        for side in (0, 1):
+            for t in range(rng.randrange(shared, shared + 4)):
+                turns.append((p, side, t * (700 if p % 7 == 0 else 1), ("user", "assistant", None)[t % 2 if p % 5 else rng.randrange(3)], f"turn {t}" if t < shared else rng.choice(["yes", "no <|end|>", None, "é" * 9, "long " * 3000])))
+                if rng.random() < 0.1:
+                    turns.append((*turns[-1][:3], "assistant", rng.choice("ab")))
+    turns += turns[:9] + [(None, 0, 0, "user", "x"), (3, 0, None, "user", "x")]
+    df = spark.createDataFrame([(*t, "extra") for t in turns], "pair_id long, side int, turn long, role string, text string, part string")
+    spans = lambda x: tuple((s["from"], s["to"]) for s in x)
+    got = {(r.pair_id, r.segment): (r.prompt, r.chosen, spans(r.chosen_spans), r.rejected, spans(r.rejected_spans)) for r in preference.paired(df).collect()}
+    assert got == paired_brute(turns) and any(v[0] and v[2] and v[4] for v in got.values())
+
+
+def test_other_answers(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (2, 0, "user", "w"), (2, 1, "assistant", "b"), (2, 2, "user", "thanks"), (9, 0, "user", "alone"), (None, 0, "user", "x")]
+    df = spark.createDataFrame([(*r, "e") for r in rows], "conv_id long, turn long, role string, text string, side string")
+    got = {(r.pair_id, r.side, r.turn): r.text for r in preference.with_other_answers(df).collect()}
+    assert {k: v for k, v in got.items() if k[1]} == {(1, 1, 0): "q", (1, 1, 1): "b", (2, 1, 0): "w", (2, 1, 1): None, (2, 1, 2): "thanks", (9, 1, 0): "alone"}
+    assert preference.paired(preference.with_other_answers(df.limit(0))).count() == 0
+
+
 # --- 3 ------------------------------------------------------------------------------------------------------------
 
 
