@@ -10,8 +10,10 @@ to their weighted Jaccard similarity.
 
 Groups: equal texts are collapsed to their smallest doc_id first. Band values give buckets, buckets give candidate
 components, and each component's texts are compared exactly in blocks of bounded size; blocks emit spanning links
-only, never all pairs, and links are joined into groups. A component above ``BLOCK`` texts is cut into hash
-blocks and every pair of blocks is compared by some task, so no link between texts that share a bucket is lost.
+only, never all pairs, and links are joined into groups. In a component above ``BLOCK`` texts each text is first compared with
+the smallest text that it shares a bucket with, which joins a family of copies in time linear in its size. What is
+left is to compare texts of different clusters: large clusters and the pool of small ones are cut into hash blocks, and every
+pair of blocks but those of one cluster is compared by some task, so no link between texts that share a bucket is lost.
 
 Cases: a null or blank text has no shingles and is grouped only with its equals; a text under five words is one
 shingle; case and ASCII punctuation don't count; repeated rows are copies; rows that share a doc_id stand for one
@@ -86,7 +88,7 @@ def bands(signature: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.nda
 
 
 def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (node, text_md5, text): (node, text_md5, bands), bands null for a text without words."""
+    """For mapInArrow over (node, doc_id, text_md5, text): (node, doc_id, text_md5, bands), bands null for a text without words."""
     for batch in batches:
         for a, offsets, data in hashing.text_chunks(batch.column("text")):
             n = len(offsets) - 1
@@ -96,7 +98,7 @@ def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.append(0, np.cumsum(some) * BANDS).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(rows[some].ravel()))
             part = batch.slice(a, n)
-            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("text_md5"), lists], ["node", "text_md5", "bands"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in ("node", "doc_id", "text_md5")), lists], ["node", "doc_id", "text_md5", "bands"])
 
 
 def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,47 +214,87 @@ def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def node_of(doc_id: Column, md5: Column) -> Column:
-    """A document's node: its doc_id, or for a null one a negative number made from its text."""
-    return F.coalesce(doc_id, -F.shiftrightunsigned(F.xxhash64(md5), 2) - 2)
+    """A document's node: its doc_id, or for a null one a number made from its text in the lowest eighth of the range."""
+    return F.coalesce(doc_id, F.lit(-(1 << 63)) + F.shiftrightunsigned(F.xxhash64(md5), 3))
 
 
-def candidates(signed: DataFrame) -> DataFrame:
-    """(node, label): components of texts that share a bucket, over (node, bands)."""
+def candidates(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, label): components of texts that share a bucket, over (node, bands); and the links that made them (a, b), each of a
+    bucket's members to the smallest."""
     starred, _ = materialise(signed.mapInArrow(local_stars, "bucket long, a long, b long"), "stars")
     ends = starred.filter("b IS NULL").withColumn("b", F.min("a").over(Window.partitionBy("bucket"))).filter("a <> b")
-    return components(starred.filter("b IS NOT NULL").select("a", "b").unionByName(ends.select("a", "b")))
+    stars = starred.filter("b IS NOT NULL").select("a", "b").unionByName(ends.select("a", "b"))
+    return components(stars), stars
 
 
-def verified(texts: DataFrame, members: DataFrame) -> DataFrame:
+def compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (a, text, b, other): the pairs (a, b) whose texts overlap enough. Rows of one ``b`` come together."""
+    over, total = SIMILARITY[0], SIMILARITY[0] + SIMILARITY[1]
+    for batch in batches:
+        a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in "ab")
+        if not len(a):
+            continue
+        new = np.append(True, b[1:] != b[:-1])
+        mine, theirs = tokens(batch.column("text")), tokens(batch.column("other").take(pa.array(np.flatnonzero(new))))
+        run, size = np.cumsum(new) - 1, lambda i: len(mine[i]) + len(theirs[run[i]])
+        keep = [
+            i for i in range(len(a))
+            if total * min(len(mine[i]), len(theirs[run[i]])) >= over * size(i) > 0 and total * len(np.intersect1d(mine[i], theirs[run[i]], assume_unique=True)) >= over * size(i)
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array(a[keep], pa.int64()), pa.array(b[keep], pa.int64())], ["a", "b"])
+
+
+def star_links(texts: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
+    """Links (a, b) of the texts of ``members`` (node, label) to the smallest text that each shares a bucket with."""
+    mine, _ = materialise(texts.join(members.select("node"), "node"), "large-texts")
+    least = stars.join(members.select(F.col("node").alias("a")), "a", "left_semi").groupBy("a").agg(F.min("b").alias("b"))
+    pairs = least.join(mine.select(F.col("node").alias("a"), "text"), "a").join(mine.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
+    return materialise(pairs.select("a", "text", "b", "other").mapInArrow(compare_pairs, "a long, b long"), "star-links")[0]
+
+
+def verified(texts: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
     """Links (a, b) within the candidate components ``members`` (node, label), over ``texts`` (node, text)."""
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    sizes, _ = materialise(sizes.withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int")), "sizes")
-    small = F.col("n") <= BLOCK
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    other = F.explode(F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = members.join(sizes, "label").select("node", "label", F.when(small, F.lit(0)).otherwise(block).alias("own"), other.alias("other"))
-    unit = F.concat_ws(":", "label", F.least("own", "other"), F.greatest("own", "other"))
-    placed, _ = materialise(placed.select("node", unit.alias("unit")), "units")
-    rows = texts.join(placed, "node").select("unit", "node", "text")
-    return rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
+    sizes, _ = materialise(members.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    sized, _ = materialise(members.join(sizes, "label"), "sized")
+    small, large = sized.filter(F.col("n") <= BLOCK), sized.filter(F.col("n") > BLOCK).select("node", "label")
+    units, links = small.select("node", F.col("label").cast("string").alias("unit")), None
+    if large.limit(1).count():
+        links = star_links(texts, large, stars)
+        joined = components(links).select("node", F.col("label").alias("cluster"))
+        of, _ = materialise(large.join(joined, "node", "left").withColumn("cluster", F.coalesce("cluster", "node")), "clusters")
+        whole = of.groupBy("label", "cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BLOCK // 2).select("label", "cluster", F.col("cluster").alias("own"))
+        placed, _ = materialise(of.join(whole, ["label", "cluster"], "left").select("node", "label", "own"), "placed")  # a null own is the pool of small clusters
+        blocks = placed.groupBy("label", "own").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK // 2)).cast("int").alias("blocks"))
+        blocks, _ = materialise(blocks, "blocks")
+        others = blocks.select("label", F.col("own").alias("other"), F.col("blocks").alias("other_blocks"))
+        placed = placed.join(blocks, placed["label"].eqNullSafe(blocks["label"]) & placed["own"].eqNullSafe(blocks["own"])).select(placed["node"], placed["label"], placed["own"], "blocks")
+        met = placed.join(others, "label").filter(F.col("own").isNull() | ~F.col("own").eqNullSafe(F.col("other")))
+        met = met.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+        mine = F.concat_ws("/", F.coalesce(F.col("own").cast("string"), F.lit("-")), F.pmod(F.xxhash64("node"), F.col("blocks")))
+        theirs = F.concat_ws("/", F.coalesce(F.col("other").cast("string"), F.lit("-")), "at")
+        units = units.unionByName(met.select("node", F.concat_ws(":", "label", F.least(mine, theirs), F.greatest(mine, theirs)).alias("unit")))
+    units, _ = materialise(units, "units")
+    rows = texts.join(units, "node").select("unit", "node", "text")
+    found = rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(compare, "a long, b long")
+    return found if links is None else found.unionByName(links)
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """(node, rows, class_id, group_id) for each distinct node of ``docs`` (doc_id, text): how many rows it has, the
+    """(node, doc_id, rows, class_id, group_id) for each distinct node of ``docs`` (doc_id, text): how many rows it has, the
     smallest node with an equal text, and the smallest node of its near-duplicate group."""
     keyed = docs.select("text", F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_md5"), "doc_id")
-    keyed = keyed.select(node_of(F.col("doc_id"), F.col("text_md5")).alias("node"), "text_md5", "text")
-    signed, _ = materialise(keyed.mapInArrow(sign, "node long, text_md5 string, bands array<long>"), "signatures")
+    keyed = keyed.select(node_of(F.col("doc_id"), F.col("text_md5")).alias("node"), "doc_id", "text_md5", "text")
+    signed, _ = materialise(keyed.mapInArrow(sign, "node long, doc_id long, text_md5 string, bands array<long>"), "signatures")
     first, _ = materialise(signed.groupBy("text_md5").agg(F.min("node").alias("class_id")), "classes")
-    owned = signed.groupBy("node", "text_md5").agg(F.count(F.lit(1)).alias("rows")).join(first, "text_md5")
+    owned = signed.groupBy("node", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("rows")).join(first, "text_md5")
     owned, _ = materialise(owned, "owned")
     lone = owned.filter("node = class_id").select("node", "text_md5")
     banded = signed.filter("size(bands) > 0").join(lone, ["node", "text_md5"], "left_semi").select("node", "bands")
-    members = candidates(banded)
+    members, stars = candidates(banded)
     texts = keyed.join(lone.join(members, "node", "left_semi"), ["node", "text_md5"], "left_semi").select("node", "text")
-    label = components(verified(texts, members))
+    label = components(verified(texts, members, stars))
     near = label.select(F.col("node").alias("class_id"), F.col("label").alias("group_id"))
-    return owned.join(near, "class_id", "left").select("node", "text_md5", "rows", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
+    return owned.join(near, "class_id", "left").select("node", "doc_id", "text_md5", "rows", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -260,9 +302,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found, _ = materialise(groups(docs), "groups")
     rows = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return rows.select(
-        F.when(F.col("node") >= 0, F.col("node")).alias("doc_id"), "class_id", "group_id", ((F.col("node") == F.col("group_id")) & (F.col("copy") == 1)).alias("kept")
-    )
+    return rows.select("doc_id", "class_id", "group_id", ((F.col("node") == F.col("group_id")) & (F.col("copy") == 1)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
