@@ -10,13 +10,17 @@ travels as one row (digit, hash of the run's bytes, document, start, windows). R
 repeat, unless the gram that gives the digit occurs in them again, as in periodic text; such runs are always compared. A run equal to an earlier one is a repeat as a whole. What is left, different runs of one digit, is ordered
 by further passes of eight bytes each, most significant first, dropping windows as soon as they are alone.
 
+Equal digits, runs and windows of a hot digit are told by 64-bit hashes. A run goes on hash equality only against runs of the same
+digit: with P pairs of different runs that share a digit, the odds that any byte goes wrongly are P / 2^64. Everything else is
+decided by bytes.
+
 Skew: each task first combines equal runs, so a passage that every document holds sends one row a task. A digit that
 one task sees in over ``HOT`` different runs (the edges of such a passage) is dealt by its single windows, which
-are combined in the same way. No group grows with the number of documents.
+are combined in the same way. A digit's rows are those that its tasks kept, at most ``HOT`` for each combination in a task.
 
 Cases: a null text is empty; texts under LENGTH bytes keep all; rows that repeat a doc_id and text don't remove
-each other; of rows that share a doc_id but not the text, what is removed in one is removed in all; null doc_ids
-come first; an empty table gives no rows.
+each other; rows that share a doc_id but not the text are documents of their own, none earlier than the other; null doc_ids
+come first; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm import hashing
@@ -38,6 +42,8 @@ LENGTH, GRAM = 100, 24
 #: Windows in a run at most; rows combined in a task at a time; different runs of one digit in a task; bytes sorted at a time.
 RUN, COMBINE, HOT, SORT_BYTES = 128, 1 << 20, 64, 2 << 20
 U = np.uint64
+#: A start is a byte's offset, with the number of the text among those of its doc_id (0 but where several differ) above so many bits.
+TWIN = 36
 #: Added to a run's windows if its digit's gram occurs in it again, so that the run may repeat itself.
 SELF = 1 << 20
 #: Kinds of rows: a digit is hot, a run to compare, bytes to remove, a run of a hot digit.
@@ -102,6 +108,23 @@ def windows_by_digit(offsets: np.ndarray, data: np.ndarray, length: int = LENGTH
     return least[start], whole, text, start - offsets[text], count + own
 
 
+def elders(node: np.ndarray, s: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows with ``first``, the oldest row that equals them: which rows are the oldest of their document there and have
+    none of another before them, and which go. Texts that share a doc_id are of one age; rows that are the same place neither stay
+    twice nor go."""
+    here = np.arange(len(node))
+    if not (s >> TWIN).any():
+        return first == here, (node != node[first]) | (s != s[first])
+    same = node == node[first]
+    at = np.flatnonzero(same)
+    order = at[np.lexsort((s[at], s[at] >> TWIN, first[at]))]
+    of, twin = first[order], s[order] >> TWIN
+    new = np.append(True, (of[1:] != of[:-1]) | (twin[1:] != twin[:-1])) if len(order) else np.zeros(0, bool)
+    lead = here.copy()
+    lead[order] = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return same & (lead == here), ~same | (s != s[lead])
+
+
 def combine(g, h, node, s, n) -> Iterator[pa.RecordBatch]:
     """Of equal runs only the earliest goes on; later ones are removals. Digits with many runs are spread."""
     if not len(g):
@@ -109,10 +132,9 @@ def combine(g, h, node, s, n) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((s, node, h, g))
     g, h, node, s, n = (x[order] for x in (g, h, node, s, n))
     new = np.append(True, (g[1:] != g[:-1]) | (h[1:] != h[:-1]))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    later = (node != node[first]) | (s != s[first])
+    stay, later = elders(node, s, np.flatnonzero(new)[np.cumsum(new) - 1])
     yield batch_of(REMOVE, hashing.mix(h[later] ^ node[later].astype(U)), 0, node[later], s[later], n[later] % SELF + LENGTH - 1)
-    g, h, node, s, n = (x[new] for x in (g, h, node, s, n))
+    g, h, node, s, n = (x[stay] for x in (g, h, node, s, n))
     start = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
     many = np.diff(np.append(start, len(g))) > HOT
     hot = np.repeat(many, np.diff(np.append(start, len(g))))
@@ -122,13 +144,13 @@ def combine(g, h, node, s, n) -> Iterator[pa.RecordBatch]:
 
 
 def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (node, text): the runs of each text, combined within the task."""
+    """For mapInArrow over (node, twin, text): the runs of each text, combined within the task."""
     held, rows = [], 0
     for batch in batches:
-        nodes = batch.column("node").to_numpy(zero_copy_only=False)
+        nodes, twins = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "twin"))
         for a, offsets, data in hashing.text_chunks(batch.column("text"), 1 << 20):
             g, h, text, s, n = windows_by_digit(offsets, data)
-            held.append((g, h, nodes[a + text], s, n))
+            held.append((g, h, nodes[a + text], s + (twins[a + text] << TWIN), n))
             rows += len(g)
             if rows >= COMBINE:
                 yield from combine(*map(np.concatenate, zip(*held, strict=True)))
@@ -146,9 +168,10 @@ def settle(kind, g, h, node, s, n) -> Iterator[pa.RecordBatch]:
     runs = np.repeat(np.add.reduceat(new.astype(np.int64), start), size)
     live = kind == COMPARE
     first = np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))
-    later = live & ~new & ((node != node[first]) | (s != s[first]))
+    stay, goes = elders(node, s, first)
+    later, stay = live & goes, live & stay
     yield batch_of(REMOVE, 0, 0, node[later], s[later], n[later] % SELF + LENGTH - 1)
-    for chosen, what in ((new & hot, SPREAD), (new & ~hot & ((runs > 1) | (n >= SELF)), COMPARE)):
+    for chosen, what in ((stay & hot, SPREAD), (stay & ~hot & ((runs > 1) | (n >= SELF)), COMPARE)):
         yield batch_of(what, g[chosen], g[chosen], node[chosen], s[chosen], n[chosen] % SELF)
 
 
@@ -177,11 +200,11 @@ def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For mapInArrow over (doc_id, node, text): the texts compressed, so that dealing them out is cheap."""
+    """For mapInArrow over (doc_id, node, twin, text): the texts compressed, so that dealing them out is cheap."""
     to = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         packed = pa.array([to.compress(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), packed], ["doc_id", "node", "packed"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), batch.column("twin"), packed], ["doc_id", "node", "twin", "packed"])
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,10 +223,9 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((s, node, key))
         key, node, s = key[order], node[order], s[order]
         new = np.append(True, key[1:] != key[:-1])
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (node != node[first]) | (s != s[first])
+        stay, later = elders(node, s, np.flatnonzero(new)[np.cumsum(new) - 1])
         yield rows(hashing.mix(key[later] ^ node[later].astype(U)).view(np.int64), node[later], s[later], [b""] * int(later.sum()), REMOVE)
-        yield rows(key[new].view(np.int64), node[new], s[new], [data[i] for i in order[new]], COMPARE)
+        yield rows(key[stay].view(np.int64), node[stay], s[stay], [data[i] for i in order[stay]], COMPARE)
 
     for batch in batches:
         out = [], [], [], []
@@ -211,9 +233,7 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = of.decompress(packed)
             for run in runs:
                 s, n = run["s"], run["n"]
-                data = text[s : s + n + LENGTH - 1]
-                if len(data) != n + LENGTH - 1:  # of another text under the same doc_id
-                    continue
+                data = text[s % (1 << TWIN) :][: n + LENGTH - 1]
                 if run["kind"] == COMPARE:
                     for x, y in zip(out, (run["g"], node, s, data), strict=True):
                         x.append(y)
@@ -277,7 +297,7 @@ def further_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         age = np.lexsort((s, node, group))  # runs of one document may overlap those of another row of it
         oldest = repeated(group[age], at[age], np.frombuffer(b"".join(datas), np.uint8))
         node, s = node[age], s[age]
-        gone = (node != node[oldest]) | (s != s[oldest])
+        gone = elders(node, s, oldest)[1]
         node, s = node[gone], s[gone]
         order = np.lexsort((s, node))
         node, s = node[order], s[order]
@@ -320,8 +340,8 @@ def cutter(with_text: bool):
                 text = of.decompress(packed)
                 edge = np.zeros(len(text) + 1, np.int64)
                 for x in gone or []:
-                    edge[min(x["s"], len(text))] += 1
-                    edge[min(x["s"] + x["n"], len(text))] -= 1
+                    edge[x["s"] % (1 << TWIN)] += 1
+                    edge[x["s"] % (1 << TWIN) + x["n"]] -= 1
                 dead = np.cumsum(edge)[:-1] > 0
                 kept = np.frombuffer(text, np.uint8)[~dead].tobytes()
                 spans = int(np.count_nonzero(dead & ~np.append(False, dead[:-1]))) if len(dead) else 0
@@ -335,27 +355,44 @@ def cutter(with_text: bool):
     return cut
 
 
+#: Texts that share a doc_id with another: up to so many are broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def with_twins(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (node, text) with ``twin``, the number of the text among the different ones of its node."""
+    hashed = keyed.select("node", F.xxhash64("text").alias("h"))
+    shared, _ = materialise(hashed.groupBy("node").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("node"), "shared-ids")
+    if not shared.limit(1).count():
+        return keyed.withColumn("twin", F.lit(0).cast("long"))
+    numbered = hashed.join(shared, "node", "left_semi").distinct().withColumn("twin", F.row_number().over(Window.partitionBy("node").orderBy("h")).cast("long"))
+    numbered, _ = materialise(numbered, "twins")
+    known = F.broadcast(numbered) if numbered.count() <= BROADCAST_ROWS else numbered
+    return keyed.withColumn("h", F.xxhash64("text")).join(known, ["node", "h"], "left").withColumn("twin", F.coalesce("twin", F.lit(0).cast("long"))).drop("h")
+
+
 def dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """A row for each of ``docs`` (doc_id, text): its bytes, bytes and runs removed, the digest of the rest, and the
     rest itself if asked for (it need not be valid UTF-8: cuts fall between any two bytes)."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    keyed = docs.select("doc_id", node_of(F.col("doc_id"), F.md5(raw)).alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("node", "text").mapInArrow(first_pass, FOUND)
+    keyed = with_twins(docs.select("doc_id", node_of(F.col("doc_id"), F.md5(raw)).alias("node"), F.coalesce("text", F.lit("")).alias("text")))
+    twin = F.shiftrightunsigned("s", TWIN).alias("twin")
+    runs = keyed.filter(F.octet_length("text") >= LENGTH).select("node", "twin", "text").mapInArrow(first_pass, FOUND)
     found = runs.repartition("g").sortWithinPartitions("g", "kind", "h", "node", "s").mapInArrow(second_pass, FOUND)
     found, _ = materialise(found, "runs")
     compared = F.collect_list(F.when(F.col("kind") != REMOVE, F.struct("kind", "g", "s", "n")))
-    affected, _ = materialise(found.groupBy("node").agg(compared.alias("runs")), "affected")
-    texts, _ = materialise(keyed.mapInArrow(squeeze, "doc_id long, node long, packed binary").join(affected, "node"), "texts")
+    affected, _ = materialise(found.groupBy("node", twin).agg(compared.alias("runs")), "affected")
+    texts, _ = materialise(keyed.select("doc_id", "node", "twin", "text").mapInArrow(squeeze, "doc_id long, node long, twin long, packed binary").join(affected, ["node", "twin"]), "texts")
     bytes_of = texts.filter(F.size("runs") > 0).select("node", "packed", "runs").mapInArrow(contexts, "key long, node long, s long, data binary, kind int")
     further = bytes_of.repartition("key").sortWithinPartitions("key", "node", "s").mapInArrow(further_passes, "node long, s long, n long")
     gone = found.filter(F.col("kind") == REMOVE).select("node", "s", "n").unionByName(further)
-    gone = gone.groupBy("node").agg(F.collect_list(F.struct("s", "n")).alias("gone"))
-    touched = texts.select("doc_id", "node", "packed").join(gone, "node", "left").select("doc_id", "packed", "gone").mapInArrow(cutter(with_text), RESULT)
+    gone = gone.groupBy("node", twin).agg(F.collect_list(F.struct("s", "n")).alias("gone"))
+    touched = texts.select("doc_id", "node", "twin", "packed").join(gone, ["node", "twin"], "left").select("doc_id", "packed", "gone").mapInArrow(cutter(with_text), RESULT)
     bytes_ = F.encode("text", "UTF-8")
     whole = keyed.select(
-        "doc_id", "node", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
+        "doc_id", "node", "twin", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"),
         F.sha2(bytes_, 256).alias("kept_sha256"), (bytes_ if with_text else F.lit(None).cast("binary")).alias("kept"),
-    ).join(affected.select("node"), "node", "left_anti").drop("node")
+    ).join(affected.select("node", "twin"), ["node", "twin"], "left_anti").drop("node", "twin")
     return whole.unionByName(touched)
 
 

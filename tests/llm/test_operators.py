@@ -201,6 +201,27 @@ def test_large_components_lose_no_link(spark, docs, texts, monkeypatch):
     assert {r.node: r.group_id for r in bagminhash.groups(docs).collect() if r.node >= 0} == near_groups(texts)
 
 
+def test_families_in_one_component_are_told_apart(spark, monkeypatch):
+    """Two families of copies and strays between them, more than a block, with ids of every sign."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 8)
+    rng, base = random.Random(8), [f"w{i}" for i in range(120)]
+    half = base[:88] + [f"v{i}" for i in range(32)]
+
+    def near(words, n):
+        w = list(words)
+        for _ in range(n):
+            w[rng.randrange(len(w))] = f"x{rng.random()}"
+        return " ".join(w)
+
+    texts = [near(base, 2) for _ in range(25)] + [near(half, 2) for _ in range(25)] + [near(base[:100] + half[100:], k) for k in range(6)] + ["a b c d e f g"] * 3
+    ids = [*range(-30, 0), *range(10**6, 10**6 + len(texts) - 30)]
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    df = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
+    want = {ids[i]: ids[g] for i, g in near_groups([texts[i] for i in order]).items()}
+    found = bagminhash.groups(df).collect()
+    assert {r.doc_id: r.group_id for r in found} == want and len(set(want.values())) > 2
+
+
 def test_null_ids_are_deduplicated(spark):
     df = spark.createDataFrame([(None, "a b c d e f g"), (None, "a b c d e f g"), (3, "q r s t u v w")], "doc_id long, text string")
     assert sorted(r.text for r in bagminhash.deduplicate(df).collect()) == ["a b c d e f g", "q r s t u v w"]
@@ -260,6 +281,13 @@ def test_repeated_rows_and_empty_tables(spark):
     got = sorted((str(r.doc_id), r.n_removed) for r in substrings.dedup(df).collect())
     own = cut_brute([t])[0][1]
     assert got == [("1", own), ("1", own), ("2", 250), ("None", 0)]
+    a, b, c = "".join(f"{i:03d}" for i in range(120)), "".join(f"x{i:03d}" for i in range(100)), "".join(f"y{i:03d}" for i in range(50))
+    mixed = [(1, a + c), (2, b + c), (2, a + "!" + b), (2, b + c), (-7, c[:150]), (3, b), (None, a[:120])]
+    df = spark.createDataFrame(mixed, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in substrings.dedup(df).collect())
+    # a stands before in document 1, which lost 120 of it to the null id, c in -7 and then 1; the two texts of document 2 don't touch each other;
+    # a and b both end in 9, so c goes with a byte before it
+    assert got == sorted([("1", 560, 120 + 150), ("2", 600, 201), ("2", 600, 201), ("2", 761, 360), ("-7", 150, 0), ("3", 400, 400), ("None", 120, 0)])
     assert substrings.dedup(df.limit(0)).count() == 0
 
 
