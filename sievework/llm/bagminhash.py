@@ -38,6 +38,8 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 BANDS, ROWS = 30, 5
 #: Texts in a block of comparisons; columns of one product; band rows combined in a task at a time.
 BLOCK, COLUMNS, COMBINE = 256, 8192, 1 << 21
+#: Candidate texts whose keys (about 50 bytes each) are broadcast to pick their texts; more are joined by shuffling.
+BROADCAST_KEYS = 500_000
 U = np.uint64
 
 
@@ -246,7 +248,7 @@ def compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def star_links(texts: DataFrame, members: DataFrame, stars: DataFrame) -> DataFrame:
     """Links (a, b) of the texts of ``members`` (node, label) to the smallest text that each shares a bucket with."""
-    mine, _ = materialise(texts.join(members.select("node"), "node"), "large-texts")
+    mine = texts.join(members, "node", "left_semi")
     least = stars.join(members.select(F.col("node").alias("a")), "a", "left_semi").groupBy("a").agg(F.min("b").alias("b"))
     pairs = least.join(mine.select(F.col("node").alias("a"), "text"), "a").join(mine.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
     return materialise(pairs.select("a", "text", "b", "other").mapInArrow(compare_pairs, "a long, b long"), "star-links")[0]
@@ -291,7 +293,9 @@ def groups(docs: DataFrame) -> DataFrame:
     lone = owned.filter("node = class_id").select("node", "text_md5")
     banded = signed.filter("size(bands) > 0").join(lone, ["node", "text_md5"], "left_semi").select("node", "bands")
     members, stars = candidates(banded)
-    texts = keyed.join(lone.join(members, "node", "left_semi"), ["node", "text_md5"], "left_semi").select("node", "text")
+    wanted, _ = materialise(lone.join(members, "node", "left_semi"), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    texts, _ = materialise(keyed.join(wanted, ["node", "text_md5"], "left_semi").select("node", "text"), "texts")
     label = components(verified(texts, members, stars))
     near = label.select(F.col("node").alias("class_id"), F.col("label").alias("group_id"))
     return owned.join(near, "class_id", "left").select("node", "doc_id", "text_md5", "rows", "class_id", F.coalesce("group_id", "class_id").alias("group_id"))
