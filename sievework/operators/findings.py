@@ -102,6 +102,17 @@ def page(findings: DataFrame, number: int = 1, per_page: int = PER_PAGE) -> Data
     return findings.orderBy(F.desc("last_seen"), "locator_hash").offset((max(1, number) - 1) * per_page).limit(per_page)
 
 
+def page_with_total(findings: DataFrame, number: int = 1, per_page: int = PER_PAGE) -> DataFrame:
+    """A page whose rows carry ``total``, the number of findings that the pages are cut from."""
+    return page(findings, number, per_page).join(F.broadcast(findings.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def page_after(findings: DataFrame, last_seen: Column, locator_hash: Column, per_page: int = PER_PAGE) -> DataFrame:
+    """The page after a finding in the order of ``page``: the key is a filter, so no earlier rows are sorted or skipped."""
+    after = (F.col("last_seen") < last_seen) | ((F.col("last_seen") == last_seen) & (F.col("locator_hash") > locator_hash))
+    return findings.filter(after).orderBy(F.desc("last_seen"), "locator_hash").limit(min(max(1, per_page), MOST_PER_PAGE))
+
+
 def page_count(total: Column, per_page: int = PER_PAGE) -> Column:
     return F.ceil(total / F.lit(per_page))
 
@@ -114,6 +125,13 @@ def counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("state", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+def counts_by_type(findings: DataFrame) -> DataFrame:
+    """Findings of each state and type, 0 where there is none."""
+    dims = findings.sparkSession.createDataFrame([(s, t) for s in STATES for t in TYPES], "state string, type string")
+    n = findings.groupBy("state", "type").agg(F.count(F.lit(1)).alias("n"))
+    return F.broadcast(dims).join(n, ["state", "type"], "left").select("state", "type", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def dense_counts(findings: DataFrame) -> DataFrame:
     """Every state and severity, 0 where there is none; the dimensions are six literals."""
     dims = findings.sparkSession.createDataFrame([(s, v) for s in STATES for v in SEVERITIES], "state string, severity string")

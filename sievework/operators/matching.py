@@ -48,13 +48,13 @@ def tier_rank(tier: Column) -> Column:
 def hash_matches(files: DataFrame, hash_rules: DataFrame, key: str = "path") -> DataFrame:
     """(key, position, sig): md5 first, then sha256; both may match."""
     both = files.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(k).alias("kind"), F.col(k).alias("hex")) for i, k in enumerate(("md5", "sha256"))])).alias("h"))
-    return both.select(key, "h.*").join(F.broadcast(hash_rules), ["kind", "hex"]).select(key, "position", "sig")
+    return both.select(key, "h.*").join(small(hash_rules, hash_rules.count()), ["kind", "hex"]).select(key, "position", "sig")
 
 
 def allowed(files: DataFrame, allow: DataFrame) -> DataFrame:
     """``files`` with ``is_allowed``: the list has its md5, or its md5, an O and its size."""
     keys = F.array(F.col("md5"), F.concat("md5", F.lit("O"), F.col("size").cast("string")))
-    hits = files.select("path", F.explode(keys).alias("key")).join(F.broadcast(allow), "key", "left_semi").select("path").distinct()
+    hits = files.select("path", F.explode(keys).alias("key")).join(small(allow, allow.count()), "key", "left_semi").select("path").distinct()
     return files.join(hits.withColumn("is_allowed", F.lit(True)), "path", "left").withColumn("is_allowed", F.coalesce("is_allowed", F.lit(False)))
 
 

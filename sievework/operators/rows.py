@@ -15,7 +15,8 @@ from sievework.sources.pack import byte_pattern, java_pattern
 #: Characters of a cell that are matched.
 CELL = 1 << 20
 AUTOLOADED = ("yes", "on", "auto", "auto-on")
-META_KEYS = ("_wp_attached_file", "_wp_page_template", "_elementor_data")
+#: Keys of the meta rows that are scanned.
+META_KEYS = ("_wp_page_template", "_elementor_data", "_menu_item_url")
 
 
 def like_literal(text: str) -> str:

@@ -206,8 +206,7 @@ HASH_RULES_SQL = "r AS (SELECT 'md5' AS kind, md5(text) AS hex, (doc_id % 7)::IN
 def hash_lookup(spark, sf_dir):
     f = hashed_documents(spark, sf_dir)
     r = f.filter("doc_id % 20 = 0").selectExpr("'md5' AS kind", "md5 AS hex", "CAST(doc_id % 7 AS INT) AS sig").unionByName(f.filter("doc_id % 30 = 0").selectExpr("'sha256' AS kind", "sha256 AS hex", "CAST(doc_id % 5 AS INT) AS sig"))
-    keyed = f.select("doc_id", F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(k).alias("kind"), F.col(k).alias("hex")) for i, k in enumerate(("md5", "sha256"))])).alias("h"))
-    return keyed.select("doc_id", "h.*").join(r, ["kind", "hex"]).select("doc_id", "position", "sig").distinct()
+    return matching.hash_matches(f, r, "doc_id").distinct()
 
 
 @register(f"WITH {FILES_SQL}, a AS (SELECT DISTINCT CASE WHEN doc_id % 2 = 0 THEN md5 ELSE md5 || 'O' || size END AS k FROM f WHERE doc_id % 9 = 0) SELECT doc_id, EXISTS (SELECT 1 FROM a WHERE k = md5 OR k = md5 || 'O' || size) AS is_allowed FROM f")
@@ -385,6 +384,26 @@ def findings_page(spark, sf_dir):
     return findings.page(chosen, 2).select("event_id", "locator_hash", "state", "last_seen")
 
 
+@register(f"WITH {FIND_SQL} SELECT event_id, locator_hash, last_seen, (SELECT count(*) FROM f WHERE severity = 'alert') AS total FROM f WHERE severity = 'alert' ORDER BY last_seen DESC, locator_hash LIMIT 50 OFFSET 100")
+def findings_page_with_total(spark, sf_dir):
+    return findings.page_with_total(findings.select_findings(event_findings(spark, sf_dir), severity="alert"), 3).select("event_id", "locator_hash", "last_seen", "total")
+
+
+@register(f"""WITH {FIND_SQL}, k AS (SELECT last_seen AS s, locator_hash AS h FROM f ORDER BY last_seen DESC, locator_hash LIMIT 1 OFFSET 50)
+SELECT event_id, locator_hash, last_seen FROM f, k WHERE last_seen < s OR last_seen = s AND locator_hash > h ORDER BY last_seen DESC, locator_hash LIMIT 50""")
+def findings_page_after(spark, sf_dir):
+    f = event_findings(spark, sf_dir)
+    last = findings.page(f, 2, 50).select("last_seen", "locator_hash").first()  # one row: where the reader's page ended
+    return findings.page_after(f, F.lit(last.last_seen), F.lit(last.locator_hash)).select("event_id", "locator_hash", "last_seen")
+
+
+@register(f"""WITH {FIND_SQL}, d AS (SELECT s AS state, t AS type FROM unnest(['new', 'acknowledged', 'ignored']) a(s), unnest(['file', 'integrity', 'db', 'vulnerability']) b(t)),
+n AS (SELECT state, ['file', 'integrity', 'db', 'vulnerability'][event_id % 3 + 1] AS type, count(*) AS n FROM f GROUP BY ALL) SELECT state, type, coalesce(n, 0) AS n FROM d LEFT JOIN n USING (state, type)""")
+def findings_by_type(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, findings.TYPES)), (F.col("event_id") % 3).cast("int"))
+    return findings.counts_by_type(event_findings(spark, sf_dir).withColumn("type", kind))
+
+
 @register(f"WITH {FIND_SQL} SELECT count(*) FILTER (state <> 'ignored') AS \"all\", count(*) FILTER (state = 'new' AND severity = 'alert') AS alerts, count(*) FILTER (state = 'new' AND severity = 'review') AS review, count(*) FILTER (state = 'acknowledged') AS acknowledged, count(*) FILTER (state = 'ignored') AS ignored FROM f")
 def findings_views(spark, sf_dir):
     return findings.chips(event_findings(spark, sf_dir))
@@ -609,13 +628,13 @@ def decoded_payload(spark, sf_dir):
     return page.select("page_id", F.explode(heuristics.decoded(F.col("text"))).alias("d")).select("page_id", "d.decoder", "d.payload")
 
 
-@register("""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z_]+')), lambda x: length(x) >= 9) AS ws0, list_sort(ws0)[1:20] AS ws FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS text FROM documents)),
+@register("""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z_]+')), lambda x: length(x) >= 9) AS ws FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS text FROM documents)),
 u AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) + 1), lambda i: {'i': i, 'w': ws[i]}), recursive := true) FROM w), c AS (SELECT doc_id, i, w, unnest(string_split(w, '')) AS ch FROM u), k AS (SELECT doc_id, i, w, ch, count(*) AS n FROM c WHERE ch <> '' GROUP BY ALL),
 e AS (SELECT doc_id, i, w, -sum(n * 1.0 / length(w) * log2(n * 1.0 / length(w))) AS h FROM k GROUP BY ALL)
 SELECT doc_id, count(*)::INT AS n, round(avg(h), 6) AS entropy, round(avg(CASE WHEN regexp_matches(w, '^[O0Il_]{4,}$') OR (length(w) >= 10 AND NOT regexp_matches(w, '(?i)[aeiou]')) THEN 1.0 ELSE 0.0 END), 6) AS generated FROM e GROUP BY doc_id""")
 def identifier_entropy(spark, sf_dir):
     clean = F.regexp_replace("text", r"[^A-Za-z\s]", "")
-    names = F.slice(F.array_sort(F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit("[A-Za-z_]+"), F.lit(0))), lambda x: F.length(x) >= 9)), 1, 20)
+    names = F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit("[A-Za-z_]+"), F.lit(0))), lambda x: F.length(x) >= 9)
     d = table(spark, sf_dir, "documents").select("doc_id", heuristics.identifier_entropy(names).alias("e"))
     return d.filter("e.n > 0").select("doc_id", "e.n", "e.entropy", "e.generated")
 
@@ -624,7 +643,7 @@ def identifier_entropy(spark, sf_dir):
 
 
 @register("""SELECT doc_id, CASE WHEN length(text) > 60 THEN rtrim(substring(text, 1, 59)) || '…' ELSE text END AS short, substring(trim(regexp_replace(text, '[\\x00-\\x1F\\x7F]+', ' ', 'g')), 1, 120) AS line,
- CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', round(n_chars / 1024.0, 1)) END AS size FROM documents WHERE n_chars < 100000""")
+ CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f KB', round(n_chars / 1024.0, 1)) WHEN n_chars < 1073741824 THEN printf('%.1f MB', round(n_chars / 1048576.0, 1)) ELSE printf('%.1f GB', round(n_chars / 1073741824.0, 1)) END AS size FROM documents""")
 def formatted_cells(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.truncated(F.col("text"), 60).alias("short"), text.clean_line(F.col("text")).alias("line"), text.human_bytes(F.col("n_chars")).alias("size"))

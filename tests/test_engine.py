@@ -268,3 +268,25 @@ def test_taint_follows_long_chains(spark):
     st = heuristics.statements(spark.createDataFrame([("p", code)], "path string, text string"))
     t = heuristics.taint(st)
     assert t.count() == 21 and [r.sink for r in heuristics.source_to_sink(st, t).collect()] == ["eval"]
+
+
+def test_a_run_that_dies_leaves_the_version_before_it(spark, tmp_path, monkeypatch):
+    from sievework.plans import snapshots
+
+    root, one = str(tmp_path / "state"), lambda n: {"t": spark.range(n)}
+    assert snapshots.current(spark, root) is None and snapshots.load(spark, root, "t") is None
+    assert snapshots.commit(one(3), root, {}) == 1
+    real = snapshots._path
+    with monkeypatch.context() as m:  # the tables and the new pointer are written, the rename never comes
+
+        def dies(spark, name):
+            if name.endswith("CURRENT.2"):
+                raise KeyboardInterrupt
+            return real(spark, name)
+
+        m.setattr(snapshots, "_path", dies)
+        with pytest.raises(KeyboardInterrupt):
+            snapshots.commit(one(9), root, {})
+    assert snapshots.current(spark, root)["version"] == 1 and snapshots.load(spark, root, "t").count() == 3
+    assert snapshots.commit(one(5), root, {}) == 2 and snapshots.load(spark, root, "t").count() == 5
+    assert snapshots.load(spark, root, "other") is None
