@@ -561,6 +561,50 @@ def test_mix_meets_targets(spark, docs):
     assert again.columns == docs.columns and mixing.mixed_documents(empty(spark)).count() == 0
 
 
+def mix_brute(rows, block):
+    """{doc_id: words taken}, and the sources' slots in order of turn, in plain Python for rows (doc_id, source, text) with doc_ids of their own."""
+    import xxhash
+
+    long = lambda n, seed: xxhash.xxh64_intdigest((n % (1 << 64)).to_bytes(8, "little"), seed)
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, _, t in rows}
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    words = [sum(size[i] for i, s, _ in rows if s == n) for n in names]
+    goal = mixing.targets([float(w) for w in words], [mixing.WEIGHTS[k % 3] for k in range(len(names))])
+    taken, slots, low, spans = {}, [], 0.0, []
+    for n, w, t in zip(names, words, goal, strict=True):
+        take = min(round(t), 2 * w)
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        key = lambda r: (signed(long(zlib.crc32((r[2] or "").encode()), long(r[0], xxhash.xxh64_intdigest(b"mix", 42)))), r[0])
+        at = 0
+        for i, _, _ in sorted((r for r in rows if r[1] == n), key=key):
+            taken[i] = sum(max(0, min(at + size[i], take - k * w) - at) for k in range(2))
+            at += size[i]
+        whole = -(-w // block)
+        slots.append((take // w) * whole + -(-(take % w) // block) if w else 0)
+        spans.append((int(low / sum(goal) * mixing.POINTS), int((low + t) / sum(goal) * mixing.POINTS)))
+        low += t
+    order, given = [], [0] * len(names)
+    for i in range(sum(slots)):
+        point = (i + 1) * mixing.GOLDEN % mixing.POINTS
+        k = next((k for k, (a, b) in enumerate(spans) if a <= point < b), None)
+        if k is not None and given[k] < slots[k]:
+            order.append((k, given[k]))
+            given[k] += 1
+    late = sorted((j - given[k], k, j) for k in range(len(names)) for j in range(given[k], slots[k]))
+    return taken, order + [(k, j) for _, k, j in late]
+
+
+def test_mix_equals_plain_python(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["a", "b", "c", None, "é"]), rng.choice([None, "", "w " * rng.randrange(1, 60), "x y"])) for i in range(120)]
+    keyed = spark.createDataFrame([(*r, "e") for r in rows], "doc_id long, source string, text string, sid string").withColumn("rid", F.monotonically_increasing_id())
+    stream, _, pieces = mixing.mix(keyed, block=16)
+    taken, order = mix_brute(rows, 16)
+    got = {r.doc_id: r.n or 0 for r in stream.join(pieces.groupBy("rid").agg(F.sum("words").alias("n")), "rid", "left").select("doc_id", "n").collect()}
+    assert got == taken
+    assert [(r.sid, r.k) for r in pieces.select("sid", "k", "turn").distinct().orderBy("turn").collect()] == order
+
+
 @pytest.mark.parametrize("sizes", [[100.0, 100, 100], [1, 1000, 50], [0, 10, 0], [], [5, 5, 5, 5, 5, 5, 5]])
 def test_targets_share_the_excess(sizes):
     w = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
