@@ -41,7 +41,14 @@ def repeated_words(words: Column) -> Column:
 
     A window is hashed to 64 bits, built from its words' hashes in three pairwise passes. Only where two hashes are equal are
     they sorted, as half a hash over the position in one primitive array; windows whose neighbour there has the same half are
-    candidates. Every repeated window is among them, and they are compared by their words, so the count is exact."""
+    candidates. Every repeated window is among them, and they are compared by their words, so the count is exact.
+
+    The words are bound once: a filter on the count is pushed below the projection that splits the text, and would
+    otherwise split it again for each candidate."""
+    return let(words, _repeated)
+
+
+def _repeated(words: Column) -> Column:
     n = F.size(words)
     zero = F.lit(0).cast("long")
 

@@ -402,6 +402,7 @@ def test_quality_counts(spark, docs, texts):
         assert q.base_failed == (q.n_words < 10 or 100 * q.n_repeat_words > 20 * q.n_words) and not (q.base_failed and q.kept)
     assert quality.keep_good(df).columns == df.columns and quality.judge(empty(spark)).count() == 0
     plan = quality.keep_good(df)._jdf.queryExecution().executedPlan().toString()
+    assert "slice(CASE" not in plan and "slice(split" not in plan  # the text isn't split again for each window
     assert "Python" not in plan and "Pandas" not in plan
 
 
