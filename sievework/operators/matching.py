@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import ascii_lower, basename, excerpt, line_of, word_set
+from sievework.functions.text import EXCERPT_BEFORE, EXCERPT_BYTES, ascii_lower, basename, excerpt, line_of, word_set
 from sievework.sources.files import CHUNK, OVERLAP
 from sievework.sources.pack import Pack, byte_pattern, java_pattern
 
@@ -188,7 +188,7 @@ class ByteMatcher:
 
 
 def byte_matcher(files: DataFrame, pack: Pack, chunk: int = CHUNK, overlap: int = OVERLAP, only: set[int] | None = None) -> DataFrame:
-    """(path, layer, chunk, position, sig, pos, line, errors) for files (path, content, targets, hash_infected). The pack
+    """(path, layer, chunk, position, sig, pos, line, errors, excerpt) for files (path, content, targets, hash_infected). The pack
     travels once to each Python worker; rows are small Arrow batches. ``only`` names the regular expressions to try."""
     held = files.sparkSession.sparkContext.broadcast(pack)
 
@@ -197,8 +197,12 @@ def byte_matcher(files: DataFrame, pack: Pack, chunk: int = CHUNK, overlap: int
         for batch in batches:
             rows = []
             for path, content, targets, seen in zip(batch["path"], batch["content"], batch["targets"], batch["hash_infected"], strict=True):
-                found, errors = of.scan(bytes(content or b""), set(targets), int(seen))
-                rows += [(path, a, b, c, d, e + 1, f, errors) for a, b, c, d, e, f in found]
-            yield pd.DataFrame(rows, columns=["path", "layer", "chunk", "position", "sig", "pos", "line", "errors"])
-
-    return files.select("path", "content", "targets", "hash_infected").mapInPandas(run, "path string, layer int, chunk int, position int, sig int, pos long, line int, errors int")
+                content = bytes(content or b"")
+                found, errors = of.scan(content, set(targets), int(seen))
+                for a, b, c, d, e, f in found:
+                    start = max(0, e - EXCERPT_BEFORE)
+                    rows.append((path, a, b, c, d, e + 1, f, errors, content[start : start + EXCERPT_BYTES].decode("latin-1")))
+            yield pd.DataFrame(rows, columns=["path", "layer", "chunk", "position", "sig", "pos", "line", "errors", "excerpt"])
+
+    found = files.select("path", "content", "targets", "hash_infected").mapInPandas(run, "path string, layer int, chunk int, position int, sig int, pos long, line int, errors int, excerpt string")
+    return found.withColumn("excerpt", excerpt(F.col("excerpt"), F.lit(1)))

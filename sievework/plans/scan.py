@@ -73,7 +73,7 @@ def match(rows: DataFrame, pack: Pack) -> DataFrame:
     native = matching.suppress(matching.named(native, t["signature"]))
     infected = matching.named(hashes, t["signature"]).filter("tier = 'infected'").groupBy("path").agg(F.count(F.lit(1)).alias("hash_infected"))
     rest = readable.filter(~one).join(infected, "path", "left").withColumn("hash_infected", F.coalesce("hash_infected", F.lit(0)))
-    exact = matching.named(matching.byte_matcher(rest, pack).drop("errors").withColumn("excerpt", F.lit("")), t["signature"])
+    exact = matching.named(matching.byte_matcher(rest, pack).drop("errors"), t["signature"])
     return native.unionByName(exact, allowMissingColumns=True)
 
 

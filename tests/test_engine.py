@@ -88,7 +88,7 @@ def test_native_and_byte_matchers_agree(spark, tmp_path):
     native = scan.match(data, PACK)
     rows_ = data.filter("kind <> 'binary'").withColumn("targets", matching.targets_of(F.col("path"), F.col("kind"))).withColumn("hash_infected", F.lit(0))
     exact = matching.byte_matcher(rows_, PACK)
-    key = ("path", "layer", "position", "sig", "line")
+    key = ("path", "layer", "position", "sig", "line", "excerpt")
     assert sorted(native.filter("layer > 0").select(*key).collect()) == sorted(exact.select(*key).collect())
     assert {r.path for r in native.collect()} == {"a.php", "b.txt", "d.html"}
     assert not native.filter("path = 'a.php' AND sig = 2").count()  # suspicious after infected
