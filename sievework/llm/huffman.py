@@ -195,7 +195,8 @@ def piece_starts(offsets: np.ndarray, data: np.ndarray, begins: np.ndarray, ends
 
 
 class Encoder:
-    """Ids of many texts; each distinct piece is encoded once and remembered under its 64-bit hash and length. New pieces
+    """Ids of many texts; each distinct piece is encoded once and remembered under its 64-bit hash and length, with its bytes.
+    What is remembered counts only where the bytes agree; texts with a piece of other bytes are encoded anew. New pieces
     that may stand side by side are encoded as running text, and the ids' byte lengths tell them apart again."""
 
     def __init__(self, path: str):
@@ -211,6 +212,7 @@ class Encoder:
     def forget(self) -> None:
         self.keys, self.rank = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.uint32)
+        self.spelt, self.held = np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
     def each(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids in each piece, all ids)."""
@@ -239,6 +241,9 @@ class Encoder:
         rank[order] = np.arange(len(self.start), len(self.start) + len(keys))
         self.start, self.size = np.append(self.start, begin), np.append(self.size, size.astype(np.int32))
         self.ids = np.concatenate([self.ids, together[1], apart[1]])
+        spelt = np.fromiter((len(pieces[i]) for i in order), np.int64, len(pieces))
+        self.spelt = np.append(self.spelt, len(self.held) + np.cumsum(spelt) - spelt)
+        self.held = np.concatenate([self.held, np.frombuffer(b"".join(pieces[i] for i in order), np.uint8)])
         self.rank, self.keys = np.insert(self.rank, place, rank), np.insert(self.keys, place, keys)
 
     def encode(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -266,9 +271,28 @@ class Encoder:
         total = np.cumsum(size, dtype=np.int64)
         ids = self.ids[np.repeat(self.start[known] - (total - size), size) + np.arange(int(total[-1]))]
         owner = np.searchsorted(offsets, starts, "right") - 1
-        if len(self.keys) > PIECES or len(self.ids) > 8 * PIECES:
+        sizes = np.bincount(owner, size, texts).astype(np.int64)
+        if (other := self.differing(data, starts, ends, known)).any():
+            sizes, ids = self.anew(np.unique(owner[other]), offsets, data, sizes, ids)
+        if len(self.keys) > PIECES or len(self.ids) > 8 * PIECES or len(self.held) > 32 * PIECES:
             self.forget()
-        return np.bincount(owner, size, texts).astype(np.int64), ids
+        return sizes, ids
+
+    def differing(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Pieces whose bytes aren't those remembered under their hash, byte by byte. A piece starts where the one before it ends."""
+        at = np.repeat(self.spelt[known] - starts, ends - starts) + np.arange(starts[0], ends[-1])
+        wrong = np.flatnonzero(self.held[np.minimum(at, len(self.held) - 1)] != data[starts[0] : ends[-1]]) + starts[0]
+        out = np.zeros(len(starts), bool)
+        out[np.searchsorted(starts, wrong, "right") - 1] = True
+        return out
+
+    def anew(self, texts: np.ndarray, offsets: np.ndarray, data: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``sizes`` and ``ids`` with those of ``texts`` replaced by the tokenizer's own for the whole text."""
+        begin = np.cumsum(sizes) - sizes
+        each = [ids[b : b + n] for b, n in zip(begin, sizes, strict=True)]
+        for t in texts:
+            each[t] = self.each([data[offsets[t] : offsets[t + 1]].tobytes()])[1]
+        return np.fromiter(map(len, each), np.int64, len(each)), np.concatenate(each)
 
 
 _encoders: dict[str, Encoder] = {}

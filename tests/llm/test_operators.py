@@ -653,6 +653,15 @@ def test_encoder_pieces_change_nothing():
     assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.of.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_compares_bytes_when_hashes_collide(monkeypatch):
+    monkeypatch.setattr(huffman.hashing, "mix", lambda x: x * np.uint64(0))  # every piece has the same hash
+    e = huffman.Encoder(huffman.tokenizer_path())
+    for texts in (["one two three", "", None, "one", "é ü x", "one one"], ["four", "one two three four " * 50, "one"]):
+        for _, offsets, data in hashing.text_chunks(pa.array(texts, pa.string())):
+            sizes, ids = e.encode(offsets, data)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [e.of.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_schedule_gives_every_slot(spark):
     sources = spark.createDataFrame([(0, 3000, 0.0, 1.0), (1, 2, 1.0, 1.0), (2, 0, 1.0, 1.0)], "sid int, slots long, low double, high double")
     got = mixing.schedule(sources).collect()  # the second source's share is below the spacing of doubles
