@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import csv
+import json
 import sys
 
 from pyspark.sql import SparkSession
@@ -11,15 +13,22 @@ from pyspark.sql import functions as F
 from sievework.functions.present import presented
 from sievework.operators import findings, inventory
 from sievework.plans import scan, snapshots
+from sievework.sources import records
 from sievework.sources.pack import PackError, load_pack
 
 STATES = {"ack": "acknowledged", "ignore": "ignored", "reopen": "new"}
 
 
 def show(df, form: str) -> None:
-    if form == "json":
+    """Print rows: one JSON object, comma-separated line or YAML list item each, or a table of the first 200."""
+    if form == "csv":
+        out = csv.writer(sys.stdout, lineterminator="\n")
+        out.writerow(df.columns)
+        out.writerows(df.toLocalIterator())
+    elif form in ("json", "yaml"):
         for line in df.toJSON().toLocalIterator():
-            print(line)
+            fields = [f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in json.loads(line).items()]
+            print(line if form == "json" else "- " + "\n  ".join(fields or ["{}"]))
     else:
         df.show(200, truncate=80)
 
@@ -27,7 +36,7 @@ def show(df, form: str) -> None:
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="sievework")
     p.add_argument("--state", required=True, help="snapshot folder")
-    p.add_argument("--format", choices=("table", "json"), default="table")
+    p.add_argument("--format", choices=("table", "json", "csv", "yaml"), default="table")
     sub = p.add_subparsers(dest="command", required=True)
     run = sub.add_parser("run")
     run.add_argument("root")
@@ -36,6 +45,11 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--scope", choices=scan.SCOPES, default="changed")
     run.add_argument("--path")
     run.add_argument("--exclude", action="append", default=[])
+    run.add_argument("--slug", action="append", default=[], help="an installed package, plugin:x or theme:x")
+    run.add_argument("--checksums", help="JSON lines of package, path, md5")
+    run.add_argument("--own", help="JSON object of the scanner's own paths and their md5")
+    run.add_argument("--software", help="JSON lines of kind, slug, version")
+    run.add_argument("--records", help="JSON lines of vulnerability records")
     sub.add_parser("status")
     sub.add_parser("index")
     lister = sub.add_parser("findings")
@@ -48,7 +62,12 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.getOrCreate()
     if a.command == "run":
         try:
-            result = scan.scan(spark, a.root, load_pack(a.pack, a.meta), a.state, a.scope, a.path, excluded=a.exclude)
+            result = scan.scan(
+                spark, a.root, load_pack(a.pack, a.meta), a.state, a.scope, a.path, slugs=a.slug, excluded=a.exclude,
+                checksums=records.checksums(spark, a.checksums) if a.checksums else None, own=records.own_manifest(spark, a.own) if a.own else None,
+                software=spark.read.schema("kind string, slug string, version string").json(a.software) if a.software else None,
+                records=records.vulnerabilities(spark, a.records) if a.records else None,
+            )
         except (PackError, ValueError) as e:
             print(e, file=sys.stderr)
             return 2

@@ -61,18 +61,18 @@ def allowed(files: DataFrame, allow: DataFrame) -> DataFrame:
 def candidates(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
     """(key, lit): literals that may stand in a chunk, because it has all of their words; literals without words always may.
     Chunks' words are joined to the literals' words; only hits are counted, and counts combine before the shuffle."""
-    words = word_set(F.col("text"))
+    words, n = word_set(F.col("text")), literals.count()
     rules = literals.select("lit", "text").distinct().withColumn("of", words)
     index = rules.select("lit", F.size("of").alias("need"), F.explode("of").alias("word"))
     seen = chunks.select(*key, F.explode(words).alias("word"))
-    hits = seen.join(F.broadcast(index), "word").groupBy(*key, "lit").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
+    hits = seen.join(small(index, n), "word").groupBy(*key, "lit").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
     always = rules.filter(F.size("of") == 0).select("lit")
-    return hits.select(*key, "lit").unionByName(chunks.select(*key).join(F.broadcast(always)))
+    return hits.select(*key, "lit").unionByName(chunks.select(*key).join(small(always, n)))
 
 
 def literal_matches(chunks: DataFrame, literals: DataFrame, present: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
     """(key, layer 1, position, sig, pos, line, excerpt): the first place of each literal rule whose target applies."""
-    rules = F.broadcast(literals.withColumnRenamed("text", "literal").withColumn("literal", ascii_lower(F.col("literal"))))
+    rules = small(literals.withColumnRenamed("text", "literal").withColumn("literal", ascii_lower(F.col("literal"))), literals.count())
     if present is None:
         joined = chunks.join(rules, F.array_contains(F.col("targets"), F.col("target")))
     else:
@@ -133,18 +133,21 @@ def drop_overlaps(matches: DataFrame, stride: int = CHUNK - OVERLAP, overlap: in
 
 
 def named(matches: DataFrame, signatures: DataFrame) -> DataFrame:
-    return matches.join(F.broadcast(signatures), "sig")
+    return matches.join(small(signatures, signatures.count()), "sig")
 
 
 class ByteMatcher:
-    """One file at a time over bytes, in the order of a sequential scan."""
+    """One file at a time over bytes, in the order of a sequential scan. With ``only`` it tries no rules but these regular
+    expressions; what other rules suppress is left to the caller."""
 
     def __init__(self, pack: Pack, chunk: int = CHUNK, overlap: int = OVERLAP, quota: int = QUOTA, only: set[int] | None = None):
         self.chunk, self.stride, self.overlap, self.quota = chunk, chunk - overlap, overlap, quota
         self.tier = {s[0]: s[4] for s in pack.signatures}
-        self.literals = [(p, sig, target, text.encode("latin-1", "replace").lower(), lit) for p, lit, sig, target, text in pack.literals]
-        self.texts = {lit: text for _, _, _, text, lit in self.literals}
         self.regexes = [(p, sig, byte_pattern(pattern), first, set(lits), set(targets)) for p, sig, pattern, first, lits, targets in pack.regexes if only is None or p in only]
+        literals = [(p, sig, target, text.encode("latin-1", "replace").lower(), lit) for p, lit, sig, target, text in pack.literals]
+        needed = {lit for r in self.regexes for lit in r[4]}
+        self.texts = {lit: text for _, _, _, text, lit in literals if only is None or lit in needed}
+        self.literals = literals if only is None else []
 
     def scan(self, content: bytes, targets: set[str], hash_infected: int = 0) -> tuple[list[tuple], int]:
         """((layer, chunk, position, sig, offset, line), ...) and the number of patterns that failed."""

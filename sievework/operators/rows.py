@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import excerpt, latin1
-from sievework.operators.matching import tier_rank
+from sievework.operators.matching import named, tier_rank
 from sievework.sources.pack import byte_pattern, java_pattern
 
 #: Characters of a cell that are matched.
@@ -91,7 +91,7 @@ def cell_matches(rows: DataFrame, rules: Iterable[tuple], table: str, key: str,
 def cell_findings(matches: DataFrame, signatures: DataFrame) -> DataFrame:
     """One finding a cell: ids in order of rules, the highest tier, category and excerpt of the first match, the label and
     that match's name as the reason."""
-    rows = matches.join(F.broadcast(signatures), "sig").groupBy("locator", "label").agg(F.array_sort(F.collect_list(F.struct("position", "sig_id", "name", "category", "tier", "excerpt"))).alias("m"))
+    rows = named(matches, signatures).groupBy("locator", "label").agg(F.array_sort(F.collect_list(F.struct("position", "sig_id", "name", "category", "tier", "excerpt"))).alias("m"))
     tier = F.array_max(F.transform("m", lambda x: F.struct(tier_rank(x["tier"]).alias("rank"), x["tier"].alias("tier"))))["tier"]
     first = F.col("m")[0]
     return rows.select(

@@ -39,8 +39,10 @@ class Result:
     version: int
 
 
-def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None) -> DataFrame:
+def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None, own: DataFrame | None = None) -> DataFrame:
     """``rows`` (path, content) with hashes, kind, origin, integrity and path signal."""
+    if checksums is None and own is not None:
+        checksums = rows.sparkSession.createDataFrame([], "package string, path string, md5s array<string>")
     out = source.hashed(rows).withColumn("kind", classify.content_kind(classify.head_of(F.col("content")), extension(F.col("path"))))
     out = out.withColumn("origin", classify.origin(F.col("path"), F.array(*[F.lit(s) for s in slugs]).cast("array<string>")))
     parts = F.split("origin", ":")
@@ -50,7 +52,7 @@ def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None) -
         out = out.withColumns({"integrity": F.lit("unknown"), "expected_md5": F.lit(None).cast("string")})
         in_core = F.lit(None).cast("boolean")
     else:
-        out = integrity.status(out, checksums)
+        out = integrity.status(out, checksums, own)
         in_core = F.col("integrity") != "unknown"
     known = F.col("integrity") == "match"
     rules = classify.signals(F.col("path"), F.col("origin"), F.col("kind"), in_core, known)
@@ -58,22 +60,28 @@ def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None) -
 
 
 def match(rows: DataFrame, pack: Pack) -> DataFrame:
-    """Named matches of files (path, content, md5, sha256, size, kind): natively where every pattern is plain and the file is
-    one chunk, byte by byte for the rest."""
+    """Named matches of files (path, content, md5, sha256, size, kind). Files of one chunk are matched by joins and expressions,
+    but for the patterns that Java would read otherwise, which run over the bytes of the files that may hold what they need;
+    larger files are matched byte by byte."""
     spark = rows.sparkSession
     t = pack.frames(spark)
     rows = matching.allowed(rows, t["allow"]).filter("NOT is_allowed").withColumn("targets", matching.targets_of(F.col("path"), F.col("kind")))
     hashes = matching.hash_matches(rows, t["hash"]).select("path", F.lit(0).alias("chunk"), F.lit(0).alias("layer"), "position", "sig", F.lit(1).cast("long").alias("pos"), F.lit(0).alias("line"), F.lit("").alias("excerpt"))
     readable = rows.filter(~F.col("kind").isin("binary", "archive", "unreadable"))
-    plain = all(java_pattern(r[2]) for r in pack.regexes)
-    one = F.col("size") <= source.CHUNK if plain else F.lit(False)
+    one = F.col("size") <= source.CHUNK
     chunk = source.chunks(readable.filter(one).select("path", "content", "targets"))
     have = matching.candidates(chunk, t["literal"])
+    infected = matching.named(hashes, t["signature"]).filter("tier = 'infected'").groupBy("path").agg(F.count(F.lit(1)).alias("hash_infected"))
+    seen = readable.join(infected, "path", "left").withColumn("hash_infected", F.coalesce("hash_infected", F.lit(0)))
     native = matching.literal_matches(chunk, t["literal"], have).unionByName(matching.regex_matches(chunk, pack.regexes, have)).unionByName(hashes, allowMissingColumns=True)
+    if other := [r for r in pack.regexes if not java_pattern(r[2])]:
+        tried = seen.filter(one)
+        if all(r[4] for r in other):
+            needed = spark.createDataFrame([(lit,) for lit in {lit for r in other for lit in r[4]}], "lit int")
+            tried = tried.join(have.join(matching.small(needed, needed.count()), "lit", "left_semi").select("path"), "path", "left_semi")
+        native = native.unionByName(matching.byte_matcher(tried, pack, only={r[0] for r in other}).drop("errors"))
     native = matching.suppress(matching.named(native, t["signature"]))
-    infected = matching.named(hashes, t["signature"]).filter("tier = 'infected'").groupBy("path").agg(F.count(F.lit(1)).alias("hash_infected"))
-    rest = readable.filter(~one).join(infected, "path", "left").withColumn("hash_infected", F.coalesce("hash_infected", F.lit(0)))
-    exact = matching.named(matching.byte_matcher(rest, pack).drop("errors"), t["signature"])
+    exact = matching.named(matching.byte_matcher(seen.filter(~one), pack).drop("errors"), t["signature"])
     return native.unionByName(exact, allowMissingColumns=True)
 
 
@@ -109,15 +117,15 @@ def incoming_software(software: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = ()) -> Result:
+def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None) -> Result:
     """Scan the tree below ``root`` into the snapshots below ``state``. The pack is pinned by its version: both tables of a
-    run carry it, and are committed together. ``software`` (kind, slug, version) with its vulnerability ``records``, and
+    run carry it, and are committed together. ``own`` (path, md5) lists the scanner's own files. ``software`` (kind, slug, version) with its vulnerability ``records``, and
     ``tables`` of rows, are matched where they are given; without them earlier findings of that type stay."""
     if scope not in SCOPES:
         raise ValueError(f"no scope {scope!r}")
     old = snapshots.load(spark, state, "files")
     run = ((snapshots.current(spark, state) or {}).get("run") or 0) + 1
-    rows = classified(source.contents(spark, root, excluded), slugs or [], checksums)
+    rows = classified(source.contents(spark, root, excluded), slugs or [], checksums, own)
     if scope == "path" and prefix:
         rows = rows.filter(F.col("path").startswith(prefix))
     walked = rows.withColumn("path_hash", inventory.path_hash(F.col("path")))

@@ -1,6 +1,7 @@
 """Scanning, findings and inventory on small tables of our own."""
 
 import base64
+import hashlib
 import json
 import struct
 
@@ -94,6 +95,24 @@ def test_native_and_byte_matchers_agree(spark, tmp_path):
     assert not native.filter("path = 'a.php' AND sig = 2").count()  # suspicious after infected
 
 
+@pytest.mark.parametrize("needed", [[], [1]])
+def test_matcher_is_chosen_by_pattern(spark, tmp_path, needed):
+    mine = pack.Pack(
+        version=3, signatures=[*PACK.signatures, (4, "x", "Unportable", "odd", "infected"), (5, "y", "Unportable too", "odd", "suspicious")], literals=[*PACK.literals, (1, 1, 3, "file_any", "tail word")],
+        regexes=[PACK.regexes[0], (1, 4, "/(ba|d)*blob/", False, needed, ["file_any"]), (2, 2, "/odd[a-z]+/", False, [], ["file_any"]), (3, 5, "/(x|y)*worse/", False, needed, ["file_any"])], hashes=PACK.hashes,
+    )
+    parts = ["odd12 ", "badblob\n", "oddly ", "xyworse ", "tail word\n", "evil_call( "]
+    for n in range(1 << len(parts)):
+        (tmp_path / f"{n}.php").write_text("<?php " + "".join(p for i, p in enumerate(parts) if n >> i & 1))
+    (tmp_path / "hash.txt").write_text("hello")
+    data = scan.classified(files.contents(spark, f"file://{tmp_path}"), [], None)
+    rows_ = data.withColumn("targets", matching.targets_of(F.col("path"), F.col("kind"))).withColumn("hash_infected", F.lit(0))
+    key = ("path", "layer", "position", "sig", "line", "excerpt")
+    got = sorted(scan.match(data, mine).filter("layer > 0").select(*key).collect())
+    assert got == sorted(matching.byte_matcher(rows_, mine).select(*key).collect())
+    assert {r.sig for r in got} == {1, 2, 3, 4, 5}
+
+
 def test_chunked_scan_equals_whole():
     body = b"".join(b"x" * 37 + (b"odd%d" % i if i % 3 == 0 else b"evil_call(") + b"\n" for i in range(60))
     whole = matching.ByteMatcher(PACK, 1 << 20, 1 << 10, quota=10**6).scan(body, {"file_any"})[0]
@@ -218,10 +237,33 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["--state", state, "--format", "json", "findings", "--severity", "alert"]) == 0
     found = json.loads(capsys.readouterr().out)
     assert (found["title"], found["detected_by"], found["state"]) == ("x.php", "signature", "new")
+    assert main(["--state", state, "--format", "yaml", "findings"]) == 0
+    assert '- locator_hash: "' in (said := capsys.readouterr().out) and '\n  title: "x.php"\n' in said
+    assert main(["--state", state, "--format", "csv", "findings"]) == 0
+    assert capsys.readouterr().out.splitlines()[0] == "locator_hash,severity,state,title,subtitle,detected_by,shown"
     assert main(["--state", state, "ignore", found["locator_hash"]]) == 0
     assert snapshots.load(spark, state, "findings").select("state").first().state == "ignored"
 
 
+def test_command_line_takes_published_lists(spark, tmp_path, capsys):
+    from sievework.__main__ import main
+
+    site = tmp_path / "site" / "wp-content/plugins/p"
+    site.mkdir(parents=True)
+    (site / "a.php").write_text("<?php 1;")
+    (site / "own.php").write_text("<?php 2;")
+    (tmp_path / "sums").write_text("".join(json.dumps({"package": "plugin:p", "path": f, "md5": "0"}) + "\n" for f in ("a.php", "own.php")))
+    (tmp_path / "own").write_text(json.dumps({"wp-content/plugins/p/own.php": hashlib.md5(b"<?php 2;").hexdigest()}))
+    (tmp_path / "software").write_text(json.dumps({"kind": "plugin", "slug": "p", "version": "1.0"}))
+    below = {"a": {"from_version": "*", "to_version": "1.5", "from_inclusive": True, "to_inclusive": True}}
+    (tmp_path / "records").write_text(json.dumps({"id": "v1", "title": "Hole", "informational": False, "software": [{"type": "plugin", "slug": "p", "name": "p", "patched": True, "patched_versions": ["2"], "affected_versions": below}], "references": []}))
+    at, state = encoded_pack(tmp_path), f"file://{tmp_path}/state"
+    lists = [x for k in ("own", "software", "records") for x in (f"--{k}", f"file://{tmp_path}/{k}")]
+    assert main(["--state", state, "run", f"file://{tmp_path}/site", "--pack", str(at), "--slug", "plugin:p", "--checksums", f"file://{tmp_path}/sums", *lists]) == 1
+    found = {(r.type, r.locator) for r in snapshots.load(spark, state, "findings").collect()}
+    assert found >= {("integrity", "wp-content/plugins/p/a.php"), ("vulnerability", "plugin:p")} and not any("own.php" in x for _, x in found)
+
+
 def test_records(spark, tmp_path):
     from sievework.functions import present
     from sievework.sources import records
