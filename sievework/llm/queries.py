@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import bagminhash, huffman, licenses, mixing, preference, quality, sharding, substrings, templates, warc
+from sievework.llm import bagminhash, divergence, filter_audit, huffman, licenses, mixing, preference, quality, sharding, substrings, templates, warc
 
 QUERIES = {
     "op1_warc_zstd": warc.query,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_license_scan": licenses.query,
     "op9_source_mixing": mixing.query,
     "op10_huffman_token_ids": huffman.query,
+    "op11_filter_audit": filter_audit.query,
+    "op13_source_divergence": divergence.query,
 }
 ORACLES = {
     "op1_warc_zstd": warc.ORACLE,
     "op2_preference_pairs": preference.ORACLE,
     "op5_template_decontamination": templates.oracle(),
     "op6_quality_rules": quality.oracle(),
+    "op11_filter_audit": filter_audit.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
 }
