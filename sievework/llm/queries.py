@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import bagminhash, divergence, filter_audit, huffman, licenses, mixing, preference, quality, sharding, substrings, templates, warc
+from sievework.llm import bagminhash, divergence, filter_audit, huffman, licenses, mixing, preference, quality, setjoin, sharding, substrings, templates, warc
 
 QUERIES = {
     "op1_warc_zstd": warc.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_source_mixing": mixing.query,
     "op10_huffman_token_ids": huffman.query,
     "op11_filter_audit": filter_audit.query,
+    "op12_set_join": setjoin.query,
     "op13_source_divergence": divergence.query,
 }
 ORACLES = {
