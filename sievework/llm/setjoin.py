@@ -15,6 +15,9 @@ leader's overlap and the members' differences, not from whole sets. Pairs inside
 The order needs no exact counts, since any fixed order gives exact results: tasks count the shingles that repeat within a window of
 texts, the sums are halved to at most ``HEAVY`` frequent shingles, which are broadcast, and all others count as rare.
 
+Each set also has a parity sketch, whose bits every shingle flips one of: where two sketches differ in more bits than two linked sets
+may differ in shingles, the pair is dropped before any set is fetched. Such a pair can't link, whatever the hashes.
+
 Sets are compared by 64-bit hashes of their shingles: two different shingles of a pair of sets of 10,000 share one with odds
 below 1e-11. Equal sets are one class, known by size and 128 bits.
 
@@ -40,7 +43,9 @@ SHINGLE = 3
 #: A pair links when OVER * (sum of sizes) <= TOTAL * overlap, which is Jaccard 0.9.
 OVER, TOTAL = 9, 19
 #: Shingles of a counting window; local repeats that make a shingle frequent; frequent shingles at most; ids broadcast to fetch texts.
-WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 22, 32, 1_000_000, 500_000
+WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 21, 32, 1_000_000, 500_000
+#: Bits of a parity sketch, as a power of two.
+PARITY_BITS = 10
 U = np.uint64
 
 
@@ -79,6 +84,14 @@ def digests(n: int, owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray,
     return np.bincount(owner, minlength=n), one, two
 
 
+def parities(n: int, owner: np.ndarray, shingle: np.ndarray) -> np.ndarray:
+    """(n, words) of 64-bit words: each shingle flips one bit of its text's row."""
+    bits = 1 << PARITY_BITS
+    bit = (hashing.mix(shingle ^ U(0x3C6EF372FE94F82B)) >> U(64 - PARITY_BITS)).astype(np.int64)
+    odd = (np.bincount(owner * bits + bit, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+
+
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For mapInArrow over (text): (shingle, n) of the shingles of two or more different sets of a window."""
     held, seen, size = [], set(), 0
@@ -126,7 +139,7 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, md5, n, one, two, prefix) of each row of ``docs`` (doc_id, md5, text)."""
+    """(doc_id, md5, n, one, two, prefix, odd) of each row of ``docs`` (doc_id, md5, text)."""
     held = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,10 +158,12 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 keep = np.arange(len(owner)) - start[owner] < prefix_size(n)[owner]
                 ends = np.append(0, np.cumsum(np.where(n > 0, prefix_size(n), 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle[order][keep].view(np.int64)))
+                words = parities(rows, owner, shingle)
+                odd = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
                 part = batch.slice(a, rows)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("md5"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists], ["doc_id", "md5", "n", "one", "two", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("md5"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, odd], ["doc_id", "md5", "n", "one", "two", "prefix", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, md5 binary, n long, one long, two long, prefix array<long>")
+    return docs.mapInArrow(run, "doc_id long, md5 binary, n long, one long, two long, prefix array<long>, odd array<long>")
 
 
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,14 +185,23 @@ def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return enough(F.least(n - pos, m - at), n, m)
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, str]:
-    """(node, shingles) of the classes ``nodes``, from the text of each one's first document."""
-    wanted, path = materialise(classes.join(nodes.distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("md5").alias("of_md5")), "wanted")
+def may_overlap(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b, ...) whose parity sketches differ in no more bits than linked sets may."""
+    side = lambda k, x, n: classes.select(F.col("node").alias(k), F.col("odd").alias(x), F.col("n").alias(n))
+    met = pairs.join(side("a", "_x", "_n"), "a").join(side("b", "_y", "_m"), "b")
+    differ = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, n: a + n)
+    return met.filter(TOTAL * differ <= (TOTAL - 2 * OVER) * (F.col("_n") + F.col("_m"))).select(*pairs.columns)
+
+
+def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(node, shingles) of the classes ``nodes``, from the text of each one's first document; those of ``known`` aren't fetched again."""
+    nodes = nodes.distinct() if known is None else nodes.distinct().join(known.select("node"), "node", "left_anti")
+    wanted, path = materialise(classes.join(nodes, "node", "left_semi").select("node", F.col("doc_id").alias("of"), F.col("md5").alias("of_md5")), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     found = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("md5") == F.col("of_md5"))).select("node", "text")
-    out = materialise(found.mapInArrow(whole_sets, "node long, shingles array<long>"), "sets")
+    out, at = materialise(found.mapInArrow(whole_sets, "node long, shingles array<long>"), "sets")
     drop_path(docs.sparkSession, path)
-    return out
+    return (out if known is None else known.unionByName(out)), [at]
 
 
 def overlaps(pairs: DataFrame, of: DataFrame) -> DataFrame:
@@ -187,15 +211,12 @@ def overlaps(pairs: DataFrame, of: DataFrame) -> DataFrame:
     return met.select(*pairs.columns, F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("overlap")).dropDuplicates(["a", "b"])
 
 
-def index_lists(rows: DataFrame, classes: DataFrame) -> DataFrame:
+def index_lists(classes: DataFrame) -> DataFrame:
     """(shingle, node, n, pos, band) of the lists with two entries or more, one entry a class."""
-    mine = classes.select("node", "n", "one", "two", F.col("doc_id").alias("of"), F.col("md5").alias("of_md5"))
-    first = rows.join(mine, ["n", "one", "two"]).filter(F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("md5") == F.col("of_md5")))
-    first = first.dropDuplicates(["node"])
-    entries = first.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
-    entries = entries.withColumn("band", F.floor(F.log("n") / float(np.log(10 / 9))).cast("int"))
-    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    return entries.join(shared, "shingle").select("shingle", "node", "n", F.col("pos").cast("long").alias("pos"), "band")
+    entries = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
+    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("shingle")
+    both = entries.join(shared, "shingle", "left_semi")
+    return both.select("shingle", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.floor(F.log("n") / float(np.log(10 / 9))).cast("int").alias("band"))
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
@@ -219,16 +240,16 @@ def block_pairs(lists: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
 
 
-def derived(pairs: DataFrame, stars: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def derived(pairs: DataFrame, stars: DataFrame, docs: DataFrame, classes: DataFrame, of: DataFrame) -> DataFrame:
     """Links (a, b) among ``pairs`` (x, y), from the overlaps of their leaders. ``stars`` has (a, b, n, m, overlap) of the sets that were
-    compared with the smallest of a list."""
+    compared with the smallest of a list, ``of`` the sets fetched for that."""
     led = stars.filter(enough(F.col("overlap"), F.col("n"), F.col("m"))).groupBy("a").agg(F.min(F.struct("b", "n", "m", "overlap")).alias("s"))
     led = led.select(F.col("a").alias("node"), F.col("s.b").alias("leader"), (F.col("s.n") - F.col("s.overlap")).alias("gain"), (F.col("s.m") - F.col("s.overlap")).alias("loss"))
     size = classes.select("node", "n")
     side = lambda k: size.join(led, "node", "left").select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.coalesce("leader", "node").alias(f"l{k}"), F.coalesce("gain", F.lit(0)).alias(f"gain_{k}"), F.coalesce("loss", F.lit(0)).alias(f"loss_{k}"))
     named, _ = materialise(pairs.join(side("x"), "x").join(side("y"), "y"), "pairs")
     nodes = named.select(F.col("lx").alias("node")).unionByName(named.select(F.col("ly").alias("node")))
-    of, at = sets_of(docs, classes, nodes)
+    of, paths = sets_of(docs, classes, nodes, of)
     leaders = named.select(F.least("lx", "ly").alias("a"), F.greatest("lx", "ly").alias("b")).distinct()
     known, _ = materialise(overlaps(leaders, of), "leaders")
     linked = enough(F.col("overlap"), F.col("n"), F.col("m"))
@@ -243,7 +264,7 @@ def derived(pairs: DataFrame, stars: DataFrame, docs: DataFrame, classes: DataFr
     if not rest.limit(1).count():
         return materialise(links, "links")[0]
     members = rest.select(F.col("x").alias("node")).unionByName(rest.select(F.col("y").alias("node"))).distinct()
-    whole, where = sets_of(docs, classes, members.unionByName(nodes))
+    whole, more = sets_of(docs, classes, members, of)
     lead = whole.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"))
     change = members.join(led.select("node", "leader"), "node").join(whole, "node").join(lead, "leader")
     change, _ = materialise(change.select("node", F.array_except("shingles", "theirs").alias("added"), F.array_except("theirs", "shingles").alias("lacked")).dropDuplicates(["node"]), "differences")
@@ -265,7 +286,7 @@ def derived(pairs: DataFrame, stars: DataFrame, docs: DataFrame, classes: DataFr
     last = moved(last.select("x", "y", "n_x", "n_y", "overlap"), "y", "x").filter(enough(F.col("overlap"), F.col("n_x"), F.col("n_y")))
     links = links.unionByName(last.select(F.col("x").alias("a"), F.col("y").alias("b")))
     out, _ = materialise(links, "links")
-    for path in (at, where):
+    for path in paths + more:
         drop_path(docs.sparkSession, path)
     return out
 
@@ -276,23 +297,27 @@ def groups(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.unhex(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))).alias("md5"), F.coalesce("text", F.lit("")).alias("text"))
     rows, _ = materialise(prefixes(keyed), "prefixes")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "md5"))
-    classes = rows.filter("n > 0").groupBy("n", "one", "two").agg(first.alias("f")).select("n", "one", "two", "f.doc_id", "f.md5")
-    classes = classes.orderBy(F.col("doc_id").asc_nulls_last(), "md5").withColumn("node", F.monotonically_increasing_id())  # nodes stand in order of their doc_id
+    classes = rows.filter("n > 0").groupBy("n", "one", "two").agg(first.alias("f"), F.first("prefix").alias("prefix"), F.first("odd").alias("odd"))
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "n", "one", "two", "f.doc_id", "f.md5", "prefix", "odd")
     classes, _ = materialise(classes, "classes")
-    lists, lists_at = materialise(index_lists(rows, classes), "lists")
-    pairs, _ = materialise(star_pairs(lists), "star-pairs")
-    of, at = sets_of(keyed, classes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    lists, lists_at = materialise(index_lists(classes), "lists")
+    pairs, _ = materialise(may_overlap(star_pairs(lists), classes), "star-pairs")
+    of, paths = sets_of(keyed, classes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
     stars, _ = materialise(overlaps(pairs, of), "stars")
-    drop_path(spark, at)
     links = stars.filter(enough(F.col("overlap"), F.col("n"), F.col("m"))).select("a", "b")
     label = components(links)
     marked = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more, _ = materialise(block_pairs(marked), "block-pairs")
+    more = may_overlap(block_pairs(marked).toDF("a", "b"), classes).toDF("x", "y")
+    more, _ = materialise(more, "block-pairs")
     drop_path(spark, lists_at)
-    label = components(links.unionByName(derived(more, stars, keyed, classes))).filter("node <> label")
-    least = classes.select(F.col("node").alias("label"), F.col("doc_id").alias("least"))
-    joined = label.join(least, "label").select("node", F.lit(True).alias("moved"), "least")
-    found = classes.join(joined, "node", "left").select("n", "one", "two", F.when(F.col("moved"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("known"))
+    label = components(links.unionByName(derived(more, stars, keyed, classes, of)))
+    for path in paths:
+        drop_path(spark, path)
+    named = label.join(classes.select("node", "doc_id"), "node")
+    least = named.groupBy("label").agg(F.min("doc_id").alias("least"))
+    joined = named.join(least, "label").select("node", F.lit(True).alias("moved"), "least")
+    found = classes.select("node", "n", "one", "two", "doc_id").join(joined, "node", "left")
+    found = found.select("n", "one", "two", F.when(F.col("moved"), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.lit(True).alias("known"))
     own = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(found, ["n", "one", "two"], "left").select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
 
