@@ -88,7 +88,8 @@ def main(argv: list[str] | None = None) -> int:
     else:
         keys = spark.createDataFrame([(k,) for k in a.keys], "locator_hash string")
         changed = findings.set_state(found, keys, STATES[a.command], F.unix_timestamp(F.current_timestamp()))
-        snapshots.commit({"files": files, "findings": changed}, a.state, {k: now[k] for k in ("run", "bundle", "scope")})
+        tables = {name: snapshots.load(spark, a.state, name) for name in now["tables"]}
+        snapshots.commit({**tables, "findings": changed}, a.state, {k: now[k] for k in ("run", "bundle", "scope")})
     return 0
 
 

@@ -17,12 +17,13 @@ def upsert(snapshot: DataFrame, walk: DataFrame, run: Column | int) -> DataFrame
     run = F.lit(run) if isinstance(run, int) else run
     old, new = (lambda c: F.col(f"s.{c}")), (lambda c: F.col(f"w.{c}"))
     seen, fresh = new("path_hash").isNotNull(), old("path_hash").isNull()
+    more = [old(c).alias(c) for c in snapshot.columns if c == "pattern_errors"]
     changed = seen & ~fresh & ((old("size") != new("size")) | (old("mtime") != new("mtime")))
     stat = lambda c: F.when(seen, new(c)).otherwise(old(c)).alias(c)
     cleared = lambda c, empty: F.when(changed | fresh, F.lit(empty)).otherwise(old(c)).alias(c)
     return snapshot.alias("s").join(walk.alias("w"), F.col("s.path_hash") == F.col("w.path_hash"), "full_outer").select(
         F.coalesce(old("path_hash"), new("path_hash")).alias("path_hash"), stat("path"), stat("size"), stat("mtime"), stat("origin"), cleared("md5", ""), cleared("sha256", ""), cleared("kind", ""),
-        cleared("known_good", False), cleared("scanned_bundle", 0), F.coalesce(old("path_signal"), new("path_signal")).alias("path_signal"), F.when(seen, run).otherwise(old("seen_run")).alias("seen_run"),
+        cleared("known_good", False), cleared("scanned_bundle", 0), F.coalesce(old("path_signal"), new("path_signal")).alias("path_signal"), F.when(seen, run).otherwise(old("seen_run")).alias("seen_run"), *more,
         F.when(fresh, "added").when(changed, "changed").when(seen, "same").otherwise("missing").alias("change"),
     )
 
@@ -45,9 +46,11 @@ def present(files: DataFrame, run: int) -> DataFrame:
     return files.filter(F.col("seen_run") >= run)
 
 
-def mark_scanned(files: DataFrame, done: DataFrame, bundle: int) -> DataFrame:
-    hit = done.select("path_hash", F.lit(1).alias("_done")).distinct()
-    return files.join(hit, "path_hash", "left").withColumn("scanned_bundle", F.when(F.col("_done").isNotNull(), F.lit(bundle)).otherwise(F.col("scanned_bundle"))).drop("_done")
+def mark_scanned(files: DataFrame, done: DataFrame, bundle: int, flag: str | None = None) -> DataFrame:
+    """``files`` with the pack that matched those of ``done``; ``flag`` names a column that tells them."""
+    hit = done.select("path_hash", F.lit(True).alias("_done")).distinct()
+    marked = files.join(hit, "path_hash", "left").withColumn("scanned_bundle", F.when(F.col("_done"), F.lit(bundle)).otherwise(F.col("scanned_bundle")))
+    return marked.withColumn(flag, F.col("_done").isNotNull()).drop("_done") if flag else marked.drop("_done")
 
 
 def reset_scanned(files: DataFrame, prefix: str = "") -> DataFrame:

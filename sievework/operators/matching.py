@@ -1,21 +1,24 @@
 """Multi-pattern matching: hash, literal and regular-expression rules over chunks of content.
 
-``hash_matches``, ``allowed``, ``candidates``, ``literal_matches`` and ``regex_matches`` are joins and expressions. The
-order-dependent rules (suppression after an infected match, quota, overlap) are windows over (layer, position).
-``byte_matcher`` does the same for one file at a time on bytes, for patterns whose meaning differs in Java.
+All of it is joins and expressions. Rules reach a chunk through inverted indexes: words lead to literals, and a division join of
+the literals that are there leads to the regular expressions that need them, so a chunk is tried with few of a pack's
+rules however many there are. Patterns that Java would read otherwise run over the same candidates in Arrow batches. The
+order-dependent rules (suppression after an infected match, quota, overlap) are windows over (chunk, layer, position).
 """
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import EXCERPT_BEFORE, EXCERPT_BYTES, ascii_lower, basename, excerpt, line_of, word_set
+from sievework.functions.text import EXCERPT_BEFORE, EXCERPT_BYTES, ascii_lower, basename, excerpt, let, line_of, word_set
 from sievework.sources.files import CHUNK, OVERLAP
-from sievework.sources.pack import Pack, byte_pattern, java_pattern
+from sievework.sources.pack import byte_pattern, first_match, readings
 
 #: Infected matches after which a file's regular expressions stop.
 QUOTA = 10
@@ -66,60 +69,207 @@ def candidates(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("
     index = rules.select("lit", F.size("of").alias("need"), F.explode("of").alias("word"))
     seen = chunks.select(*key, F.explode(words).alias("word"))
     hits = seen.join(small(index, n), "word").groupBy(*key, "lit").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
-    always = rules.filter(F.size("of") == 0).select("lit")
-    return hits.select(*key, "lit").unionByName(chunks.select(*key).join(small(always, n)))
+    always = [r.lit for r in rules.filter(F.size("of") == 0).select("lit").collect()]  # a pack's rules are bounded
+    hits = hits.select(*key, "lit")
+    return hits.unionByName(chunks.select(*key, F.explode(F.array(*map(F.lit, always))).alias("lit"))) if always else hits
+
+
+#: Characters of a word by which a literal is looked up where the text's word may be longer than the literal's.
+GRAM = 5
+
+
+def lookup_keys(text: str) -> list[tuple[str, str]]:
+    """What a chunk that holds the lower-cased literal must hold among its words, as (form, word): whole words (``=``) where the
+    literal has some between other characters; else a word's end (``>``) or start (``<``) where one stands at its edge, or a part
+    of one (``*``) where the literal is a single word. Empty for a literal without words."""
+    words = list(re.finditer(r"[a-z0-9_]+", text))
+    inner = sorted({m[0] for m in words if m.start() > 0 and m.end() < len(text)})
+    if inner:
+        return [("=", w) for w in inner]
+    if not words:
+        return []
+    longest = max(words, key=lambda m: len(m[0]))
+    w = longest[0]
+    if longest.start() == 0 and longest.end() == len(text):
+        return [("*", w[:GRAM])]
+    return [(">", w[-GRAM:])] if longest.start() == 0 else [("<", w[:GRAM])]
+
+
+def possible(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
+    """(key, lit): literals that may stand in a chunk; those that can't be told from its words always may. A chunk's words, and the
+    ends and parts of them that some literal is looked up by, are joined to the literals' keys; hits combine before the shuffle."""
+    rows = sorted({(r.lit, r.text) for r in literals.select("lit", ascii_lower(F.col("text")).alias("text")).distinct().collect()})  # a pack's rules are bounded
+    keys = [(lit, form, w, len(ks)) for lit, text in rows for ks in [lookup_keys(text)] for form, w in ks]
+    names, parts = list(key), []
+    if keys:
+        index = small(chunks.sparkSession.createDataFrame(keys, "lit int, form string, word string, need int"), len(keys))
+        lengths = {f: sorted({len(k[2]) for k in keys if k[1] == f}) for f in "=><*"}
+        each = lambda form, many: F.array(*[f(n) for n in lengths[form] for f in (many,)])
+        tagged = lambda form, words: F.transform(words, lambda w: F.struct(F.lit(form).alias("form"), w.alias("word")))
+        words, forms = word_set(F.col("text")), []
+        if lengths["="]:
+            forms.append(lambda ws: tagged("=", ws))
+        if lengths[">"]:
+            forms.append(lambda ws: tagged(">", F.array_distinct(F.flatten(F.transform(ws, lambda w: each(">", lambda n: F.when(F.length(w) >= n, F.right(w, F.lit(n)))))))))
+        if lengths["<"]:
+            forms.append(lambda ws: tagged("<", F.array_distinct(F.flatten(F.transform(ws, lambda w: each("<", lambda n: F.when(F.length(w) >= n, F.left(w, F.lit(n)))))))))
+        if lengths["*"]:
+            inside = lambda w: F.flatten(each("*", lambda n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
+            forms.append(lambda ws: tagged("*", F.array_distinct(F.flatten(F.transform(ws, inside)))))
+        seen = chunks.select(*names, F.explode(let(words, lambda ws: F.concat(*[f(ws) for f in forms]))).alias("w")).select(*names, "w.*")
+        hits = seen.join(index, ["form", "word"]).groupBy(*names, "lit").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
+        parts.append(hits.select(*names, "lit"))
+    if always := sorted({lit for lit, text in rows if not lookup_keys(text)}):
+        parts.append(chunks.select(*names, F.explode(F.array(*map(F.lit, always))).alias("lit")))
+    if not parts:
+        return chunks.limit(0).select(*names, F.lit(0).alias("lit"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def presence(chunks: DataFrame, found: DataFrame, words: list[tuple[str, int]], pure: set[int], key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
+    """(key, lit): the literals that count as present for the regular expressions that need them. ``found`` are those that stand in the
+    chunk. A literal for which the pack lists ``words`` (word, lit) also needs each of them as a whole word, and if it is ``pure`` the words alone decide."""
+    names = list(key)
+    if not words:
+        return found.select(*names, "lit").distinct()
+    spark = chunks.sparkSession
+    index = spark.createDataFrame(words, "word string, lit int").distinct()
+    needs = small(index.join(index.groupBy("lit").agg(F.count(F.lit(1)).alias("need")), "lit"), len(words))
+    whole = chunks.select(*names, F.explode(word_set(F.col("text"))).alias("word")).join(needs, "word").groupBy(*names, "lit").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need").select(*names, "lit")
+    listed = sorted({lit for _, lit in words})
+    by_word = whole.filter(F.col("lit").isin(*sorted(pure))) if pure else whole.limit(0)
+    both = whole.join(found.select(*names, "lit"), [*names, "lit"], "left_semi")
+    rest = found.select(*names, "lit").join(small(spark.createDataFrame([(x,) for x in listed], "lit int"), len(listed)), "lit", "left_anti")
+    return by_word.unionByName(both).unionByName(rest.select(*names, "lit")).distinct()
+
+
+def located(chunks: DataFrame, literals: DataFrame, have: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
+    """(key, targets, lit, pos, line, excerpt): the first place of each literal that really stands in a chunk, out of its candidates
+    ``have`` or out of all. Each chunk's text is read and lower-cased once, whatever its candidates."""
+    from sievework.plans.snapshots import cut
+
+    names = list(key)
+    texts = literals.select("lit", ascii_lower(F.col("text")).alias("literal")).distinct()
+    if have is None:  # the literals of a pack are a bounded table
+        every = [r.asDict() for r in texts.orderBy("lit").collect()]
+        rows = chunks.withColumn("_wanted", F.from_json(F.lit(json.dumps(every)), "array<struct<lit:int,literal:string>>"))
+    else:
+        wanted = cut(have.join(small(texts, literals.count()), "lit").groupBy(*key).agg(F.collect_list(F.struct("lit", "literal")).alias("_wanted")))
+        rows = chunks.join(small(wanted, wanted.count()), names)
+    places = let(ascii_lower(F.col("text")), lambda low: F.filter(F.transform("_wanted", lambda w: F.struct(w["lit"].alias("lit"), F.call_function("instr", low, w["literal"]).alias("pos"))), lambda x: x["pos"] > 0))
+    found = rows.withColumn("hit", F.explode(places)).select(*names, "targets", "text", "line_base", "hit.*")
+    return found.select(*names, "targets", "lit", "pos", line_of(F.col("text"), F.col("pos"), F.col("line_base")).alias("line"), excerpt(F.col("text"), F.col("pos")).alias("excerpt"))
 
 
-def literal_matches(chunks: DataFrame, literals: DataFrame, present: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
-    """(key, layer 1, position, sig, pos, line, excerpt): the first place of each literal rule whose target applies."""
-    rules = small(literals.withColumnRenamed("text", "literal").withColumn("literal", ascii_lower(F.col("literal"))), literals.count())
-    if present is None:
-        joined = chunks.join(rules, F.array_contains(F.col("targets"), F.col("target")))
-    else:
-        joined = chunks.join(present, list(key)).join(rules, "lit").filter(F.array_contains("targets", F.col("target")))
-    found = joined.withColumn("pos", F.expr("instr(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), literal)"))
-    return found.filter("pos > 0").select(*key, F.lit(1).alias("layer"), "position", "sig", "pos", line_of(F.col("text"), F.col("pos"), F.col("line_base")).alias("line"), excerpt(F.col("text"), F.col("pos")).alias("excerpt"))
+def literal_rules(found: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
+    """(key, layer 1, position, sig, pos, line, excerpt): the rules of the literals ``found`` whose target applies."""
+    rules = small(literals.select("lit", "position", "sig", "target"), literals.count())
+    rows = found.join(rules, "lit").filter(F.array_contains("targets", F.col("target")))
+    return rows.select(*key, F.lit(1).alias("layer"), "position", "sig", "pos", "line", "excerpt")
 
 
-def regex_matches(chunks: DataFrame, regexes: list[tuple], present: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
+def literal_matches(chunks: DataFrame, literals: DataFrame, present: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
+    """(key, layer 1, position, sig, pos, line, excerpt): the first place of each literal rule whose target applies; ``present`` lists
+    the candidates (key, lit)."""
+    return literal_rules(located(chunks, literals, present, key), literals, key)
+
+
+RULE = "position:int,sig:int,pattern:string,first_only:boolean,targets:array<string>,added:int"
+
+
+def rule_candidates(present: DataFrame, rules: list[tuple], key: tuple[str, ...] = ("path", "chunk"), added: dict[int, int] | None = None) -> DataFrame:
+    """(key, _rules): the ``rules`` (position, sig, pattern, first_only, needed literals, targets) all of whose literals are in the chunk: a
+    division join through the inverted index from literals to rules."""
+    spark, n = present.sparkSession, sum(len(r[4]) for r in rules)
+    index = spark.createDataFrame([(lit, r[0], len(set(r[4]))) for r in rules for lit in sorted(set(r[4]))], "lit int, position int, need int")
+    of = spark.createDataFrame([(r[0], r[1], r[2], bool(r[3]), list(r[5]), (added or {}).get(r[0], 1)) for r in rules], f"struct<{RULE}>")
+    hits = present.select(*key, "lit").distinct().join(small(index, n), "lit").groupBy(*key, "position").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n = need")
+    return hits.join(small(of, len(rules)), "position").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*of.columns))).alias("_rules"))
+
+
+def tried(chunks: DataFrame, rules: list[tuple], present: DataFrame | None, key: tuple[str, ...], added: dict[int, int] | None = None) -> DataFrame:
+    """``chunks`` with ``_rules``, the rules to try on each: those without needed literals (all of them if it isn't known which are
+    there), and those that ``rule_candidates`` leads to, as far as target, chunk and what the file has been matched with allow."""
+    from sievework.plans.snapshots import cut
+
+    free = [r for r in rules if present is None or not r[4]]
+    fields = [{"position": r[0], "sig": r[1], "pattern": r[2], "first_only": bool(r[3]), "targets": list(r[5]), "added": (added or {}).get(r[0], 1)} for r in free]
+    always = F.from_json(F.lit(json.dumps(fields)), f"array<struct<{RULE}>>")
+    rows, led = chunks, [r for r in rules if present is not None and r[4]]
+    if led:
+        found = cut(rule_candidates(present, led, key, added))
+        rows = chunks.join(small(found, found.count()), list(key), "left" if free else "inner")
+        always = F.concat(always, F.coalesce("_rules", F.from_json(F.lit("[]"), f"array<struct<{RULE}>>"))) if free else F.col("_rules")
+    fits = lambda r: F.arrays_overlap(r["targets"], "targets") & (~r["first_only"] | F.col("first"))
+    if added is not None:  # ``known`` is the pack that the file was matched with, 0 for none
+        return rows.withColumn("_rules", F.filter(always, lambda r: fits(r) & (r["added"] > F.col("known")))).filter(F.size("_rules") > 0)
+    return rows.withColumn("_rules", F.filter(always, fits)).filter(F.size("_rules") > 0)
+
+
+HIT = pa.schema([("k", pa.string()), ("position", pa.int32()), ("sig", pa.int32()), ("pos", pa.int32()), ("lines", pa.int32()), ("around", pa.string())])
+
+
+def byte_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (k, content, rules): the first match of each candidate, with the line ends before it and the bytes around it."""
+    compiled: dict[str, object] = {}
+    for batch in batches:
+        out = []
+        for k, content, rules in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for r in rules:
+                if r["pattern"] not in compiled:
+                    compiled[r["pattern"]] = byte_pattern(r["pattern"])
+                if pos := first_match(compiled[r["pattern"]], content or b""):
+                    start = max(0, pos - 1 - EXCERPT_BEFORE)
+                    out.append({"k": k, "position": r["position"], "sig": r["sig"], "pos": pos, "lines": content.count(b"\n", 0, max(0, pos - 1)), "around": content[start : start + EXCERPT_BYTES].decode("latin-1")})
+        yield pa.RecordBatch.from_pylist(out, HIT)
+
+
+def regex_matches(chunks: DataFrame, regexes: list[tuple], present: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk"), errors: bool = False, added: dict[int, int] | None = None) -> DataFrame:
     """(key, layer 2, position, sig, pos, line, excerpt) of the first match of each rule that applies and whose literals
-    are all there. Patterns are unrolled into one array expression, so each row is read once."""
-    native = [(r, p) for r in regexes if (p := java_pattern(r[2]))]
-    rows = chunks
-    if present is not None:
-        have = present.groupBy(*key).agg(F.collect_set("lit").alias("_have"))
-        rows = chunks.join(have, list(key), "left").withColumn("_have", F.coalesce("_have", F.array().cast("array<int>")))
-
-    def applies(r) -> Column:
-        out = F.arrays_overlap("targets", F.array(*[F.lit(t) for t in r[5]] or [F.lit("")]))
-        if r[3]:
-            out = out & F.col("first")
-        if present is not None and r[4]:
-            out = out & (F.size(F.array_except(F.array(*[F.lit(x) for x in r[4]]), F.col("_have"))) == 0)
-        return out
-
-    hits = F.filter(
-        F.array(*[F.struct(F.lit(r[0]).alias("position"), F.lit(r[1]).alias("sig"), F.when(applies(r), F.regexp_instr(F.col("text"), F.lit(p))).otherwise(0).alias("pos")) for r, p in native]),
-        lambda x: x["pos"] > 0,
-    )
-    found = rows.withColumn("hit", F.explode(hits))
-    return found.select(*key, F.lit(2).alias("layer"), "hit.position", "hit.sig", "hit.pos", line_of(F.col("text"), F.col("hit.pos"), F.col("line_base")).alias("line"), excerpt(F.col("text"), F.col("hit.pos")).alias("excerpt"))
+    are all there. With ``errors`` a failed search is a row with pos -1. With ``added`` (pack of each rule, by position) a chunk
+    is tried with the rules younger than its ``known`` only."""
+    java, other, _ = readings([r[2] for r in regexes])
+    names, parts = list(key), []
+    if native := [(*r[:2], java[r[2]], *r[3:]) for r in regexes if r[2] in java]:
+        hits = F.filter(F.transform("_rules", lambda r: F.struct(r["position"].alias("position"), r["sig"].alias("sig"), F.regexp_instr("text", r["pattern"]).alias("pos"))), lambda x: x["pos"] > 0)
+        rows = tried(chunks, native, present, key, added).withColumn("hit", F.explode(hits))
+        line = line_of(F.col("text"), F.col("hit.pos"), F.col("line_base"))
+        parts.append(rows.select(*names, F.lit(2).alias("layer"), "hit.*", line.alias("line"), excerpt(F.col("text"), F.col("hit.pos")).alias("excerpt")))
+    if rest := [r for r in regexes if r[2] in other]:
+        rows = tried(chunks, rest, present, key, added)
+        keyed = rows.select(F.to_json(F.struct(*names, "line_base")).alias("k"), F.encode("text", "ISO-8859-1").alias("content"), "_rules")
+        hits = keyed.mapInArrow(byte_search, "k string, position int, sig int, pos int, lines int, around string")
+        types = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in [*names, "line_base"])
+        hits = hits.withColumn("k", F.from_json("k", types))
+        hits = hits if errors else hits.filter("pos > 0")
+        line = (F.col("k.line_base") + F.col("lines") + 1).cast("int")
+        parts.append(hits.select(*[F.col(f"k.{c}").alias(c) for c in names], F.lit(2).alias("layer"), "position", "sig", "pos", line.alias("line"), excerpt(F.col("around"), F.lit(1)).alias("excerpt")))
+    if not parts:
+        nil = F.lit(0)
+        return chunks.limit(0).select(*names, F.lit(2).alias("layer"), nil.alias("position"), nil.alias("sig"), nil.alias("pos"), nil.alias("line"), F.lit("").alias("excerpt"))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def suppress(matches: DataFrame, quota: int = QUOTA, key: str = "path") -> DataFrame:
-    """What a sequential scan of one chunk keeps of (key, layer, position, tier): all hash and literal matches; a regular
-    expression's unless the quota of infected ones is full, or it is only suspicious and something infected stands before."""
+    """What a sequential scan keeps of (key, chunk, layer, position, tier), without ``chunk`` that of one chunk: all hash and literal
+    matches; a regular expression's unless the quota of infected ones is full, or it is only suspicious and something
+    infected stands before; and nothing of the chunks after the quota is full."""
+    rows = matches if "chunk" in matches.columns else matches.withColumn("chunk", F.lit(0))
     infected = F.when(F.col("tier") == "infected", 1).otherwise(0)
-    before = Window.partitionBy(key).orderBy("layer", "position").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(key)
     regex = F.col("layer") == 2
+    nil = F.lit(0)
+    before = Window.partitionBy(key).orderBy("chunk", "layer", "position").rowsBetween(Window.unboundedPreceding, -1)
+    chunks_before = Window.partitionBy(key).orderBy("chunk").rangeBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(key, "chunk")
     counted = (
-        matches.withColumn("_seen", F.coalesce(F.sum(infected).over(before), F.lit(0)))
-        .withColumn("_first", F.sum(F.when(~regex, infected).otherwise(0)).over(whole))
-        .withColumn("_rx", F.coalesce(F.sum(F.when(regex, infected).otherwise(0)).over(before), F.lit(0)))
+        rows.withColumn("_seen", F.coalesce(F.sum(infected).over(before), nil)).withColumn("_past", F.coalesce(F.sum(infected).over(chunks_before), nil))
+        .withColumn("_first", F.sum(F.when(~regex, infected).otherwise(0)).over(inside))
+        .withColumn("_rx", F.coalesce(F.sum(F.when(regex, infected).otherwise(0)).over(inside.orderBy("layer", "position").rowsBetween(Window.unboundedPreceding, -1)), nil))
     )
-    kept = ~regex | ((F.col("_rx") < F.greatest(F.lit(1), F.lit(quota) - F.col("_first"))) & ~((F.col("tier") == "suspicious") & (F.col("_seen") > 0)))
-    return counted.filter(kept).drop("_seen", "_first", "_rx")
+    open_ = (F.col("chunk") == 0) | (F.col("_past") < quota)
+    room = F.col("_rx") < F.greatest(F.lit(1), F.lit(quota) - F.col("_past") - F.col("_first"))
+    kept = open_ & (~regex | (room & ~((F.col("tier") == "suspicious") & (F.col("_seen") > 0))))
+    return counted.filter(kept).select(*matches.columns)
 
 
 def drop_overlaps(matches: DataFrame, stride: int = CHUNK - OVERLAP, overlap: int = OVERLAP, key: str = "path") -> DataFrame:
@@ -134,78 +284,3 @@ def drop_overlaps(matches: DataFrame, stride: int = CHUNK - OVERLAP, overlap: in
 
 def named(matches: DataFrame, signatures: DataFrame) -> DataFrame:
     return matches.join(small(signatures, signatures.count()), "sig")
-
-
-class ByteMatcher:
-    """One file at a time over bytes, in the order of a sequential scan. With ``only`` it tries no rules but these regular
-    expressions; what other rules suppress is left to the caller."""
-
-    def __init__(self, pack: Pack, chunk: int = CHUNK, overlap: int = OVERLAP, quota: int = QUOTA, only: set[int] | None = None):
-        self.chunk, self.stride, self.overlap, self.quota = chunk, chunk - overlap, overlap, quota
-        self.tier = {s[0]: s[4] for s in pack.signatures}
-        self.regexes = [(p, sig, byte_pattern(pattern), first, set(lits), set(targets)) for p, sig, pattern, first, lits, targets in pack.regexes if only is None or p in only]
-        literals = [(p, sig, target, text.encode("latin-1", "replace").lower(), lit) for p, lit, sig, target, text in pack.literals]
-        needed = {lit for r in self.regexes for lit in r[4]}
-        self.texts = {lit: text for _, _, _, text, lit in literals if only is None or lit in needed}
-        self.literals = literals if only is None else []
-
-    def scan(self, content: bytes, targets: set[str], hash_infected: int = 0) -> tuple[list[tuple], int]:
-        """((layer, chunk, position, sig, offset, line), ...) and the number of patterns that failed."""
-        out, errors, infected = [], 0, hash_infected
-        last: dict[int, int] = {}
-        line_base = 0
-        for index, offset in enumerate(range(0, max(1, len(content) - self.overlap if len(content) > self.chunk else 1), self.stride)):
-            data = content[offset : offset + self.chunk]
-            low, now = data.lower(), {}
-
-            def add(layer, position, sig, at, data=data, index=index, offset=offset, now=now):
-                if index and at < self.overlap and last.get(sig, -1) >= offset:
-                    return False
-                now[sig] = max(now.get(sig, -1), offset + at)
-                out.append((layer, index, position, sig, offset + at, line_base + data.count(b"\n", 0, at) + 1))
-                return True
-
-            present = {lit for lit, text in self.texts.items() if text in low}
-            for position, sig, target, text, lit in self.literals:
-                if target in targets and lit in present and add(1, position, sig, low.find(text)):
-                    infected += self.tier[sig] == "infected"
-            limit, mine = max(1, self.quota - infected), 0
-            for position, sig, pattern, first, lits, of in self.regexes:
-                if (first and index) or not of & targets or not lits <= present or (infected + mine and self.tier[sig] == "suspicious"):
-                    continue
-                try:
-                    m = pattern.search(data)
-                except (RecursionError, MemoryError):
-                    errors += 1
-                    continue
-                if m and add(2, position, sig, m.start()) and self.tier[sig] == "infected":
-                    mine += 1
-                    if mine >= limit:
-                        break
-            infected += mine
-            if infected >= self.quota:
-                break
-            last = now
-            line_base += data.count(b"\n", 0, self.stride)
-        return out, errors
-
-
-def byte_matcher(files: DataFrame, pack: Pack, chunk: int = CHUNK, overlap: int = OVERLAP, only: set[int] | None = None) -> DataFrame:
-    """(path, layer, chunk, position, sig, pos, line, errors, excerpt) for files (path, content, targets, hash_infected). The pack
-    travels once to each Python worker; rows are small Arrow batches. ``only`` names the regular expressions to try."""
-    held = files.sparkSession.sparkContext.broadcast(pack)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = ByteMatcher(held.value, chunk, overlap, only=only)
-        for batch in batches:
-            rows = []
-            for path, content, targets, seen in zip(batch["path"], batch["content"], batch["targets"], batch["hash_infected"], strict=True):
-                content = bytes(content or b"")
-                found, errors = of.scan(content, set(targets), int(seen))
-                for a, b, c, d, e, f in found:
-                    start = max(0, e - EXCERPT_BEFORE)
-                    rows.append((path, a, b, c, d, e + 1, f, errors, content[start : start + EXCERPT_BYTES].decode("latin-1")))
-            yield pd.DataFrame(rows, columns=["path", "layer", "chunk", "position", "sig", "pos", "line", "errors", "excerpt"])
-
-    found = files.select("path", "content", "targets", "hash_infected").mapInPandas(run, "path string, layer int, chunk int, position int, sig int, pos long, line int, errors int, excerpt string")
-    return found.withColumn("excerpt", excerpt(F.col("excerpt"), F.lit(1)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Runs kept, runs that a failure streak looks back, failures in a row that are told, intervals after which a scan is late.
@@ -59,9 +61,53 @@ def finding_numbers(findings: DataFrame, since: Column) -> DataFrame:
     return findings.agg(F.count_if(fresh).alias("new"), F.count_if(fresh & (F.col("severity") == "alert")).alias("alerts"), F.count_if(fresh & (F.col("severity") == "review")).alias("review"))
 
 
+LOG = "id long, status string, scope string, bundle int, started_at long, finished_at long, unread_patterns int, phases map<string,long>, counts map<string,long>"
+
+
+class Clock:
+    """Milliseconds of a run's phases, one after another."""
+
+    def __init__(self) -> None:
+        self.started, self.phases, self._last = self.now(), {}, time.monotonic()
+
+    def now(self) -> int:
+        return int(time.time())
+
+    def end(self, phase: str) -> None:
+        at = time.monotonic()
+        self.phases[phase] = self.phases.get(phase, 0) + int(1000 * (at - self._last))
+        self._last = at
+
+
+def log_of(spark: SparkSession, state: str) -> DataFrame:
+    """The run log of a snapshot folder; empty before the first run."""
+    from sievework.plans import snapshots
+
+    had = snapshots.load(spark, state, "runs")
+    return spark.createDataFrame([], LOG) if had is None else had
+
+
+def baseline(runs: DataFrame) -> DataFrame:
+    """One row: the first run that ended well is the baseline (``baseline_run``, 0 without one), whose findings are told to nobody;
+    ``pending_review`` while no later run has ended well."""
+    done = runs.filter("status = 'done'")
+    return done.agg(F.coalesce(F.min("id"), F.lit(0)).alias("baseline_run"), (F.count(F.lit(1)) == 1).alias("pending_review"))
+
+
+def notices(runs: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row of what the newest run is to tell: how many new alerts and findings to review it left (0 for the baseline run and for
+    failed ones), and whether to tell of failures, once, at the third in a row."""
+    newest = runs.agg(F.max("id").alias("id"), F.max_by("status", "id").alias("status"), F.max_by("started_at", "id").alias("since")).first()
+    since, silent = (newest.since or 0), newest.status != "done" or baseline(runs).first().baseline_run == newest.id
+    n = finding_numbers(findings, F.lit(since))
+    told = lambda c: (F.lit(0).cast("long") if silent else F.col(c)).alias(c)
+    streak = failure_streak(runs).select(told_of_failure(F.col("streak")).alias("tell_failure"))
+    return n.select(told("alerts"), told("review")).join(F.broadcast(streak))
+
+
 def appended(runs: DataFrame, row: dict, keep: int = KEPT_RUNS) -> DataFrame:
     """The log with one run more, cut to the newest."""
-    new = runs.sparkSession.createDataFrame([row], runs.schema)
+    new = runs.sparkSession.createDataFrame([tuple(row.get(c) for c in runs.columns)], runs.schema)
     return pruned(runs.filter(F.col("id") != row["id"]).unionByName(new), keep)
 
 

@@ -1,19 +1,19 @@
-"""A whole scan: inventory, hashing, integrity, matching, findings, one commit at the end."""
+"""A whole scan: inventory from names and times, hashing of what changed, integrity, matching, findings, one commit at the end."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import classify
 from sievework.functions.text import extension, latin1
-from sievework.operators import findings, heuristics, integrity, inventory, matching, vulnerability
+from sievework.operators import findings, heuristics, integrity, inventory, matching, runs, vulnerability
 from sievework.operators import rows as table_rows
 from sievework.plans import snapshots
 from sievework.sources import files as source
-from sievework.sources.pack import Pack, java_pattern
+from sievework.sources.pack import Pack
 
 SCOPES = ("full", "changed", "path")
 #: The chunk number of what follows a file's matches.
@@ -37,17 +37,28 @@ class Result:
     files: DataFrame
     findings: DataFrame
     version: int
+    runs: DataFrame | None = None
 
 
-def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None, own: DataFrame | None = None) -> DataFrame:
-    """``rows`` (path, content) with hashes, kind, origin, integrity and path signal."""
+#: Columns of the file inventory that a snapshot keeps.
+FILES = (
+    "path_hash string, path string, size long, mtime long, origin string, md5 string, sha256 string, kind string, known_good boolean, scanned_bundle int, path_signal int, seen_run int, "
+    "pattern_errors int"
+)
+FINDINGS = (
+    "locator_hash string, type string, locator string, signature_ids array<string>, tier string, severity string, category string, line int, excerpt string, reason string, first_seen long, "
+    "last_seen long, state string, state_changed_at long"
+)
+
+
+def judged(rows: DataFrame, checksums: DataFrame | None, own: DataFrame | None = None) -> DataFrame:
+    """``rows`` (path, md5, kind, origin, ...) with integrity, known_good and path signal. Contents aren't needed, so changed lists reach
+    files that haven't changed."""
     if checksums is None and own is not None:
         checksums = rows.sparkSession.createDataFrame([], "package string, path string, md5s array<string>")
-    out = source.hashed(rows).withColumn("kind", classify.content_kind(classify.head_of(F.col("content")), extension(F.col("path"))))
-    out = out.withColumn("origin", classify.origin(F.col("path"), F.array(*[F.lit(s) for s in slugs]).cast("array<string>")))
     parts = F.split("origin", ":")
     inner = F.regexp_replace("path", r"^wp-content/(plugins|themes)/[^/]+/", "")
-    out = out.withColumn("package", F.col("origin")).withColumn("package_path", F.when(F.size(parts) > 1, inner).otherwise(F.col("path")))
+    out = rows.withColumn("package", F.col("origin")).withColumn("package_path", F.when(F.size(parts) > 1, inner).otherwise(F.col("path")))
     if checksums is None:
         out = out.withColumns({"integrity": F.lit("unknown"), "expected_md5": F.lit(None).cast("string")})
         in_core = F.lit(None).cast("boolean")
@@ -59,43 +70,61 @@ def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None, o
     return out.withColumn("known_good", known).withColumn("signal", classify.path_signal(rules))
 
 
-def match(rows: DataFrame, pack: Pack) -> DataFrame:
-    """Named matches of files (path, content, md5, sha256, size, kind). Files of one chunk are matched by joins and expressions,
-    but for the patterns that Java would read otherwise, which run over the bytes of the files that may hold what they need;
-    larger files are matched byte by byte."""
+def hashed(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, content, ...) with hashes and kind."""
+    return source.hashed(rows).withColumn("kind", classify.content_kind(classify.head_of(F.col("content")), extension(F.col("path"))))
+
+
+def origin_of(path: Column, slugs: list[str]) -> Column:
+    return classify.origin(path, F.array(*[F.lit(s) for s in slugs]).cast("array<string>"))
+
+
+def classified(rows: DataFrame, slugs: list[str], checksums: DataFrame | None, own: DataFrame | None = None) -> DataFrame:
+    """``rows`` (path, content) with hashes, kind, origin, integrity and path signal."""
+    return judged(hashed(rows).withColumn("origin", origin_of(F.col("path"), slugs)), checksums, own)
+
+
+def matched(rows: DataFrame, pack: Pack, added: dict[str, dict[int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Named matches of files (path, content, md5, sha256, size, kind), with ``pos`` counted from the file's start, and (path, n) of
+    searches that failed. Files of every size are cut into chunks that joins and expressions match. With ``added``, the pack that brought
+    each rule by its position, rows have ``known``: literals and regular expressions of that pack and older ones aren't tried."""
     spark = rows.sparkSession
-    t = pack.frames(spark)
+    t, key = pack.frames(spark), ("path", "chunk")
     rows = matching.allowed(rows, t["allow"]).filter("NOT is_allowed").withColumn("targets", matching.targets_of(F.col("path"), F.col("kind")))
-    hashes = matching.hash_matches(rows, t["hash"]).select("path", F.lit(0).alias("chunk"), F.lit(0).alias("layer"), "position", "sig", F.lit(1).cast("long").alias("pos"), F.lit(0).alias("line"), F.lit("").alias("excerpt"))
+    rows = rows if added is not None else rows.withColumn("known", F.lit(0))
+    hashes = matching.hash_matches(rows, t["hash"]).select("path", F.lit(0).alias("chunk"), F.lit(0).alias("layer"), "position", "sig", F.lit(1).alias("pos"), F.lit(0).alias("line"), F.lit("").alias("excerpt"))
     readable = rows.filter(~F.col("kind").isin("binary", "archive", "unreadable"))
-    one = F.col("size") <= source.CHUNK
-    chunk = source.chunks(readable.filter(one).select("path", "content", "targets"))
-    have = matching.candidates(chunk, t["literal"])
-    infected = matching.named(hashes, t["signature"]).filter("tier = 'infected'").groupBy("path").agg(F.count(F.lit(1)).alias("hash_infected"))
-    seen = readable.join(infected, "path", "left").withColumn("hash_infected", F.coalesce("hash_infected", F.lit(0)))
-    native = matching.literal_matches(chunk, t["literal"], have).unionByName(matching.regex_matches(chunk, pack.regexes, have)).unionByName(hashes, allowMissingColumns=True)
-    if other := [r for r in pack.regexes if not java_pattern(r[2])]:
-        tried = seen.filter(one)
-        if all(r[4] for r in other):
-            needed = spark.createDataFrame([(lit,) for lit in {lit for r in other for lit in r[4]}], "lit int")
-            tried = tried.join(have.join(matching.small(needed, needed.count()), "lit", "left_semi").select("path"), "path", "left_semi")
-        native = native.unionByName(matching.byte_matcher(tried, pack, only={r[0] for r in other}).drop("errors"))
-    native = matching.suppress(matching.named(native, t["signature"]))
-    exact = matching.named(matching.byte_matcher(seen.filter(~one), pack).drop("errors"), t["signature"])
-    return native.unionByName(exact, allowMissingColumns=True)
+    chunk = source.chunks(readable.select("path", "content", "targets", "known"))
+    found = snapshots.cut(matching.located(chunk, t["text"], snapshots.cut(matching.possible(chunk, t["text"]))))
+    literal, regex_added = t["literal"], None
+    lits = found
+    if added is not None:
+        regex_added = added["regex"]
+        young = spark.createDataFrame(sorted(added["literal"].items()), "position int, added int")
+        literal = literal.join(young, "position")
+        lits = found.join(rows.select("path", "known"), "path")
+    lits = lits.join(matching.small(literal.drop("text"), literal.count()), "lit").filter(F.array_contains("targets", F.col("target")))
+    lits = (lits if added is None else lits.filter("added > known")).select(*key, F.lit(1).alias("layer"), "position", "sig", "pos", "line", "excerpt")
+    regexes = snapshots.cut(matching.regex_matches(chunk, pack.needed(), matching.presence(chunk, found, pack.words, set(pack.pure)), errors=True, added=regex_added))
+    failed = regexes.filter("pos < 0").groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    every = lits.unionByName(regexes.filter("pos > 0")).unionByName(hashes)
+    kept = matching.suppress(matching.drop_overlaps(matching.named(every, t["signature"])))
+    return kept.withColumn("pos", F.col("chunk").cast("long") * (source.CHUNK - source.OVERLAP) + F.col("pos")), failed
+
+
+def match(rows: DataFrame, pack: Pack) -> DataFrame:
+    """Named matches of files (path, content, md5, sha256, size, kind)."""
+    return matched(rows, pack)[0]
 
 
 def rescan(decoded: DataFrame, pack: Pack) -> DataFrame:
     """Named matches (path, chunk, sig_id, category) of decoded constants (path, chunk, text), each as a first chunk of php."""
     t = pack.frames(decoded.sparkSession)
     chunk = decoded.withColumns({"targets": F.array(F.lit("file_php"), F.lit("file_any")), "first": F.lit(True), "line_base": F.lit(0)})
-    have = matching.candidates(chunk, t["literal"])
-    found = matching.literal_matches(chunk, t["literal"], have).unionByName(matching.regex_matches(chunk, pack.regexes, have)).select("path", "chunk", "sig")
-    if other := {r[0] for r in pack.regexes if not java_pattern(r[2])}:
-        keyed = chunk.select(F.to_json(F.struct("path", "chunk")).alias("path"), F.encode("text", "ISO-8859-1").alias("content"), "targets", F.lit(0).alias("hash_infected"))
-        exact = matching.byte_matcher(keyed, pack, only=other).select(F.from_json("path", "path string, chunk int").alias("k"), "sig")
-        found = found.unionByName(exact.select("k.path", "k.chunk", "sig"))
-    return matching.named(found.distinct(), t["signature"]).select("path", "chunk", "sig_id", "category")
+    found = snapshots.cut(matching.located(chunk, t["text"], snapshots.cut(matching.possible(chunk, t["text"]))))
+    there = matching.presence(chunk, found, pack.words, set(pack.pure))
+    hits = matching.literal_rules(found, t["literal"]).unionByName(matching.regex_matches(chunk, pack.needed(), there)).select("path", "chunk", "sig")
+    return matching.named(hits.distinct(), t["signature"]).select("path", "chunk", "sig_id", "category")
 
 
 def incoming_rows(table: RowTable, pack: Pack, signatures: DataFrame) -> DataFrame:
@@ -117,54 +146,81 @@ def incoming_software(software: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
-def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None) -> Result:
-    """Scan the tree below ``root`` into the snapshots below ``state``. The pack is pinned by its version: both tables of a
-    run carry it, and are committed together. ``own`` (path, md5) lists the scanner's own files. ``software`` (kind, slug, version) with its vulnerability ``records``, and
-    ``tables`` of rows, are matched where they are given; without them earlier findings of that type stay."""
+def rules_added(spark: SparkSession, state: str, pack: Pack) -> tuple[dict[str, dict[int, int]], DataFrame]:
+    """The pack that brought each rule, by layer and position, and the table of it that the next scan reads: a rule that the snapshot
+    knows keeps its pack, others are this one's. Both tables have a row a rule of one pack."""
+    had = snapshots.load(spark, state, "rules")
+    before = {} if had is None else {r.key: r.added for r in had.collect()}
+    keys = pack.rule_keys()
+    added = {layer: {at: before.get(k, pack.version) for at, k in zip([r[0] for r in rows], keys[layer], strict=True)} for layer, rows in (("literal", pack.literals), ("regex", pack.regexes))}
+    return added, spark.createDataFrame(sorted({k: before.get(k, pack.version) for of in keys.values() for k in of}.items()), "key string, added int")
+
+
+def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None, rehash: bool = False) -> Result:
+    """Scan the tree below ``root`` into the snapshots below ``state``. Names, sizes and times come first; only files that are new, whose
+    size or time differs (all with ``rehash``) or that are due for matching are opened. ``full`` matches every file that isn't known good,
+    ``changed`` those that this pack hasn't matched: an unchanged one without a finding is tried with the rules that its last pack
+    lacked. ``path`` matches all files below ``prefix``.
+
+    The pack is pinned by its version: all tables of a run carry it, and are committed together. ``own`` (path, md5) lists the scanner's
+    own files. ``software`` (kind, slug, version) with its vulnerability ``records``, and ``tables`` of rows, are matched where they are
+    given; without them earlier findings of that type stay. A row of the run's counts is committed with its tables."""
     if scope not in SCOPES:
         raise ValueError(f"no scope {scope!r}")
+    clock = runs.Clock()
+    within = scope == "path" and prefix
     old = snapshots.load(spark, state, "files")
     run = ((snapshots.current(spark, state) or {}).get("run") or 0) + 1
-    rows = classified(source.contents(spark, root, excluded), slugs or [], checksums, own)
-    if scope == "path" and prefix:
-        rows = rows.filter(F.col("path").startswith(prefix))
-    walked = rows.withColumn("path_hash", inventory.path_hash(F.col("path")))
-    if old is not None:
-        before = old.select("path_hash", F.col("scanned_bundle").alias("_bundle"), F.col("md5").alias("_md5"))
-        walked = walked.join(before, "path_hash", "left")
-    else:
-        walked = walked.withColumns({"_bundle": F.lit(0), "_md5": F.lit("")})
-    due = ~F.col("known_good") if scope == "full" else ~F.col("known_good") & ~((F.coalesce("_bundle", F.lit(0)) == pack.version) & (F.coalesce("_md5", F.lit("")) == F.col("md5")))
-    due_rows = walked.filter(due)
+    before = spark.createDataFrame([], FILES) if old is None else old if "pattern_errors" in old.columns else old.withColumn("pattern_errors", F.lit(0))
+    before = inventory.reset_hashes(before) if rehash else inventory.reset_scanned(before) if scope == "full" else inventory.reset_scanned(before, prefix) if within else before
+    walked = source.walk(spark, root, excluded)
+    walked = (walked.filter(F.col("path").startswith(prefix)) if within else walked).withColumns({"path_hash": inventory.path_hash(F.col("path")), "origin": origin_of(F.col("path"), slugs or []), "path_signal": F.lit(0)})
+    listed = snapshots.cut(inventory.upsert(before, walked, run))
+    clock.end("index")
+    unhashed = inventory.present(inventory.unhashed(listed), run)
+    opened = hashed(source.contents_of(spark, root, unhashed, excluded)).select("path", *[F.col(c).alias(f"_{c}") for c in ("md5", "sha256", "kind")])
+    hashes = snapshots.cut(opened)
+    renewed = {c: F.coalesce(f"_{c}", c) for c in ("md5", "sha256", "kind")}
+    states = snapshots.cut(judged(listed.join(hashes, "path", "left").withColumns(renewed).drop("_md5", "_sha256", "_kind"), checksums, own))
+    here = inventory.present(states, run)
+    clock.end("hash")
+    added, rules = rules_added(spark, state, pack)
+    had = snapshots.load(spark, state, "findings")
+    had = spark.createDataFrame([], FINDINGS) if had is None else had
+    due = inventory.queue(here, pack.version, prefix if within else None)
+    flagged = had.filter("type = 'file'").select(inventory.path_hash(F.col("locator")).alias("path_hash"))
+    due = inventory.only_new_rules(due, flagged, 1, True, scope)
+    known = F.when(F.col("only_new") & (F.col("scanned_bundle") < pack.version), F.col("scanned_bundle")).otherwise(0)
+    due = snapshots.cut(due.withColumn("known", known).select("path", "path_hash", "size", "md5", "sha256", "kind", "origin", "known_good", "known"))
+    rows = source.contents_of(spark, root, due, excluded).select("path", "content").join(due, "path")
     order = ("path", "chunk", "layer", "position", "sig_id", "category", "tier", "line", "excerpt")
-    matched = snapshots.cut(match(due_rows.select("path", "content", "md5", "sha256", "size", "kind"), pack).select(*order))
-    infected = matched.filter("tier = 'infected'").select("path", F.lit(True).alias("infected")).distinct()
-    gated = heuristics.gate(due_rows.join(infected, "path", "left").withColumn("infected", F.coalesce("infected", F.lit(False))))
+    hits, failed = matched(rows, pack, added)
+    hits = snapshots.cut(hits.select(*order))
+    clock.end("match")
+    infected = hits.filter("tier = 'infected'").select("path", F.lit(True).alias("infected")).distinct()
+    gated = heuristics.gate(rows.join(infected, "path", "left").withColumn("infected", F.coalesce("infected", F.lit(False))))
     signs = snapshots.cut(heuristics.evidence(gated.select("path", latin1(F.col("content")).alias("text"), "origin", "known_good"), lambda d: rescan(d, pack)))
+    clock.end("analysis")
     as_matches = signs.withColumns({"chunk": F.lit(AFTER_CHUNKS), "layer": F.lit(3), "tier": F.lit("suspicious")}).select(*order)
-    found = findings.assemble(matched.unionByName(as_matches))
+    found = findings.assemble(hits.unionByName(as_matches))
     said = signs.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "reason"))), lambda x: x["reason"]).alias("said"))
     found = found.join(said, "path", "left").withColumn("said", F.coalesce("said", F.array().cast("array<string>")))
     now = F.unix_timestamp(F.current_timestamp())
-    fresh = found.join(walked.select("path", F.col("signal.score").alias("score"), F.col("signal.reasons").alias("reasons")), "path")
+    fresh = found.join(here.select("path", F.col("signal.score").alias("score"), F.col("signal.reasons").alias("reasons")), "path")
     fresh = fresh.select(
         findings.fingerprint(F.lit("file"), F.col("path")).alias("locator_hash"), F.lit("file").alias("type"), F.col("path").alias("locator"), "signature_ids", "tier",
         findings.severity(F.col("tier"), F.col("score")).alias("severity"), "category", "line", "excerpt", findings.reason(F.col("said"), F.col("reasons")).alias("reason"),
     )
-    changed = walked.filter("integrity = 'mismatch'").select(
+    changed = here.filter("integrity = 'mismatch'").select(
         findings.fingerprint(F.lit("integrity"), F.col("path")).alias("locator_hash"), F.lit("integrity").alias("type"), F.col("path").alias("locator"), F.array(F.lit("integrity")).alias("signature_ids"),
         F.lit("integrity").alias("tier"), F.lit("alert").alias("severity"), F.lit("integrity").alias("category"), F.lit(0).alias("line"), F.lit("").alias("excerpt"), F.lit("checksum differs").alias("reason"),
     )
-    incoming = fresh.unionByName(changed)
-    had = snapshots.load(spark, state, "findings")
-    if had is None:
-        had = spark.createDataFrame([], "locator_hash string, type string, locator string, signature_ids array<string>, tier string, severity string, category string, line int, excerpt string, reason string, first_seen long, last_seen long, state string, state_changed_at long")
-    clean = due_rows.select("path").join(incoming.select(F.col("locator").alias("path")), "path", "left_anti").select(findings.fingerprint(F.lit("file"), F.col("path")).alias("locator_hash"))
-    good = walked.filter("known_good").select(F.explode(F.array(findings.fingerprint(F.lit("file"), F.col("path")), findings.fingerprint(F.lit("integrity"), F.col("path")))).alias("locator_hash"))
+    incoming = snapshots.cut(fresh.unionByName(changed))
+    clean = due.select("path").join(incoming.select(F.col("locator").alias("path")), "path", "left_anti").select(findings.fingerprint(F.lit("file"), F.col("path")).alias("locator_hash"))
+    good = here.filter("known_good").select(F.explode(F.array(findings.fingerprint(F.lit("file"), F.col("path")), findings.fingerprint(F.lit("integrity"), F.col("path")))).alias("locator_hash"))
     kept = findings.without(had, clean.unionByName(good))
-    if scope in ("full", "changed"):
-        alive = walked.select("path").distinct()
-        gone = kept.filter(F.col("type").isin("file", "integrity")).join(alive.select(F.col("path").alias("locator")), "locator", "left_anti")
+    if not within:
+        gone = kept.filter(F.col("type").isin("file", "integrity")).join(here.select(F.col("path").alias("locator")), "locator", "left_anti")
         kept = findings.without(kept, gone)
     if software is not None and records is not None:
         weak = snapshots.cut(incoming_software(software, records))
@@ -174,9 +230,20 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
     signatures = pack.frames(spark)["signature"]
     for table in tables:
         incoming = incoming.unionByName(incoming_rows(table, pack, signatures))
-    merged = findings.merge(kept, incoming, now).drop("change")
-    files = walked.select("path_hash", "path", "size", "mtime", "md5", "sha256", "kind", "origin", "known_good", F.col("signal.score").alias("path_signal"), F.lit(pack.version).alias("scanned_bundle"), F.lit(run).alias("seen_run"))
-    if scope == "path" and old is not None:
-        files = files.unionByName(old.join(files.select("path_hash"), "path_hash", "left_anti"))
-    version = snapshots.commit({"files": files, "findings": merged}, state, {"run": run, "bundle": pack.version, "scope": scope})
-    return Result(snapshots.load(spark, state, "files"), snapshots.load(spark, state, "findings"), version)
+    files = inventory.mark_scanned(states if within else here, due, pack.version, "_due").join(failed, "path", "left")
+    files = files.withColumns({"path_signal": F.col("signal.score"), "pattern_errors": F.coalesce("n", F.when(F.col("_due"), 0).otherwise(F.col("pattern_errors")), F.lit(0))})
+    of_files, of_findings = Observation(), Observation()
+    files = files.observe(of_files, *[F.count_if(c).alias(n) for n, c in (
+        ("files", F.col("seen_run") == run), ("added", F.col("change") == "added"), ("changed", F.col("change") == "changed"), ("known_good", F.col("known_good")), ("matched", F.col("_due")), ("pattern_errors", F.col("pattern_errors") > 0),
+    )])
+    merged = findings.merge(kept, incoming, now).observe(of_findings, F.count_if(F.col("change") == "added").alias("new"), F.count_if((F.col("state") == "new") & (F.col("severity") == "alert")).alias("alerts"), F.count(F.lit(1)).alias("findings"))
+    columns = [c.split()[0] for c in FILES.split(", ")]
+
+    def log() -> dict[str, DataFrame]:
+        clock.end("commit")
+        row = {"id": run, "status": "done", "scope": scope, "bundle": pack.version, "started_at": clock.started, "finished_at": clock.now(), "unread_patterns": len(pack.unread()), "phases": clock.phases, "counts": {**of_files.get, **of_findings.get}}
+        return {"runs": runs.appended(runs.log_of(spark, state), row)}
+
+    version = snapshots.commit({"files": files.select(*columns), "findings": merged.drop("change"), "rules": rules}, state, {"run": run, "bundle": pack.version, "scope": scope}, log)
+    load = lambda name: snapshots.load(spark, state, name)
+    return Result(load("files"), load("findings"), version, load("runs"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import os
+import re
 from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from sievework.functions.text import glob_regex, latin1, let, normal_path
 ALWAYS_EXCLUDED = (".git", "node_modules")
 #: Chunk and overlap of the reader.
 CHUNK, OVERLAP = 1 << 20, 64 << 10
+#: Files that are opened by name; for more of them the tree is read and the others dropped.
+LISTED = 20_000
 
 
 def relative_path(root: str) -> Column:
@@ -37,6 +41,24 @@ def contents(spark: SparkSession, root: str, excluded: Iterable[str] = ()) -> Da
     return rows.filter(included(F.col("path"), excluded))
 
 
+def contents_of(spark: SparkSession, root: str, wanted: DataFrame, excluded: Iterable[str] = ()) -> DataFrame:
+    """(path, size, mtime, content) of the files ``wanted`` (path) below ``root``; no other file is opened where they are few. Files that
+    are gone by now have no row."""
+    names = [r.path for r in wanted.select("path").limit(LISTED + 1).collect()]
+    base = root.rstrip("/")
+    if not names:
+        return spark.createDataFrame([], "path string, size long, mtime long, content binary")
+    if len(names) <= LISTED:
+        try:
+            files = spark.read.format("binaryFile").load([f"{base}/" + re.sub(r"([\\{}\[\]*?])", r"\\\1", n) for n in names])
+            rows = files.select(relative_path(root).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"), "content")
+            rows.schema  # noqa: B018 - the names are looked up here
+            return rows
+        except AnalysisException:  # one is gone: take those that are left
+            pass
+    return contents(spark, root, excluded).join(wanted.select("path").distinct(), "path", "left_semi")
+
+
 def included(path: Column, globs: Iterable[str] = (), always: Iterable[str] = ALWAYS_EXCLUDED) -> Column:
     """Neither inside an always excluded directory nor matched by a glob."""
     keep = ~F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(x) for x in always]))
@@ -71,17 +93,21 @@ def hashed(files: DataFrame) -> DataFrame:
 
 def chunks(files: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, content: str = "content") -> DataFrame:
     """One row a chunk: chunk number, offset, first, last, line_base and Latin-1 text. An empty file has one empty chunk.
-    Chunks are cut inside the row, so nothing is shuffled; ``line_base`` counts the line ends before the offset."""
+    Chunks are cut inside the row from its bytes, so nothing is shuffled or copied twice; ``line_base`` counts the line ends before
+    the offset, each stretch of the file once."""
     stride = size - overlap
     n = F.length(content)
     count = F.when(n <= size, F.lit(1)).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int") + 1)
-    text = latin1(F.col(content))
+    piece = lambda i, long: latin1(F.substring(F.col(content), i * stride + 1, F.lit(long)))
     breaks = lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
+    sums = F.aggregate(  # line ends before each chunk
+        F.sequence(F.lit(0), count - 1), F.array(F.lit(0)), lambda acc, i: F.when(i == count - 1, acc).otherwise(F.concat(acc, F.array(F.element_at(acc, -1) + breaks(piece(i, stride))))),
+    )
+    rows = files.withColumn("_breaks", sums)
     cut = lambda i: F.struct(
-        i.alias("chunk"), (i * stride).alias("offset"), (i == 0).alias("first"), (i == count - 1).alias("last"),
-        F.when(i == 0, 0).otherwise(breaks(F.substring(F.col("_text"), F.lit(1), i * stride))).alias("line_base"), F.substring(F.col("_text"), i * stride + 1, F.lit(size)).alias("text"),
+        i.alias("chunk"), (i * stride).alias("offset"), (i == 0).alias("first"), (i == count - 1).alias("last"), F.get("_breaks", i).alias("line_base"), piece(i, size).alias("text"),
     )
-    rows = files.withColumn("_text", text).withColumn("_chunk", F.explode(F.transform(F.sequence(F.lit(0), count - 1), cut)))
+    rows = rows.withColumn("_chunk", F.explode(F.transform(F.sequence(F.lit(0), count - 1), cut)))
     return rows.select(*[c for c in files.columns if c != content], "_chunk.*")
 
 

@@ -13,6 +13,7 @@ from sievework.operators import findings, heuristics, inventory, matching, rows,
 from sievework.plans import scan, snapshots
 from sievework.sources import files, pack
 from sievework.streaming import watch
+from tests import sequential
 
 PACK = pack.Pack(
     version=3,
@@ -81,18 +82,27 @@ def test_chunks_cover(spark, n):
     assert got[0].first and got[-1].last and sum(r.last for r in got) == 1
 
 
-def test_native_and_byte_matchers_agree(spark, tmp_path):
-    bodies = {"a.php": b"<?php\nevil_call(1); odd12 First  line", "b.txt": b"odd7\nfirst line", "c.php": b"<?php odd", "d.html": b"<html>\n\nodd5", "e.bin": b"\x00\x01\x02\x03"}
+MATCH = ("path", "layer", "position", "sig", "pos", "line", "excerpt")
+
+
+def matched_as_in_sequence(spark, root, bodies, mine):
+    """The engine's matches below ``root``, which must be those of a sequential scan; hash matches come first in both."""
     for name, body in bodies.items():
-        (tmp_path / name).write_bytes(body)
-    data = scan.classified(files.contents(spark, f"file://{tmp_path}"), [], None)
-    native = scan.match(data, PACK)
-    rows_ = data.filter("kind <> 'binary'").withColumn("targets", matching.targets_of(F.col("path"), F.col("kind"))).withColumn("hash_infected", F.lit(0))
-    exact = matching.byte_matcher(rows_, PACK)
-    key = ("path", "layer", "position", "sig", "line", "excerpt")
-    assert sorted(native.filter("layer > 0").select(*key).collect()) == sorted(exact.select(*key).collect())
-    assert {r.path for r in native.collect()} == {"a.php", "b.txt", "d.html"}
-    assert not native.filter("path = 'a.php' AND sig = 2").count()  # suspicious after infected
+        (root / name).write_bytes(body)
+    data = scan.classified(files.contents(spark, f"file://{root}"), [], None)
+    targets = {r.path: set(r.t) for r in data.filter("kind NOT IN ('binary', 'archive')").select("path", matching.targets_of(F.col("path"), F.col("kind")).alias("t")).collect()}
+    got = scan.match(data, mine)
+    hashed = {r.path: r.n for r in got.filter("layer = 0 AND tier = 'infected'").groupBy("path").agg(F.count("*").alias("n")).collect()}
+    rows_ = sorted(tuple(r) for r in got.filter("layer > 0").select(*MATCH).collect())
+    assert rows_ == sequential.scan_all({k: bodies[k] for k in targets}, targets, mine, hashed)
+    return rows_
+
+
+def test_joins_agree_with_a_sequential_scan(spark, tmp_path):
+    bodies = {"a.php": b"<?php\nevil_call(1); odd12 First  line", "b.txt": b"odd7\nfirst line", "c.php": b"<?php odd", "d.html": b"<html>\n\nodd5", "e.bin": b"\x00\x01\x02\x03"}
+    got = matched_as_in_sequence(spark, tmp_path, bodies, PACK)
+    assert {r[0] for r in got} == {"a.php", "b.txt", "d.html"}
+    assert not any(r[0] == "a.php" and r[3] == 2 for r in got)  # suspicious after infected
 
 
 @pytest.mark.parametrize("needed", [[], [1]])
@@ -102,21 +112,102 @@ def test_matcher_is_chosen_by_pattern(spark, tmp_path, needed):
         regexes=[PACK.regexes[0], (1, 4, "/(ba|d)*blob/", False, needed, ["file_any"]), (2, 2, "/odd[a-z]+/", False, [], ["file_any"]), (3, 5, "/(x|y)*worse/", False, needed, ["file_any"])], hashes=PACK.hashes,
     )
     parts = ["odd12 ", "badblob\n", "oddly ", "xyworse ", "tail word\n", "evil_call( "]
-    for n in range(1 << len(parts)):
-        (tmp_path / f"{n}.php").write_text("<?php " + "".join(p for i, p in enumerate(parts) if n >> i & 1))
-    (tmp_path / "hash.txt").write_text("hello")
-    data = scan.classified(files.contents(spark, f"file://{tmp_path}"), [], None)
-    rows_ = data.withColumn("targets", matching.targets_of(F.col("path"), F.col("kind"))).withColumn("hash_infected", F.lit(0))
-    key = ("path", "layer", "position", "sig", "line", "excerpt")
-    got = sorted(scan.match(data, mine).filter("layer > 0").select(*key).collect())
-    assert got == sorted(matching.byte_matcher(rows_, mine).select(*key).collect())
-    assert {r.sig for r in got} == {1, 2, 3, 4, 5}
+    bodies = {f"{n}.php": ("<?php " + "".join(p for i, p in enumerate(parts) if n >> i & 1)).encode() for n in range(1 << len(parts))}
+    got = matched_as_in_sequence(spark, tmp_path, {**bodies, "hash.txt": b"hello", "apart.php": b"<?php tail of word badblob"}, mine)
+    assert {r[3] for r in got} == {1, 2, 3, 4, 5}
+    assert not needed or not any(r[0] == "apart.php" and r[3] == 4 for r in got)  # both words, but not the literal
+
+
+def test_files_of_many_chunks(spark, tmp_path):
+    """Matches in overlaps, the quota over chunks, rules for first chunks, and literals that only regular expressions need."""
+    sigs = [(0, "l", "L", "c", "infected"), (1, "r", "R", "c", "suspicious"), (2, "f", "F", "c", "info"), (3, "i", "I", "c", "infected"), (4, "k", "K", "c", "info")]
+    mine = pack.Pack(
+        version=1, signatures=sigs, literals=[(0, 0, 0, "file_any", "evil_call(")], texts=[(0, "evil_call("), (1, "needle")],
+        regexes=[(0, 1, "/odd[0-9]+/", False, [], ["file_any"]), (1, 2, "/head[a-z]/", True, [], ["file_any"]), (2, 3, "/bad[0-9]{2}/", False, [], ["file_any"]), (3, 4, "/x\\Kneedle\\h/", False, [1], ["file_any"])],
+    )
+    step = files.CHUNK - files.OVERLAP
+    fill = lambda n: (b"\xe9" + b"." * 98 + b"\n") * (n // 100) + b"." * (n % 100)
+
+    def body(at):
+        out = bytearray(fill(3 * step + 5000))
+        for place, word in at:
+            out[place : place + len(word)] = word
+        return bytes(out)
+
+    bodies = {
+        "overlap.txt": body([(step + 10, b"odd11 "), (step + 50, b"headz"), (2 * step + 70_000, b"odd12 "), (3 * step + 100, b"xneedle ")]),
+        "late.txt": body([(2 * step + 5, b"evil_call("), (step + 5, b"odd1 "), (3 * step + 4000, b"odd2 ")]),
+        "quota.txt": body([(k * step + 70_000, b"bad%02d evil_call(" % k) for k in range(3)] + [(10, b"heada")]),
+        "small.php": b"<?php xneedle\t evil_call( odd1",
+    }
+    for quota in (10, 3, 1):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(matching.suppress, "__defaults__", (quota, "path"))
+            m.setattr(sequential.Sequential.__init__, "__defaults__", (files.CHUNK, files.OVERLAP, quota))
+            got = matched_as_in_sequence(spark, tmp_path, bodies, mine)
+    assert {r[3] for r in got} >= {0, 1, 2, 4}
+
+
+def test_literals_are_found_inside_longer_words(spark, tmp_path):
+    """Literals at the edge of a word, inside one, without words; and presence by a pack's own words."""
+    texts = ["eval(base", "b64_dec", ";$x", "then the end", "_call(", "(abc", "zz9"]
+    sigs = [(i, f"s{i}", "S", "c", "info") for i in range(8)]
+    mine = pack.Pack(
+        version=1, signatures=sigs, literals=[(i, i, i, "file_any", t) for i, t in enumerate(texts)], regexes=[(i, 7, "/[a-z]/", False, [i], ["file_any"]) for i in range(7)],
+        words=[("eval", 0), ("base", 0), ("b64_dec", 1), ("then", 3), ("end", 3), ("zz9", 6)], pure=[1, 6], always=[2],
+    )
+    parts = ["xeval(base64", "my_B64_decode", "b64_dec eval", ";$xy", "Then the end", "athen the end base", "evil_call(", "(abcd then", "qzz9 end", "zz9"]
+    bodies = {f"{n}.txt": " ".join(p for i, p in enumerate(parts) if n >> i & 1).encode() for n in range(0, 1 << len(parts), 7)}
+    got = matched_as_in_sequence(spark, tmp_path, bodies, mine)
+    assert {r[3] for r in got} == set(range(8))
+
+
+def test_unreadable_patterns_are_left_out_and_counted(spark, tmp_path):
+    regexes = [(0, 2, "/(?R)x/", False, [], ["file_any"]), (1, 2, "/a++b/", False, [], ["file_any"]), (2, 3, "/[[:alpha:]]+7/", False, [], ["file_any"]), (3, 3, "/(/", False, [], ["file_any"]), (4, 3, "/é./u", False, [], ["file_any"])]
+    mine = pack.Pack(version=1, signatures=PACK.signatures, regexes=regexes)
+    assert mine.unread() == ["/(?R)x/", "/(/"]
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site/a.php").write_bytes(b"<?php aab zz7")
+    (tmp_path / "site/b.php").write_bytes(b"<?php \xff")
+    out = scan.scan(spark, f"file://{tmp_path}/site", mine, f"file://{tmp_path}/state")
+    assert {(r.locator, tuple(r.signature_ids)) for r in out.findings.collect()} == {("a.php", ("r", "f"))}
+    assert {r.path: r.pattern_errors for r in out.files.collect()} == {"a.php": 0, "b.php": 1}
+    last = out.runs.collect()[0]
+    assert (last.unread_patterns, last.counts["pattern_errors"], last.counts["matched"], last.counts["new"]) == (2, 1, 2, 1)
+
+
+@pytest.mark.parametrize(("pattern", "data", "at"), [
+    (r"/a\hb/", b"xa\tb", 2), (r"/[^[:alpha:]]+/", b"ab1", 3), (r"/[[:^digit:]]/", b"12a", 3), (r"/\Qa.b\E+/", b"a.bbb", 1), (r"/foo\Kbar/", b"xfoobar", 5), (r"/(?|a(x)|b(y))/", b"by", 1),
+    (r"/a(?i)b|c/", b"zC", 2), (r"/(x(?i)y)z/", b"xYZ", 0), (r"/a$/D", b"a\n", 0), (r"/b\z/", b"b\n", 0), (r"/b\Z/", b"b\n", 1), (r"/b/A", b"ab", 0), (r"/(?<n>a)\k<n>/", b"baa", 2), (r"/\Rx/", b"\r\nx", 1), (r"/./u", b"\xff", -1),
+])
+def test_patterns_mean_what_they_say(pattern, data, at):
+    assert pack.first_match(pack.byte_pattern(pattern), data) == at
+
+
+def test_large_packs_reach_few_rules_a_chunk(spark):
+    """Thousands of generated patterns through the inverted index, against each pattern tried on each text."""
+    import random
+    import re
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
+    words = [word() for _ in range(3000)]
+    regexes = [(i, i % 3, f"/{words[i]}[a-h ]{{0,3}}{words[-i]}/", False, [i, (i + 7) % 3000], ["file_any"]) for i in range(3000)]
+    texts = [" ".join(rng.choice(words) for _ in range(150)) for _ in range(30)]
+    chunk = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumns({"chunk": F.lit(0), "first": F.lit(True), "line_base": F.lit(0), "targets": F.array(F.lit("file_any"))})
+    literals = spark.createDataFrame(list(enumerate(words)), "lit int, text string")
+    key = ("id", "chunk")
+    found = matching.located(chunk, literals, matching.candidates(chunk, literals, key), key)
+    assert {(r.id, r.lit, r.pos) for r in found.collect()} == {(i, k, t.find(w) + 1) for i, t in enumerate(texts) for k, w in enumerate(words) if w in t.split()}
+    got = {(r.id, r.position, r.pos) for r in matching.regex_matches(chunk, regexes, found.select(*key, "lit"), key).collect()}
+    want = {(i, r[0], m.start() + 1) for i, t in enumerate(texts) for r in regexes if all(words[x] in t.split() for x in r[4]) and (m := re.search(r[2][1:-1], t))}
+    assert got == want and want
 
 
 def test_chunked_scan_equals_whole():
     body = b"".join(b"x" * 37 + (b"odd%d" % i if i % 3 == 0 else b"evil_call(") + b"\n" for i in range(60))
-    whole = matching.ByteMatcher(PACK, 1 << 20, 1 << 10, quota=10**6).scan(body, {"file_any"})[0]
-    small = matching.ByteMatcher(PACK, 300, 60, quota=10**6).scan(body, {"file_any"})[0]
+    whole = sequential.Sequential(PACK, 1 << 20, 1 << 10, quota=10**6).scan(body, {"file_any"})
+    small = sequential.Sequential(PACK, 300, 60, quota=10**6).scan(body, {"file_any"})
     assert whole[0][3:] == small[0][3:] and len({m[4] for m in small}) == len(small)
     for m in small:
         assert m[5] == body.count(b"\n", 0, m[4]) + 1
