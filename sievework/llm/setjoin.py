@@ -43,9 +43,9 @@ SHINGLE = 3
 #: A pair links when OVER * (sum of sizes) <= TOTAL * overlap, which is Jaccard 0.9.
 OVER, TOTAL = 9, 19
 #: Shingles of a counting window; local repeats that make a shingle frequent; frequent shingles at most; ids broadcast to fetch texts.
-WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 21, 32, 1_000_000, 500_000
-#: Bits of a parity sketch, as a power of two.
-PARITY_BITS = 10
+WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 21, 4, 1_000_000, 500_000
+#: Bits of a parity sketch, as a power of two, and how many 64-bit words its folded form in the index lists has.
+PARITY_BITS, FOLDED = 10, 4
 U = np.uint64
 
 
@@ -185,12 +185,25 @@ def may_link(n: Column, pos: Column, m: Column, at: Column) -> Column:
     return enough(F.least(n - pos, m - at), n, m)
 
 
+def folded(odd: Column) -> Column:
+    """A parity sketch of ``FOLDED`` words: words that stand as far apart are joined bit by bit."""
+    return F.array(*[F.aggregate(F.filter(F.transform(odd, lambda x, i: F.when(i % FOLDED == k, x)), lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)) for k in range(FOLDED)])
+
+
+def differing(x: Column, y: Column, words: int) -> Column:
+    """Bits in which two sketches differ."""
+    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(words)), F.lit(0))
+
+
+def close_enough(bits: Column, n: Column, m: Column) -> Column:
+    return TOTAL * bits <= (TOTAL - 2 * OVER) * (n + m)
+
+
 def may_overlap(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b, ...) whose parity sketches differ in no more bits than linked sets may."""
     side = lambda k, x, n: classes.select(F.col("node").alias(k), F.col("odd").alias(x), F.col("n").alias(n))
     met = pairs.join(side("a", "_x", "_n"), "a").join(side("b", "_y", "_m"), "b")
-    differ = F.aggregate(F.zip_with("_x", "_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, n: a + n)
-    return met.filter(TOTAL * differ <= (TOTAL - 2 * OVER) * (F.col("_n") + F.col("_m"))).select(*pairs.columns)
+    return met.filter(close_enough(differing(F.col("_x"), F.col("_y"), (1 << PARITY_BITS) // 64), F.col("_n"), F.col("_m"))).select(*pairs.columns)
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -212,31 +225,34 @@ def overlaps(pairs: DataFrame, of: DataFrame) -> DataFrame:
 
 
 def index_lists(classes: DataFrame) -> DataFrame:
-    """(shingle, node, n, pos, band) of the lists with two entries or more, one entry a class."""
+    """(shingle, node, n, pos, band, few) of the lists with two entries or more, one entry a class; ``few`` is the set's folded sketch."""
     entries = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
     shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("shingle")
     both = entries.join(shared, "shingle", "left_semi")
-    return both.select("shingle", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.floor(F.log("n") / float(np.log(10 / 9))).cast("int").alias("band"))
+    both = both.join(classes.select("node", folded(F.col("odd")).alias("few")), "node")
+    return both.select("shingle", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.floor(F.log("n") / float(np.log(10 / 9))).cast("int").alias("band"), "few")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each set and the smallest set of its size's band in each of its lists, where the two can link."""
-    heads = lists.groupBy("shingle", "band").agg(F.min(F.struct("n", "node", "pos")).alias("head"))
-    met = lists.join(heads, ["shingle", "band"]).filter("node <> head.node").filter(may_link(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")))
-    return met.select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
+    """(a, b): each set and the head of its size's band in each of its lists, where the two can link. The head is the set in which
+    the shingle comes first, which has the fewest rare ones: the middle of a family of copies."""
+    heads = lists.groupBy("shingle", "band").agg(F.min(F.struct("pos", "n", "node", "few")).alias("head"))
+    near = may_link(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")) & close_enough(differing(F.col("few"), F.col("head.few"), FOLDED), F.col("n"), F.col("head.n"))
+    return lists.join(heads, ["shingle", "band"]).filter((F.col("node") != F.col("head.node")) & near).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
 
 def block_pairs(lists: DataFrame) -> DataFrame:
     """(x, y): pairs of sets of different groups that share an entry and can link; ``lists`` has the group of each entry (label).
     Blocks of one list are judged against each other before their entries are."""
     mixed = lists.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    mixed, _ = materialise(lists.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "pos", "label"), "mixed-lists")
+    mixed, _ = materialise(lists.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "pos", "label", "few"), "mixed-lists")
     blocks = mixed.groupBy("shingle", "n", "pos").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     others = blocks.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("low").alias("low_y"), F.col("high").alias("high_y"))
     met = blocks.join(others, "shingle").filter((F.struct("n", "pos") <= F.struct(F.col("m").alias("n"), F.col("at").alias("pos"))) & may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at")))
     met = met.filter(~((F.col("low") == F.col("high")) & (F.col("low_y") == F.col("high_y")) & (F.col("low") == F.col("low_y")))).select("shingle", "n", "pos", "m", "at")
-    right = mixed.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("node").alias("y"), F.col("label").alias("label_y"))
-    pairs = met.join(mixed, ["shingle", "n", "pos"]).join(right, ["shingle", "m", "at"]).filter("label <> label_y")
+    right = mixed.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("few").alias("few_y"))
+    near = (F.col("label") != F.col("label_y")) & close_enough(differing(F.col("few"), F.col("few_y"), FOLDED), F.col("n"), F.col("m"))
+    pairs = met.join(mixed, ["shingle", "n", "pos"]).join(right, ["shingle", "m", "at"]).filter(near)
     return pairs.select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
 
 
