@@ -1,35 +1,23 @@
-"""Static analysis of source text as joins and expressions: disguise, generated identifiers, decoded payloads, and taint from
-request input to dangerous calls. Text is only read, never run.
-
-Source is cut into statements in the row (comments and quoted semicolons masked); taint then spreads over
-(file, variable) rows by joins, one round an assignment step, until nothing is added.
+"""Static analysis of source text as joins and expressions: disguise, generated identifiers, decoded payloads, and (in ``taint``)
+request input that reaches dangerous calls. Text is only read, never run.
 """
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import entropy, let, line_of
+from sievework.operators import taint
 
 # Fixed values that findings must agree on.
-SOURCES = ("$_GET", "$_POST", "$_REQUEST", "$_COOKIE", "$_SERVER", "$_FILES")
-SOURCE_CALLS = ("getenv", "php://input")
-SINKS = (
-    "assert", "call_user_func", "call_user_func_array", "chmod", "copy", "create_function", "eval", "exec", "file_put_contents", "fputs", "fwrite", "include", "include_once",
-    "move_uploaded_file", "mysql_query", "mysqli_query", "passthru", "pcntl_exec", "popen", "preg_replace", "proc_open", "rename", "require", "require_once", "shell_exec", "system", "unlink",
-)
-FIRST_ARGUMENT_ONLY = ("call_user_func", "call_user_func_array")
 PACKAGE_ORIGINS = ("uploads", "mu", "other")
 HEADER_LINES, SILENCE_LINES = 20, 5
 LEAST_IDENTIFIERS, HIGH_ENTROPY, SOME_GENERATED, MOST_GENERATED = 8, 3.6, 0.4, 0.7
-#: Files up to this size are analysed; findings kept of each; rounds of taint after which the known variables are one table again.
-MOST_BYTES, MOST_FINDINGS, CUT_EVERY = 524_288, 10, 8
+#: Files up to this size are analysed; findings kept of each.
+MOST_BYTES, MOST_FINDINGS = 524_288, 10
 PAYLOAD_BYTES, DECODED_CAP, PAYLOAD_CODE = 200, 262_144, r"<\?php|eval\s*\("
-#: A dangerous call; analyzers in the order of their evidence; characters of a line kept; identifiers that a reason quotes.
-CALL = rf"(?i)(?<![\w>:$])({'|'.join(sorted(SINKS, key=len, reverse=True))})\b"
+#: Analyzers in the order of their evidence; characters of a line kept; identifiers that a reason quotes.
 ANALYZERS = ("source_sink", "entropy", "decoder", "disguise")
 EXCERPT, LISTED = 160, 5
 
@@ -85,52 +73,6 @@ def identifier_entropy(names: Column) -> Column:
     ))
 
 
-def pieces(text: Column) -> Column:
-    """The text cut at the ends of statements, with its line ends but without comments; semicolons inside quotes are masked."""
-    comment = F.lit(r"(?s)/\*.*?\*/")
-    breaks = F.transform(F.regexp_extract_all(text, comment, F.lit(0)), lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\n]+", "")))
-    code = F.array_join(F.zip_with(F.split(text, r"(?s)/\*.*?\*/"), breaks, lambda t, b: F.concat(t, F.coalesce(b, F.lit("")))), "")
-    code = F.regexp_replace(code, r"(?m)(^|[\s;{}])(//|#)[^\n]*", "$1")
-    masked = F.regexp_replace(F.regexp_replace(code, r"(['\"])([^'\"\n;]*);([^'\"\n]*)\1", "$1$2\u0001$3$1"), r"[{}]", ";")
-    return F.split(masked, ";")
-
-
-def statements(files: DataFrame, text: str = "text") -> DataFrame:
-    """(path, n, code): the statements of each file; comments are dropped and semicolons inside quotes don't end one."""
-    rows = files.select("path", F.posexplode(pieces(F.col(text))).alias("n", "code"))
-    return rows.withColumn("code", F.trim(F.replace(F.col("code"), F.lit("\u0001"), F.lit(";")))).filter("code <> ''")
-
-
-def taint(code: DataFrame) -> DataFrame:
-    """(path, variable): variables that request input reaches by assignments, over statements (path, n, code). There are as
-    many rounds as the longest chain has steps."""
-    from sievework.plans.snapshots import cut
-
-    assign = code.withColumn("m", F.regexp_extract("code", r"(\$[A-Za-z_][A-Za-z0-9_]*)\s*(?:\[[^\]]*\]\s*)?\.?=(?![=>])", 1)).filter("m <> ''")
-    assign = assign.withColumn("right", F.regexp_replace("code", r"^.*?\.?=(?![=>])", ""))
-    direct = F.col("right").rlike(r"\$_(GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|\bgetenv\s*\(|php://input")
-    seeds = assign.filter(direct).select("path", F.col("m").alias("variable")).distinct()
-    uses = assign.select("path", F.col("m").alias("to"), F.explode(F.array_distinct(F.regexp_extract_all("right", F.lit(r"(\$[A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("variable")).distinct()
-    known = frontier = cut(seeds)
-    for n in count(1):  # every round adds variables, so it ends
-        reached = uses.join(frontier, ["path", "variable"]).select("path", F.col("to").alias("variable")).distinct()
-        frontier = cut(reached.join(known, ["path", "variable"], "left_anti"))
-        if not frontier.limit(1).count():
-            return known
-        known = known.unionByName(frontier) if n % CUT_EVERY else cut(known.unionByName(frontier))
-
-
-def source_to_sink(code: DataFrame, tainted: DataFrame) -> DataFrame:
-    """(path, n, sink): statements that hand request input, directly or through a variable, to a dangerous call."""
-    calls = code.withColumn("sink", F.lower(F.regexp_extract("code", CALL, 1))).filter("sink <> ''")
-    after = F.regexp_replace("code", rf"(?is)^.*?{CALL[4:]}\s*\(?", "")
-    argument = F.when(F.col("sink").isin(*FIRST_ARGUMENT_ONLY), F.substring_index(after, ",", 1)).otherwise(after)
-    calls = calls.withColumn("argument", argument).filter((F.col("sink") != "preg_replace") | F.col("argument").rlike(r"^\s*['\"](.)[^'\"]*\1[a-zA-Z]*e[a-zA-Z]*['\"]"))
-    direct = calls.filter(F.col("argument").rlike(r"\$_(GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|\bgetenv\s*\(|php://input")).select("path", "n", "sink")
-    through = calls.select("path", "n", "sink", F.explode(F.array_distinct(F.regexp_extract_all("argument", F.lit(r"(\$[A-Za-z_][A-Za-z0-9_]*)"), F.lit(1)))).alias("variable"))
-    return direct.unionByName(through.join(tainted, ["path", "variable"]).select("path", "n", "sink")).distinct()
-
-
 def rot13(text: Column) -> Column:
     small = "abcdefghijklmnopqrstuvwxyz"
     turned = small[13:] + small[:13]
@@ -171,11 +113,8 @@ def evidence(files: DataFrame, rescan=None) -> DataFrame:
         return rows.select("path", F.lit(ANALYZERS.index(analyzer)).alias("analyzer"), line.cast("int").alias("line"), "n", kind.alias("category"), named.alias("sig_id"), reason.alias("reason"))
 
     files, text = cut(files.select("path", "text", "origin", "known_good")), F.col("text")
-    code = cut(statements(files))
-    hits = source_to_sink(code, taint(code)).join(files.select("path", "text"), "path").withColumn("p", pieces(text))
-    before = F.array_join(F.slice("p", F.lit(1), F.col("n")), ";")
-    line = line_of(before, F.length(before) + 1) + line_of(F.get("p", F.col("n")), F.regexp_instr(F.get("p", F.col("n")), F.lit(CALL))) - 1
-    found = shaped(hits, "source_sink", "backdoor", line, F.concat(F.lit("request input → "), "sink", F.lit(" (line "), line.cast("string"), F.lit(")")))
+    hits = taint.findings(files)
+    found = shaped(hits, "source_sink", "backdoor", F.col("line"), F.col("reason"))
     names = files.select("path", "text", identifiers(text).alias("names")).filter(identifier_entropy(F.col("names"))["suspicious"])
     names = names.select("path", "text", F.lit(0).alias("n"), F.filter("names", generated).alias("made"))
     listed = F.concat(F.lit("obfuscated identifiers: $"), F.array_join(F.slice("made", 1, LISTED), ", $"), F.when(F.size("made") > LISTED, " …").otherwise(""))

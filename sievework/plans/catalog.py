@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions import classify, schedule, text, versions
-from sievework.operators import findings, heuristics, integrity, inventory, matching, rows, runs, vulnerability
+from sievework.functions import classify, schedule, text
+from sievework.operators import findings, heuristics, integrity, inventory, matching, rows, runs, taint, vulnerability
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -616,8 +616,7 @@ def disguise_signals(spark, sf_dir):
 
 @register("SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'eval' ELSE 'system' END AS sink FROM pages WHERE page_id % 5 IN (0, 2)")
 def source_to_sink(spark, sf_dir):
-    code = heuristics.statements(code_pages(spark, sf_dir).withColumn("path", F.col("page_id").cast("string")))
-    found = heuristics.source_to_sink(code, heuristics.taint(code))
+    found = taint.findings(code_pages(spark, sf_dir).withColumn("path", F.col("page_id").cast("string")))
     return found.select(F.col("path").cast("long").alias("page_id"), "sink").distinct()
 
 
@@ -648,5 +647,3 @@ def formatted_cells(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", text.truncated(F.col("text"), 60).alias("short"), text.clean_line(F.col("text")).alias("line"), text.human_bytes(F.col("n_chars")).alias("size"))
 
-
-_ = versions
