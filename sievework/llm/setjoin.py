@@ -44,8 +44,10 @@ SHINGLE = 3
 OVER, TOTAL = 9, 19
 #: Shingles of a counting window; local repeats that make a shingle frequent; frequent shingles at most; ids broadcast to fetch texts.
 WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 21, 4, 1_000_000, 500_000
-#: Bits of a parity sketch, as a power of two, and how many 64-bit words its folded form in the index lists has.
-PARITY_BITS, FOLDED = 10, 4
+#: Entries up to which a list's sets are compared with each other at once, without a head first.
+SHORT = 8
+#: Least and most bits of a parity sketch, which has about two a shingle; 64-bit words of its folded form in the index lists.
+LEAST_BITS, MOST_BITS, FOLDED = 256, 1 << 16, 4
 U = np.uint64
 
 
@@ -84,12 +86,14 @@ def digests(n: int, owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray,
     return np.bincount(owner, minlength=n), one, two
 
 
-def parities(n: int, owner: np.ndarray, shingle: np.ndarray) -> np.ndarray:
-    """(n, words) of 64-bit words: each shingle flips one bit of its text's row."""
-    bits = 1 << PARITY_BITS
-    bit = (hashing.mix(shingle ^ U(0x3C6EF372FE94F82B)) >> U(64 - PARITY_BITS)).astype(np.int64)
-    odd = (np.bincount(owner * bits + bit, minlength=n * bits) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, bits), axis=1).view(np.int64)
+def parities(n: int, owner: np.ndarray, shingle: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, words) of each text's sketch: every shingle flips one of its bits. A sketch of twice the bits, its halves joined bit by
+    bit, is the sketch of half as many."""
+    bits = np.clip(2 << np.ceil(np.log2(np.maximum(np.bincount(owner, minlength=n), 1))).astype(np.int64), LEAST_BITS, MOST_BITS)
+    ends = np.append(0, np.cumsum(bits))
+    at = ends[:-1][owner] + (hashing.mix(shingle ^ U(0x3C6EF372FE94F82B)) & (bits[owner] - 1).astype(U)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(ends[-1])) & 1).astype(np.uint8)
+    return (ends // 64).astype(np.int32), np.packbits(odd).view(np.int64)
 
 
 def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,8 +162,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 keep = np.arange(len(owner)) - start[owner] < prefix_size(n)[owner]
                 ends = np.append(0, np.cumsum(np.where(n > 0, prefix_size(n), 0))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(shingle[order][keep].view(np.int64)))
-                words = parities(rows, owner, shingle)
-                odd = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+                at, words = parities(rows, owner, shingle)
+                odd = pa.ListArray.from_arrays(pa.array(at), pa.array(words))
                 part = batch.slice(a, rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("md5"), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists, odd], ["doc_id", "md5", "n", "one", "two", "prefix", "odd"])
 
@@ -190,20 +194,29 @@ def folded(odd: Column) -> Column:
     return F.array(*[F.aggregate(F.filter(F.transform(odd, lambda x, i: F.when(i % FOLDED == k, x)), lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)) for k in range(FOLDED)])
 
 
-def differing(x: Column, y: Column, words: int) -> Column:
-    """Bits in which two sketches differ."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(words)), F.lit(0))
+def differing(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ; sets that can link have sketches of one size or of twice the size."""
+    half = lambda v: F.zip_with(F.slice(v, F.lit(1), F.size(v) / 2), F.slice(v, F.size(v) / 2 + 1, F.size(v) / 2), lambda a, b: a.bitwiseXOR(b))
+    left, right = F.when(F.size(x) > F.size(y), half(x)).otherwise(x), F.when(F.size(y) > F.size(x), half(y)).otherwise(y)
+    return F.aggregate(F.zip_with(left, right, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, n: t + n)
 
 
 def close_enough(bits: Column, n: Column, m: Column) -> Column:
     return TOTAL * bits <= (TOTAL - 2 * OVER) * (n + m)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` of a few ids, written and counted: broadcast if they are few, so that what they are joined with isn't shuffled."""
+    rows, _ = materialise(rows, "keys")
+    return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+
 def may_overlap(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The ``pairs`` (a, b, ...) whose parity sketches differ in no more bits than linked sets may."""
+    pairs = bounded(pairs)
     side = lambda k, x, n: classes.select(F.col("node").alias(k), F.col("odd").alias(x), F.col("n").alias(n))
     met = pairs.join(side("a", "_x", "_n"), "a").join(side("b", "_y", "_m"), "b")
-    return met.filter(close_enough(differing(F.col("_x"), F.col("_y"), (1 << PARITY_BITS) // 64), F.col("_n"), F.col("_m"))).select(*pairs.columns)
+    return met.filter(close_enough(differing(F.col("_x"), F.col("_y")), F.col("_n"), F.col("_m"))).select(*pairs.columns)
 
 
 def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
@@ -218,41 +231,47 @@ def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame, known: DataFr
 
 
 def overlaps(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) with the size of both sets' intersection, each pair once."""
+    """``pairs`` (a, b, ...) with the size of both sets' intersection, each pair once. Only the sets of a pair are shuffled, to its ``b``."""
+    pairs = bounded(pairs)
     left, right = of.select(F.col("node").alias("a"), F.col("shingles").alias("x")), of.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    met = pairs.join(left, "a").join(right, "b")
+    met = left.join(pairs, "a").join(right.join(pairs.select("b").distinct(), "b", "left_semi"), "b")
     return met.select(*pairs.columns, F.size("x").cast("long").alias("n"), F.size("y").cast("long").alias("m"), F.size(F.array_intersect("x", "y")).cast("long").alias("overlap")).dropDuplicates(["a", "b"])
 
 
 def index_lists(classes: DataFrame) -> DataFrame:
-    """(shingle, node, n, pos, band, few) of the lists with two entries or more, one entry a class; ``few`` is the set's folded sketch."""
+    """(shingle, many, node, n, pos, band, few) of the lists with two entries or more, one entry a class; ``many`` counts a list's entries,
+    ``few`` is the set's folded sketch."""
     entries = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "shingle"))
-    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("shingle")
-    both = entries.join(shared, "shingle", "left_semi")
+    shared = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    both = entries.join(shared, "shingle")
     both = both.join(classes.select("node", folded(F.col("odd")).alias("few")), "node")
-    return both.select("shingle", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.floor(F.log("n") / float(np.log(10 / 9))).cast("int").alias("band"), "few")
+    return both.select("shingle", "many", "node", F.col("n").cast("long").alias("n"), F.col("pos").cast("long").alias("pos"), F.floor(F.log("n") / float(np.log(10 / 9))).cast("int").alias("band"), "few")
 
 
 def star_pairs(lists: DataFrame) -> DataFrame:
-    """(a, b): each set and the head of its size's band in each of its lists, where the two can link. The head is the set in which
+    """(a, b): each set and the head of its size's band in each of its longer lists, where the two can link. The head is the set in which
     the shingle comes first, which has the fewest rare ones: the middle of a family of copies."""
+    lists = lists.filter(F.col("many") > SHORT)
     heads = lists.groupBy("shingle", "band").agg(F.min(F.struct("pos", "n", "node", "few")).alias("head"))
-    near = may_link(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")) & close_enough(differing(F.col("few"), F.col("head.few"), FOLDED), F.col("n"), F.col("head.n"))
+    near = may_link(F.col("n"), F.col("pos"), F.col("head.n"), F.col("head.pos")) & close_enough(differing(F.col("few"), F.col("head.few")), F.col("n"), F.col("head.n"))
     return lists.join(heads, ["shingle", "band"]).filter((F.col("node") != F.col("head.node")) & near).select(F.col("node").alias("a"), F.col("head.node").alias("b")).distinct()
 
 
 def block_pairs(lists: DataFrame) -> DataFrame:
     """(x, y): pairs of sets of different groups that share an entry and can link; ``lists`` has the group of each entry (label).
     Blocks of one list are judged against each other before their entries are."""
-    mixed = lists.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
-    mixed, _ = materialise(lists.join(mixed, "shingle", "left_semi").select("shingle", "node", "n", "pos", "label", "few"), "mixed-lists")
+    long = lists.filter(F.col("many") > SHORT)
+    split = long.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("shingle")
+    mixed = lists.filter(F.col("many") <= SHORT).unionByName(long.join(split, "shingle", "left_semi")).select("shingle", "node", "n", "pos", "label", "few")
+    mixed, _ = materialise(mixed, "mixed-lists")
     blocks = mixed.groupBy("shingle", "n", "pos").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     others = blocks.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("low").alias("low_y"), F.col("high").alias("high_y"))
     met = blocks.join(others, "shingle").filter((F.struct("n", "pos") <= F.struct(F.col("m").alias("n"), F.col("at").alias("pos"))) & may_link(F.col("n"), F.col("pos"), F.col("m"), F.col("at")))
     met = met.filter(~((F.col("low") == F.col("high")) & (F.col("low_y") == F.col("high_y")) & (F.col("low") == F.col("low_y")))).select("shingle", "n", "pos", "m", "at")
     right = mixed.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("few").alias("few_y"))
-    near = (F.col("label") != F.col("label_y")) & close_enough(differing(F.col("few"), F.col("few_y"), FOLDED), F.col("n"), F.col("m"))
-    pairs = met.join(mixed, ["shingle", "n", "pos"]).join(right, ["shingle", "m", "at"]).filter(near)
+    near = (F.col("label") != F.col("label_y")) & close_enough(differing(F.col("few"), F.col("few_y")), F.col("n"), F.col("m"))
+    one = bounded(mixed.join(bounded(met), ["shingle", "n", "pos"]))
+    pairs = right.join(one, ["shingle", "m", "at"]).filter(near)
     return pairs.select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
 
 
@@ -281,14 +300,16 @@ def derived(pairs: DataFrame, stars: DataFrame, docs: DataFrame, classes: DataFr
         return materialise(links, "links")[0]
     members = rest.select(F.col("x").alias("node")).unionByName(rest.select(F.col("y").alias("node"))).distinct()
     whole, more = sets_of(docs, classes, members, of)
-    lead = whole.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs"))
-    change = members.join(led.select("node", "leader"), "node").join(whole, "node").join(lead, "leader")
+    of_leader = bounded(members.join(led.select("node", "leader"), "node"))
+    lead = whole.select(F.col("node").alias("leader"), F.col("shingles").alias("theirs")).join(of_leader.select("leader").distinct(), "leader", "left_semi")
+    change = whole.join(of_leader, "node").join(lead, "leader")
     change, _ = materialise(change.select("node", F.array_except("shingles", "theirs").alias("added"), F.array_except("theirs", "shingles").alias("lacked")).dropDuplicates(["node"]), "differences")
 
     def moved(rows: DataFrame, member: str, other: str) -> DataFrame:
         """``rows`` with ``overlap`` of ``other`` and a leader made that of ``other`` and the leader's ``member``."""
+        rows = bounded(rows)
         mine, theirs = change.withColumnRenamed("node", member), whole.select(F.col("node").alias(other), "shingles").dropDuplicates([other])
-        met = rows.join(mine, member, "left").join(theirs, other)
+        met = theirs.join(rows, other).join(mine, member, "left")
         own = lambda c: F.coalesce(F.size(F.array_intersect(c, "shingles")), F.lit(0))
         plus = F.when(F.col("added").isNull(), 0).otherwise(own("added") - own("lacked"))
         return met.withColumn("overlap", F.col("overlap") + plus).drop("added", "lacked", "shingles")
