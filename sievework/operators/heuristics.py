@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.functions.text import entropy, let, line_of
-from sievework.operators import taint
+from sievework.operators import constants, taint
 
 # Fixed values that findings must agree on.
 PACKAGE_ORIGINS = ("uploads", "mu", "other")
@@ -16,7 +16,7 @@ HEADER_LINES, SILENCE_LINES = 20, 5
 LEAST_IDENTIFIERS, HIGH_ENTROPY, SOME_GENERATED, MOST_GENERATED = 8, 3.6, 0.4, 0.7
 #: Files up to this size are analysed; findings kept of each.
 MOST_BYTES, MOST_FINDINGS = 524_288, 10
-PAYLOAD_BYTES, DECODED_CAP, PAYLOAD_CODE = 200, 262_144, r"<\?php|eval\s*\("
+PAYLOAD_BYTES, PAYLOAD_CODE = 200, r"<\?php|eval\("
 #: Analyzers in the order of their evidence; characters of a line kept; identifiers that a reason quotes.
 ANALYZERS = ("source_sink", "entropy", "decoder", "disguise")
 EXCERPT, LISTED = 160, 5
@@ -73,34 +73,6 @@ def identifier_entropy(names: Column) -> Column:
     ))
 
 
-def rot13(text: Column) -> Column:
-    small = "abcdefghijklmnopqrstuvwxyz"
-    turned = small[13:] + small[:13]
-    return F.translate(text, small + small.upper(), turned + turned.upper())
-
-
-def decoded(text: Column) -> Column:
-    """array<struct<decoder,payload>>: constants that the text hands to a decoder, decoded by expressions; what can't be is dropped."""
-    arg = r"\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"
-    calls = lambda name: F.regexp_extract_all(text, F.lit(rf"(?i)\b{name}{arg}"), F.lit(1))
-    as_text = lambda b: F.decode(b, "ISO-8859-1")
-    ways = {
-        "base64_decode": lambda x: as_text(F.try_to_binary(x, F.lit("base64"))), "hex2bin": lambda x: as_text(F.try_to_binary(x, F.lit("hex"))), "str_rot13": rot13, "strrev": F.reverse,
-        "urldecode": lambda x: F.try_url_decode(x), "rawurldecode": lambda x: F.try_url_decode(F.replace(x, F.lit("+"), F.lit("%2B"))),
-    }
-
-    def each(name: str, way) -> Column:
-        return F.transform(calls(name), lambda x: F.struct(F.lit(name).alias("decoder"), F.substring(way(x), 1, DECODED_CAP).alias("payload")))
-
-    found = [each(k, f) for k, f in ways.items()]
-    return F.filter(F.concat(*found), lambda x: x["payload"].isNotNull() & (x["payload"] != ""))
-
-
-def payloads(text: Column) -> Column:
-    """Decoded constants that are code: long enough and with an opening tag or an eval."""
-    return F.filter(decoded(text), lambda x: (F.length(x["payload"]) >= PAYLOAD_BYTES) & F.lower(x["payload"]).rlike(PAYLOAD_CODE))
-
-
 def evidence(files: DataFrame, rescan=None) -> DataFrame:
     """(path, position, sig_id, category, line, excerpt, reason) of gated files (path, text, origin, known_good): all analyzers in
     their order, at most ``MOST_FINDINGS`` a file. ``rescan`` gives the named matches (path, chunk, sig_id, category) of decoded
@@ -119,14 +91,13 @@ def evidence(files: DataFrame, rescan=None) -> DataFrame:
     names = names.select("path", "text", F.lit(0).alias("n"), F.filter("names", generated).alias("made"))
     listed = F.concat(F.lit("obfuscated identifiers: $"), F.array_join(F.slice("made", 1, LISTED), ", $"), F.when(F.size("made") > LISTED, " …").otherwise(""))
     found = found.unionByName(shaped(names, "entropy", "obfuscation", line_of(text, F.instr(text, F.get("made", F.lit(0)))), listed))
-    plain = cut(files.select("path", "text", F.posexplode(decoded(text)).alias("n", "d")))
-    at = line_of(text, F.greatest(F.regexp_instr(text, F.concat(F.lit(r"(?i)\b"), F.col("d.decoder"), F.lit(r"\b"))), F.lit(1)))
+    plain = cut(constants.decoded(files))
+    chain = F.array_join("chain", "→")
     if rescan is not None:
-        again = rescan(plain.select("path", F.col("n").alias("chunk"), F.col("d.payload").alias("text"))).select("path", F.col("chunk").alias("n"), "sig_id", "category").distinct()
-        again = again.join(plain, ["path", "n"])
-        found = found.unionByName(shaped(again, "decoder", "", at, F.concat("sig_id", F.lit(" matched after "), "d.decoder", F.lit(" decoding")), F.col("sig_id")))
-    code_in = plain.filter((F.length("d.payload") >= PAYLOAD_BYTES) & F.lower("d.payload").rlike(PAYLOAD_CODE))
-    found = found.unionByName(shaped(code_in, "decoder", "obfuscation", at, F.concat(F.lit("decoded PHP payload via "), "d.decoder")))
+        again = rescan(plain.select("path", F.col("n").alias("chunk"), F.col("payload").alias("text"))).select("path", F.col("chunk").alias("n"), "sig_id", "category").distinct()
+        found = found.unionByName(shaped(again.join(plain, ["path", "n"]), "decoder", "", F.col("line"), F.concat("sig_id", F.lit(" matched after "), chain, F.lit(" decoding")), F.col("sig_id")))
+    code_in = plain.filter((F.length("payload") >= PAYLOAD_BYTES) & F.col("payload").rlike(PAYLOAD_CODE))
+    found = found.unionByName(shaped(code_in, "decoder", "obfuscation", F.col("line"), F.concat(F.lit("decoded PHP payload via "), chain)))
     signs = files.select("path", F.posexplode(disguise(text, F.col("origin"), F.col("known_good"))).alias("n", "d"))
     found = found.unionByName(shaped(signs, "disguise", "dropper", F.col("d.line"), F.col("d.reason")))
     order = Window.partitionBy("path").orderBy("analyzer", "line", "n", "sig_id", "reason")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions import classify, schedule, text
-from sievework.operators import findings, heuristics, integrity, inventory, matching, rows, runs, taint, vulnerability
+from sievework.operators import constants, findings, heuristics, integrity, inventory, matching, rows, runs, taint, vulnerability
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -624,7 +624,8 @@ def source_to_sink(spark, sf_dir):
 def decoded_payload(spark, sf_dir):
     raw = F.concat(F.lit("<?php eval(1); "), F.col("url"))
     page = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit('<?php eval(base64_decode("'), F.base64(F.encode(raw, "UTF-8")), F.lit('"));')).alias("text"))
-    return page.select("page_id", F.explode(heuristics.decoded(F.col("text"))).alias("d")).select("page_id", "d.decoder", "d.payload")
+    found = constants.decoded(page.withColumn("path", F.col("page_id").cast("string")))
+    return found.select(F.col("path").cast("long").alias("page_id"), F.array_join("chain", "→").alias("decoder"), "payload")
 
 
 @register("""WITH w AS (SELECT doc_id, list_filter(list_distinct(regexp_extract_all(text, '[A-Za-z_]+')), lambda x: length(x) >= 9) AS ws FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z\\s]', '', 'g') AS text FROM documents)),
