@@ -414,3 +414,81 @@ def test_a_run_that_dies_leaves_the_version_before_it(spark, tmp_path, monkeypat
     assert snapshots.current(spark, root)["version"] == 1 and snapshots.load(spark, root, "t").count() == 3
     assert snapshots.commit(one(5), root, {}) == 2 and snapshots.load(spark, root, "t").count() == 5
     assert snapshots.load(spark, root, "other") is None
+
+
+def test_unchanged_files_are_not_opened(spark, tmp_path, monkeypatch):
+    """A file whose size and time stay is neither read nor hashed; a new pack opens only what it has to match."""
+    import os
+
+    root, state = tmp_path / "site", f"file://{tmp_path}/state"
+    root.mkdir()
+    for name in ("a.php", "b.php", "odd [x]{y}*.php"):
+        (root / name).write_bytes(b"<?php evil_call(1);")
+    scan.scan(spark, f"file://{root}", PACK, state)
+    asked = []
+    real = files.contents_of
+
+    def spy(spark_, root_, wanted, *rest):
+        asked.append(sorted(r.path for r in wanted.select("path").collect()))
+        return real(spark_, root_, wanted, *rest)
+
+    monkeypatch.setattr(files, "contents_of", spy)
+    monkeypatch.setattr(files, "contents", None)
+    at = (root / "b.php").stat()
+    (root / "b.php").write_bytes(b"<?php fine_call(1);")
+    os.utime(root / "b.php", ns=(at.st_atime_ns, at.st_mtime_ns))
+    out = scan.scan(spark, f"file://{root}", PACK, state, scope="changed")
+    assert asked == [[], []] and {r.locator for r in out.findings.collect()} == {"a.php", "b.php", "odd [x]{y}*.php"}
+    (root / "c.php").write_bytes(b"<?php odd1")
+    asked.clear()
+    out = scan.scan(spark, f"file://{root}", PACK, state, scope="changed")
+    assert asked == [["c.php"], ["c.php"]] and out.findings.count() == 4
+    asked.clear()
+    out = scan.scan(spark, f"file://{root}", PACK, state, scope="path", prefix="odd")
+    assert asked == [[], ["odd [x]{y}*.php"]] and out.files.count() == 4 and out.findings.count() == 4
+    asked.clear()
+    out = scan.scan(spark, f"file://{root}", PACK, state, rehash=True)
+    assert asked[0] == ["a.php", "b.php", "c.php", "odd [x]{y}*.php"] and {r.locator for r in out.findings.collect()} == {"a.php", "c.php", "odd [x]{y}*.php"}
+    log = {r.id: r for r in out.runs.collect()}
+    assert [log[i].scope for i in sorted(log)] == ["full", "changed", "changed", "path", "full"] and (log[1].counts["added"], log[2].counts["matched"], log[3].counts["added"], log[5].counts["matched"]) == (3, 0, 1, 4)
+    assert set(log[1].phases) == {"index", "hash", "match", "analysis", "commit"}
+
+
+def test_unchanged_files_meet_only_new_rules(spark, tmp_path):
+    """Every file's own rules: those younger than its last pack, and all of them where it has a finding or has changed."""
+    root, state = tmp_path / "site", f"file://{tmp_path}/state"
+    root.mkdir()
+    rule = lambda i, p: (i, i, p, False, [], ["file_any"])
+    mine = lambda version, *ps: pack.Pack(version=version, signatures=[(i, f"s{p}", p, "c", "info") for i, p in enumerate(ps)], regexes=[rule(i, f"/{p}/") for i, p in enumerate(ps)], literals=[(0, 0, 0, "file_any", "literal")])
+    bodies = {"old.txt": "aa bb", "both.txt": "aa bb cc", "late.txt": "cc", "none.txt": "zz"}
+    for name, body in bodies.items():
+        (root / name).write_text(body)
+    ids = lambda out: {r.locator: sorted(r.signature_ids) for r in out.findings.collect()}
+    first = scan.scan(spark, f"file://{root}", mine(1, "bb"), state)
+    assert ids(first) == {"old.txt": ["sbb"], "both.txt": ["sbb"]}
+    tried = []
+    with pytest.MonkeyPatch.context() as m:
+        real = scan.matched
+        m.setattr(scan, "matched", lambda rows, p, added: tried.append({r.path: r.known for r in rows.select("path", "known").collect()}) or real(rows, p, added))
+        second = scan.scan(spark, f"file://{root}", mine(2, "bb", "cc"), state, scope="changed")
+    assert tried == [{"old.txt": 0, "both.txt": 0, "late.txt": 1, "none.txt": 1}]
+    whole = scan.scan(spark, f"file://{root}", mine(2, "bb", "cc"), f"file://{tmp_path}/fresh")
+    assert ids(second) == ids(whole) == {"old.txt": ["sbb"], "both.txt": ["sbb", "scc"], "late.txt": ["scc"]}
+    (root / "none.txt").write_text("aa changed")
+    third = scan.scan(spark, f"file://{root}", mine(3, "bb", "cc", "aa"), state, scope="changed")
+    assert ids(third)["none.txt"] == ["saa"] and {r.added for r in snapshots.load(spark, state, "rules").collect()} == {1, 2, 3}
+
+
+def test_baseline_and_notices(spark):
+    run = lambda i, status, at: (i, status, "full", 1, at, at + 1, 0, {}, {})
+    log = lambda *rows_: spark.createDataFrame([run(*r) for r in rows_], runs.LOG)
+    base = lambda df: tuple(one(runs.baseline(df)))
+    assert base(log()) == (0, False) and base(log((1, "failed", 5))) == (0, False)
+    assert base(log((1, "failed", 5), (7, "done", 9))) == (7, True) and base(log((7, "done", 9), (8, "failed", 10))) == (7, True)
+    assert base(log((7, "done", 9), (8, "done", 10))) == (7, False)
+    found = spark.createDataFrame([("a", "new", "alert", 9, 0), ("b", "new", "review", 2, 11), ("c", "new", "alert", 2, 0), ("d", "ignored", "alert", 11, 0)], "locator_hash string, state string, severity string, first_seen long, state_changed_at long")
+    told = lambda df: tuple(one(runs.notices(df, found)))
+    assert told(log((7, "done", 9))) == (0, 0, False)
+    assert told(log((7, "done", 1), (8, "done", 9))) == (1, 1, False)
+    failed = [(k, "failed", 9) for k in (8, 9, 10, 11)]
+    assert told(log((7, "done", 1), *failed[:2])) == (0, 0, False) and told(log((7, "done", 1), *failed[:3])) == (0, 0, True) and told(log((7, "done", 1), *failed)) == (0, 0, False)
