@@ -11,9 +11,9 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.present import presented
-from sievework.operators import findings, inventory
+from sievework.operators import findings, inventory, runs
 from sievework.plans import scan, snapshots
-from sievework.sources import records
+from sievework.sources import database, records
 from sievework.sources.pack import PackError, load_pack
 
 STATES = {"ack": "acknowledged", "ignore": "ignored", "reopen": "new"}
@@ -50,7 +50,12 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--own", help="JSON object of the scanner's own paths and their md5")
     run.add_argument("--software", help="JSON lines of kind, slug, version")
     run.add_argument("--records", help="JSON lines of vulnerability records")
+    run.add_argument("--answers", help="JSON lines of kind, slug, fetched_at, answer: found, none, failed or missing")
+    run.add_argument("--database", help="folder of landed tables, or a JDBC address")
+    run.add_argument("--table-prefix", default="wp_")
+    run.add_argument("--rehash", action="store_true", help="read every file again")
     sub.add_parser("status")
+    sub.add_parser("runs")
     sub.add_parser("index")
     lister = sub.add_parser("findings")
     for name in ("severity", "type", "review", "search"):
@@ -61,12 +66,17 @@ def main(argv: list[str] | None = None) -> int:
     a = p.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if a.command == "run":
+        tables, members, now = [], None, F.unix_timestamp(F.current_timestamp())
+        if a.database:
+            found = database.over_jdbc(spark, a.database, a.table_prefix) if a.database.startswith("jdbc:") else database.landed(spark, a.database)
+            tables, members = database.row_tables(found), database.administrators(found, a.table_prefix)
         try:
             result = scan.scan(
                 spark, a.root, load_pack(a.pack, a.meta), a.state, a.scope, a.path, slugs=a.slug, excluded=a.exclude,
-                checksums=records.checksums(spark, a.checksums) if a.checksums else None, own=records.own_manifest(spark, a.own) if a.own else None,
+                checksums=records.checksums(spark, a.checksums, now) if a.checksums else None, own=records.own_manifest(spark, a.own) if a.own else None,
                 software=spark.read.schema("kind string, slug string, version string").json(a.software) if a.software else None,
-                records=records.vulnerabilities(spark, a.records) if a.records else None,
+                records=records.vulnerabilities(spark, a.records) if a.records else None, tables=tables, members=members, rehash=a.rehash,
+                answers=spark.read.schema("kind string, slug string, fetched_at long, answer string").json(a.answers) if a.answers else None,
             )
         except (PackError, ValueError) as e:
             print(e, file=sys.stderr)
@@ -80,6 +90,8 @@ def main(argv: list[str] | None = None) -> int:
     found, files = snapshots.load(spark, a.state, "findings"), snapshots.load(spark, a.state, "files")
     if a.command == "status":
         show(findings.chips(found), a.format)
+    elif a.command == "runs":
+        show(runs.latest(runs.log_of(spark, a.state)), a.format)
     elif a.command == "index":
         show(inventory.statistics(files, now["bundle"]), a.format)
     elif a.command == "findings":

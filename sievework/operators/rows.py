@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import excerpt, latin1
 from sievework.operators.matching import named, tier_rank
-from sievework.sources.pack import byte_pattern, java_pattern
+from sievework.sources.pack import byte_pattern, first_match, java_pattern, readings
 
 #: Characters of a cell that are matched.
 CELL = 1 << 20
@@ -56,18 +56,20 @@ def match_rows(rows: DataFrame, rules: Iterable[tuple], columns: Iterable[str])
     return admitted.withColumn("matches", hits).filter(F.size("matches") > 0)
 
 
-def cell_matches(rows: DataFrame, rules: Iterable[tuple], table: str, key: str, columns: Iterable[str], label: Column) -> DataFrame:
+def cell_matches(rows: DataFrame, rules: Iterable[tuple], table: str, key: str, columns: Iterable[str], label: Column, prefiltered: bool = True) -> DataFrame:
     """(locator, label, position, sig, pos, excerpt): every rule that matches a cell, over bytes, each column by itself.
+    Without ``prefiltered`` each rule meets every row. Patterns that can't be read are left out.
     Patterns that Java would read otherwise run in Arrow batches over the admitted cells."""
     rules, columns = list(rules), list(columns)
-    admitted = rows.filter(like_prefilter(rules, columns))
+    java, others, _ = readings([r[2] for r in rules])
+    admitted = rows.filter(like_prefilter(rules, columns)) if prefiltered else rows
     cells = None
     for c in columns:
         cell = F.substring(latin1(F.encode(F.col(c), "UTF-8")), 1, CELL)
         one = admitted.select(row_locator(table, c, F.col(key)).alias("locator"), label.alias("label"), cell.alias("cell")).filter("cell <> ''")
         cells = one if cells is None else cells.unionByName(one)
-    native = [(i, r[1], p) for i, r in enumerate(rules) if (p := java_pattern(r[2]))]
-    other = [(i, r[1], r[2]) for i, r in enumerate(rules) if not java_pattern(r[2])]
+    native = [(i, r[1], java[r[2]]) for i, r in enumerate(rules) if r[2] in java]
+    other = [(i, r[1], r[2]) for i, r in enumerate(rules) if r[2] in others]
     hits = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(sig).alias("sig"), F.regexp_instr("cell", F.lit(p)).alias("pos")) for i, sig, p in native])
     schema = "locator string, label string, cell string, position int, sig int, pos int"
     found = cells.sparkSession.createDataFrame([], schema)
@@ -78,8 +80,8 @@ def cell_matches(rows: DataFrame, rules: Iterable[tuple], table: str, key: str,
         patterns = [(i, sig, byte_pattern(p)) for i, sig, p in other]
         for batch in batches:
             out = [
-                (*row, i, sig, m.start() + 1)
-                for row in zip(batch["locator"], batch["label"], batch["cell"], strict=True) for i, sig, p in patterns if (m := p.search(row[2].encode("latin-1")))
+                (*row, i, sig, at)
+                for row in zip(batch["locator"], batch["label"], batch["cell"], strict=True) for i, sig, p in patterns if (at := first_match(p, row[2].encode("latin-1"))) > 0
             ]
             yield pd.DataFrame(out, columns=["locator", "label", "cell", "position", "sig", "pos"])
 

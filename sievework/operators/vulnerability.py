@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.versions import in_range
@@ -41,8 +41,10 @@ def findings(hits: DataFrame) -> DataFrame:
     )
 
 
-def settle(findings_: DataFrame, checked: DataFrame, matched: DataFrame, complete: bool) -> DataFrame:
-    """Vulnerability findings after a pass: checked software without a match loses its finding, software whose provider
-    gave no answer keeps it, and only a complete pass drops findings of software that is gone."""
+def settle(findings_: DataFrame, checked: DataFrame, matched: DataFrame, complete: Column | bool, installed: DataFrame | None = None) -> DataFrame:
+    """Vulnerability findings after a pass: ``checked`` software without a match loses its finding, software whose provider
+    gave no answer keeps it, and only a ``complete`` pass drops findings of software that isn't ``installed`` (``checked`` by default)."""
     kept = findings_.join(checked.join(matched.select("locator"), "locator", "left_anti").select("locator"), "locator", "left_anti")
-    return kept.join(checked.select("locator"), "locator", "left_semi") if complete else kept
+    here = (checked if installed is None else installed).select("locator", F.lit(True).alias("_here")).distinct()
+    complete = F.lit(complete) if isinstance(complete, bool) else complete
+    return kept.join(here, "locator", "left").filter(F.col("_here").isNotNull() | ~complete).drop("_here").select(*findings_.columns)

@@ -13,6 +13,8 @@ from sievework.operators import findings, heuristics, integrity, inventory, matc
 from sievework.operators import rows as table_rows
 from sievework.plans import snapshots
 from sievework.sources import files as source
+from sievework.sources import records as published
+from sievework.sources.database import RowTable
 from sievework.sources.pack import Pack
 
 SCOPES = ("full", "changed", "path")
@@ -20,18 +22,6 @@ SCOPES = ("full", "changed", "path")
 AFTER_CHUNKS = (1 << 31) - 1
 
 
-@dataclass
-class RowTable:
-    """Table rows to match: the pack's rules for ``target``, over ``columns`` of ``rows`` by their ``key``."""
-
-    target: str
-    name: str
-    rows: DataFrame
-    key: str
-    columns: tuple[str, ...]
-    label: Column
-
-
 @dataclass
 class Result:
     files: DataFrame
@@ -130,7 +120,7 @@ def rescan(decoded: DataFrame, pack: Pack) -> DataFrame:
 def incoming_rows(table: RowTable, pack: Pack, signatures: DataFrame) -> DataFrame:
     """Findings of a table's cells."""
     rules = [r for r in pack.row_rules if r[0] == table.target]
-    found = table_rows.cell_findings(table_rows.cell_matches(table.rows, rules, table.name, table.key, table.columns, table.label), signatures)
+    found = table_rows.cell_findings(table_rows.cell_matches(table.rows, rules, table.name, table.key, table.columns, table.label, table.prefiltered), signatures)
     return found.select(
         findings.fingerprint(F.lit("db"), F.col("locator")).alias("locator_hash"), F.lit("db").alias("type"), "locator", "signature_ids", "tier",
         findings.severity(F.col("tier"), F.lit(0)).alias("severity"), "category", F.lit(0).alias("line"), "excerpt", "reason",
@@ -140,9 +130,20 @@ def incoming_rows(table: RowTable, pack: Pack, signatures: DataFrame) -> DataFra
 def incoming_software(software: DataFrame, records: DataFrame) -> DataFrame:
     """Findings of installed software that vulnerability records name."""
     found = vulnerability.findings(vulnerability.matches(software.select("kind", "slug", "version").distinct(), records))
+    end = F.when(F.col("fixed_in").isNotNull(), F.concat(F.lit(", patched in "), "fixed_in")).otherwise(", no fix available")
     return found.select(
         findings.fingerprint(F.lit("vulnerability"), F.col("locator")).alias("locator_hash"), F.lit("vulnerability").alias("type"), "locator", "signature_ids", "tier", "severity",
-        F.lit("vulnerability").alias("category"), F.lit(0).alias("line"), F.lit("").alias("excerpt"), "reason",
+        F.lit("vulnerability").alias("category"), F.lit(0).alias("line"), F.lit("").alias("excerpt"), F.concat("reason", F.lit(" — installed "), "version", end).alias("reason"),
+    )
+
+
+def incoming_members(new: DataFrame) -> DataFrame:
+    """Findings of administrators (user_id, login, registered) that an earlier run didn't know."""
+    locator = F.concat(F.lit("users:capabilities:"), F.col("user_id").cast("string"))
+    return new.select(
+        findings.fingerprint(F.lit("db"), locator).alias("locator_hash"), F.lit("db").alias("type"), locator.alias("locator"), F.array().cast("array<string>").alias("signature_ids"), F.lit("suspicious").alias("tier"),
+        F.lit("review").alias("severity"), F.lit("credential").alias("category"), F.lit(0).alias("line"), F.lit("").alias("excerpt"),
+        F.concat(F.lit("New administrator account: "), "login", F.lit(" (registered "), "registered", F.lit(")")).alias("reason"),
     )
 
 
@@ -156,7 +157,7 @@ def rules_added(spark: SparkSession, state: str, pack: Pack) -> tuple[dict[str,
     return added, spark.createDataFrame(sorted({k: before.get(k, pack.version) for of in keys.values() for k in of}.items()), "key string, added int")
 
 
-def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None, rehash: bool = False) -> Result:
+def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None, rehash: bool = False, members: DataFrame | None = None, answers: DataFrame | None = None) -> Result:
     """Scan the tree below ``root`` into the snapshots below ``state``. Names, sizes and times come first; only files that are new, whose
     size or time differs (all with ``rehash``) or that are due for matching are opened. ``full`` matches every file that isn't known good,
     ``changed`` those that this pack hasn't matched: an unchanged one without a finding is tried with the rules that its last pack
@@ -164,7 +165,9 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
 
     The pack is pinned by its version: all tables of a run carry it, and are committed together. ``own`` (path, md5) lists the scanner's
     own files. ``software`` (kind, slug, version) with its vulnerability ``records``, and ``tables`` of rows, are matched where they are
-    given; without them earlier findings of that type stay. A row of the run's counts is committed with its tables."""
+    given; without them earlier findings of that type stay. ``answers`` (kind, slug, fetched_at, answer) tells what the provider of records
+    said of each software and when; without a fresh answer a software's finding stays as it is. ``members`` (user_id, login, registered) are
+    compared with those of the last run that had any. A row of the run's counts is committed with its tables."""
     if scope not in SCOPES:
         raise ValueError(f"no scope {scope!r}")
     clock = runs.Clock()
@@ -223,13 +226,21 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
         gone = kept.filter(F.col("type").isin("file", "integrity")).join(here.select(F.col("path").alias("locator")), "locator", "left_anti")
         kept = findings.without(kept, gone)
     if software is not None and records is not None:
-        weak = snapshots.cut(incoming_software(software, records))
-        incoming, checked = incoming.unionByName(weak), software.select(F.concat_ws(":", "kind", "slug").alias("locator")).distinct()
-        open_ = vulnerability.settle(kept.filter("type = 'vulnerability'"), checked, weak, True)
+        known_of, complete = published.answered(software, answers, now) if answers is not None else (software, F.lit(True))
+        weak = snapshots.cut(incoming_software(known_of, records))
+        incoming, checked = incoming.unionByName(weak), known_of.select(F.concat_ws(":", "kind", "slug").alias("locator")).distinct()
+        installed = software.select(F.concat_ws(":", "kind", "slug").alias("locator")).distinct()
+        open_ = vulnerability.settle(kept.filter("type = 'vulnerability'"), checked, weak, complete, installed)
         kept = kept.filter("type <> 'vulnerability'").unionByName(open_)
     signatures = pack.frames(spark)["signature"]
     for table in tables:
         incoming = incoming.unionByName(incoming_rows(table, pack, signatures))
+    before_members = snapshots.load(spark, state, "members")
+    if members is not None:
+        members = snapshots.cut(members.select("user_id", "login", "registered"))
+        if before_members is not None:
+            incoming = incoming.unionByName(incoming_members(table_rows.new_members(members, before_members, "user_id")))
+    kept_members = members if members is not None else before_members
     files = inventory.mark_scanned(states if within else here, due, pack.version, "_due").join(failed, "path", "left")
     files = files.withColumns({"path_signal": F.col("signal.score"), "pattern_errors": F.coalesce("n", F.when(F.col("_due"), 0).otherwise(F.col("pattern_errors")), F.lit(0))})
     of_files, of_findings = Observation(), Observation()
@@ -244,6 +255,6 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
         row = {"id": run, "status": "done", "scope": scope, "bundle": pack.version, "started_at": clock.started, "finished_at": clock.now(), "unread_patterns": len(pack.unread()), "phases": clock.phases, "counts": {**of_files.get, **of_findings.get}}
         return {"runs": runs.appended(runs.log_of(spark, state), row)}
 
-    version = snapshots.commit({"files": files.select(*columns), "findings": merged.drop("change"), "rules": rules}, state, {"run": run, "bundle": pack.version, "scope": scope}, log)
+    version = snapshots.commit({"files": files.select(*columns), "findings": merged.drop("change"), "rules": rules, **({} if kept_members is None else {"members": kept_members})}, state, {"run": run, "bundle": pack.version, "scope": scope}, log)
     load = lambda name: snapshots.load(spark, state, name)
     return Result(load("files"), load("findings"), version, load("runs"))

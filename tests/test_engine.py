@@ -492,3 +492,76 @@ def test_baseline_and_notices(spark):
     assert told(log((7, "done", 1), (8, "done", 9))) == (1, 1, False)
     failed = [(k, "failed", 9) for k in (8, 9, 10, 11)]
     assert told(log((7, "done", 1), *failed[:2])) == (0, 0, False) and told(log((7, "done", 1), *failed[:3])) == (0, 0, True) and told(log((7, "done", 1), *failed)) == (0, 0, False)
+
+
+def landed_database(spark, folder, members):
+    tables = {
+        "options": ([(1, "active_plugins", "bad1", "no"), (2, "x", "bad2", "no"), (3, "y", "bad3", "yes"), (4, "sidebars_widgets", "bad4", "no"), (5, "_transient_z", "bad5", "yes"), (6, "sievework_own", "bad6", "yes"), (7, "home", None, "yes")], "option_id long, option_name string, option_value string, autoload string"),
+        "posts": ([(1, "post", "A title", "bad1", "xworse", "publish"), (2, "revision", "t", "bad1", "", "publish"), (3, "page", None, "bad3", None, "trash"), (4, "page", "t", "fine", "", "draft")], "ID long, post_type string, post_title string, post_content string, post_excerpt string, post_status string"),
+        "postmeta": ([(1, 4, "_elementor_data", "xworse"), (2, 4, "other", "bad1")], "meta_id long, post_id long, meta_key string, meta_value string"),
+        "triggers": ([("t1", "INSERT bad9"), ("t2", "")], "name string, statement string"),
+        "usermeta": ([(i, u, "wp_capabilities", 'a:1:{s:13:"administrator";b:1;}') for i, u in enumerate(members)] + [(90, 99, "wp_capabilities", 'a:1:{s:6:"editor";b:1;}')], "umeta_id long, user_id long, meta_key string, meta_value string"),
+        "users": ([(u, f"user{u}", "2024-01-02") for u in (1, 2, 3, 99)], "ID long, user_login string, user_registered string"),
+    }
+    for name, (rows_, schema) in tables.items():
+        spark.createDataFrame(rows_, schema).write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
+
+
+def test_database_from_the_command_line(spark, tmp_path, capsys):
+    """Five tables in one scan, and administrators that the run before didn't know."""
+    from sievework.__main__ import main
+    from sievework.sources import database, pack as packs
+
+    (tmp_path / "site").mkdir()
+    state, folder = f"file://{tmp_path}/state", f"file://{tmp_path}/db"
+    mine = packs.Pack(version=3, signatures=PACK.signatures, row_rules=[("db_post", 1, "/bad[0-9]/", "%bad%"), ("db_post", 2, "/(x|y)*worse/", "%worse%"), ("db_post", 2, "/(?R)/", None), ("db_option", 1, "/bad[0-9]/", "%bad%"), ("db_trigger", 1, "/bad[0-9]/", "%nothing%")])
+
+    def run(*members):
+        landed_database(spark, folder, members)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("sievework.__main__.load_pack", lambda *_: mine)
+            code = main(["--state", state, "run", f"file://{tmp_path}/site", "--pack", "-", "--database", folder])
+        return code, {r.locator: r for r in snapshots.load(spark, state, "findings").collect()}
+
+    code, got = run(1, 2)
+    assert code == 1 and set(got) == {"options:option_value:1", "options:option_value:3", "options:option_value:4", "posts:post_content:1", "posts:post_excerpt:1", "postmeta:meta_value:1", "triggers:statement:t1"}
+    assert got["posts:post_content:1"].reason.startswith("post #1 A title: ") and got["postmeta:meta_value:1"].reason.startswith("_elementor_data (post 4): ") and got["options:option_value:1"].reason.startswith("active_plugins: ")
+    _, got = run(1, 2, 3)
+    assert got["users:capabilities:3"].reason == "New administrator account: user3 (registered 2024-01-02)" and got["users:capabilities:3"].severity == "review" and len(got) == 8
+    assert "users:capabilities:4" not in run(1, 2)[1] and database.landed(spark, f"file://{tmp_path}/none") == {}
+    capsys.readouterr()
+    assert main(["--state", state, "--format", "json", "runs"]) == 0 and len(capsys.readouterr().out.splitlines()) == 3
+
+
+def test_answers_of_the_provider(spark, tmp_path):
+    """Found, none, failed, stale and missing answers: what a pass may settle."""
+    from sievework.sources import records as published
+
+    (tmp_path / "site").mkdir()
+    hit = lambda v, versions: {"type": "plugin", "slug": v, "name": v, "patched": bool(versions), "patched_versions": versions, "affected_versions": {"a": {"from_version": "*", "to_version": "1.5", "from_inclusive": True, "to_inclusive": True}}}
+    records = lambda *slugs: spark.createDataFrame([(f"v-{s}", "Hole", False, [hit(s, ["2"] if s < "c" else [])], []) for s in slugs], vulnerability.RECORD)
+    software = lambda *slugs: spark.createDataFrame([("plugin", s, "1.0") for s in slugs], "kind string, slug string, version string")
+    now = one(spark.range(1).select(F.unix_timestamp(F.current_timestamp()).alias("t"))).t
+    answers = lambda *rows_: spark.createDataFrame([("plugin", s, now - age, a) for s, age, a in rows_], "kind string, slug string, fetched_at long, answer string")
+
+    def run(slugs, known, said):
+        out = scan.scan(spark, f"file://{tmp_path}/site", PACK, f"file://{tmp_path}/state", software=software(*slugs), records=records(*known), answers=answers(*said))
+        return {r.locator[7:]: r.reason for r in out.findings.collect()}
+
+    slugs = ("a", "b", "c", "d")
+    fine = [(s, 5, "found") for s in slugs]
+    got = run(slugs, slugs, fine)
+    assert got == {"a": "Hole — installed 1.0, patched in 2", "b": "Hole — installed 1.0, patched in 2", "c": "Hole — installed 1.0, no fix available", "d": "Hole — installed 1.0, no fix available"}
+    late = published.VULNERABILITY_TTL + 60
+    assert set(run(slugs, ("z",), [("a", 5, "none"), ("b", 5, "failed"), ("c", late, "none"), ("d", 5, "failed"), ("d", 90, "none")])) == {"b", "c"}
+    assert set(run(("a", "b"), ("a",), [("a", 5, "found"), ("b", 5, "missing")])) == {"a", "b", "c"}
+    assert set(run(("a", "b"), ("a",), [("a", 5, "found")])) == {"a", "b"}
+
+
+def test_checksum_lists_grow_stale(spark, tmp_path):
+    from sievework.sources import records as published
+
+    old = published.CHECKSUM_TTL + 10
+    (tmp_path / "sums").write_text("".join(json.dumps({"package": "p", "path": f, "md5": m, "fetched_at": t}) + "\n" for f, m, t in (("a", "1", 1000), ("b", "2", 1000 - old), ("c", "3", None), ("d", ["4", "5"], 1000))))
+    assert sorted(r.path for r in published.checksums(spark, f"file://{tmp_path}/sums", F.lit(1005)).collect()) == ["a", "c", "d"]
+    assert published.checksums(spark, f"file://{tmp_path}/sums").count() == 4
