@@ -53,6 +53,8 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--answers", help="JSON lines of kind, slug, fetched_at, answer: found, none, failed or missing")
     run.add_argument("--database", help="folder of landed tables, or a JDBC address")
     run.add_argument("--table-prefix", default="wp_")
+    run.add_argument("--mounted", action="store_true", help="every executor has the tree mounted: list it in the tasks")
+    run.add_argument("--follow-links", action="store_true")
     run.add_argument("--rehash", action="store_true", help="read every file again")
     sub.add_parser("status")
     sub.add_parser("runs")
@@ -75,7 +77,7 @@ def main(argv: list[str] | None = None) -> int:
                 spark, a.root, load_pack(a.pack, a.meta), a.state, a.scope, a.path, slugs=a.slug, excluded=a.exclude,
                 checksums=records.checksums(spark, a.checksums, now) if a.checksums else None, own=records.own_manifest(spark, a.own) if a.own else None,
                 software=spark.read.schema("kind string, slug string, version string").json(a.software) if a.software else None,
-                records=records.vulnerabilities(spark, a.records) if a.records else None, tables=tables, members=members, rehash=a.rehash,
+                records=records.vulnerabilities(spark, a.records) if a.records else None, tables=tables, members=members, rehash=a.rehash, mounted=a.mounted, follow_links=a.follow_links,
                 answers=spark.read.schema("kind string, slug string, fetched_at long, answer string").json(a.answers) if a.answers else None,
             )
         except (PackError, ValueError) as e:

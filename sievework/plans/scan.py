@@ -157,7 +157,7 @@ def rules_added(spark: SparkSession, state: str, pack: Pack) -> tuple[dict[str,
     return added, spark.createDataFrame(sorted({k: before.get(k, pack.version) for of in keys.values() for k in of}.items()), "key string, added int")
 
 
-def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None, rehash: bool = False, members: DataFrame | None = None, answers: DataFrame | None = None) -> Result:
+def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None, rehash: bool = False, members: DataFrame | None = None, answers: DataFrame | None = None, mounted: bool = False, follow_links: bool = False) -> Result:
     """Scan the tree below ``root`` into the snapshots below ``state``. Names, sizes and times come first; only files that are new, whose
     size or time differs (all with ``rehash``) or that are due for matching are opened. ``full`` matches every file that isn't known good,
     ``changed`` those that this pack hasn't matched: an unchanged one without a finding is tried with the rules that its last pack
@@ -167,7 +167,8 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
     own files. ``software`` (kind, slug, version) with its vulnerability ``records``, and ``tables`` of rows, are matched where they are
     given; without them earlier findings of that type stay. ``answers`` (kind, slug, fetched_at, answer) tells what the provider of records
     said of each software and when; without a fresh answer a software's finding stays as it is. ``members`` (user_id, login, registered) are
-    compared with those of the last run that had any. A row of the run's counts is committed with its tables."""
+    compared with those of the last run that had any. A ``mounted`` tree is listed by the tasks, which leave linked folders out
+    (or ``follow_links``) and keep files that can't be read. A row of the run's counts is committed with its tables."""
     if scope not in SCOPES:
         raise ValueError(f"no scope {scope!r}")
     clock = runs.Clock()
@@ -176,13 +177,17 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
     run = ((snapshots.current(spark, state) or {}).get("run") or 0) + 1
     before = spark.createDataFrame([], FILES) if old is None else old if "pattern_errors" in old.columns else old.withColumn("pattern_errors", F.lit(0))
     before = inventory.reset_hashes(before) if rehash else inventory.reset_scanned(before) if scope == "full" else inventory.reset_scanned(before, prefix) if within else before
-    walked = source.walk(spark, root, excluded)
+    walked = source.walk_mounted(spark, root, excluded, follow_links) if mounted else source.walk(spark, root, excluded).withColumn("unreadable", F.lit(False))
     walked = (walked.filter(F.col("path").startswith(prefix)) if within else walked).withColumns({"path_hash": inventory.path_hash(F.col("path")), "origin": origin_of(F.col("path"), slugs or []), "path_signal": F.lit(0)})
     listed = snapshots.cut(inventory.upsert(before, walked, run))
     clock.end("index")
     unhashed = inventory.present(inventory.unhashed(listed), run)
+    closed = walked.filter("unreadable").select("path", F.lit("-").alias("md5"), F.lit("-").alias("sha256"), F.lit("unreadable").alias("kind"))
+    if mounted:
+        closed = snapshots.cut(closed)
+        unhashed = unhashed.join(closed.select("path"), "path", "left_anti")
     opened = hashed(source.contents_of(spark, root, unhashed, excluded)).select("path", *[F.col(c).alias(f"_{c}") for c in ("md5", "sha256", "kind")])
-    hashes = snapshots.cut(opened)
+    hashes = snapshots.cut(opened.unionByName(closed.toDF("path", "_md5", "_sha256", "_kind")) if mounted else opened)
     renewed = {c: F.coalesce(f"_{c}", c) for c in ("md5", "sha256", "kind")}
     states = snapshots.cut(judged(listed.join(hashes, "path", "left").withColumns(renewed).drop("_md5", "_sha256", "_kind"), checksums, own))
     here = inventory.present(states, run)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,23 +67,53 @@ def included(path: Column, globs: Iterable[str] = (), always: Iterable[str] = AL
     return keep
 
 
-def list_local(spark: SparkSession, root: str, follow_links: bool = False, excluded: Iterable[str] = ()) -> DataFrame:
-    """(path, size, mtime, unreadable) of a mounted tree. The listing runs where the driver is: it keeps what a
-    distributed listing hides, linked directories and files whose state can't be read. Only names pass through."""
-    rows = []
-    for folder, dirs, names in os.walk(root, followlinks=follow_links):
-        dirs[:] = [d for d in dirs if d not in ALWAYS_EXCLUDED]
-        for name in names:
-            at = os.path.join(folder, name)
-            rel = os.path.relpath(at, root)
-            if any(fnmatch.fnmatch(rel.lower(), g.lower()) or fnmatch.fnmatch(rel.lower(), f"{g.lower()}/*") for g in excluded):
-                continue
+LISTING = pa.schema([("path", pa.string()), ("size", pa.int64()), ("mtime", pa.int64()), ("unreadable", pa.bool_()), ("folder", pa.bool_())])
+
+
+def listed_folders(batches: Iterator[pa.RecordBatch], root: str, follow_links: bool, patterns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow over (path): the entries of each folder. Excluded ones aren't opened; linked folders only with ``follow_links``, and never
+    if they lead back to a folder above them. A folder or file whose state can't be read is told as such."""
+    dropped = [re.compile(p) for p in patterns]
+    for batch in batches:
+        out = []
+        for folder in batch.column("path").to_pylist():
+            at = os.path.join(root, folder)
             try:
-                st = os.stat(at)
-                rows.append((rel, st.st_size, int(st.st_mtime), False))
+                entries = sorted(os.scandir(at), key=lambda e: e.name)
             except OSError:
-                rows.append((rel, 0, 0, True))
-    return spark.createDataFrame(rows, "path string, size long, mtime long, unreadable boolean")
+                out.append({"path": folder, "size": 0, "mtime": 0, "unreadable": True, "folder": False})
+                continue
+            for e in entries:
+                path = f"{folder}/{e.name}" if folder else e.name
+                if e.name in ALWAYS_EXCLUDED or any(d.search(path) for d in dropped):
+                    continue
+                try:
+                    if e.is_dir():
+                        back = os.path.realpath(at).startswith(os.path.realpath(e.path)) if e.is_symlink() else False
+                        if not e.is_symlink() or (follow_links and not back):
+                            out.append({"path": path, "size": 0, "mtime": 0, "unreadable": False, "folder": True})
+                        continue
+                    st = e.stat()
+                    out.append({"path": path, "size": st.st_size, "mtime": int(st.st_mtime), "unreadable": False, "folder": False})
+                except OSError:
+                    out.append({"path": path, "size": 0, "mtime": 0, "unreadable": True, "folder": False})
+        yield pa.RecordBatch.from_pylist(out, LISTING)
+
+
+def walk_mounted(spark: SparkSession, root: str, excluded: Iterable[str] = (), follow_links: bool = False) -> DataFrame:
+    """(path, size, mtime, unreadable) of a tree that every executor has mounted: one round a level of folders, a task a share of them.
+    Unlike ``walk`` it never opens an excluded folder, leaves out or follows linked ones, and keeps entries that can't be read."""
+    from sievework.plans.snapshots import cut
+
+    base, patterns = root.removeprefix("file://"), tuple(glob_regex(g) for g in excluded)
+    folders, files = spark.createDataFrame([("",)], "path string"), None
+    while folders is not None:
+        shares = max(1, min(spark.sparkContext.defaultParallelism * 4, folders.count()))
+        entries = cut(folders.repartition(shares).mapInArrow(lambda b: listed_folders(b, base, follow_links, patterns), "path string, size long, mtime long, unreadable boolean, folder boolean"))
+        found = entries.filter("NOT folder").drop("folder")
+        files = found if files is None else files.unionByName(found)
+        folders = entries.filter("folder").select("path") if entries.filter("folder").limit(1).count() else None
+    return files
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -111,4 +141,4 @@ def chunks(files: DataFrame, size: int = CHUNK, overlap: int = OVERLAP, content:
     return rows.select(*[c for c in files.columns if c != content], "_chunk.*")
 
 
-__all__ = ["walk", "contents", "included", "list_local", "hashed", "chunks", "relative_path", "let"]
+__all__ = ["walk", "contents", "included", "walk_mounted", "hashed", "chunks", "relative_path", "let"]

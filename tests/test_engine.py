@@ -565,3 +565,23 @@ def test_checksum_lists_grow_stale(spark, tmp_path):
     (tmp_path / "sums").write_text("".join(json.dumps({"package": "p", "path": f, "md5": m, "fetched_at": t}) + "\n" for f, m, t in (("a", "1", 1000), ("b", "2", 1000 - old), ("c", "3", None), ("d", ["4", "5"], 1000))))
     assert sorted(r.path for r in published.checksums(spark, f"file://{tmp_path}/sums", F.lit(1005)).collect()) == ["a", "c", "d"]
     assert published.checksums(spark, f"file://{tmp_path}/sums").count() == 4
+
+
+def test_mounted_trees_with_links_and_unreadable_entries(spark, tmp_path):
+    root = tmp_path / "site"
+    (root / "a/b/c").mkdir(parents=True)
+    (root / "node_modules/x").mkdir(parents=True)
+    (root / "cache/y").mkdir(parents=True)
+    (tmp_path / "outside").mkdir()
+    for at in ("top.php", "a/one.txt", "a/b/c/deep.php", "node_modules/x/no.php", "cache/y/no.php", "../outside/linked.php"):
+        (root / at).write_bytes(b"<?php evil_call(1);")
+    (root / "gone.php").symlink_to(tmp_path / "nowhere")
+    (root / "lib").symlink_to(tmp_path / "outside")
+    (root / "a/loop").symlink_to(root / "a")
+    (root / "file.php").symlink_to(root / "top.php")
+    found = lambda **how: {r.path: r.unreadable for r in files.walk_mounted(spark, f"file://{root}", ["cache"], **how).collect()}
+    plain = {"top.php": False, "a/one.txt": False, "a/b/c/deep.php": False, "gone.php": True, "file.php": False}
+    assert found() == plain and found(follow_links=True) == {**plain, "lib/linked.php": False}
+    out = scan.scan(spark, f"file://{root}", PACK, f"file://{tmp_path}/state", excluded=["cache"], mounted=True)
+    assert {r.path: r.kind for r in out.files.collect()} == {"top.php": "php", "a/one.txt": "php", "a/b/c/deep.php": "php", "gone.php": "unreadable", "file.php": "php"}
+    assert {r.locator for r in out.findings.collect()} == {"top.php", "a/one.txt", "a/b/c/deep.php", "file.php"}
