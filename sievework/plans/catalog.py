@@ -131,6 +131,22 @@ def regex_match(spark, sf_dir):
     return matching.regex_matches(chunks, REGEXES, real, key=("page_id", "chunk")).select("page_id", "position", "sig", "pos", "line")
 
 
+PACK_SQL = """r AS (SELECT w, (row_number() OVER (ORDER BY w) - 1)::INT AS position FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 4)"""
+
+
+@register(f"""WITH {PACK_SQL}, h AS (SELECT doc_id, position, text, regexp_extract(text, w || ' +[a-z]+') AS m FROM documents, r WHERE contains({LOWER.format('text')}, w))
+SELECT doc_id, position, instr(text, m)::INT AS pos FROM h WHERE m <> ''""")
+def large_pack_match(spark, sf_dir):
+    """A pack of a pattern for each word of the benchmark, which needs that word as its literal, over every document."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).filter(F.length("w") >= 4).distinct()
+    pack = sorted(r.w for r in words.collect())  # a pack is a bounded table
+    literals = spark.createDataFrame(list(enumerate(pack)), "lit int, text string")
+    chunks, key = document_chunks(spark, sf_dir).withColumn("text", F.coalesce("text", F.lit(""))), ("doc_id", "chunk")
+    found = matching.located(chunks, literals, matching.possible(chunks, literals, key), key)
+    hits = matching.regex_matches(chunks, [(i, i, f"/{w} +[a-z]+/", False, [i], ["file_any"]) for i, w in enumerate(pack)], found.select(*key, "lit"), key)
+    return hits.select("doc_id", "position", "pos")
+
+
 # rule hits drawn from words, for the order-dependent rules: 40 rules a document in two layers
 HITS_SQL = """
 h AS (
@@ -620,6 +636,25 @@ def source_to_sink(spark, sf_dir):
     return found.select(F.col("path").cast("long").alias("page_id"), "sink").distinct()
 
 
+PROGRAM_SQL = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{6,}') AS ws FROM documents), s AS (
+  SELECT doc_id, i, ws[i] AS read, ws[i + 1] AS target, starts_with(ws[i], 'c') AS direct FROM w, LATERAL (SELECT unnest(range(1, len(ws))) AS i))"""
+
+
+@register(f"""WITH RECURSIVE {PROGRAM_SQL}, t AS (SELECT doc_id, target AS var, min(i) AS at FROM s WHERE direct GROUP BY ALL
+  UNION SELECT s.doc_id, s.target, s.i FROM t JOIN s ON s.doc_id = t.doc_id AND s.read = t.var AND s.i > t.at WHERE NOT s.direct)
+SELECT DISTINCT doc_id, var AS variable FROM t""")
+def tainted_calls(spark, sf_dir):
+    """Each document as a program: every word is assigned from the word before it, words in c come from the request, and in the end
+    every word is called. Which calls does request input reach?"""
+    words = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]{6,}"), F.lit(0)).alias("ws"))
+    line = lambda target, read: F.concat(F.lit("$"), target, F.lit(" = trim( "), F.when(read.startswith("c"), "$_GET").otherwise(F.concat(F.lit("$"), read)), F.lit(" );\n"))
+    rest = F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1)))
+    lines = F.slice(F.zip_with(rest, "ws", line), 1, F.greatest(F.size("ws") - 1, F.lit(0)))
+    calls = F.transform(F.array_distinct("ws"), lambda w: F.concat(F.lit("$"), w, F.lit("( 1 );\n")))
+    code = words.filter(F.size("ws") > 1).select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("<?php\n"), F.array_join(lines, ""), F.array_join(calls, "")).alias("text"))
+    return taint.findings(code).select(F.col("path").cast("long").alias("doc_id"), F.substring("sink", 2, 1000).alias("variable"))
+
+
 @register("SELECT page_id, 'base64_decode' AS decoder, '<?php eval(1); ' || url AS payload FROM pages")
 def decoded_payload(spark, sf_dir):
     raw = F.concat(F.lit("<?php eval(1); "), F.col("url"))
