@@ -75,7 +75,7 @@ def candidates(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("
 
 
 #: Characters of a word by which a literal is looked up where the text's word may be longer than the literal's.
-GRAM = 5
+GRAM = 12
 
 
 def lookup_keys(text: str) -> list[tuple[str, str]]:
