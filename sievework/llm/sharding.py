@@ -69,31 +69,40 @@ def place(df: DataFrame, key: Column, tree: Tree, into: str = "shard", salt: str
 
 
 def number(df: DataFrame, group: str, order: list[str], into: str = "slot") -> DataFrame:
-    """``df`` with gapless numbers from 0 in each ``group``, in hash order of the ``order`` columns.
-
-    The order is cut into ranges sized from the row count, equal rows dealt over all of them, so no task numbers a whole group: ranges
-    are counted, the counts' running sums give each range its first number, and rows are ranked within theirs."""
-    h, b = free_name(df, "h"), free_name(df, "range")
-    kept, _ = materialise(df.withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in order])).withColumn(b, F.monotonically_increasing_id()), "numbered")
+    """``df`` with gapless numbers from 0 in each ``group``: by ranges of the hash of the ``order`` columns, then by hash, columns and
+    rows. The numbers depend on the rows alone, not on how they were dealt over tasks.
+
+    Equal rows are counted, not ranked, so they weigh as one until each of their numbers becomes a row again, by blocks. Distinct rows are
+    cut into ranges sized from their count: ranges are summed, the running sums give each range its first number, and rows follow each
+    other within theirs. So no task numbers a whole group or all copies of a row."""
+    h, b, n, at = (free_name(df, c) for c in ("h", "range", "copies", "block"))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    kept, _ = materialise(df.groupBy(*own).agg(F.count(F.lit(1)).alias(n)).withColumn(h, F.xxhash64(*[F.col(f"`{c}`") for c in order])), "numbered")
     ranges = max(1, -(-kept.count() // SLOT_ROWS))
-    keyed = kept.withColumn(b, F.pmod(F.xxhash64(h, b), F.lit(ranges)).cast("int"))
-    counts = keyed.groupBy(group, b).agg(F.count(F.lit(1)).alias("n"))
+    keyed = kept.withColumn(b, F.pmod(F.xxhash64(h), F.lit(ranges)).cast("int"))
     before = Window.partitionBy(group).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select(group, b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    first = keyed.groupBy(group, b).agg(F.sum(n).alias("n")).select(group, b, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     first, _ = materialise(first, "slots")
-    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy(group, b).orderBy(h, *order)))
-    out = ranked.join(first, [group, b]).withColumn(into, (F.col("first") + F.col("rank") - 1).cast("long"))
-    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col(into))
+    within = Window.partitionBy(group, b).orderBy(h, *own).rowsBetween(Window.unboundedPreceding, -1)
+    placed = keyed.withColumn("inner", F.coalesce(F.sum(n).over(within), F.lit(0))).join(first, [group, b]).withColumn("first", F.col("first") + F.col("inner"))
+    once = placed.filter(F.col(n) == 1).select(*own, F.col("first").cast("long").alias(into))
+    more = placed.filter(F.col(n) > 1).withColumn(at, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / SLOT_ROWS))))
+    last = F.least(F.col(n), (F.col(at) + 1) * SLOT_ROWS) - 1
+    more = more.repartition(F.col(h), F.col(at)).withColumn("copy", F.explode(F.sequence(F.col(at) * SLOT_ROWS, last)))
+    more = more.select(*own, (F.col("first") + F.col("copy")).cast("long").alias(into))
+    return once.unionByName(more)
 
 
 SHARDS = 40
 
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Placement rows of ``documents``: id, size, checksum, shard, its slot, and the shard if there were one more."""
+    """Placement rows of ``documents``: id, size, checksum, shard, its slot, and the shard if there were one more. The law is ``key`` where one
+    more shard opens a region, and so takes rows only into itself; else it is ``tree``, as rows also move into that shard's region."""
+    law = "key" if shards % (Tree(shards).per_rack * Tree(shards).per_region) == 0 else "tree"
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
-        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit("key").alias("law")
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.lit(law).alias("law")
     )
     rows = place(place(rows, F.col("doc_id"), Tree(shards)), F.col("doc_id"), Tree(shards + 1), into="grown_shard")
     return number(rows, "shard", ["doc_id", "text_crc32", "size"])
