@@ -3,30 +3,32 @@ prompt, the rest of each as its completion, with the assistant's words marked fo
 
 ``format_pairs`` has a row for each rendered turn: ``part`` is prompt, chosen or rejected, ``turn`` orders a part, and ``train_from``
 and ``train_to`` bound the characters of ``rendered`` that count in the loss (null: none). Prompts are never trained on.
-``paired`` puts them together: one row a pair with the prompt, both completions and the trained spans within each; a pair of
-more than ``SEGMENT`` turns has a row for each so many, so no row or group grows without bound.
+``paired`` puts them together: one row a pair with the prompt, both completions and the trained spans within each. Turns are counted
+by their rank among the pair's, whatever their numbers; only a pair of more than ``SEGMENT`` of them has a row for each so many.
 
 Cases: equal turns have the same number, role and text; a null role or text is rendered as empty and equals only
-itself; a mark ``<|`` inside a role or text is rendered as ``<\\|``; repeated rows count once; several rows of one turn are rendered
+itself; inside a role or text a backslash is doubled, and a ``<`` before ``|`` or at the end is followed by one, so that no mark can be
+read there and different texts never render alike; repeated rows count once; several rows of one turn are rendered
 in order of role and text; rows without a conversation or turn number belong to none and are left out; a conversation whose partner is
 missing gives no rows; of two equal conversations all is prompt; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import table
 
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
 TRAINED = "assistant"
-#: Turn numbers in a row of ``paired``.
+#: Turns in a row of ``paired``.
 SEGMENT = 1000
 
 
 def escaped(text: Column) -> Column:
-    return F.replace(F.coalesce(text, F.lit("")), F.lit("<|"), F.lit("<\\|"))
+    doubled = F.replace(F.coalesce(text, F.lit("")), F.lit("\\"), F.lit("\\\\"))
+    return F.regexp_replace(doubled, r"<(?=\||\z)", r"<\\")
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -55,7 +57,8 @@ def paired(turns: DataFrame) -> DataFrame:
     """For turns (pair_id, side, turn, role, text): (pair_id, segment, prompt, chosen, chosen_spans, rejected, rejected_spans), spans
     being (from, to) in characters."""
     turn = F.struct("part", "turn", "place", "rendered", "train_from", "train_to")
-    whole = format_pairs(turns).groupBy("pair_id", F.floor(F.col("turn") / SEGMENT).alias("segment")).agg(F.sort_array(F.collect_list(turn)).alias("all"))
+    rank = F.dense_rank().over(Window.partitionBy("pair_id").orderBy("turn")) - 1
+    whole = format_pairs(turns).withColumn("segment", F.floor(rank / SEGMENT)).groupBy("pair_id", "segment").agg(F.sort_array(F.collect_list(turn)).alias("all"))
     of = lambda part: F.filter("all", lambda x: x["part"] == part)
     text = lambda part: F.array_join(F.transform(of(part), lambda x: x["rendered"]), "")
     none = F.array().cast("array<struct<from: int, to: int>>")
@@ -117,8 +120,9 @@ WITH c AS (
 ), u AS (
   SELECT pair_id, part, turn, unnest(range(len(said))) AS i, said FROM x
 ), o AS (
-  SELECT pair_id, floor(turn / 1000)::BIGINT AS segment, part, turn, i, said[i + 1].r AS role,
-         replace(coalesce(said[i + 1].r, ''), '<|', '<\|') AS shown, replace(coalesce(said[i + 1].t, ''), '<|', '<\|') AS body FROM u
+  SELECT pair_id, ((dense_rank() OVER (PARTITION BY pair_id ORDER BY turn) - 1) // 1000)::BIGINT AS segment, part, turn, i, said[i + 1].r AS role,
+         regexp_replace(replace(replace(coalesce(said[i + 1].r, ''), '\', '\\'), '<|', '<\|'), '<$', '<\\') AS shown,
+         regexp_replace(replace(replace(coalesce(said[i + 1].t, ''), '\', '\\'), '<|', '<\|'), '<$', '<\\') AS body FROM u
 ), w AS (
   SELECT *, '<|' || shown || '|>' || chr(10) || body || '<|end|>' || chr(10) AS rendered FROM o
 ), n AS (

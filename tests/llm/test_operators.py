@@ -107,7 +107,7 @@ def test_preference_prefix_and_masks(spark):
 
 def paired_brute(turns, segment=1000):
     """{(pair, segment): (prompt, chosen, spans, rejected, spans)} from rows (pair_id, side, turn, role, text)."""
-    out, esc = {}, lambda x: (x or "").replace("<|", "<\\|")
+    out, esc = {}, lambda x: re.sub(r"<(?=\||\Z)", r"<\\", (x or "").replace("\\", "\\\\"))
     of = {}
     for p, side, turn, role, text in turns:
         if p is not None and turn is not None:
@@ -117,8 +117,8 @@ def paired_brute(turns, segment=1000):
         if not c or not r:
             continue
         split = next((t for t in sorted({*c, *r}) if c.get(t) != r.get(t)), None)
-        for t in sorted({*c, *r}):
-            row = out.setdefault((p, t // segment), ["", "", [], "", []])
+        for rank, t in enumerate(sorted({*c, *r})):
+            row = out.setdefault((p, rank // segment), ["", "", [], "", []])
             for side, (said, at) in enumerate(((c, 1), (r, 3))):
                 shared = split is None or t < split
                 if shared and side:
@@ -131,20 +131,29 @@ def paired_brute(turns, segment=1000):
     return {k: tuple(map(lambda x: tuple(x) if isinstance(x, list) else x, v)) for k, v in out.items()}
 
 
-def test_pairs_equal_brute_force(spark):
+def test_pairs_equal_brute_force(spark, monkeypatch):
     rng, turns = random.Random(4), []
     for p in range(40):
         shared = rng.randrange(5)
         for side in (0, 1):
             for t in range(rng.randrange(shared, shared + 4)):
-                turns.append((p, side, t * (700 if p % 7 == 0 else 1), ("user", "assistant", None)[t % 2 if p % 5 else rng.randrange(3)], f"turn {t}" if t < shared else rng.choice(["yes", "no <|end|>", None, "é" * 9, "long " * 3000])))
+                turns.append((p, side, t * (700 if p % 7 == 0 else 1), ("user", "assistant", None)[t % 2 if p % 5 else rng.randrange(3)], f"turn {t}" if t < shared else rng.choice(["yes", "no <|end|>", "no <\\|end|>", "ends <", "ends <\\", None, "é" * 9, "long " * 3000])))
                 if rng.random() < 0.1:
                     turns.append((*turns[-1][:3], "assistant", rng.choice("ab")))
     turns += turns[:9] + [(None, 0, 0, "user", "x"), (3, 0, None, "user", "x")]
     df = spark.createDataFrame([(*t, "extra") for t in turns], "pair_id long, side int, turn long, role string, text string, part string")
     spans = lambda x: tuple((s["from"], s["to"]) for s in x)
     got = {(r.pair_id, r.segment): (r.prompt, r.chosen, spans(r.chosen_spans), r.rejected, spans(r.rejected_spans)) for r in preference.paired(df).collect()}
-    assert got == paired_brute(turns) and any(v[0] and v[2] and v[4] for v in got.values())
+    assert got == paired_brute(turns) and any(v[0] and v[2] and v[4] for v in got.values()) and {k[1] for k in got} == {0}
+    monkeypatch.setattr(preference, "SEGMENT", 2)
+    got = {(r.pair_id, r.segment): (r.prompt, r.chosen, spans(r.chosen_spans), r.rejected, spans(r.rejected_spans)) for r in preference.paired(df).collect()}
+    assert got == paired_brute(turns, 2) and max(k[1] for k in got) > 1
+
+
+def test_texts_never_render_alike(spark):
+    texts = ["", "<", "<\\", "<|", "<\\|", "\\", "\\<", "|>", "<<|", "<\\\\|", "<|\\", "a\\b", "<|<|"]
+    got = [r.x for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(preference.escaped(F.col("t")).alias("x")).collect()]
+    assert len(set(got)) == len(texts) and not any("<|" in f"{x}|" for x in got if x != "") and "<|" not in got[3]
 
 
 def test_other_answers(spark):
@@ -496,6 +505,15 @@ def test_slots_over_several_ranges(spark, monkeypatch):
     for r in got:
         by.setdefault(r.shard, []).append(r.slot)
     assert len(got) == 700 and all(sorted(x) == list(range(len(x))) for x in by.values())
+    again = lambda n: sorted(tuple(r) for r in sharding.assign(spark.createDataFrame(rows, "doc_id long, text string, h int").repartition(n)).collect())
+    assert again(2) == again(5) == sorted(tuple(r) for r in got)
+
+
+def test_the_law_is_key_only_where_one_more_shard_opens_a_region(spark):
+    docs = spark.createDataFrame([(i, "t") for i in range(500)], "doc_id long, text string")
+    for shards, law in ((40, "key"), (10, "key"), (12, "tree")):
+        got = sharding.assign(docs, shards).collect()
+        assert {r.law for r in got} == {law} and (law == "tree" or all(r.grown_shard in (r.shard, shards) for r in got))
 
 
 # --- 8 ------------------------------------------------------------------------------------------------------------
