@@ -624,6 +624,39 @@ def test_mix_equals_plain_python(spark):
     assert [(r.sid, r.k) for r in pieces.select("sid", "k", "turn").distinct().orderBy("turn").collect()] == order
 
 
+def test_the_schedule_orders_the_mix(spark, tmp_path):
+    """The query's first turns and the order of the mixed documents are those of the schedule in plain Python."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["a", "b", "c"]), " ".join(["w"] * rng.randrange(1, 900))) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    taken, order = mix_brute(rows, mixing.BLOCK)
+    turn = {key: i for i, key in enumerate(order)}
+    got = {r.doc_id: r for r in mixing.query(spark, str(tmp_path)).collect()}
+    names = sorted({r[1] for r in rows})
+    assert {i: r.taken for i, r in got.items()} == taken and len({r.first_turn for r in got.values()}) > 3
+    for r in got.values():
+        assert (r.first_turn is None) == (r.taken == 0)
+    per = {}
+    for r in got.values():
+        if r.taken:
+            per.setdefault((names.index(r.source), r.first_slot), set()).add(r.first_turn)
+    ranked = sorted(per, key=lambda k: min(per[k]))
+    assert ranked == sorted(per, key=turn.get)
+    mixed = [r.doc_id for r in mixing.mixed_documents(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()]
+    first = {i: mixed.index(i) for i in set(mixed)}
+    known = [i for i in first if got[i].taken >= 1]
+    assert sorted(known, key=first.get) == sorted(known, key=lambda i: (got[i].first_turn, i)) or all(got[a].first_turn <= got[b].first_turn for a, b in zip(mixed, mixed[1:]) if mixed.count(a) == mixed.count(b) == 1 and got[a].taken >= got[a].size / 2)
+
+
+def test_many_sources_need_no_broadcast(spark, monkeypatch):
+    rows = [(i, f"s{i % 40}", "w " * (1 + i % 90)) for i in range(400)]
+    keyed = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("rid", F.monotonically_increasing_id())
+    run = lambda: sorted(tuple(r) for r in mixing.mix(keyed, block=16)[2].select("sid", "k", "pass", "at", "words", "turn").collect())
+    want = run()
+    monkeypatch.setattr(mixing, "SOURCES", 5)
+    assert run() == want
+
+
 @pytest.mark.parametrize("sizes", [[100.0, 100, 100], [1, 1000, 50], [0, 10, 0], [], [5, 5, 5, 5, 5, 5, 5]])
 def test_targets_share_the_excess(sizes):
     w = [(5.0, 2.0, 1.0)[i % 3] for i in range(len(sizes))]
