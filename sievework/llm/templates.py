@@ -2,13 +2,14 @@
 words are joined by hash against the benchmark's, and slots must map consistently, so a question with other
 numbers or names is still found. Built-in expressions and joins only.
 
-Words: white-space tokens without punctuation; a number with a unit glued to it is two words. ``<n>`` is a token of digits or
-a number word, ``<u>`` a unit after a number, ``<p>`` a capitalised word that isn't a common one, wherever it stands; other
+Words: white-space tokens without punctuation, but for the marks inside a number and the sign before it; a number with a unit glued
+to it is two words. ``<n>`` is a number or a number word, ``<u>`` a unit after a number, ``<p>`` a capitalised word that isn't a common one, wherever it stands; other
 words count in lower case. A window has ``WINDOW`` words; an item with fewer is one window, with fewer than ``LEAST`` none.
 
-A window whose words are the item's in lower case is a copy and counts. Windows that have the item's canonical words only must, on
-one diagonal of document and item, agree on a one-to-one mapping of slot values within each type, and at least half of a window's words
-must not be placeholders. So windows are hashed twice, by their canonical words and by their own.
+A window whose words are the item's in lower case is a copy and counts. Windows that have the item's canonical words only count by
+stretches, runs of windows that follow each other on one diagonal of document and item: a stretch must agree on a one-to-one mapping of
+slot values within each type, and one of its windows must be a copy or have at least half its words outside of placeholders; windows
+of more placeholders then count with it. So windows are hashed twice, by their canonical words and by their own.
 
 Documents are read once for all window sizes. The hashes of the benchmark's windows are broadcast, in blocks of a stated size, one
 pass over the documents each; a hit carries its own words, so no text is shuffled.
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import SPACE, free_name, let, materialise, table
@@ -61,16 +62,21 @@ def either(words) -> str:
     return "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in by.items())
 
 
+#: A number; what parts of a text are no words: punctuation, but for marks between digits and a sign that starts a number.
+NUMBER = r"-?[0-9]+(?:[.,][0-9]+)*"
+NOT_WORDS = r"[^\p{L}\p{N}\x20\x09-\x0D.,-]+|[.,](?![0-9])|(?<![0-9])[.,]|-(?![0-9])|(?<=[\p{L}\p{N}])-"
+
+
 def marked(text: Column) -> Column:
     """The text as its words, one space apart."""
-    s = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}\x20\x09-\x0D]+", "")
+    s = F.regexp_replace(F.coalesce(text, F.lit("")), NOT_WORDS, "")
     s = F.btrim(F.regexp_replace(s, SPACE + "+", " "))
-    return F.regexp_replace(s, rf"{START}([0-9]+)({either(UNITS)}){STOP}", "$1 $2")
+    return F.regexp_replace(s, rf"{START}({NUMBER})({either(UNITS)}){STOP}", "$1 $2")
 
 
 def canonical(words: Column) -> Column:
     """``marked`` text with placeholders, in lower case; word for word like its input."""
-    s = F.regexp_replace(words, rf"{START}(?:[0-9]+|{either(number_forms())}){STOP}", "<N>")
+    s = F.regexp_replace(words, rf"{START}(?:{NUMBER}|{either(number_forms())}){STOP}", "<N>")
     s = F.regexp_replace(s, rf"(?<=<N> )(?:{either(UNITS)}){STOP}", "<U>")
     s = F.regexp_replace(s, rf"{START}(?!(?:{either(w.capitalize() for w in COMMON)}){STOP})\p{{Lu}}\p{{L}}*{STOP}", "<P>")
     return F.lower(s)
@@ -101,8 +107,8 @@ def window_hashes(canon: Column, size: int) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, size, ipos, words, canon, loose, hash) of the items' windows, words in lower case; ``loose`` windows may be met
-    with other slots. A window has a row for the hash of its canonical words and one for that of its words, if they differ."""
+    """(item_id, size, ipos, words, canon, loose, hash) of the items' windows, words in lower case; ``loose`` windows have
+    words enough to be met with other slots by themselves. A window has a row for the hash of its canonical words and one for that of its words, if they differ."""
     items = benchmark.select("item_id", marked(F.col("text")).alias("m")).filter("length(m) > 0").distinct()
     items = items.select("item_id", split_words(F.lower("m")).alias("raw"), split_words(canonical(F.col("m"))).alias("all"))
     items = items.filter(F.size("raw") >= LEAST).withColumn("size", F.least(F.size("raw"), F.lit(window)))
@@ -142,21 +148,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     parts = [hits(docs, hashes.filter(F.pmod("hash", F.lit(blocks)) == i) if blocks > 1 else hashes, sizes) for i in range(blocks)]
     found, _ = materialise(reduce(DataFrame.unionByName, parts), "hits")
     small = F.broadcast if blocks == 1 else lambda df: df
-    same = found.join(small(bench), ["hash", "size"]).withColumn("copy", F.col("got") == F.col("words")).filter("copy OR (loose AND form = canon)")
+    same = found.join(small(bench), ["hash", "size"]).withColumn("copy", F.col("got") == F.col("words")).filter("copy OR form = canon")
     slots = F.filter(
         F.zip_with(F.arrays_zip("canon", "words"), "got", lambda a, g: F.struct(a["canon"].alias("type"), a["words"].alias("of"), g.alias("to"))),
         lambda x: x["type"].isin(*SLOTS),
     )
     lined = same.select(
-        "doc_id", "key", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), F.when(F.col("copy"), F.col("ipos")).alias("exact"),
-        F.when(~F.col("copy"), F.col("ipos")).alias("changed"), F.when(~F.col("copy"), slots).alias("slots"),
+        "doc_id", "key", "item_id", (F.col("pos") - F.col("ipos")).alias("diagonal"), "ipos", "copy", (F.col("copy") | F.col("loose")).alias("firm"), F.when(~F.col("copy"), slots).alias("slots"),
     )
+    along = Window.partitionBy("doc_id", "key", "item_id", "diagonal").orderBy("ipos")
+    starts = F.coalesce((F.col("ipos") - F.lag("ipos").over(along) > 1).cast("int"), F.lit(0))
+    lined = lined.withColumn("starts", starts).withColumn("stretch", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     one = lambda *keys: F.size(F.array_distinct(F.transform("pairs", lambda x: F.struct(*[x[k].alias(k) for k in keys]))))
-    lined = lined.groupBy("doc_id", "key", "item_id", "diagonal").agg(
-        F.collect_set("exact").alias("exact"), F.collect_set("changed").alias("changed"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs")
+    lined = lined.groupBy("doc_id", "key", "item_id", "diagonal", "stretch").agg(
+        F.collect_set(F.when(F.col("copy"), F.col("ipos"))).alias("exact"), F.collect_set("ipos").alias("every"), F.max("firm").alias("firm"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("pairs")
     )
-    agreed = (one("type", "of") == F.size("pairs")) & (one("type", "to") == F.size("pairs"))
-    lined = lined.select("doc_id", "key", "item_id", F.explode(F.when(agreed, F.concat("exact", "changed")).otherwise(F.col("exact"))).alias("ipos"))
+    agreed = F.col("firm") & (one("type", "of") == F.size("pairs")) & (one("type", "to") == F.size("pairs"))
+    lined = lined.select("doc_id", "key", "item_id", F.explode(F.when(agreed, F.col("every")).otherwise(F.col("exact"))).alias("ipos"))
     whole = bench.groupBy("item_id").agg(F.countDistinct("ipos").alias("item_windows"))
     per = lined.groupBy("doc_id", "key", "item_id").agg(F.countDistinct("ipos").alias("windows"))
     return per.join(whole, "item_id").select("doc_id", "key", "item_id", "windows", "item_windows")
@@ -183,15 +191,18 @@ def oracle(window: int = WINDOW) -> str:
     return rf"""
     WITH both_ AS (
       SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'b', item_id, text FROM benchmark
+    ), p AS (
+      SELECT side, id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: regexp_extract_all(w, '[0-9]+(?:[.,][0-9]+)*|[^0-9]+')) AS w FROM both_
     ), t AS (
-      SELECT side, id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda w: regexp_replace(w, '[^\p{{L}}\p{{N}}]+', '', 'g')), lambda w: w <> '') AS w FROM both_
+      SELECT side, id, list_filter(list_transform(w, lambda ps: array_to_string(list_transform(ps, lambda x, i: CASE WHEN regexp_matches(x, '^[0-9]') THEN x ELSE regexp_replace(x, '[^\p{{L}}\p{{N}}]+', '', 'g')
+          || CASE WHEN i < len(ps) AND regexp_matches(x, '(^|[^\p{{L}}\p{{N}}])-$') AND (length(x) > 1 OR i = 1) THEN '-' ELSE '' END END), '')), lambda w: w <> '') AS w FROM p
     ), u AS (
-      SELECT side, id, flatten(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '[0-9]+(?:{either(UNITS)})')
-          THEN [regexp_extract(x, '^[0-9]+'), regexp_extract(x, '[a-z]+$')] ELSE [x] END)) AS w FROM t
+      SELECT side, id, flatten(list_transform(w, lambda x: CASE WHEN regexp_full_match(x, '{NUMBER}(?:{either(UNITS)})')
+          THEN [regexp_extract(x, '^{NUMBER}'), regexp_extract(x, '[a-z]+$')] ELSE [x] END)) AS w FROM t
     ), c AS (
       SELECT side, id, list_transform(w, lambda x: lower(x)) AS w, list_transform(w, lambda x, i: CASE
-          WHEN regexp_full_match(x, '[0-9]+') OR x IN ({quoted(number_forms())}) THEN '<n>'
-          WHEN i > 1 AND x IN ({quoted(UNITS)}) AND (regexp_full_match(w[i - 1], '[0-9]+') OR w[i - 1] IN ({quoted(number_forms())})) THEN '<u>'
+          WHEN regexp_full_match(x, '{NUMBER}') OR x IN ({quoted(number_forms())}) THEN '<n>'
+          WHEN i > 1 AND x IN ({quoted(UNITS)}) AND (regexp_full_match(w[i - 1], '{NUMBER}') OR w[i - 1] IN ({quoted(number_forms())})) THEN '<u>'
           WHEN regexp_full_match(x, '\p{{Lu}}\p{{L}}*') AND x NOT IN ({quoted(w.capitalize() for w in COMMON)}) THEN '<p>'
           ELSE lower(x) END) AS c
       FROM u WHERE len(w) > 0
@@ -203,15 +214,20 @@ def oracle(window: int = WINDOW) -> str:
       SELECT id AS doc_id, s.size, unnest(list_transform(range(1, len(w) - s.size + 2), lambda p: {{'pos': p, 'got': w[p:p + s.size - 1], 'canon': c[p:p + s.size - 1]}}), recursive := true)
       FROM c, s WHERE side = 'd' AND len(w) >= s.size
     ), m AS (
-      SELECT DISTINCT doc_id, item_id, pos - ipos AS diagonal, ipos, got, words, canon FROM dp JOIN bw USING (size, canon)
-      WHERE 2 * len(list_filter(canon, lambda x: x IN ({slot}))) <= size AND got <> words
+      SELECT DISTINCT doc_id, item_id, pos - ipos AS diagonal, ipos, got, words, canon FROM dp JOIN bw USING (size, canon) WHERE got <> words
       UNION ALL SELECT DISTINCT doc_id, item_id, pos - ipos, ipos, got, words, bw.canon FROM dp JOIN bw ON dp.size = bw.size AND got = words
+    ), f AS (
+      SELECT *, got = words OR 2 * len(list_filter(canon, lambda x: x IN ({slot}))) <= len(canon) AS firm,
+             coalesce(ipos - lag(ipos) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY ipos) > 1, false)::INT AS starts FROM m
+    ), g AS (
+      SELECT *, sum(starts) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY ipos ROWS UNBOUNDED PRECEDING) AS stretch FROM f
     ), pairs AS (
-      SELECT doc_id, item_id, diagonal, unnest(list_transform(range(1, len(canon) + 1), lambda k: {{'ty': canon[k], 'f': words[k], 'o': got[k]}}), recursive := true) FROM m WHERE got <> words
+      SELECT doc_id, item_id, diagonal, stretch, unnest(list_transform(range(1, len(canon) + 1), lambda k: {{'ty': canon[k], 'f': words[k], 'o': got[k]}}), recursive := true) FROM g WHERE got <> words
     ), bad AS (
-      SELECT DISTINCT doc_id, item_id, diagonal FROM pairs WHERE ty IN ({slot}) GROUP BY doc_id, item_id, diagonal
+      SELECT DISTINCT doc_id, item_id, diagonal, stretch FROM pairs WHERE ty IN ({slot}) GROUP BY doc_id, item_id, diagonal, stretch
       HAVING count(DISTINCT (ty, f)) < count(DISTINCT (ty, f, o)) OR count(DISTINCT (ty, o)) < count(DISTINCT (ty, f, o))
+      UNION SELECT doc_id, item_id, diagonal, stretch FROM g GROUP BY doc_id, item_id, diagonal, stretch HAVING NOT bool_or(firm)
     )
-    SELECT doc_id, item_id, count(DISTINCT ipos)::BIGINT AS windows, (SELECT count(DISTINCT ipos) FROM bw WHERE bw.item_id = m.item_id)::BIGINT AS item_windows
-    FROM m LEFT JOIN bad USING (doc_id, item_id, diagonal) WHERE got = words OR bad.doc_id IS NULL GROUP BY doc_id, item_id
+    SELECT doc_id, item_id, count(DISTINCT ipos)::BIGINT AS windows, (SELECT count(DISTINCT ipos) FROM bw WHERE bw.item_id = g.item_id)::BIGINT AS item_windows
+    FROM g LEFT JOIN bad USING (doc_id, item_id, diagonal, stretch) WHERE got = words OR bad.doc_id IS NULL GROUP BY doc_id, item_id
     """
