@@ -7,8 +7,8 @@ wider surroundings: a word alignment of the template counts inserted, missing an
 fields such as a year or a holder match any words, and the words that tell a licence from its relatives must be there exactly.
 Confirmed notices are blanked and the places left are ranked again, until nothing more is confirmed.
 
-A text is cut into pieces that overlap by half, and a notice belongs to the piece whose middle it starts in, so each is
-reported once. Cases: a null or blank text has no blocks; repeated rows repeat their findings; of notices that overlap, the one stays that has the
+A text is cut at the gaps between naming places that are wider than a notice may reach, so each part is judged as it would be in
+the whole text, and the work grows with the text's length. Cases: a null or blank text has no blocks; repeated rows repeat their findings; of notices that overlap, the one stays that has the
 most words, each difference taken off three times, then the earlier one; texts of any length are scanned whole; an empty table gives no
 rows; other columns are ignored.
 """
@@ -27,10 +27,9 @@ from pyspark.sql import functions as F
 
 from sievework.llm.common import table
 
-BLOCK = 16000
 #: Characters before and after a naming place that its candidate block holds.
 BEFORE, AFTER = 300, 600
-#: Characters on either side of a naming place in which a notice may lie, above the longest template's; less than a quarter of a piece.
+#: Characters on either side of a naming place in which a notice may lie, above the longest template's.
 REACH = 2000
 #: Share of a template's own saving that a block must show; share of its words that may differ.
 REDUCTION, DIFFERENCES = 0.25, 0.1
@@ -189,31 +188,43 @@ def findings(text: str, ready: tuple[list[Template], zstandard.ZstdCompressor])
         if not new:
             break
         out += new
-        for _, first, chars, _, _ in new:
-            text = text[:first] + " " * chars + text[first + chars :]
+        left, at = [], 0
+        for first, chars in sorted((first, chars) for _, first, chars, _, _ in new):
+            left += [text[at:first], " " * chars]
+            at = first + chars
+        text = "".join([*left, text[at:]])
         places = [m.span() for m in re.finditer(KEY, text)]
     return out
 
 
-def scan_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For mapInPandas over (doc_id, start, own, end, block): the notices that start from ``own`` on and before ``end``."""
+def parts(text: str) -> Iterator[tuple[int, str]]:
+    """(first character, part) of a text's parts around its naming places; no notice reaches from one into another."""
+    low = high = None
+    for m in re.finditer(KEY, text):
+        a, b = max(0, m.start() - REACH), m.end() + REACH
+        if low is None:
+            low, high = a, b
+        elif a > high:
+            yield low, text[low:high]
+            low, high = a, b
+        else:
+            high = b
+    if low is not None:
+        yield low, text[low:high]
+
+
+def scan_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For mapInPandas over (doc_id, text): every notice."""
     ready = prepare()
     for batch in batches:
-        rows = [
-            (d, s + x[1], *x[:1], *x[2:])
-            for d, s, own, end, b in zip(*(batch[k] for k in ("doc_id", "start", "own", "end", "block")), strict=True) for x in findings(b, ready) if own <= s + x[1] < end
-        ]
+        rows = [(d, low + x[1], *x[:1], *x[2:]) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for low, part in parts(text) for x in findings(part, ready)]
         yield pd.DataFrame(rows, columns=["doc_id", "at", "license", "chars", "differences", "reduction"]).astype({"doc_id": "Int64"})
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, license, at, chars, differences, reduction): every notice, ``at`` its first character from 0."""
-    half = BLOCK // 2
-    last = F.greatest(F.ceil((F.length("text") - BLOCK) / half), F.lit(0)) * half
-    named = docs.filter(F.col("text").rlike(KEY)).select("doc_id", "text", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(half).cast("long"))).alias("start"), last.alias("last"))
-    own, end = F.when(F.col("start") == 0, 0).otherwise(F.col("start") + half // 2), F.when(F.col("start") == F.col("last"), F.col("start") + BLOCK).otherwise(F.col("start") + half + half // 2)
-    blocks = named.select("doc_id", "start", own.cast("long").alias("own"), end.cast("long").alias("end"), F.substring("text", F.col("start").cast("int") + 1, F.lit(BLOCK)).alias("block"))
-    found = blocks.filter(F.col("block").rlike(KEY)).mapInPandas(scan_blocks, "doc_id long, at long, license string, chars long, differences long, reduction double")
+    named = docs.select("doc_id", "text").filter(F.col("text").rlike(KEY))
+    found = named.mapInPandas(scan_texts, "doc_id long, at long, license string, chars long, differences long, reduction double")
     return found.select("doc_id", "license", "at", "chars", "differences", "reduction")
 
 

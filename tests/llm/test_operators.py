@@ -592,6 +592,71 @@ def test_notices_before_the_best_one_and_across_pieces(spark):
     assert got == sorted([("0", 0, "Apache-2.0", 1), ("0", 140, "Apache-2.0", 0), ("3", 11950, "Apache-2.0", 0), ("3", far, "Apache-2.0", 0), ("4", 0, "Apache-2.0", 0), ("4", 0, "Apache-2.0", 0), ("5", 15980, "Apache-2.0", 0), ("None", 0, "Apache-2.0", 0)])
 
 
+def fewest_differences(template, words):
+    """Word edits from the template to any run of words, by the plain table over every offset."""
+    best = [0] * (len(words) + 1)
+    for w in template:
+        new = [best[0] + 1]
+        for j, x in enumerate(words, 1):
+            new.append(min(best[j] + 1, best[j - 1] + (x != w), new[j - 1] + 1))
+        best = new
+    return min(best)
+
+
+def test_alignment_equals_the_plain_table():
+    rng = random.Random(6)
+    for _ in range(300):
+        template, words = ([rng.choice("abcd") for _ in range(rng.randrange(1, n))] for n in (9, 25))
+        d, start, n = licenses.align(template, words)
+        assert d == fewest_differences(template, words)
+        run = words[start : start + n]
+        whole = list(range(len(run) + 1))  # edits of the whole template to the run that is told
+        for i, w in enumerate(template, 1):
+            new = [i]
+            for j, x in enumerate(run, 1):
+                new.append(min(whole[j] + 1, whole[j - 1] + (x != w), new[j - 1] + 1))
+            whole = new
+        assert whole[-1] == d
+
+
+def test_notices_by_every_offset(spark):
+    """Pages of notices with changed words among other words: a notice is told where the plain table finds one, and nowhere else."""
+    rng = random.Random(7)
+    of = [(n, t) for n, t in licenses.TEMPLATES if "{}" not in t and len(t.split()) > 12][:6]
+    pages, want = [], set()
+    for p in range(40):
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            out += [rng.choice("one two three four licence".split()) for _ in range(rng.randrange(0, 900))]
+            name, t = rng.choice(of)
+            w = t.split()
+            changed = rng.choice([0, 0, 1, len(w) // 3])
+            for at in rng.sample(range(2, len(w) - 2), changed):
+                w[at] = "changed"
+            telling = next(x for x in licenses.prepare()[0] if x.text == t).telling
+            if changed <= 0.1 * len(w) and telling <= set(licenses.words_at(" ".join(w))[0]):
+                want.add((p, len(" ".join(out)) + bool(out)))
+            out += w
+        pages.append((p, " ".join(out)))
+    got = licenses.scan(spark.createDataFrame(pages, "doc_id long, text string")).collect()
+    at = {(r.doc_id, r["at"]) for r in got}
+    assert want <= at
+    words = {t: licenses.words_at(t)[0] for _, t in licenses.TEMPLATES if "{}" not in t}
+    for r in got:
+        if r.license not in ("Proprietary",):
+            run = licenses.words_at(dict(pages)[r.doc_id][r["at"] : r["at"] + r.chars])[0]
+            assert any(n == r.license and "{}" not in t and fewest_differences(words[t], run) == r.differences <= 0.1 * len(words[t]) for n, t in licenses.TEMPLATES)
+
+
+def test_naming_places_without_gaps(spark):
+    """One run of naming places longer than any part used to be: notices at every place of it are found."""
+    a = "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."
+    filler = "a licence of copyright here " * 60
+    text = "".join(f"{filler}{a} " for _ in range(30))
+    got = licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert sorted(r["at"] for r in got if r.license == "Apache-2.0") == [i * (len(filler) + len(a) + 1) + len(filler) for i in range(30)]
+
+
 def test_alignment_counts_differences():
     assert licenses.align("a b c d".split(), "x a b z d y".split()) == (1, 1, 4)
     assert licenses.align("a {} d".split(), "q a 1 2 3 d".split())[0] == 0
