@@ -43,7 +43,7 @@ SHINGLE = 3
 #: A pair links when OVER * (sum of sizes) <= TOTAL * overlap, which is Jaccard 0.9.
 OVER, TOTAL = 9, 19
 #: Shingles of a counting window; local repeats that make a shingle frequent; frequent shingles at most; ids broadcast to fetch texts.
-WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 21, 4, 1_000_000, 500_000
+WINDOW, FREQUENT, HEAVY, BROADCAST_KEYS = 1 << 21, 4, 1_000_000, 100_000
 #: Entries up to which a list's sets are compared with each other at once, without a head first.
 SHORT = 8
 #: Least and most bits of a parity sketch, which has about two a shingle; 64-bit words of its folded form in the index lists.
