@@ -58,6 +58,7 @@ def main(argv: list[str] | None = None) -> int:
     run.add_argument("--rehash", action="store_true", help="read every file again")
     sub.add_parser("status")
     sub.add_parser("runs")
+    sub.add_parser("overview").add_argument("--interval", type=int, default=0, help="seconds between scheduled runs")
     sub.add_parser("index")
     lister = sub.add_parser("findings")
     for name in ("severity", "type", "review", "search"):
@@ -92,6 +93,8 @@ def main(argv: list[str] | None = None) -> int:
     found, files = snapshots.load(spark, a.state, "findings"), snapshots.load(spark, a.state, "files")
     if a.command == "status":
         show(findings.chips(found), a.format)
+    elif a.command == "overview":
+        show(runs.overview(files, found, runs.log_of(spark, a.state), now["bundle"], F.unix_timestamp(F.current_timestamp()), a.interval), a.format)
     elif a.command == "runs":
         show(runs.latest(runs.log_of(spark, a.state)), a.format)
     elif a.command == "index":

@@ -42,3 +42,15 @@ def presented(findings: DataFrame) -> DataFrame:
 def record_link(references: Column) -> Column:
     """The first https reference."""
     return F.coalesce(F.get(F.filter(references, lambda u: https_only(u) != ""), F.lit(0)), F.lit(""))
+
+
+def age(at: Column, now: Column) -> Column:
+    """How long ago a time (unix seconds) was, in the largest whole unit; never without one."""
+    gap = F.greatest(now - at, F.lit(0))
+    unit = lambda n, name: F.concat(F.floor(gap / n).cast("string"), F.lit(f" {name}"), F.when(F.floor(gap / n) == 1, "").otherwise("s"), F.lit(" ago"))
+    return F.when(at.isNull(), "never").when(gap < 60, "just now").when(gap < 3600, unit(60, "minute")).when(gap < 86400, unit(3600, "hour")).otherwise(unit(86400, "day"))
+
+
+def timestamp_text(at: Column) -> Column:
+    """A time (unix seconds) as date and minute in the session's time zone; empty for none."""
+    return F.when(at.isNull() | (at <= 0), "").otherwise(F.date_format(F.timestamp_seconds(at), "yyyy-MM-dd HH:mm"))

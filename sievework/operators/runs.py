@@ -111,9 +111,13 @@ def appended(runs: DataFrame, row: dict, keep: int = KEPT_RUNS) -> DataFrame:
     return pruned(runs.filter(F.col("id") != row["id"]).unionByName(new), keep)
 
 
-def overview(files: DataFrame, findings: DataFrame, bundle: int, seconds_per_file: float = 0.03) -> DataFrame:
-    """One row: the tiles of a summary and the expected time of what is queued."""
+def overview(files: DataFrame, findings: DataFrame, log: DataFrame, bundle: int, now: Column, interval: int = 0, seconds_per_file: float = 0.03) -> DataFrame:
+    """One row: the tiles of a summary, the expected time of what is queued, how the last run went and when, in words, and the verdict."""
+    from sievework.functions.present import age
     from sievework.operators import findings as f
     from sievework.operators import inventory
 
-    return inventory.statistics(files, bundle).join(f.chips(findings)).withColumn("expected_seconds", F.ceil(F.col("queued") * F.lit(seconds_per_file)))
+    last = log.agg(F.count(F.lit(1)).alias("runs"), F.max_by("status", "id").alias("last_status"), F.max_by("finished_at", "id").alias("last_finished"), F.max(F.when(F.col("status") == "done", F.col("finished_at"))).alias("last_success"))
+    one = inventory.statistics(files, bundle).join(F.broadcast(f.chips(findings))).join(F.broadcast(last))
+    told = verdict(F.col("alerts"), F.col("runs"), F.col("last_status"), F.col("last_success"), now, F.lit(interval))
+    return one.withColumns({"expected_seconds": F.ceil(F.col("queued") * F.lit(seconds_per_file)), "last_run": age(F.col("last_finished"), now), "verdict": told})

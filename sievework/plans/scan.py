@@ -157,6 +157,7 @@ def rules_added(spark: SparkSession, state: str, pack: Pack) -> tuple[dict[str,
     return added, spark.createDataFrame(sorted({k: before.get(k, pack.version) for of in keys.values() for k in of}.items()), "key string, added int")
 
 
+@snapshots.scratched
 def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "full", prefix: str | None = None, slugs: list[str] | None = None, checksums: DataFrame | None = None, excluded=(), software: DataFrame | None = None, records: DataFrame | None = None, tables: list[RowTable] = (), own: DataFrame | None = None, rehash: bool = False, members: DataFrame | None = None, answers: DataFrame | None = None, mounted: bool = False, follow_links: bool = False) -> Result:
     """Scan the tree below ``root`` into the snapshots below ``state``. Names, sizes and times come first; only files that are new, whose
     size or time differs (all with ``rehash``) or that are due for matching are opened. ``full`` matches every file that isn't known good,

@@ -294,18 +294,3 @@ def readings(patterns: list[str]) -> tuple[dict[str, str], set[str], list[str]]:
 def new_signatures(old: DataFrame, new: DataFrame) -> DataFrame:
     """Signatures of ``new`` whose id ``old`` lacks."""
     return new.join(old.select("sig_id"), "sig_id", "left_anti")
-
-
-def pack_status(current: int | None, found: int, same_checksum: bool) -> str:
-    """updated, unchanged or failed for a fetched pack."""
-    if not same_checksum:
-        return "failed"
-    return "unchanged" if current == found else "updated"
-
-
-def rule_words(literals: DataFrame) -> DataFrame:
-    """(lit, word, words): each literal's distinct words, or one null word where it has none."""
-    from sievework.functions.text import word_set
-
-    words = word_set(F.col("text"))
-    return literals.select("lit", "text").distinct().select("lit", "text", F.size(words).alias("words"), F.explode_outer(words).alias("word"))

@@ -18,6 +18,7 @@ def watch(spark: SparkSession, root: str, pack: Pack, out: str, checkpoint: str)
     and the query ends. The source tracks paths, so a file changed in place needs a snapshot scan."""
     rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(root)
 
+    @snapshots.scratched
     def each(batch: DataFrame, epoch: int) -> None:
         rows = source.hashed(batch.select(source.relative_path(root).alias("path"), F.col("length").alias("size"), "content"))
         rows = snapshots.cut(rows.withColumn("kind", classify.content_kind(classify.head_of(F.col("content")), extension(F.col("path")))))

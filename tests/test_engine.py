@@ -585,3 +585,22 @@ def test_mounted_trees_with_links_and_unreadable_entries(spark, tmp_path):
     out = scan.scan(spark, f"file://{root}", PACK, f"file://{tmp_path}/state", excluded=["cache"], mounted=True)
     assert {r.path: r.kind for r in out.files.collect()} == {"top.php": "php", "a/one.txt": "php", "a/b/c/deep.php": "php", "gone.php": "unreadable", "file.php": "php"}
     assert {r.locator for r in out.findings.collect()} == {"top.php", "a/one.txt", "a/b/c/deep.php", "file.php"}
+
+
+def test_overview_and_times(spark, tmp_path, capsys):
+    from sievework.__main__ import main
+    from sievework.functions import present
+
+    rows_ = [(None, "never", ""), (1000, "just now", "1970-01-01 00:16"), (1000 - 61, "1 minute ago", "1970-01-01 00:15"), (1000 - 7200, "2 hours ago", ""), (1000 - 90000, "1 day ago", "")]
+    df = spark.createDataFrame([(r[0],) for r in rows_], "t long")
+    assert [tuple(r) for r in df.select("t", present.age(F.col("t"), F.lit(1000)), present.timestamp_text(F.col("t"))).collect()] == rows_
+    (tmp_path / "site").mkdir()
+    (tmp_path / "site/x.php").write_bytes(b"<?php foo bar aaa")
+    state = f"file://{tmp_path}/state"
+    before = len(snapshots._made)
+    main(["--state", state, "run", f"file://{tmp_path}/site", "--pack", str(encoded_pack(tmp_path)), "--scope", "full"])
+    assert len(snapshots._made) == before  # a scan leaves none of its intermediate tables
+    capsys.readouterr()
+    assert main(["--state", state, "--format", "json", "overview", "--interval", "3600"]) == 0
+    told = json.loads(capsys.readouterr().out)
+    assert (told["files"], told["alerts"], told["runs"], told["last_status"], told["last_run"], told["verdict"], told["queued"]) == (1, 1, 1, "done", "just now", "crit", 0)
