@@ -6,7 +6,7 @@ Each stage takes (spark, docs, sf_dir) and returns a table; all but the last kee
 from __future__ import annotations
 
 from sievework.llm import bagminhash, mixing, quality, sharding, templates
-from sievework.llm.common import materialise, table
+from sievework.llm.common import drop_path, made_since, mark, materialise, table
 
 
 def quality_rules(spark, docs, sf_dir):
@@ -46,8 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """All stages over ``documents``; each reads what the one before it wrote."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each reads what the one before it wrote, and what it needed besides is dropped once it has written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs, _ = materialise(stage(spark, docs, sf_dir), name)
+        start = mark()
+        docs, path = materialise(stage(spark, docs, sf_dir), name)
+        for old in [*before, *(p for p in made_since(start) if p != path)]:
+            drop_path(spark, old)
+        before = [path]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -44,6 +44,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def mark() -> int:
+    """A point to which ``made_since`` counts back."""
+    return len(_made)
+
+
+def made_since(point: int) -> list[str]:
+    """The paths made after ``mark`` gave ``point``."""
+    return [path for _, path in _made[point:]]
+
+
 def materialise(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there, so a lost
     executor costs only the tasks that read it. Returns the table and its path."""
