@@ -64,7 +64,7 @@ def either(words) -> str:
 
 #: A number; what parts of a text are no words: punctuation, but for marks between digits and a sign that starts a number.
 NUMBER = r"-?[0-9]+(?:[.,][0-9]+)*"
-NOT_WORDS = r"[^\p{L}\p{N}\x20\x09-\x0D.,-]+|[.,](?![0-9])|(?<![0-9])[.,]|-(?![0-9])|(?<=[\p{L}\p{N}])-"
+NOT_WORDS = r"[^\p{L}\p{N}\x20\x09-\x0D.,-]+|[.,](?:(?![0-9])|(?<![0-9].))|-(?:(?![0-9])|(?<=[\p{L}\p{N}]-))"
 
 
 def marked(text: Column) -> Column:
