@@ -109,8 +109,8 @@ def chr_runs(tok: DataFrame) -> DataFrame:
     number = F.col("next2.t").rlike(r"\A(?:0[xX][0-9a-fA-F]+|0[bB][01]+|[0-9]+)\z")
     term = at.filter((F.lower("t") == "chr") & (F.col("next1.t") == "(") & number & (F.col("next3.t") == ")"))
     code = F.col("next2.t")
-    value = F.when(code.rlike("^0[xX]"), F.conv(F.substring(code, 3, 20), 16, 10)).when(code.rlike("^0[bB]"), F.conv(F.substring(code, 3, 64), 2, 10)).when(code.rlike("^0[0-7]+$"), F.conv(code, 8, 10)).otherwise(code)
-    term = term.withColumns({"code": F.pmod(value.cast("long"), F.lit(256)), "k": F.row_number().over(order), "_open": F.lag("next4.t").over(order)})
+    value = F.when(code.rlike("^0[xX]"), F.conv(F.substring(code, 3, 15), 16, 10)).when(code.rlike("^0[bB]"), F.conv(F.substring(code, 3, 60), 2, 10)).when(code.rlike("^0[0-7]+$"), F.conv(F.substring(code, 1, 20), 8, 10)).otherwise(code)
+    term = term.withColumns({"code": F.pmod(value.try_cast("long"), F.lit(256)), "k": F.row_number().over(order), "_open": F.lag("next4.t").over(order)})
     breaks = F.sum(F.when(F.col("_open") == ".", 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     runs = term.withColumns({"gap": F.col("i") - 5 * F.col("k"), "breaks": breaks}).groupBy("path", "gap", "breaks")
     text = F.encode(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "code"))), lambda x: F.chr(x["code"])), ""), "ISO-8859-1")
@@ -124,6 +124,8 @@ def decoded(files: DataFrame, text: str = "text") -> DataFrame:
     from sievework.plans.snapshots import cut
 
     tok = cut(taint.tokens(files, text, WORTH))
+    if not tok.limit(1).count():
+        return files.sparkSession.createDataFrame([], "path string, n int, line int, chain array<string>, payload string")
     name = F.lower("t")
     call = tok.filter(name.isin(*DECODERS) & (F.col("next1.t") == "(")).select("path", "n", "line", name.alias("name"), F.col("next1.n").alias("open"), F.col("next2").alias("first"), F.col("next3.t").alias("second"))
     call = call.join(tok.filter("t = '('").select("path", F.col("n").alias("open"), F.col("end").alias("close")), ["path", "open"]).filter("close IS NOT NULL")

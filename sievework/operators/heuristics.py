@@ -93,7 +93,7 @@ def evidence(files: DataFrame, rescan=None) -> DataFrame:
     found = found.unionByName(shaped(names, "entropy", "obfuscation", line_of(text, F.instr(text, F.get("made", F.lit(0)))), listed))
     plain = cut(constants.decoded(files))
     chain = F.array_join("chain", "→")
-    if rescan is not None:
+    if rescan is not None and plain.limit(1).count():
         again = rescan(plain.select("path", F.col("n").alias("chunk"), F.col("payload").alias("text"))).select("path", F.col("chunk").alias("n"), "sig_id", "category").distinct()
         found = found.unionByName(shaped(again.join(plain, ["path", "n"]), "decoder", "", F.col("line"), F.concat("sig_id", F.lit(" matched after "), chain, F.lit(" decoding")), F.col("sig_id")))
     code_in = plain.filter((F.length("payload") >= PAYLOAD_BYTES) & F.col("payload").rlike(PAYLOAD_CODE))

@@ -201,15 +201,22 @@ def scan(spark: SparkSession, root: str, pack: Pack, state: str, scope: str = "f
     due = inventory.only_new_rules(due, flagged, 1, True, scope)
     known = F.when(F.col("only_new") & (F.col("scanned_bundle") < pack.version), F.col("scanned_bundle")).otherwise(0)
     due = snapshots.cut(due.withColumn("known", known).select("path", "path_hash", "size", "md5", "sha256", "kind", "origin", "known_good", "known"))
-    rows = source.contents_of(spark, root, due, excluded).select("path", "content").join(due, "path")
     order = ("path", "chunk", "layer", "position", "sig_id", "category", "tier", "line", "excerpt")
-    hits, failed = matched(rows, pack, added)
-    hits = snapshots.cut(hits.select(*order))
-    clock.end("match")
-    infected = hits.filter("tier = 'infected'").select("path", F.lit(True).alias("infected")).distinct()
-    gated = heuristics.gate(rows.join(infected, "path", "left").withColumn("infected", F.coalesce("infected", F.lit(False))))
-    signs = snapshots.cut(heuristics.evidence(gated.select("path", latin1(F.col("content")).alias("text"), "origin", "known_good"), lambda d: rescan(d, pack)))
-    clock.end("analysis")
+    if due.limit(1).count():
+        rows = source.contents_of(spark, root, due, excluded).select("path", "content").join(due, "path")
+        hits, failed = matched(rows, pack, added)
+        hits = snapshots.cut(hits.select(*order))
+        clock.end("match")
+        infected = hits.filter("tier = 'infected'").select("path", F.lit(True).alias("infected")).distinct()
+        gated = heuristics.gate(rows.join(infected, "path", "left").withColumn("infected", F.coalesce("infected", F.lit(False))))
+        signs = snapshots.cut(heuristics.evidence(gated.select("path", latin1(F.col("content")).alias("text"), "origin", "known_good"), lambda d: rescan(d, pack)))
+        clock.end("analysis")
+    else:  # nothing to open
+        none = lambda schema: spark.createDataFrame([], schema)
+        hits, failed = none("path string, chunk int, layer int, position int, sig_id string, category string, tier string, line int, excerpt string"), none("path string, n int")
+        signs = none("path string, position int, sig_id string, category string, line int, excerpt string, reason string")
+        clock.end("match")
+        clock.end("analysis")
     as_matches = signs.withColumns({"chunk": F.lit(AFTER_CHUNKS), "layer": F.lit(3), "tier": F.lit("suspicious")}).select(*order)
     found = findings.assemble(hits.unionByName(as_matches))
     said = signs.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "reason"))), lambda x: x["reason"]).alias("said"))

@@ -128,7 +128,10 @@ def java_pattern(pattern: str) -> str | None:
     """A delimited pattern as a Java one if it means the same there, else None: no nested quantified groups, no
     constructs that Java rejects or reads otherwise."""
     body, flags = split_pattern(pattern)
-    if re.search(r"\\[KRXGCQEzZAhHvV]|\(\?[R&P0-9(|#>]|\[\[|\[:|\[[^\]\\]*\[|&&|[*+}]\+", body) or re.search(r"\([^()]*[*+|][^()]*\)[*+{]", body):
+    if re.search(r"\\[KRXGCQEzZAhHvV]|\(\?[R&P0-9(|#>]|\[\[|\[:|\[[^\]\\]*\[|&&|[*+}]\+", body):
+        return None
+    plain = re.sub(r"\((?:\?:)?[^()*+|{]*\)", "", re.sub(r"\\.", "x", body))  # without escapes and groups of single steps
+    if re.search(r"\)[*+{]", plain):  # Java recurses once a turn of such a group, and long texts exhaust its stack
         return None
     if set(flags) - set("ims"):
         return None

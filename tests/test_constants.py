@@ -28,6 +28,7 @@ CASES = [
     ("urldecode( '%65val(+1)' )", [("urldecode", "eval( 1)")]), ("rawurldecode( '%65val(+1)' )", [("rawurldecode", "eval(+1)")]),
     ("gzuncompress( base64_decode( '" + b64(zlib.compress(CODE)) + "' ) )", [("base64_decode→gzuncompress", P)]), ("gzdecode( base64_decode( '" + b64(gzip.compress(CODE)) + "' ) )", [("base64_decode→gzdecode", P)]),
     ("strrev( " + ".".join(f"chr({c})" for c in CODE[::-1]) + " )", [("chr→strrev", P)]), ("gzinflate( base64_decode( '" + b64(raw(b"A" * 60_000_000)) + "' ) )", None), ("base64_decode( '' )", []),
+    (".".join(f"chr({c})" for c in ("0x" + "f" * 40, "0b" + "1" * 90, "9" * 60, "0" + "7" * 50, *CODE[:8])), [("chr", "\xff\xff\xff" + P[:8])]),
     ("'base64_decode(\\'" + b64(CODE) + "\\')'", []), ("/* base64_decode('" + b64(CODE) + "') */ 1", []),
 ]
 
