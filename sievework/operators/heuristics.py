@@ -11,6 +11,12 @@ from sievework.functions.text import entropy, let, line_of
 from sievework.operators import constants, taint
 
 # Fixed values that findings must agree on.
+HEADER = r"(?i)Plugin Name\s*:"
+PACKAGE = r"@package\s+WordPress\b"
+LOADER = r"(?i)(include|require)(_once)?\s*\(?\s*[^;]*['\"][^'\"]*/[^'\"]+\.php['\"]"
+ENCODER = r"(?i)Advanced Web Application Framework|Original size:|Encoded size:"
+SILENCE = r"(?i)(@?error_reporting\s*\(\s*0\s*\)|ini_set\s*\(\s*['\"]display_errors['\"]\s*,\s*['\"]?(0|off))"
+REQUEST = r"\$_(GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|php://input"
 PACKAGE_ORIGINS = ("uploads", "mu", "other")
 HEADER_LINES, SILENCE_LINES = 20, 5
 LEAST_IDENTIFIERS, HIGH_ENTROPY, SOME_GENERATED, MOST_GENERATED = 8, 3.6, 0.4, 0.7
@@ -36,11 +42,11 @@ def located(text: Column, pattern: str, lines: int | None = None) -> Column:
 
 def disguise(text: Column, origin: Column, known_good: Column) -> Column:
     """array<struct<reason,line>> of signs that a file pretends to be something else."""
-    header, package = located(text, r"(?i)Plugin Name\s*:"), located(text, r"@package\s+WordPress\b")
-    loader = text.rlike(r"(?i)(include|require)(_once)?\s*\(?\s*[^;]*['\"][^'\"]*/[^'\"]+\.php['\"]")
-    encoder = located(text, r"(?i)Advanced Web Application Framework|Original size:|Encoded size:", HEADER_LINES)
-    silence = located(text, r"(?i)(@?error_reporting\s*\(\s*0\s*\)|ini_set\s*\(\s*['\"]display_errors['\"]\s*,\s*['\"]?(0|off))", SILENCE_LINES)
-    request = text.rlike(r"\$_(GET|POST|REQUEST|COOKIE|SERVER|FILES)\b|php://input")
+    header, package = located(text, HEADER), located(text, PACKAGE)
+    loader = text.rlike(LOADER)
+    encoder = located(text, ENCODER, HEADER_LINES)
+    silence = located(text, SILENCE, SILENCE_LINES)
+    request = text.rlike(REQUEST)
     found = [
         (header.isNotNull() & (origin == "uploads"), "plugin header in an uploads file", header),
         (header.isNotNull() & (origin == "mu") & ~known_good & ~loader, "plugin header in a must-use plugin", header),
