@@ -74,8 +74,8 @@ def candidates(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("
     return hits.unionByName(chunks.select(*key, F.explode(F.array(*map(F.lit, always))).alias("lit"))) if always else hits
 
 
-#: Characters of a word by which a literal is looked up where the text's word may be longer than the literal's.
-GRAM = 12
+#: Numbers of characters of a word by which a literal is looked up where the text's word may be longer than the literal's.
+GRAMS = (12, 8, 5, 4, 3, 2, 1)
 
 
 def lookup_keys(text: str) -> list[tuple[str, str]]:
@@ -90,9 +90,10 @@ def lookup_keys(text: str) -> list[tuple[str, str]]:
         return []
     longest = max(words, key=lambda m: len(m[0]))
     w = longest[0]
+    n = next(n for n in GRAMS if n <= len(w))
     if longest.start() == 0 and longest.end() == len(text):
-        return [("*", w[:GRAM])]
-    return [(">", w[-GRAM:])] if longest.start() == 0 else [("<", w[:GRAM])]
+        return [("*", w[:n])]
+    return [(">", w[-n:])] if longest.start() == 0 else [("<", w[:n])]
 
 
 def possible(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("path", "chunk")) -> DataFrame:
@@ -113,9 +114,9 @@ def possible(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("pa
             forms.append(lambda ws: tagged(">", F.array_distinct(F.flatten(F.transform(ws, lambda w: each(">", lambda n: F.when(F.length(w) >= n, F.right(w, F.lit(n)))))))))
         if lengths["<"]:
             forms.append(lambda ws: tagged("<", F.array_distinct(F.flatten(F.transform(ws, lambda w: each("<", lambda n: F.when(F.length(w) >= n, F.left(w, F.lit(n)))))))))
-        if lengths["*"]:
-            inside = lambda w: F.flatten(each("*", lambda n: F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - n + 1), lambda i: F.substring(w, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))))
-            forms.append(lambda ws: tagged("*", F.array_distinct(F.flatten(F.transform(ws, inside)))))
+        if lengths["*"]:  # by a pattern, as cutting a long word at each of its places would read it from its start each time
+            parts_of = [F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(f"(?=([a-z0-9_]{{{n}}}))"), F.lit(1)) for n in lengths["*"]]
+            forms.append(lambda ws: tagged("*", F.array_distinct(F.concat(*parts_of))))
         seen = chunks.select(*names, F.explode(let(words, lambda ws: F.concat(*[f(ws) for f in forms]))).alias("w")).select(*names, "w.*")
         hits = seen.join(index, ["form", "word"]).groupBy(*names, "lit").agg(F.count(F.lit(1)).alias("n"), F.first("need").alias("need")).filter("n >= need")
         parts.append(hits.select(*names, "lit"))
