@@ -270,8 +270,7 @@ def block_pairs(lists: DataFrame) -> DataFrame:
     met = met.filter(~((F.col("low") == F.col("high")) & (F.col("low_y") == F.col("high_y")) & (F.col("low") == F.col("low_y")))).select("shingle", "n", "pos", "m", "at")
     right = mixed.select("shingle", F.col("n").alias("m"), F.col("pos").alias("at"), F.col("node").alias("y"), F.col("label").alias("label_y"), F.col("few").alias("few_y"))
     near = (F.col("label") != F.col("label_y")) & close_enough(differing(F.col("few"), F.col("few_y")), F.col("n"), F.col("m"))
-    one = bounded(mixed.join(bounded(met), ["shingle", "n", "pos"]))
-    pairs = right.join(one, ["shingle", "m", "at"]).filter(near)
+    pairs = right.join(mixed.join(met, ["shingle", "n", "pos"]), ["shingle", "m", "at"]).filter(near)
     return pairs.select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
 
 
