@@ -75,7 +75,7 @@ def candidates(chunks: DataFrame, literals: DataFrame, key: tuple[str, ...] = ("
 
 
 #: Numbers of characters of a word by which a literal is looked up where the text's word may be longer than the literal's.
-GRAMS = (12, 8, 5, 4, 3, 2, 1)
+GRAMS = (12, 11, 10, 9, 8, 6, 5, 4, 3, 2, 1)
 
 
 def lookup_keys(text: str) -> list[tuple[str, str]]:
