@@ -39,6 +39,16 @@ def line_of(text: Column, position: Column, base: Column | int = 0) -> Column:
     return (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + base + 1).cast("int")
 
 
+def beyond_java(text: Column) -> Column:
+    """Whether ``text`` has code points that Java counts as two characters."""
+    return text.rlike(r"[\x{10000}-\x{10FFFF}]")
+
+
+def code_points(text: Column, position: Column) -> Column:
+    """A 1-based ``position`` counted in Java's characters, counted in code points."""
+    return F.length(F.decode(F.substring(F.encode(text, "UTF-16BE"), F.lit(1), 2 * (position - 1)), "UTF-16BE")) + 1
+
+
 def excerpt(text: Column, position: Column) -> Column:
     """The bytes around a match, unprintable ones replaced."""
     start = F.greatest(position - EXCERPT_BEFORE, F.lit(1))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.functions.text import EXCERPT_BEFORE, EXCERPT_BYTES, ascii_lower, basename, excerpt, let, line_of, word_set
+from sievework.functions.text import EXCERPT_BEFORE, EXCERPT_BYTES, ascii_lower, basename, beyond_java, code_points, excerpt, let, line_of, word_set
 from sievework.sources.files import CHUNK, OVERLAP
 from sievework.sources.pack import byte_pattern, first_match, readings
 
@@ -233,9 +233,10 @@ def regex_matches(chunks: DataFrame, regexes: list[tuple], present: DataFrame |
     names, parts = list(key), []
     if native := [(*r[:2], java[r[2]], *r[3:]) for r in regexes if r[2] in java]:
         hits = F.filter(F.transform("_rules", lambda r: F.struct(r["position"].alias("position"), r["sig"].alias("sig"), F.regexp_instr("text", r["pattern"]).alias("pos"))), lambda x: x["pos"] > 0)
-        rows = tried(chunks, native, present, key, added).withColumn("hit", F.explode(hits))
-        line = line_of(F.col("text"), F.col("hit.pos"), F.col("line_base"))
-        parts.append(rows.select(*names, F.lit(2).alias("layer"), "hit.*", line.alias("line"), excerpt(F.col("text"), F.col("hit.pos")).alias("excerpt")))
+        rows = tried(chunks, native, present, key, added).withColumn("_wide", beyond_java(F.col("text"))).withColumn("hit", F.explode(hits))
+        rows = rows.withColumn("_at", F.when(F.col("_wide"), code_points(F.col("text"), F.col("hit.pos"))).otherwise(F.col("hit.pos")))
+        line = line_of(F.col("text"), F.col("_at"), F.col("line_base"))
+        parts.append(rows.select(*names, F.lit(2).alias("layer"), "hit.position", "hit.sig", F.col("_at").alias("pos"), line.alias("line"), excerpt(F.col("text"), F.col("_at")).alias("excerpt")))
     if rest := [r for r in regexes if r[2] in other]:
         rows = tried(chunks, rest, present, key, added)
         keyed = rows.select(F.to_json(F.struct(*names, "line_base")).alias("k"), F.encode("text", "ISO-8859-1").alias("content"), "_rules")
