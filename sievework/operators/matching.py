@@ -2,7 +2,7 @@
 
 All of it is joins and expressions. Rules reach a chunk through inverted indexes: words lead to literals, and a division join of
 the literals that are there leads to the regular expressions that need them, so a chunk is tried with few of a pack's
-rules however many there are. Patterns that Java would read otherwise run over the same candidates in Arrow batches. The
+rules however many there are. Where it isn't known which literals are there, a plain pattern's own beginning leads to the places where it is tried. Patterns that Java would read otherwise run over the same candidates in Arrow batches. The
 order-dependent rules (suppression after an infected match, quota, overlap) are windows over (chunk, layer, position).
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import EXCERPT_BEFORE, EXCERPT_BYTES, ascii_lower, basename, beyond_java, code_points, excerpt, let, line_of, word_set
 from sievework.sources.files import CHUNK, OVERLAP
-from sievework.sources.pack import byte_pattern, first_match, readings
+from sievework.sources.pack import byte_pattern, first_match, readings, split_pattern
 
 #: Infected matches after which a file's regular expressions stop.
 QUOTA = 10
@@ -156,7 +157,7 @@ def located(chunks: DataFrame, literals: DataFrame, have: DataFrame | None = Non
         rows = chunks.withColumn("_wanted", F.from_json(F.lit(json.dumps(every)), "array<struct<lit:int,literal:string>>"))
     else:
         wanted = cut(have.join(small(texts, literals.count()), "lit").groupBy(*key).agg(F.collect_list(F.struct("lit", "literal")).alias("_wanted")))
-        rows = chunks.join(small(wanted, wanted.count()), names)
+        rows = chunks.join(wanted, names)  # one row a chunk, which grows with the texts: never marked for broadcast
     places = let(ascii_lower(F.col("text")), lambda low: F.filter(F.transform("_wanted", lambda w: F.struct(w["lit"].alias("lit"), F.call_function("instr", low, w["literal"]).alias("pos"))), lambda x: x["pos"] > 0))
     found = rows.withColumn("hit", F.explode(places)).select(*names, "targets", "text", "line_base", "hit.*")
     return found.select(*names, "targets", "lit", "pos", line_of(F.col("text"), F.col("pos"), F.col("line_base")).alias("line"), excerpt(F.col("text"), F.col("pos")).alias("excerpt"))
@@ -199,7 +200,7 @@ def tried(chunks: DataFrame, rules: list[tuple], present: DataFrame | None, key:
     rows, led = chunks, [r for r in rules if present is not None and r[4]]
     if led:
         found = cut(rule_candidates(present, led, key, added))
-        rows = chunks.join(small(found, found.count()), list(key), "left" if free else "inner")
+        rows = chunks.join(found, list(key), "left" if free else "inner")  # one row a chunk, never marked for broadcast
         always = F.concat(always, F.coalesce("_rules", F.from_json(F.lit("[]"), f"array<struct<{RULE}>>"))) if free else F.col("_rules")
     fits = lambda r: F.arrays_overlap(r["targets"], "targets") & (~r["first_only"] | F.col("first"))
     if added is not None:  # ``known`` is the pack that the file was matched with, 0 for none
@@ -207,6 +208,74 @@ def tried(chunks: DataFrame, rules: list[tuple], present: DataFrame | None, key:
     return rows.withColumn("_rules", F.filter(always, fits)).filter(F.size("_rules") > 0)
 
 
+#: Patterns of plain characters, classes and counts that begin with letters, digits or underscores of one word: every
+#: engine finds the same first place of them.
+LED = re.compile(r"([A-Za-z0-9_]{3,})(?![+*?{])((?:(?:[A-Za-z0-9_ <>=,;:!@#%&~\"'-]|\\[.()\[\]{}+*?|^$\\/]|\[(?:[A-Za-z0-9]-[A-Za-z0-9]|[A-Za-z0-9_ ])+\])(?:[+*?]|\{\d+(?:,\d*)?\})?)*)")
+#: Words whose leads a task remembers, and characters of the longest of them.
+REMEMBERED, LONG_WORD = 100_000, 64
+
+
+def leading(pattern: str) -> tuple[str, str] | None:
+    """(lead, tail) of a pattern that begins with a literal, else None."""
+    body, flags = split_pattern(pattern)
+    found = None if flags else LED.fullmatch(body)
+    return (found[1], found[2]) if found else None
+
+
+def led_search(rules: list[tuple[int, int, str, str]]):
+    """A function of texts: array<struct<position,sig,pos>> of the first match of each of the ``rules`` (position, sig, lead, tail). Words lead
+    to the rules whose lead stands in them, and only there their tail is tried."""
+    grams = sorted({max(n for n in GRAMS if n <= len(r[2])) for r in rules})
+    index: dict[str, list[int]] = {}
+    for i, (_, _, lead, _) in enumerate(rules):
+        index.setdefault(lead[: max(n for n in GRAMS if n <= len(lead))], []).append(i)
+
+    def leads_in(word: str) -> list[tuple[int, int]]:
+        return [(at + len(rules[i][2]), i) for at in range(len(word)) for n in grams if at + n <= len(word) for i in index.get(word[at : at + n], ()) if word.startswith(rules[i][2], at)]
+
+    known: dict[str, list[tuple[int, int]]] = {}
+
+    def search(texts: pa.Array) -> pa.Array:
+        tails = {tail: re.compile(tail).match for tail in {r[3] for r in rules}}
+        tail_of = [tails[r[3]] for r in rules]
+        ends, which, where = [0], [], []
+        for text in texts:
+            first: dict[int, int] = {}
+            for m in re.finditer("[A-Za-z0-9_]+", text.as_py() or ""):
+                word = m[0]
+                places = known.get(word)
+                if places is None:
+                    places = leads_in(word)
+                    if len(word) <= LONG_WORD:
+                        if len(known) >= REMEMBERED:
+                            known.clear()
+                        known[word] = places
+                for after, i in places:
+                    if i not in first and tail_of[i](m.string, m.start() + after):
+                        first[i] = m.start() + after - len(rules[i][2]) + 1
+            which += first.keys()
+            where += first.values()
+            ends.append(len(which))
+        ints = lambda xs: pa.array(xs, pa.int32())
+        return pa.ListArray.from_arrays(ints(ends), pa.StructArray.from_arrays([ints([rules[i][0] for i in which]), ints([rules[i][1] for i in which]), ints(where)], ["position", "sig", "pos"]))
+
+    search.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(search, "array<struct<position:int,sig:int,pos:int>>")
+
+
+def led_matches(chunks: DataFrame, rules: list[tuple[tuple, tuple[str, str]]], names: list[str]) -> list[DataFrame]:
+    """What ``regex_matches`` gives for the rules that ``leading`` splits, by the targets and chunks that they apply to."""
+    parts, groups = [], {}
+    for r, (lead, tail) in rules:
+        groups.setdefault((tuple(sorted(r[5])), bool(r[3])), []).append((r[0], r[1], lead, tail))
+    for (targets, first_only), group in groups.items():
+        fits = F.arrays_overlap(F.array(*map(F.lit, targets)), "targets")
+        rows = chunks.filter(fits & F.col("first") if first_only else fits).withColumn("hit", F.explode(led_search(group)(F.col("text"))))
+        line = line_of(F.col("text"), F.col("hit.pos"), F.col("line_base"))
+        parts.append(rows.select(*names, F.lit(2).alias("layer"), "hit.*", line.alias("line"), excerpt(F.col("text"), F.col("hit.pos")).alias("excerpt")))
+    return parts
+
+
 HIT = pa.schema([("k", pa.string()), ("position", pa.int32()), ("sig", pa.int32()), ("pos", pa.int32()), ("lines", pa.int32()), ("around", pa.string())])
 
 
@@ -228,9 +297,14 @@ def byte_search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def regex_matches(chunks: DataFrame, regexes: list[tuple], present: DataFrame | None = None, key: tuple[str, ...] = ("path", "chunk"), errors: bool = False, added: dict[int, int] | None = None) -> DataFrame:
     """(key, layer 2, position, sig, pos, line, excerpt) of the first match of each rule that applies and whose literals
     are all there. With ``errors`` a failed search is a row with pos -1. With ``added`` (pack of each rule, by position) a chunk
-    is tried with the rules younger than its ``known`` only."""
+    is tried with the rules younger than its ``known`` only. Without ``present`` rules that begin with a literal are led by it."""
     java, other, _ = readings([r[2] for r in regexes])
     names, parts = list(key), []
+    if present is None and added is None:
+        led = [(r, x) for r in regexes if r[2] in java and (x := leading(r[2]))]
+        parts += led_matches(chunks, led, names)
+        ours = {r[0] for r, _ in led}
+        regexes = [r for r in regexes if r[0] not in ours]
     if native := [(*r[:2], java[r[2]], *r[3:]) for r in regexes if r[2] in java]:
         hits = F.filter(F.transform("_rules", lambda r: F.struct(r["position"].alias("position"), r["sig"].alias("sig"), F.regexp_instr("text", r["pattern"]).alias("pos"))), lambda x: x["pos"] > 0)
         rows = tried(chunks, native, present, key, added).withColumn("_wide", beyond_java(F.col("text"))).withColumn("hit", F.explode(hits))
@@ -249,7 +323,7 @@ def regex_matches(chunks: DataFrame, regexes: list[tuple], present: DataFrame |
     if not parts:
         nil = F.lit(0)
         return chunks.limit(0).select(*names, F.lit(2).alias("layer"), nil.alias("position"), nil.alias("sig"), nil.alias("pos"), nil.alias("line"), F.lit("").alias("excerpt"))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def suppress(matches: DataFrame, quota: int = QUOTA, key: str = "path") -> DataFrame:
