@@ -69,14 +69,18 @@ def generated(name: Column) -> Column:
 
 
 def identifier_entropy(names: Column) -> Column:
-    """struct(n, entropy, generated, suspicious) of a list of names."""
-    n = F.size(names)
-    average = F.when(n > 0, F.aggregate(names, F.lit(0.0), lambda acc, x: acc + entropy(x)) / n).otherwise(0.0)
-    share = F.when(n > 0, F.size(F.filter(names, generated)) / n).otherwise(0.0)
-    return let(F.struct(n.alias("n"), average.alias("entropy"), share.alias("generated")), lambda x: F.struct(
-        x["n"].alias("n"), F.round(x["entropy"], 6).alias("entropy"), F.round(x["generated"], 6).alias("generated"),
-        ((x["n"] >= LEAST_IDENTIFIERS) & (((x["entropy"] > HIGH_ENTROPY) & (x["generated"] >= SOME_GENERATED)) | (x["generated"] >= MOST_GENERATED))).alias("suspicious"),
-    ))
+    """struct(n, entropy, generated, suspicious) of a list of names, which is read once."""
+
+    def measured(names: Column) -> Column:
+        n = F.size(names)
+        average = F.when(n > 0, F.aggregate(names, F.lit(0.0), lambda acc, x: acc + entropy(x)) / n).otherwise(0.0)
+        share = F.when(n > 0, F.size(F.filter(names, generated)) / n).otherwise(0.0)
+        return let(F.struct(n.alias("n"), average.alias("entropy"), share.alias("generated")), lambda x: F.struct(
+            x["n"].alias("n"), F.round(x["entropy"], 6).alias("entropy"), F.round(x["generated"], 6).alias("generated"),
+            ((x["n"] >= LEAST_IDENTIFIERS) & (((x["entropy"] > HIGH_ENTROPY) & (x["generated"] >= SOME_GENERATED)) | (x["generated"] >= MOST_GENERATED))).alias("suspicious"),
+        ))
+
+    return let(names, measured)
 
 
 def evidence(files: DataFrame, rescan=None) -> DataFrame:
